@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, url_filters
+from . import line_dedup, simhash, url_filters
 
 QUERIES = {
     "op2_url_filters": url_filters.op2_url_filters,
+    "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
