@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup, simhash, url_filters
+from . import line_dedup, simhash, substring_dedup, url_filters
 
 QUERIES = {
     "op2_url_filters": url_filters.op2_url_filters,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
 ORACLES = {
     "op2_url_filters": url_filters.OP2_SQL,
+    "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
 }
