@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup, simhash, substring_dedup, url_filters
+from . import line_dedup, quality, simhash, substring_dedup, url_filters
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
     "op2_url_filters": url_filters.op2_url_filters,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_quality_rules": quality.OP1_SQL,
     "op2_url_filters": url_filters.OP2_SQL,
     "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
