@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, quality, simhash, substring_dedup, token_counts, url_filters
+from . import bpe, line_dedup, packing, quality, simhash, substring_dedup, token_counts, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
 ORACLES = {
