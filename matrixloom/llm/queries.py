@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, packing, quality, simhash, substring_dedup, token_counts, url_filters
+from . import bpe, line_dedup, packing, quality, simhash, substring_dedup, token_counts, topk, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+    "op8_exact_topk": topk.op8_exact_topk,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
@@ -19,5 +20,6 @@ ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
     "op2_url_filters": url_filters.OP2_SQL,
     "op5_substring_dedup": substring_dedup.OP5_SQL,
+    "op8_exact_topk": topk.OP8_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
 }
