@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, packing, quality, simhash, substring_dedup, token_counts, topk, url_filters
+from . import bpe, line_dedup, packing, quality, simhash, substring_dedup, token_counts, topk, toxicity, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_url_filters": url_filters.op2_url_filters,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
