@@ -95,7 +95,8 @@ def _candidate_rows(window: int):
 def _removal_rows(window: int):
     def run(t: pa.Table, hit: pa.Table) -> pa.Table:
         """Every text of a chunk without the words that windows of smaller documents cover."""
-        w = words_of(_texts(t.column("text")))
+        texts = _texts(t.column("text"))
+        w = words_of(texts)
         gone = np.zeros(len(w.h) + 1, np.int64)
         if hit.num_rows and len(w.h) >= window:
             at = np.flatnonzero(_placed(w, window))
@@ -117,17 +118,23 @@ def _removal_rows(window: int):
             np.add.at(gone, at, 1)
             np.add.at(gone, at + window, -1)
         keep = np.cumsum(gone[:-1]) == 0
-        kept = [w.kept(k, keep) for k in range(t.num_rows)]
         n = np.diff(w.first)
         left = np.add.reduceat(np.append(keep, False).astype(np.int64), w.first[:-1]) * (n > 0) if t.num_rows else n
-        out = {"row": t.column("row")} if "row" in t.column_names else {"doc": t.column("doc")}
+        if "row" in t.column_names:
+            out = {"row": t.column("row")}
+            kept = [text if n[k] == left[k] else w.kept(k, keep) for k, text in enumerate(texts)]
+        else:
+            out = {"doc": t.column("doc")}
+            kept = [w.kept(k, keep) for k in range(t.num_rows)]
         return pa.table(out | {"n_words": n.astype(np.int64), "n_removed": (n - left).astype(np.int64), "kept": pa.array(kept, pa.binary())})
 
     return run
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, carry: bool = False, chunk: int = CHUNK) -> DataFrame:
-    """n_words, n_removed and kept (words joined by one space, UTF-8) of every row, with the key as doc, or all columns as row if `carry`.
+    """n_words, n_removed and kept (words joined by one space, UTF-8) of every row, with the key as doc.
+
+    With `carry` all columns but the text come along as row, and texts that lose no word stay as they were.
 
     A word goes if a window of `window` words covers it whose words also start in a row with a
     smaller key. Documents are dealt to chunks once; that exchange serves all three passes:
@@ -141,18 +148,25 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
         raise ValueError(f"window is at least {PERIOD + 4}")
     chunks = max(1, size_in_bytes(docs, text) // chunk)
     spread = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(chunks)).alias("chunk")
-    held = [whole_row(docs).alias("row")] if carry else []
+    held = [whole_row(docs.drop(text)).alias("row")] if carry else []
     # a null key becomes the least one possible, under which nothing is removed; anchors leave it out
     dealt = docs.select(spread, F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(text).alias("text"), *held).groupBy("chunk")
     anchors = dealt.applyInArrow(_with_keys(_anchor_rows(window)), "h long, chunk long, n int")
     shared = anchors.withColumn("all", F.sum("n").over(Window.partitionBy("h"))).where(F.col("all") > 1).select("chunk", "h")
     found = dealt.cogroup(shared.groupBy("chunk")).applyInArrow(_with_keys(_candidate_rows(window)), "h1 long, h2 int, chunk long, low long, high long")
     first = found.withColumn("first", F.min("low").over(Window.partitionBy("h1", "h2"))).where("first < high").select("chunk", "h1", "h2", "first")
-    kept = docs.select(whole_row(docs).alias("row")).schema.simpleString()[len("struct<row:") : -1] if carry else ""
-    schema = (f"row {kept}" if carry else "doc long") + ", n_words long, n_removed long, kept binary"
+    kind = docs.select(*held).schema.simpleString()[len("struct<row:") : -1] if carry else ""
+    schema = (f"row {kind}" if carry else "doc long") + ", n_words long, n_removed long, kept binary"
     return dealt.cogroup(first.groupBy("chunk")).applyInArrow(_removal_rows(window), schema)
 
 
+def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """`docs` with their columns in order and the text without removed words; other texts stay as they were, null ones as empty."""
+    out = removals(docs, key, text, window, carry=True)
+    new = F.decode("kept", "UTF-8")
+    return out.select(*[new.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def _with_keys(run):
     """`run` without the rows that have no key."""
 
