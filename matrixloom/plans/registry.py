@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import matrices, preparation  # noqa: F401  they register their queries
+from .base import ORACLES, QUERIES
+
+FLAGSHIP = "g03_participation"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
