@@ -10,7 +10,7 @@ LINES = 3
 
 
 def _windows(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(doc, pos, h1, h2) for each run of `width` lines: 128 bits of hash, chained over the lines both ways."""
+    """(doc, body, pos, h1, h2) for each run of `width` lines: 128 bits of hash, chained over the lines both ways. body tells texts of one key apart."""
     line = F.split(F.col(text), "\n", -1)
     hashed = F.when(F.size("line") >= width, F.transform(
         F.sequence(F.lit(0), F.size("line") - width),
@@ -20,12 +20,12 @@ def _windows(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             F.xxhash64(F.lit(width), *[F.get("line", i + k) for k in reversed(range(width))]).alias("h2"),
         ),
     ))
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), line.alias("line"))
-    return rows.select("doc", F.explode(hashed).alias("w")).select("doc", "w.pos", "w.h1", "w.h2")
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(text).alias("body"), line.alias("line"))
+    return rows.select("doc", "body", F.explode(hashed).alias("w")).select("doc", "body", "w.pos", "w.h1", "w.h2")
 
 
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = LINES) -> DataFrame:
-    """(doc, pos) of every window that occurs earlier, by document key and then position.
+    """(doc, body, pos) of every window that occurs earlier, by document key and then position.
 
     First occurrences come from an aggregation that combines on the map side; the join back is a
     shuffle join whose hot windows adaptive execution can split.
@@ -33,7 +33,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     w = _windows(docs, key, text, width)
     first = w.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("at")).where("n > 1")
     later = w.alias("w").join(first.alias("f"), (F.col("w.h1") == F.col("f.h1")) & (F.col("w.h2") == F.col("f.h2")))
-    return later.where((F.col("w.doc") != F.col("f.at.doc")) | (F.col("w.pos") != F.col("f.at.pos"))).select("w.doc", "w.pos")
+    return later.where((F.col("w.doc") != F.col("f.at.doc")) | (F.col("w.pos") != F.col("f.at.pos"))).select("w.doc", "w.body", "w.pos")
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = LINES) -> DataFrame:
@@ -42,14 +42,13 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     Lines are what `\\n` separates, kept as they are. Every line that some later occurrence of a
     window covers goes, also where the first occurrence overlaps it; windows are judged on the input.
     A null text is empty. Rows with a null key, and texts of fewer lines than a window, stay whole.
-    Rows with an equal key are one document listed again: they don't count against each other at
-    equal positions. Added columns replace input columns of their names.
+    Rows with an equal key are one document: they don't count against each other at equal positions. Added columns replace input columns of their names.
     """
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(key).alias("doc"))
-    starts = repeated_windows(docs, key, text, width).groupBy("doc").agg(F.collect_set("pos").alias("starts")).withColumnRenamed("doc", "of")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(key).alias("doc"), F.xxhash64(text).alias("own"))
+    starts = repeated_windows(docs, key, text, width).groupBy(F.col("doc").alias("of"), "body").agg(F.collect_set("pos").alias("starts"))
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (width - 1)))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("line") - 1), covered)
-    joined = rows.join(starts, F.col("doc") == F.col("of"), "left").select("row", "text", "starts", F.split("text", "\n", -1).alias("line"))
+    joined = rows.join(starts, (F.col("doc") == F.col("of")) & (F.col("own") == F.col("body")), "left").select("row", "text", "starts", F.split("text", "\n", -1).alias("line"))
     out = joined.select(
         "row",
         F.size("line").cast("long").alias("n_lines"),
