@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Words, mixed, size_in_bytes, whole_row, window_hashes, words_of
 
@@ -155,8 +156,8 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     shared = anchors.withColumn("all", F.sum("n").over(Window.partitionBy("h"))).where(F.col("all") > 1).select("chunk", "h")
     found = dealt.cogroup(shared.groupBy("chunk")).applyInArrow(_with_keys(_candidate_rows(window)), "h1 long, h2 int, chunk long, low long, high long")
     first = found.withColumn("first", F.min("low").over(Window.partitionBy("h1", "h2"))).where("first < high").select("chunk", "h1", "h2", "first")
-    kind = docs.select(*held).schema.simpleString()[len("struct<row:") : -1] if carry else ""
-    schema = (f"row {kind}" if carry else "doc long") + ", n_words long, n_removed long, kept binary"
+    named = docs.select(*held).schema["row"] if carry else T.StructField("doc", T.LongType())
+    schema = T.StructType([named, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType())])
     return dealt.cogroup(first.groupBy("chunk")).applyInArrow(_removal_rows(window), schema)
 
 
