@@ -13,12 +13,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import slices
+
 RANKS = "byte_bpe_50k.tiktoken"
 _NONE = np.iinfo(np.int64).max
 #: Encoded words that a task keeps for later texts; the memory is dropped and begun anew beyond it.
 KEPT_WORDS = 400_000
-#: Bytes of text that are encoded together, and cells of one matrix.
-BLOCK, CELLS = 4 << 20, 1 << 21
+#: Texts that are encoded together, and cells of one matrix.
+BLOCK, CELLS = 1000, 1 << 20
 #: Bytes of a word beyond which it is merged by itself, so that its rounds don't grow with its length.
 LONG = 1024
 
@@ -253,15 +255,7 @@ def _task(docs, key, text, path, pattern, made, fields):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(path, pattern)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            out, lo = [], 0
-            while lo < len(texts):
-                hi, held = lo, 0
-                while hi < len(texts) and (hi == lo or held + len(texts[hi]) <= BLOCK):
-                    held += len(texts[hi])
-                    hi += 1
-                out += [made(ids, coder.decode(ids)) for ids in coder.encode(texts[lo:hi])]
-                lo = hi
+            out = [made(ids, coder.decode(ids)) for texts in slices(b.column(1), BLOCK) for ids in coder.encode([t or "" for t in texts])]
             columns = list(zip(*out)) or [()] * len(fields)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, (_, k) in zip(columns, fields))], [key, *(n for n, _ in fields)])
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,12 @@ def size_in_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
 
 
+def slices(column: pa.Array, rows: int = 256) -> Iterator[list]:
+    """A column's values a few rows at a time, so that a batch of texts is never held twice over."""
+    for lo in range(0, len(column), rows):
+        yield column.slice(lo, rows).to_pylist()
+
+
 def mixed(h: np.ndarray, salt: int) -> np.ndarray:
     """A 64-bit finaliser over an array of hashes."""
     h = h ^ np.uint64(salt)
@@ -106,7 +114,7 @@ class Words:
         return b" ".join([d[s[i] : e[i]] for i in at])
 
 
-def words_of(texts: list[bytes], block: int = 1 << 21) -> Words:
+def words_of(texts: list[bytes], block: int = 1 << 18) -> Words:
     """Splits texts at ASCII white space and hashes every word, a block of bytes at a time."""
     data = b"\n".join(texts) + b"\n"
     buf = np.frombuffer(data, np.uint8)

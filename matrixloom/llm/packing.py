@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +14,9 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from pyspark.sql import types as T
 
-from .common import written
+from .common import slices, written
 
 #: Tokens in a sequence, the id that ends a document, and documents in a fitted pattern at most.
 LENGTH, END, DEPTH = 1024, 2, 3
@@ -28,18 +30,15 @@ def _encoder(path: str) -> tiktoken.Encoding:
     The file's own library makes an object with offsets for every text; this one gives the same ids
     over three times as fast. Vocabulary, special tokens and split pattern are read from the file.
     """
-    import json
-
     import public_tokenizers
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    own = Tokenizer.from_file(path)
     special = {x["content"]: x["id"] for x in spec["added_tokens"]}
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in visible]
     byte = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    ranks = {bytes(byte[c] for c in t): i for t, i in own.get_vocab(with_added_tokens=False).items() if t not in special}
+    ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
@@ -63,7 +62,7 @@ def pieces(docs: DataFrame, text: str = "text", path: str | None = None, length:
         task = TaskContext.get().partitionId()
         for number, b in enumerate(batches):
             source, piece, start, size, crc = [], [], [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
+            for i, t in enumerate(chain.from_iterable(slices(b.column(1)))):
                 ids = np.append(token_ids(t, path), np.uint32(end)).astype("<u4")
                 first = (len(ids) - 1) % length + 1
                 cuts = [0, *range(first, len(ids) + 1, length)]
@@ -86,8 +85,8 @@ def pieces(docs: DataFrame, text: str = "text", path: str | None = None, length:
 
     carried = docs.drop(text)
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in carried.columns]).alias("row"), F.col(text).alias("text"))
-    kind = rows.select("row").schema.simpleString()[len("struct<row:") : -1]
-    return rows.mapInArrow(run, f"row {kind}, piece int, start long, length long, ids_crc32 long, batch long, nth long")
+    kinds = {"piece": T.IntegerType()} | dict.fromkeys(["start", "length", "ids_crc32", "batch", "nth"], T.LongType())
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], *(T.StructField(n, k) for n, k in kinds.items())]))
 
 
 def patterns(lengths: np.ndarray, full: int, depth: int = DEPTH) -> np.ndarray:
@@ -228,8 +227,8 @@ def packed(docs: DataFrame, text: str = "text", path: str | None = None, length:
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     numbered = cut.join(before, ["length", "batch"]).select("row", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("number"))
-    kind = cut.select("row").schema.simpleString()[len("struct<row:") : -1]
-    return numbered.mapInArrow(place, f"row {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    kinds = {"piece": T.IntegerType()} | dict.fromkeys(["start", "length", "ids_crc32", "sequence_id", "offset"], T.LongType())
+    return numbered.mapInArrow(place, T.StructType([numbered.schema["row"], *(T.StructField(n, k) for n, k in kinds.items())]))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

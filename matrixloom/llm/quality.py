@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections import Counter
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole_row, written
+from .common import slices, whole_row, written
 
 #: Fixed values of the base rules: symbols, words in a repeat window, fewest words, most repeated words in a hundred.
 SYMBOLS, REPEAT, MIN_WORDS, MAX_REPEAT = "#*$%&|<>", 8, 20, 30
@@ -48,9 +49,10 @@ def text_counts(text: str | None) -> tuple[int, ...]:
     return len(words), chars, sum(text.count(c) for c in SYMBOLS), len(lines), len(lines) - len(set(lines)), repeated_words(words)
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
-def counted(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([text_counts(t) for t in text], columns=COUNTS)
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+def counted(text: pa.Array) -> pa.Array:
+    rows = np.array([text_counts(t) for some in slices(text) for t in some], np.int64).reshape(-1, len(COUNTS))
+    return pa.StructArray.from_arrays([pa.array(x) for x in rows.T], COUNTS)
 
 
 def measured(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -11,6 +11,8 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import slices
+
 MODEL = "piece_bpe_32k.model"
 #: Characters of text beyond which a document is encoded in chunks, of a chunk, and of the first overlap.
 HUGE, CHUNK, OVERLAP = 1 << 16, 1 << 15, 1 << 8
@@ -96,8 +98,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            n = [x for i in range(0, len(texts), 256) for x in counted(texts[i : i + 256], path, huge, chunk, overlap)]
+            n = [x for texts in slices(b.column(2)) for x in counted(texts, path, huge, chunk, overlap)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["key", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("text"))

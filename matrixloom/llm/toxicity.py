@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, written
+from .common import mixed, slices, written
 
 #: Characters of n-grams, bits of their hash, and features that the classifier keeps.
 GRAMS, HASH_BITS, FEATURES = (3, 4, 5, 6), 20, 2048
@@ -162,7 +162,8 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(b.column(1).to_pylist()))], [key, "score"])
+            scores = np.concatenate([np.empty(0), *map(model.scores, slices(b.column(1)))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores)], [key, "score"])
 
     out = docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
