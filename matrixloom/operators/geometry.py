@@ -136,6 +136,14 @@ def compared(a: DataFrame, b: DataFrame, features: int, share: float = 0.1) -> D
     )
 
 
+def shrinkage(squares: Column, trace: Column, n: Column, features: int) -> list[Column]:
+    """The oracle-approximating weight of the scaled identity, and its scale, from a covariance's squared norm and trace."""
+    p = float(features)
+    up = (1 - 2 / p) * squares + trace * trace
+    down = (n + 1 - 2 / p) * (squares - trace * trace / p)
+    return [F.round(F.least(F.lit(1.0), up / down), 6).alias("shrinkage"), F.round(trace / p, 8).alias("target")]
+
+
 def matrix(pairs: DataFrame, features: int, value: str = "r", diagonal: float = 1.0) -> np.ndarray:
     """A pair table as a symmetric array on the driver: features squared numbers."""
     out = np.full((features, features), 0.0)
