@@ -327,7 +327,7 @@ def a19(spark, d):
 @query("a20_pair_support", f"WITH {SPARSE_SQL}, {_PAIR_SP} SELECT i, j, count(*) AS n FROM b GROUP BY 1, 2")
 def a20(spark, d):
     names = F.array(*[F.lit(b) for b in BRANDS])
-    return G.correlations(sparse(spark, d), BRANDS).select(F.get(names, F.col("i")).alias("i"), F.get(names, F.col("j")).alias("j"), "n")
+    return G.correlations(sparse(spark, d), BRANDS, least=1).select(F.get(names, F.col("i")).alias("i"), F.get(names, F.col("j")).alias("j"), "n")
 
 
 @query("a22_weighted_correlation", """WITH s AS (SELECT sum(l_quantity) AS w, sum(l_quantity * l_quantity) AS w2, sum(l_quantity * l_discount) / sum(l_quantity) AS mx, sum(l_quantity * l_tax) / sum(l_quantity) AS my,

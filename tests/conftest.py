@@ -42,11 +42,10 @@ def _order(row):
 
 @pytest.fixture(scope="session")
 def same_as_sql():
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
-
-    def check(df, sql):
+    def check(df, sql, folder=SMALL):
+        con = duckdb.connect()
+        for t in TABLES:
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
         columns = sorted(df.columns)
         got = sorted((tuple(_plain(r[c]) for c in columns) for r in df.collect()), key=_order)
         result = con.execute(sql)
