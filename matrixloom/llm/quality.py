@@ -50,11 +50,15 @@ def text_counts(text: str | None) -> tuple[int, ...]:
 
 
 @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
-def counted(text: pa.Array) -> pa.Array:
+def _counts(text: pa.Array) -> pa.Array:
     rows = np.array([text_counts(t) for some in slices(text) for t in some], np.int64).reshape(-1, len(COUNTS))
     return pa.StructArray.from_arrays([pa.array(x) for x in rows.T], COUNTS)
 
 
+#: Declared so that a filter on its result isn't pushed below it, which would count every text twice.
+counted = _counts.asNondeterministic()
+
+
 def measured(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """`row` (all columns of `docs`), lang, source, `c` (the counts), base_failed, and `m` (the measures, integers)."""
     c = {x: F.col(f"c.{x}") for x in COUNTS}
