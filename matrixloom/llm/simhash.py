@@ -140,7 +140,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     linked = written(found.join(nodes, found["node"] == nodes["fp"]).select("node", "component", "least"), "simhash-linked")
     best = linked.groupBy("component").agg(F.min("least").alias("reached"))
     own = linked.join(best, "component").select("node", "reached")
-    labelled = nodes.join(own, nodes["fp"] == own["node"], "left").select(F.col("fp").alias("of"), F.coalesce("reached", "least").alias("component"))
+    # written, so that the join below has an exchange of its own on either side and a crowded fingerprint can be split
+    labelled = written(nodes.join(own, nodes["fp"] == own["node"], "left").select(F.col("fp").alias("of"), F.coalesce("reached", "least").alias("component")), "simhash-labels")
     return rows.join(labelled, rows["fp"] == labelled["of"]).select("doc", "fp", "component")
 
 
