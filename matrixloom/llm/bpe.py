@@ -13,7 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices
+from .common import lean, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 _NONE = np.iinfo(np.int64).max
@@ -234,7 +234,7 @@ def coded(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     Repeated rows and null keys stay. Words met before in a task are looked up, at most KEPT_WORDS of them.
     """
     schema, run = _task(docs, key, text, path, pattern, lambda ids, back: (ids.tobytes(), back), [("ids", pa.binary()), ("decoded", pa.binary())])
-    return docs.select(key, text).mapInArrow(run, schema)
+    return lean(docs).select(key, text).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -242,7 +242,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
     sha = lambda b: hashlib.sha256(b).hexdigest()
     fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     schema, run = _task(docs, key, text, path, pattern, lambda ids, back: (len(ids), sha(ids.tobytes()), sha(back)), fields)
-    return docs.select(key, text).mapInArrow(run, schema)
+    return lean(docs).select(key, text).mapInArrow(run, schema)
 
 
 def _task(docs, key, text, path, pattern, made, fields):

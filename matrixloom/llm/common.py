@@ -58,6 +58,12 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[df[f"`{c}`"] for c in df.columns])
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """`df`, after its session is set to pass texts to Python in batches of 4 MB at most: both sides hold a few batches of every task."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return df
+
+
 def size_in_bytes(df: DataFrame, text: str) -> int:
     """UTF-8 bytes in a text column (0 for an empty table)."""
     return df.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0

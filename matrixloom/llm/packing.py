@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, written
+from .common import lean, slices, written
 
 #: Tokens in a sequence, the id that ends a document, and documents in a fitted pattern at most.
 LENGTH, END, DEPTH = 1024, 2, 3
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, text: str = "text", path: str | None = None, length:
             )
 
     carried = docs.drop(text)
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in carried.columns]).alias("row"), F.col(text).alias("text"))
+    rows = lean(docs).select(F.struct(*[docs[f"`{c}`"] for c in carried.columns]).alias("row"), F.col(text).alias("text"))
     kinds = {"piece": T.IntegerType()} | dict.fromkeys(["start", "length", "ids_crc32", "batch", "nth"], T.LongType())
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], *(T.StructField(n, k) for n, k in kinds.items())]))
 

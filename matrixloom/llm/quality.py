@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, whole_row, written
+from .common import lean, slices, whole_row, written
 
 #: Fixed values of the base rules: symbols, words in a repeat window, fewest words, most repeated words in a hundred.
 SYMBOLS, REPEAT, MIN_WORDS, MAX_REPEAT = "#*$%&|<>", 8, 20, 30
@@ -69,7 +69,7 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang", source: st
         share("n_repeat_words", "n_words", 1000).alias("repeat_permille"),
         share("word_chars", "n_words", 100).alias("word_length_centi"),
     )
-    rows = docs.select(whole_row(docs).alias("row"), F.col(lang).alias("lang"), F.col(source).alias("source"), counted(F.col(text)).alias("c"))
+    rows = lean(docs).select(whole_row(docs).alias("row"), F.col(lang).alias("lang"), F.col(source).alias("source"), counted(F.col(text)).alias("c"))
     failed = (c["n_words"] < MIN_WORDS) | (c["n_repeat_words"] * 100 > c["n_words"] * MAX_REPEAT)
     return rows.select("*", failed.alias("base_failed"), measures.alias("m"))
 

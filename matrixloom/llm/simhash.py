@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import lean, slices, written
 from .components import connected_components
 
 BITS = 64
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
             values = [fingerprint(t, shingle, seed) if t else 0 for some in slices(b.column(1)) for t in some]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], ["doc", "fp"])
 
-    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    rows = lean(docs).select(F.col(key).alias("doc"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, fp long")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, mixed, size_in_bytes, whole_row, window_hashes, words_of
+from .common import Words, lean, mixed, size_in_bytes, whole_row, window_hashes, words_of
 
 #: Words in a window.
 WINDOW = 50
@@ -151,7 +151,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     spread = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(chunks)).alias("chunk")
     held = [whole_row(docs.drop(text)).alias("row")] if carry else []
     # a null key becomes the least one possible, under which nothing is removed; anchors leave it out
-    dealt = docs.select(spread, F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(text).alias("text"), *held).groupBy("chunk")
+    dealt = lean(docs).select(spread, F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(text).alias("text"), *held).groupBy("chunk")
     anchors = dealt.applyInArrow(_with_keys(_anchor_rows(window)), "h long, chunk long, n int")
     shared = anchors.withColumn("all", F.sum("n").over(Window.partitionBy("h"))).where(F.col("all") > 1).select("chunk", "h")
     found = dealt.cogroup(shared.groupBy("chunk")).applyInArrow(_with_keys(_candidate_rows(window)), "h1 long, h2 int, chunk long, low long, high long")

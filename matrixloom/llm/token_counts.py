@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 MODEL = "piece_bpe_32k.model"
 #: Characters of text beyond which a document is encoded in chunks, of a chunk, and of the first overlap.
@@ -101,7 +101,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
             n = [x for texts in slices(b.column(2)) for x in counted(texts, path, huge, chunk, overlap)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["key", "n_bytes", "n_tokens"])
 
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("text"))
+    rows = lean(docs).select(F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("text"))
     out = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, n_bytes long, n_tokens long")
     return out.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, slices, written
+from .common import lean, mixed, slices, written
 
 #: Characters of n-grams, bits of their hash, and features that the classifier keeps.
 GRAMS, HASH_BITS, FEATURES = (3, 4, 5, 6), 20, 2048
@@ -103,7 +103,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
     Rows with a null label are left out, null texts count as empty. With no labelled rows every score is 0.5.
     The driver gets the chosen features and the sampled rows' hits on them, both bounded by the parameters.
     """
-    used = labelled.dropna(subset=[label]).select(F.col(text).alias("text"), F.col(label).cast("int").alias("toxic"), F.xxhash64(key).alias("h"))
+    used = lean(labelled).dropna(subset=[label]).select(F.col(text).alias("text"), F.col(label).cast("int").alias("toxic"), F.xxhash64(key).alias("h"))
     kept = written(used.orderBy("h").limit(sample).select("text", "toxic"), "toxicity-sample")
     size = {r["toxic"]: r["count"] for r in kept.groupBy("toxic").count().collect()}
     rows = _chosen(_counts(kept), size.get(1, 0), size.get(0, 0))
@@ -165,7 +165,7 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
             scores = np.concatenate([np.empty(0), *map(model.scores, slices(b.column(1)))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores)], [key, "score"])
 
-    out = docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
+    out = lean(docs).select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
