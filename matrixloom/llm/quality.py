@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +17,14 @@ from .common import lean, slices, whole_row, written
 SYMBOLS, REPEAT, MIN_WORDS, MAX_REPEAT = "#*$%&|<>", 8, 20, 30
 _SPACE = " \t\n\v\f\r"
 #: Each measure, the least spread that its fence assumes, and whether it is fenced below too.
-MEASURES = {"symbol_permille": (10, False), "dup_line_permille": (75, False), "repeat_permille": (50, False), "word_length_centi": (25, True)}
+MEASURES = {"symbol_permille": (10, False), "dup_line_permille": (75, False), "repeat_permille": (50, False), "echo_permille": (25, False), "word_length_centi": (25, True)}
 #: A fence lies this many spreads (median less lower quartile) from the median.
 REACH = 6
 #: Documents that a group needs to have thresholds of its own; smaller ones take their language's, then all documents'.
 MIN_GROUP = 50
 #: Leading bits that a sketch keeps of a value: bucket edges are within 1/32 below the values.
 PRECISION = 6
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_echo_words"]
 
 
 def repeated_words(words: list[bytes], width: int = REPEAT) -> int:
@@ -40,13 +41,13 @@ def repeated_words(words: list[bytes], width: int = REPEAT) -> int:
 
 
 def text_counts(text: str | None) -> tuple[int, ...]:
-    """The COUNTS of a text; all 0 for a null one. Lines count if they hold a word."""
+    """The COUNTS of a text; all 0 for a null one. Lines count if they hold a word; an echo equals the word before it."""
     if not text:
         return (0,) * len(COUNTS)
     words = text.encode("utf-8", "surrogatepass").split()
     lines = [x for x in text.split("\n") if x.strip(_SPACE)]
     chars = len(text) - sum(text.count(c) for c in _SPACE)
-    return len(words), chars, sum(text.count(c) for c in SYMBOLS), len(lines), len(lines) - len(set(lines)), repeated_words(words)
+    return len(words), chars, sum(text.count(c) for c in SYMBOLS), len(lines), len(lines) - len(set(lines)), repeated_words(words), sum(map(eq, words, words[1:]))
 
 
 @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
@@ -67,6 +68,7 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang", source: st
         share("n_symbols", "word_chars", 1000).alias("symbol_permille"),
         share("n_dup_lines", "n_lines", 1000).alias("dup_line_permille"),
         share("n_repeat_words", "n_words", 1000).alias("repeat_permille"),
+        share("n_echo_words", "n_words", 1000).alias("echo_permille"),
         share("word_chars", "n_words", 100).alias("word_length_centi"),
     )
     rows = lean(docs).select(whole_row(docs).alias("row"), F.col(lang).alias("lang"), F.col(source).alias("source"), counted(F.col(text)).alias("c"))
@@ -165,24 +167,25 @@ word AS (
          generate_subscripts(regexp_extract_all(coalesce(text, ''), {word}), 1) AS pos FROM doc),
 eight AS (
   SELECT k, pos, lead(pos, 7) OVER w IS NOT NULL AS whole,
+         coalesce(word = lag(word) OVER w, false) AS echo,
          string_agg(word, ' ') OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS g
   FROM word WINDOW w AS (PARTITION BY k ORDER BY pos)),
-twice AS (SELECT k, pos, whole AND count(*) FILTER (WHERE whole) OVER (PARTITION BY k, g) > 1 AS twice FROM eight),
+twice AS (SELECT k, pos, echo, whole AND count(*) FILTER (WHERE whole) OVER (PARTITION BY k, g) > 1 AS twice FROM eight),
 repeats AS (
-  SELECT k, count(*) FILTER (WHERE hit) AS n_repeat_words
-  FROM (SELECT k, bool_or(twice) OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS hit FROM twice) GROUP BY k),
+  SELECT k, count(*) FILTER (WHERE hit) AS n_repeat_words, count(*) FILTER (WHERE echo) AS n_echo_words
+  FROM (SELECT k, echo, bool_or(twice) OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS hit FROM twice) GROUP BY k),
 line AS (SELECT k, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM doc),
 lines AS (SELECT k, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM line WHERE regexp_matches(line, {word}) GROUP BY k),
 counted AS (
   SELECT d.*, len(regexp_extract_all(coalesce(text, ''), {word})) AS n_words,
          length(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
          length(coalesce(text, '')) - length(translate(coalesce(text, ''), '{SYMBOLS}', '')) AS n_symbols,
-         coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+         coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_echo_words, 0) AS n_echo_words
   FROM doc d LEFT JOIN repeats USING (k) LEFT JOIN lines USING (k)),
 measured AS (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed,
          n_symbols * 1000 // greatest(word_chars, 1) AS symbol_permille, n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_line_permille,
-         n_repeat_words * 1000 // greatest(n_words, 1) AS repeat_permille, word_chars * 100 // greatest(n_words, 1) AS word_length_centi
+         n_repeat_words * 1000 // greatest(n_words, 1) AS repeat_permille, n_echo_words * 1000 // greatest(n_words, 1) AS echo_permille, word_chars * 100 // greatest(n_words, 1) AS word_length_centi
   FROM counted),
 edge AS ({edges}),
 {level("by_source", "lang, source,")}, {level("by_lang", "lang,")}, {level("overall", "")},

@@ -18,10 +18,11 @@ def test_repeated_words_equal_a_plain_count(prose):
 
 
 def test_counts_of_odd_texts():
-    assert quality.text_counts(None) == (0,) * 6
-    assert quality.text_counts("") == (0,) * 6
-    assert quality.text_counts("a|é\na|é\n \n \n#") == (3, 7, 3, 3, 1, 0)
-    assert quality.text_counts("a b\x1cc\x85d\xa0e") == (2, 8, 0, 1, 0, 0)
+    assert quality.text_counts(None) == (0,) * 7
+    assert quality.text_counts("") == (0,) * 7
+    assert quality.text_counts("a|é\na|é\n \n \n#") == (3, 7, 3, 3, 1, 0, 1)
+    assert quality.text_counts("a a b b b")[-1] == 3
+    assert quality.text_counts("a b\x1cc\x85d\xa0e") == (2, 8, 0, 1, 0, 0, 0)
 
 
 def test_buckets_keep_leading_bits(spark):
