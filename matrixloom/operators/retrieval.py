@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import average_rank
-
 
 def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
-    """Area under the ROC curve from average ranks; a higher score means positive. Null with one label only."""
+    """Area under the ROC curve, ties half; a higher score means positive. Null with one label only.
+
+    Summed over distinct scores: positives times the negatives above them are what is lost.
+    """
     by = by or []
-    ranked = df.select(*by, F.col(label).alias("y"), average_rank(by, score).alias("r"))
-    p, n = F.sum("y"), F.count(F.lit(1))
-    return ranked.groupBy(*by).agg(F.when((p > 0) & (p < n), (F.sum(F.col("r") * F.col("y")) - p * (p + 1) / 2) / (p * (n - p))).alias("auc"))
+    p, n = F.sum("p"), F.sum(F.col("c") - F.col("p"))
+    lost = F.sum(F.col("p") * ((F.col("all") - F.col("tp")) - (F.col("c") - F.col("p")) / 2))
+    return score_steps(df, label, score, by).groupBy(*by).agg(F.when((p > 0) & (n > 0), 1 - lost / (p * n)).alias("auc"))
 
 
 def score_steps(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
