@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from .common import lean, slices, written
 
@@ -42,9 +43,21 @@ def _encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(2)
+def _library(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
 def token_ids(text: str | None, path: str) -> np.ndarray:
-    """Ids of a text as the tokenizer file's library gives them by default: special strings inside texts are one id."""
-    return np.asarray(_encoder(path).encode_to_numpy(text or "", allowed_special="all"), np.uint32)
+    """Ids of a text as the tokenizer file's library gives them by default: special strings inside texts are one id.
+
+    Texts whose runs of white space are too long for the encoder's pattern go to that library itself.
+    """
+    try:
+        ids = _encoder(path).encode_to_numpy(text or "", allowed_special="all")
+    except ValueError:
+        ids = _library(path).encode(text, add_special_tokens=False).ids
+    return np.asarray(ids, np.uint32)
 
 
 def pieces(docs: DataFrame, text: str = "text", path: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:

@@ -16,7 +16,7 @@ def tokenizer():
 
 
 def test_ids_equal_the_file_s_own_library(tokenizer, prose):
-    for t in [*ODD, *prose]:
+    for t in [*ODD, *prose, " " * 600_000 + "a", "x" * 20_000]:
         assert packing.token_ids(t, public_tokenizers.path(packing.VOCABULARY)).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
