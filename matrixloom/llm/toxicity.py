@@ -98,13 +98,15 @@ def _chosen(counts: DataFrame, toxic: int, clean: int) -> list:
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample: int = SAMPLE, rounds: int = 400, ridge: float = 1e-3) -> Model:
-    """Fits the classifier on labelled rows: at most `sample` of them, those of least hash of the key.
+    """Fits the classifier on labelled rows: `sample` of them at most, those of least hash of the key (rows that share the last key come together).
 
     Rows with a null label are left out, null texts count as empty. With no labelled rows every score is 0.5.
     The driver gets the chosen features and the sampled rows' hits on them, both bounded by the parameters.
     """
     used = lean(labelled).dropna(subset=[label]).select(F.col(text).alias("text"), F.col(label).cast("int").alias("toxic"), F.xxhash64(key).alias("h"))
-    kept = written(used.orderBy("h").limit(sample).select("text", "toxic"), "toxicity-sample")
+    # hashes alone find the bound, so that no task gathers texts
+    bound = used.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    kept = written(used.where(F.col("h") <= F.lit(bound)).select("text", "toxic"), "toxicity-sample")
     size = {r["toxic"]: r["count"] for r in kept.groupBy("toxic").count().collect()}
     rows = _chosen(_counts(kept), size.get(1, 0), size.get(0, 0))
     feature = np.full(1 << HASH_BITS, -1, np.int32)
