@@ -8,9 +8,14 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .geometry import _MOMENTS, correlation, pair_moments, rows_of
+
+#: Rows of independently dealt columns that are shuffled together, and rows that trade together.
+BLOCK = 1024
+
 
 def replicates(spark: SparkSession, count: int, draw: Callable[[int], dict[str, float]], columns: list[str]) -> DataFrame:
     """(replicate, columns): `draw(r)` for r below count, spread over tasks; results don't depend on how they are dealt.
@@ -124,6 +129,237 @@ def null_ratios(spark: SparkSession, sample: np.ndarray, count: int, seed: int,
     return replicates(spark, count + 1, draw, ["pr", "top"])
 
 
+def keyed(rows: DataFrame, seed: int) -> DataFrame:
+    """(key, x): rows under a hash of seed and entity, from which every draw of the row follows."""
+    return rows.select(F.xxhash64(F.lit(seed), "entity").alias("key"), "x")
+
+
+def hashed(key: np.ndarray, replicate: int, width: int) -> np.ndarray:
+    """`width` numbers in (0, 1) for each 64-bit key, which key and replicate determine (the mixer of splitmix64)."""
+    step = np.uint64(0x9E3779B97F4A7C15)
+
+    def mixed(z: np.ndarray) -> np.ndarray:
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+    at = mixed(np.asarray(key, np.int64).view(np.uint64) + np.array([replicate + 1], np.uint64) * step)
+    z = mixed(at[:, None] + np.arange(1, width + 1, dtype=np.uint64) * step)
+    return ((z >> np.uint64(12)).astype(float) + 0.5) / float(1 << 52)
+
+
+def _normal(key: np.ndarray, replicate: int, width: int) -> np.ndarray:
+    u = hashed(key, replicate, 2 * width)
+    return np.sqrt(-2 * np.log(u[:, :width])) * np.cos(2 * np.pi * u[:, width:])
+
+
+def poisson_weights(key: np.ndarray, replicate: int) -> np.ndarray:
+    """How often each row is drawn: Poisson counts of mean one, the limit of draws with replacement, without a pass for their total."""
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+    return np.searchsorted(steps, hashed(key, replicate, 1)[:, 0]).astype(float)
+
+
+def _products(x: np.ndarray, w: np.ndarray | None) -> np.ndarray:
+    """The six moments of all pairs of columns; without missing values one matrix product gives them."""
+    w = np.ones(len(x)) if w is None else w
+    seen = ~np.isnan(x)
+    if seen.all():
+        one, n = np.ones(x.shape[1]), w.sum()
+        s, q = w @ x, w @ (x * x)
+        return np.stack([n * np.outer(one, one), np.outer(s, one), np.outer(one, s), np.outer(q, one), np.outer(one, q), (w[:, None] * x).T @ x])
+    x, m = np.where(seen, x, 0.0), seen.astype(float)
+    wm, wx = w[:, None] * m, w[:, None] * x
+    return np.stack([wm.T @ m, wx.T @ m, wm.T @ x, (wx * x).T @ m, wm.T @ (x * x), wx.T @ x])
+
+
+def _whole(batches: Iterator[pd.DataFrame], block: str | None) -> Iterator[pd.DataFrame]:
+    """Batches as they come, or one frame for each block of rows that follow each other."""
+    held = None
+    for b in batches:
+        if not block:
+            yield b
+            continue
+        held = b if held is None else pd.concat([held, b])
+        parts = [part for _, part in held.groupby(block, sort=False)]
+        yield from parts[:-1]
+        held = parts[-1] if parts else None
+    if held is not None:
+        yield held
+
+
+def drawn_moments(rows: DataFrame, features: int, replicates: list[int], draw: Callable, block: str | None = None) -> DataFrame:
+    """(replicate, i, j, moments): pair moments of every replicate over all rows, in one pass.
+
+    `draw(r, key, x)` gives a batch's values and weights (or None) in replicate r. With `block` a call gets
+    a whole block, and `key` is the block; the rows must lie together. A task emits one table a
+    replicate, so small partitions are read together, two tasks a core.
+    """
+    upper = np.triu_indices(features, 1)
+    key = block or "key"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for b in _whole(batches, block):
+            if len(b):
+                x = np.array([np.asarray(r, float) for r in b["x"]]).reshape(len(b), features)
+                k = b[key].to_numpy()
+                for r in replicates:
+                    held[r] = held.get(r, 0) + _products(*draw(r, k, x))
+        for r, one in held.items():
+            yield pd.DataFrame({"replicate": r, "i": upper[0], "j": upper[1]} | {c: one[k][upper] for k, c in enumerate(_MOMENTS)})
+
+    schema = "replicate long, i int, j int, " + ", ".join(f"{c} double" for c in _MOMENTS)
+    few = rows.select(key, "x").coalesce(2 * max(1, rows.sparkSession.sparkContext.defaultParallelism))
+    return few.mapInPandas(run, schema).groupBy("replicate", "i", "j").agg(*[F.sum(c).alias(c) for c in _MOMENTS])
+
+
+def _row_centred(x: np.ndarray) -> np.ndarray:
+    return x - np.nanmean(x, axis=1, keepdims=True)
+
+
+def dealt_columns(rows: DataFrame, features: int, seed: int, block: int = BLOCK) -> DataFrame:
+    """(block, x): every column dealt anew over all rows, by the order of its own hashes; rows of a block lie together.
+
+    Cells are numbered within buckets of their hash, with the buckets before them added, so that no task numbers a column.
+    """
+    k = rows.select(F.xxhash64(F.lit(seed), "entity").alias("key"), F.posexplode("x").alias("feature", "value"))
+    k = k.withColumn("h", F.xxhash64(F.lit(seed + 1), "feature", "key")).withColumn("b", F.pmod("h", F.lit(256)))
+    n = k.groupBy("feature", "b").agg(F.count(F.lit(1)).alias("n"))
+    before = n.select("feature", "b", (F.sum("n").over(Window.partitionBy("feature").orderBy("b")) - F.col("n")).alias("before"))
+    at = F.row_number().over(Window.partitionBy("feature", "b").orderBy("h", "key")) - 1
+    placed = k.withColumn("at", at).join(F.broadcast(before), ["feature", "b"]).select((F.col("at") + F.col("before")).alias("entity"), "feature", "value")
+    dealt = rows_of(placed, list(range(features))).withColumn("block", F.floor(F.col("entity") / block))
+    return dealt.repartition("block").sortWithinPartitions("block", "entity").select("block", "x")
+
+
+def null_moments(rows: DataFrame, features: int, count: int, seed: int, kind: str, block: int = BLOCK) -> DataFrame:
+    """(replicate, i, j, moments) of row-centred rows, all of them; replicate 0 is the observed matrix.
+
+    kind: `columns` shuffles each column (dealt over all rows once, then shuffled within blocks in every
+    replicate), `gaussian` has normal noise of each two-way residual's sd, `rows` keeps each residual row's
+    norm in a random zero-sum direction. Additive parts drop out: row parts by centring, column parts in the moments.
+    """
+    k, later = keyed(rows, seed), list(range(1, count + 1))
+    seen = drawn_moments(k, features, [0], lambda r, key, x: (_row_centred(x), None))
+    if kind == "columns":
+
+        def shuffle(r: int, b: np.ndarray, x: np.ndarray) -> tuple:
+            return _row_centred(np.random.default_rng([seed, r, int(b[0])]).permuted(x, axis=0)), None
+
+        return seen.union(drawn_moments(dealt_columns(rows, features, seed, block), features, later, shuffle, "block"))
+    own = {}
+    for r in seen.where("i = 0").select("i", "j", "n", "sx", "sy", "sxx", "syy").collect():
+        own |= {r["i"]: (r["n"], r["sx"], r["sxx"]), r["j"]: (r["n"], r["sy"], r["syy"])}
+    n, s, q = (np.array([own[f][c] if f in own else np.nan for f in range(features)]) for c in range(3))
+    mean, sd = s / n, np.sqrt(np.clip(q - s * s / n, 0, None) / (n - 1))
+
+    def noise(r: int, key: np.ndarray, x: np.ndarray) -> tuple:
+        d = _normal(key, r, features)
+        if kind == "gaussian":
+            return _row_centred(d * sd), None
+        d = _row_centred(d)
+        size = np.linalg.norm(_row_centred(x) - mean, axis=1, keepdims=True)
+        return d / np.linalg.norm(d, axis=1, keepdims=True) * size, None
+
+    return seen.union(drawn_moments(k, features, later, noise))
+
+
+def spectra(moments: DataFrame, features: int) -> DataFrame:
+    """(replicate, w): eigenvalues of each replicate's correlation matrix, largest first; a pair without spread counts as 0.
+
+    They pass through the driver, so that no use of them reads the rows again.
+    """
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        c = np.eye(features)
+        i, j = part["i"].to_numpy(), part["j"].to_numpy()
+        c[i, j] = c[j, i] = part["r"].fillna(0.0).to_numpy()
+        return pd.DataFrame({"replicate": part["replicate"].iloc[:1], "w": [np.clip(np.linalg.eigvalsh(c)[::-1], 0, None).tolist()]})
+
+    schema = "replicate long, w array<double>"
+    found = moments.select("replicate", "i", "j", correlation().alias("r")).groupBy("replicate").applyInPandas(run, schema)
+    return moments.sparkSession.createDataFrame(found.collect(), schema)
+
+
+def row_bootstrap(rows: DataFrame, features: int, count: int, seed: int, tries: int = 50) -> DataFrame:
+    """(replicate, pr): participation ratio of all rows under drawn counts; a draw with a constant column is drawn again.
+
+    Only pair tables' sums, one number a replicate, come to the driver between draws.
+    """
+    k, p = keyed(rows, seed), float(features)
+    left, done = list(range(count)), []
+    for attempt in range(tries):
+        if not left:
+            break
+        m = drawn_moments(k, features, [attempt * count + r for r in left], lambda r, key, x: (x, poisson_weights(key, r)))
+        r = m.select("replicate", correlation().alias("r")).groupBy("replicate")
+        held = r.agg(F.sum(F.col("r") * F.col("r")).alias("q"), F.count_if(F.col("r").isNull()).alias("missing")).collect()
+        done += [(x["replicate"] % count, p * p / (p + 2 * x["q"])) for x in held if not x["missing"]]
+        left = sorted(set(range(count)) - {r for r, _ in done})
+    return rows.sparkSession.createDataFrame(done, "replicate long, pr double")
+
+
+def supports(rows: DataFrame, sizes: list[int], count: int, seed: int) -> DataFrame:
+    """(replicate, size, x): in replicate r the sizes[r % len(sizes)] rows of least hash among all rows, in one pass.
+
+    A task keeps only as many rows a replicate as its size, so few rows are ranked.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, pd.DataFrame] = {}
+        for b in batches:
+            for r in range(count):
+                size = sizes[r % len(sizes)]
+                h = hashed(b["key"].to_numpy(), r, 1)[:, 0]
+                near = np.argsort(h, kind="stable")[:size]
+                part = pd.DataFrame({"replicate": r, "size": size, "h": h[near], "key": b["key"].to_numpy()[near], "x": b["x"].to_numpy()[near]})
+                held[r] = (pd.concat([held[r], part]) if r in held else part).nsmallest(size, "h")
+        yield from held.values()
+
+    near = keyed(rows, seed).mapInPandas(run, "replicate long, size long, h double, key long, x array<double>")
+    place = F.row_number().over(Window.partitionBy("replicate").orderBy("h", "key"))
+    return near.withColumn("place", place).where("place <= size").select("replicate", "size", "x")
+
+
+def _traded(m: np.ndarray, rng: np.random.Generator, passes: int) -> np.ndarray:
+    """Rows in random pairs trade what they don't share, each row once a pass; an odd row waits."""
+    m = m.copy()
+    for _ in range(passes):
+        order = rng.permutation(len(m))
+        a, b = order[: len(m) // 2], order[len(m) // 2 : len(m) // 2 * 2]
+        differ = m[a] ^ m[b]
+        place = np.where(differ, rng.random(differ.shape), 2.0).argsort(1).argsort(1)
+        take = differ & (place < (m[a] & differ).sum(1)[:, None])
+        both = m[a] & m[b]
+        m[a], m[b] = both | take, both | (differ & ~take)
+    return m
+
+
+def traded(rows: DataFrame, features: int, count: int, seed: int, rounds: int = 3, passes: int = 4, block: int = BLOCK) -> DataFrame:
+    """(replicate, x): random incidences (0 or 1) with the margins of all rows of `rows` (null is absent), for replicates 1 to count.
+
+    In each round rows are dealt by hash to blocks, and trade within these; trades keep both margins, so blocks do.
+    """
+    blocks = max(1, -(-rows.count() // block))
+    now = rows.select("entity", F.transform("x", lambda v: (v.isNotNull() & ~F.isnan(v)).cast("double")).alias("x"))
+    now = now.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(count)).cast("array<bigint>")))
+    kind = rows.schema["entity"].dataType.simpleString()
+
+    def trade(t: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values("entity")
+            m = np.array([np.asarray(v) for v in part["x"]]).reshape(len(part), features) > 0
+            rng = np.random.default_rng([seed, int(part["replicate"].iloc[0]), t, int(part["b"].iloc[0])])
+            return part[["entity", "replicate"]].assign(x=list(_traded(m, rng, passes).astype(float)))
+
+        return run
+
+    for t in range(rounds):
+        dealt = now.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), F.lit(t), "replicate", "entity"), F.lit(blocks)))
+        now = dealt.groupBy("replicate", "b").applyInPandas(trade(t), f"entity {kind}, replicate long, x array<double>")
+    return now.select("replicate", "x")
+
+
 def swapped(incidence: np.ndarray, seed: int, trades: int) -> np.ndarray:
     """A random incidence with the same margins: rows trade what they don't share, one pair at a time."""
     rng, m = np.random.default_rng(seed), incidence.astype(bool).copy()
@@ -204,8 +440,6 @@ def lightest_blocks(sizes: DataFrame, group: str, size: str, blocks: int) -> Dat
 
     Groups of one size are dealt round the blocks, so the greedy step runs on distinct sizes; group rows stay in Spark.
     """
-    from pyspark.sql import Window
-
     n = sizes.groupBy(size).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc(size)).collect()
     load = [0] * blocks
     starts = {}
@@ -222,8 +456,6 @@ def lightest_blocks(sizes: DataFrame, group: str, size: str, blocks: int) -> Dat
 
 def disjoint_supports(df: DataFrame, key: str, seed: int, size: int, supports: int) -> DataFrame:
     """(key, support): the first size * supports rows in hash order, dealt round the supports."""
-    from pyspark.sql import Window
-
     first = df.select(key).distinct().withColumn("_h", hash_order(F.col(key), seed)).orderBy("_h", key).limit(size * supports)
     return first.withColumn("_k", F.row_number().over(Window.orderBy("_h", key)) - 1).select(key, (F.col("_k") % supports).cast("int").alias("support"))
 

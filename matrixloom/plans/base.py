@@ -35,6 +35,11 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.vector_cells(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
+def dense_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same matrix as `dense`, one row for each embedding: entity, x."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entity"), F.col("embedding").cast("array<double>").alias("x"))
+
+
 def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of suppliers by brands: value and measured (log of the mean price), score (mean discount)."""
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_extendedprice", "l_discount")

@@ -14,8 +14,8 @@ from ..operators import resample as B
 from ..operators import retrieval as T
 from ..operators import surfaces as M
 from ..sources.tables import table
-from .base import BRANDS, DENSE, PRICED_SQL, SPARSE_SQL, dense, priced, query, rank_sql, sparse
-from .inference import _bounded, _two
+from .base import BRANDS, DENSE, PRICED_SQL, SPARSE_SQL, dense, dense_rows, priced, query, rank_sql, sparse
+from .inference import _two
 from .matrices import _pairs, _rounded
 
 _ONE = "SELECT a.{g} AS {g}, a.feature AS i, b.feature AS j, corr(a.value, b.value) AS r FROM {t} a JOIN {t} b ON a.entity = b.entity AND a.feature < b.feature GROUP BY 1, 2, 3"
@@ -119,17 +119,8 @@ def n10(spark, d):
 @query("n14_parallel_analysis")
 def n14(spark, d):
     """Observed eigenvalues beside the 95 percent point of the same rank under shuffled columns."""
-    x = _bounded(dense(spark, d), DENSE)
-    ranks = [f"e{k}" for k in range(10)]
-
-    def values(y):
-        y = y - y.mean(1, keepdims=True) - y.mean(0) + y.mean()
-        return np.linalg.eigvalsh(np.corrcoef(y, rowvar=False))[::-1][:10]
-
-    def draw(r):
-        return dict(zip(ranks, map(float, values(x if r == 0 else np.random.default_rng([26, r]).permuted(x, axis=0)))))
-
-    long = B.replicates(spark, 41, draw, ranks).unpivot(["replicate"], ranks, "rank", "value")
+    w = B.spectra(B.null_moments(dense_rows(spark, d), 64, 40, 26, "columns"), 64)
+    long = w.select("replicate", F.posexplode(F.slice("w", 1, 10)).alias("k", "value")).withColumn("rank", F.concat(F.lit("e"), F.col("k").cast("string")))
     q = F.percentile(F.when(F.col("replicate") > 0, F.col("value")), 0.95)
     out = long.groupBy("rank").agg(F.max(F.when(F.col("replicate") == 0, F.col("value"))).alias("observed"), q.alias("envelope"))
     return out.withColumn("kept", (F.col("observed") > F.col("envelope")).cast("int"))
@@ -157,17 +148,7 @@ def n20(spark, d):
 @query("b01_row_bootstrap")
 def b01(spark, d):
     """Participation ratio of resampled rows; a draw with a constant column is drawn again."""
-    x = _bounded(dense(spark, d), DENSE)
-
-    def draw(r):
-        rng = np.random.default_rng([29, r])
-        for _ in range(50):
-            y = x[rng.integers(0, len(x), len(x))]
-            if (y.std(0) > 1e-12).all():
-                break
-        return {"pr": float(64**2 / (np.corrcoef(y, rowvar=False) ** 2).sum())}
-
-    return B.interval(B.replicates(spark, 50, draw, ["pr"]), "pr")
+    return B.interval(B.row_bootstrap(dense_rows(spark, d), 64, 50, 29), "pr")
 
 
 @query("b04_moment_bootstrap")

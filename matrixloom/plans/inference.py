@@ -21,19 +21,13 @@ from ..operators import retrieval as T
 from ..operators import surfaces as M
 from ..sources import files
 from ..sources.tables import table
-from .base import BRANDS, DENSE, DENSE_SQL, PRICED_SQL, SPARSE_SQL, dense, priced, query, rank_sql, sparse
+from .base import BRANDS, DENSE, DENSE_SQL, PRICED_SQL, SPARSE_SQL, dense, dense_rows, priced, query, rank_sql, sparse
 from .matrices import _labelled, _pairs, _rounded
 from .preparation import edges
 
 _EDGES = f"{PRICED_SQL}, e AS (SELECT i, j, round(r, 6) AS r FROM ({_pairs('priced')}))"
 
 
-def _bounded(cells, features, rows=2000):
-    """The first rows of a matrix by entity on the driver: a sample whose bound is a parameter."""
-    x = G.rows_of(cells, features).orderBy("entity").limit(rows).select("x").collect()
-    return np.array([r["x"] for r in x], float)
-
-
 @query("s15_file_digests")
 def s15(spark, d):
     return files.digests(spark, f"{d}/nation.parquet").select("length", "sha256")
@@ -275,17 +269,14 @@ def g13(spark, d):
 
 @query("g14_recovery_curve")
 def g14(spark, d):
-    x = _bounded(dense(spark, d), DENSE)
-    full = np.corrcoef(x, rowvar=False)[np.triu_indices(64, 1)]
-    sizes = [s for s in (25, 50, 100) if s <= len(x)]
-
-    def draw(r):
-        rng = np.random.default_rng([7, r])
-        s = sizes[r % len(sizes)]
-        part = np.corrcoef(x[rng.choice(len(x), s, replace=False)], rowvar=False)[np.triu_indices(64, 1)]
-        return {"size": float(s), "rho": float(np.corrcoef(B.ranked(full), B.ranked(part))[0, 1])}
-
-    return B.interval(B.replicates(spark, 30, draw, ["size", "rho"]), "rho", ["size"])
+    """Rank correlation of the map over all rows with that of small random supports of them."""
+    x = dense_rows(spark, d)
+    n = x.count()
+    sizes = [s for s in (25, 50, 100) if s <= n]
+    full = G.pair_moments(x, 64).select("i", "j", G.correlation().alias("u"))
+    part = G.pair_moments(B.supports(x, sizes, 30, 7), 64, ["replicate", "size"]).select("replicate", "size", "i", "j", G.correlation().alias("v"))
+    rho = G.spearman(part.join(F.broadcast(full), ["i", "j"]), "u", "v", ["replicate", "size"])
+    return B.interval(rho.withColumn("size", F.col("size").cast("double")), "rho", ["size"])
 
 
 @query("g16_split_halves")
@@ -407,21 +398,18 @@ for _kind in ("columns", "gaussian", "rows"):
 
     @query(f"n11_null_{_kind}")
     def n11(spark, d, kind=_kind):
-        draws = B.null_ratios(spark, _bounded(dense(spark, d), DENSE), 30, 17, kind)
+        w = B.spectra(B.null_moments(dense_rows(spark, d), 64, 30, 17, kind), 64)
+        total = lambda f: F.aggregate("w", F.lit(0.0), lambda t, v: t + f(v))
+        draws = w.select("replicate", (total(lambda v: v) ** 2 / total(lambda v: v * v)).alias("pr"), F.get("w", F.lit(0)).alias("top"))
         return B.tail(draws, "pr").join(B.interval(draws.where("replicate > 0"), "top"))
 
 
 @query("n15_swapped_margins")
 def n15(spark, d):
-    x = _bounded(sparse(spark, d), BRANDS)
-    m = ~np.isnan(x)
-    seen = float((m.T.astype(int) @ m)[np.triu_indices(len(BRANDS), 1)].std())
-
-    def draw(r):
-        s = m if r == 0 else B.swapped(m, 1000 + r, 5 * len(m))
-        return {"spread": float((s.T.astype(int) @ s)[np.triu_indices(len(BRANDS), 1)].std())}
-
-    return B.tail(B.replicates(spark, 21, draw, ["spread"]), "spread", seen)
+    x = G.rows_of(sparse(spark, d), BRANDS)
+    seen = G.pair_moments(x, len(BRANDS)).agg(F.stddev_pop("n")).first()[0]
+    m = G.pair_moments(B.traded(x, len(BRANDS), 20, 1000), len(BRANDS), ["replicate"])
+    return B.tail(m.groupBy("replicate").agg(F.stddev_pop("sxy").alias("spread")), "spread", seen)
 
 
 @query("n21_tail_p", f"WITH {_EDGES} SELECT (1 + count(*) FILTER (WHERE r >= 0.1)) / (count(*) + 1) AS p_upper, (1 + count(*) FILTER (WHERE r <= 0.1)) / (count(*) + 1) AS p_lower FROM e")
