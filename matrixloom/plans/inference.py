@@ -46,7 +46,7 @@ def k06(spark, d):
 
 @query("p10_normal_names")
 def p10(spark, d):
-    return table(spark, d, "benchmark").select("item_id", nfkc_name(F.substring("text", 1, 60)).alias("name"))
+    return table(spark, d, "benchmark").select("item_id", nfkc_name("text").alias("name"))
 
 
 @query("p13_renamed", "SELECT n_nationkey AS key, n_name AS name FROM nation")

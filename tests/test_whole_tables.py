@@ -85,3 +85,10 @@ def test_hashed_draws_are_even():
     assert max(abs(np.corrcoef(u[:, 0], c)[0, 1]) for c in (u[:, 1], v[:, 0], v[:, 1])) < 0.03
     w = B.poisson_weights(key, 1)
     assert abs(w.mean() - 1) < 0.03 and abs(w.var() - 1) < 0.05
+
+
+def test_p10_normalises_whole_texts(spark, tmp_path):
+    texts = ["Ａ-b " * 40 + "END_ß", "short", None]
+    pd.DataFrame({"item_id": [0, 1, 2], "text": texts}).to_parquet(tmp_path / "benchmark.parquet")
+    got = {r["item_id"]: r["name"] for r in QUERIES["p10_normal_names"](spark, str(tmp_path)).collect()}
+    assert got == {0: "a b " * 40 + "end ss", 1: "short", 2: None}
