@@ -72,3 +72,29 @@ def set_counts(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     each = one.union(two).groupBy(key).agg(F.max("a").alias("a"), F.max("b").alias("b"))
     both = F.sum(F.col("a") * F.col("b"))
     return each.agg(both.alias("shared"), F.count(F.lit(1)).alias("either"), (F.sum("a") - both).alias("only_a"), (F.sum("b") - both).alias("only_b"), (both / F.count(F.lit(1))).alias("jaccard"))
+
+
+def shared_counts(members: DataFrame, owner: str, item: str, crowd: int = 256) -> DataFrame:
+    """(one, other, n): in how many items each pair of owners meets, from distinct rows; pairs that never meet are left out.
+
+    An item of over `crowd` owners is split: each of its owners meets every slice, a slice holds about `crowd` owners.
+    """
+    size = members.groupBy(item).agg(F.ceil(F.count(F.lit(1)) / crowd).cast("int").alias("_slices"))
+    m = members.join(size, item)
+    a = m.select(item, F.col(owner).alias("one"), F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"))
+    b = m.select(item, F.col(owner).alias("other"), F.pmod(F.xxhash64(owner), F.col("_slices")).cast("int").alias("_slice"))
+    return a.join(b, [item, "_slice"]).where("one < other").groupBy("one", "other").agg(F.count(F.lit(1)).alias("n"))
+
+
+def upper_cuts(df: DataFrame, value: str, tenths: list[int], width: int = 256) -> DataFrame:
+    """(tenths, cut): the value from which the upper fraction of all rows with a value goes, ties at the cut included.
+
+    Counts of distinct values are summed within ranges of `width`, and over the few ranges.
+    """
+    c = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", F.floor(F.col("_v") / width))
+    own = c.groupBy("_b").agg(F.sum("_c").alias("_n"))
+    above = own.select("_b", (F.sum("_n").over(Window.orderBy(F.desc("_b"))) - F.col("_n")).alias("_above"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    down = F.sum("_c").over(Window.partitionBy("_b").orderBy(F.desc("_v"))) + F.col("_above")
+    reached = c.join(F.broadcast(above), "_b").select("_v", "_all", down.alias("_reached"))
+    each = reached.withColumn("tenths", F.explode(F.array(*map(F.lit, tenths)))).where(F.col("_reached") * 10 >= F.col("_all") * F.col("tenths"))
+    return each.groupBy("tenths").agg(F.max("_v").alias("cut"))

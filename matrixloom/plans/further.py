@@ -61,6 +61,16 @@ def w22(spark, d):
     return x.join(u, "one").join(v, "other").select("one", "other", F.round(F.col("s") / (F.col("u") + F.col("v") - F.col("s")), 8).alias("jaccard"))
 
 
+@query("w22_jaccard_all", "WITH s AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS p FROM lineitem), n AS (SELECT k, count(*) AS n FROM s GROUP BY 1), x AS (SELECT a.k AS one, b.k AS other, count(*) AS s FROM s a JOIN s b ON a.p = b.p AND a.k < b.k GROUP BY 1, 2) SELECT one, other, round(s / (u.n + v.n - s), 8) AS jaccard FROM x JOIN n u ON u.k = one JOIN n v ON v.k = other")
+def w22_all(spark, d):
+    """The index of all pairs of suppliers that share a part, whatever their ids."""
+    s = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("p")).distinct()
+    n = s.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    x = W.shared_counts(s, "k", "p").withColumnRenamed("n", "s")
+    u, v = n.select(F.col("k").alias("one"), F.col("n").alias("u")), n.select(F.col("k").alias("other"), F.col("n").alias("v"))
+    return x.join(u, "one").join(v, "other").select("one", "other", F.round(F.col("s") / (F.col("u") + F.col("v") - F.col("s")), 8).alias("jaccard"))
+
+
 @query("r12_same_family_pairs", f"WITH {PRICED_SQL}, p AS (SELECT a.entity, a.measured - b.measured AS dm, a.score - b.score AS ds FROM priced a JOIN priced b ON a.entity = b.entity AND a.feature < b.feature AND right(a.feature, 1) = right(b.feature, 1)), e AS (SELECT entity, avg(CASE WHEN ds = 0 THEN 0.5 WHEN sign(dm) <> sign(ds) THEN 1.0 ELSE 0.0 END) AS m FROM p WHERE dm <> 0 GROUP BY 1) SELECT round(avg(m), 8) AS by_entity, count(*) AS entities FROM e")
 def r12(spark, d):
     p = R.entity_pairs(priced(spark, d), ["measured", "score"]).where(F.substring("x_feature", -1, 1) == F.substring("y_feature", -1, 1))

@@ -347,3 +347,14 @@ def t10(spark, d):
     steps = F.explode(F.array(*[F.struct(F.lit(f).alias("share"), F.lit(c).alias("least")) for f in (0.1, 0.5) for c in (500, 2000)]))
     x = _labelled(spark, d).select("y", "score", steps.alias("g")).where((F.col("score") >= F.col("g.least")) & (F.col("score") % 10 < F.col("g.share") * 10))
     return x.groupBy("g.share", "g.least").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 8).alias("positives"))
+
+
+@query("t10_upper_fractions", f"""WITH {_LAB}, c AS (SELECT score, count(*) AS c FROM l WHERE score IS NOT NULL GROUP BY 1), a AS (SELECT score, sum(c) OVER (ORDER BY score DESC) AS reached, sum(c) OVER () AS n FROM c),
+k AS (SELECT t, max(score) FILTER (WHERE reached * 10 >= n * t) AS cut FROM a CROSS JOIN (VALUES (1), (5)) f(t) GROUP BY 1)
+SELECT t / 10 AS share, least, count(*) AS n, count(*) FILTER (WHERE score >= cut) AS marked, round(avg(y) FILTER (WHERE score >= cut), 8) AS positives FROM l CROSS JOIN k CROSS JOIN (VALUES (500), (2000)) b(least) WHERE score >= least GROUP BY 1, 2""")
+def t10_upper(spark, d):
+    """All labelled rows of at least a score, those of them in the upper fraction of all labelled scores, and the positives among these."""
+    x = _labelled(spark, d)
+    g = x.withColumn("least", F.explode(F.array(F.lit(500), F.lit(2000)))).where("score >= least").join(F.broadcast(W.upper_cuts(x, "score", [1, 5])))
+    inside = F.col("score") >= F.col("cut")
+    return g.groupBy((F.col("tenths") / 10).alias("share"), "least").agg(F.count(F.lit(1)).alias("n"), F.count_if(inside).alias("marked"), F.round(F.avg(F.when(inside, F.col("y"))), 8).alias("positives"))

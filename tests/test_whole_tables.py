@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from matrixloom.operators import ranks as W
 from matrixloom.operators import resample as B
 from matrixloom.plans.registry import QUERIES
 
@@ -92,3 +93,30 @@ def test_p10_normalises_whole_texts(spark, tmp_path):
     pd.DataFrame({"item_id": [0, 1, 2], "text": texts}).to_parquet(tmp_path / "benchmark.parquet")
     got = {r["item_id"]: r["name"] for r in QUERIES["p10_normal_names"](spark, str(tmp_path)).collect()}
     assert got == {0: "a b " * 40 + "end ss", 1: "short", 2: None}
+
+
+def test_w22_all_finds_pairs_of_high_ids(spark, tmp_path):
+    sets = {5: {1, 2}, 40: {1, 2, 3}, 900: {3}, 901: {9}}
+    rows = [(k, p) for k, ps in sets.items() for p in ps] * 2
+    pd.DataFrame(rows, columns=["l_suppkey", "l_partkey"]).to_parquet(tmp_path / "lineitem.parquet")
+    got = {(r["one"], r["other"]): r["jaccard"] for r in QUERIES["w22_jaccard_all"](spark, str(tmp_path)).collect()}
+    assert got == {(5, 40): pytest.approx(2 / 3), (40, 900): pytest.approx(1 / 3)}
+
+
+def test_split_items_give_the_same_counts(spark):
+    df = spark.createDataFrame([(k, p) for k in range(40) for p in range(6) if p == 0 or k % (p + 1) == 0], "k long, p long")
+    counts = lambda crowd: sorted(map(tuple, W.shared_counts(df, "k", "p", crowd).collect()))
+    assert counts(3) == counts(1000) and len(counts(3)) == 40 * 39 // 2
+
+
+def test_t10_marks_the_upper_fraction_of_all_rows(spark, tmp_path):
+    n = 300
+    score = RNG.integers(0, 4000, n)
+    score[:60] = 2500
+    pd.DataFrame({"doc_id": np.arange(n), "lang": "en", "n_chars": score}).to_parquet(tmp_path / "documents.parquet")
+    pd.DataFrame({"doc_id": np.arange(n), "toxic": np.arange(n) % 3 == 0}).astype({"toxic": "int64"}).to_parquet(tmp_path / "labels.parquet")
+    got = {(r["share"], r["least"]): r for r in QUERIES["t10_upper_fractions"](spark, str(tmp_path)).collect()}
+    assert len(got) == 4
+    for (share, least), r in got.items():
+        cut = np.sort(score)[::-1][int(np.ceil(n * round(share * 10) / 10)) - 1]
+        assert (r["n"], r["marked"]) == ((score >= least).sum(), (score >= max(cut, least)).sum())
