@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +17,11 @@ from pyspark.sql import functions as F
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
-_B = np.uint64(0x9E3779B97F4A7C15 | 1)
-_B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
-_W = np.uint64(0xD6E8FEB86659FD93)
-_W_INV = np.uint64(pow(int(_W), -1, 1 << 64))
+#: Odd multipliers of hash steps, and the salts of a word's two hashes.
+_LEFT, _RIGHT, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+_SALTS = (0x5851F42D4C957F2D, 0xA0761D6478BD642F)
+#: Bytes of a word that are hashed side by side with other words'; longer words are hashed one by one.
+_LANES = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,30 +85,19 @@ def mixed(h: np.ndarray, salt: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1), modulo 2**64; kept up to the largest block asked for."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if len(have) <= 1 << 23:
-            _powers[int(base)] = have
-    return have[:n]
-
-
 @dataclass
 class Words:
-    """Words of several texts laid out in one buffer: byte span and hash of each, and each text's first word."""
+    """Words of several texts laid out in one buffer: byte span and hashes of each, and each text's first word."""
 
     data: bytes
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
-    h: np.ndarray
+    hashes: list[np.ndarray]
+
+    @property
+    def h(self) -> np.ndarray:
+        return self.hashes[0]
 
     def text_of(self) -> np.ndarray:
         """The text's number for every word."""
@@ -120,34 +111,62 @@ class Words:
         return b" ".join([d[s[i] : e[i]] for i in at])
 
 
-def words_of(texts: list[bytes], block: int = 1 << 18) -> Words:
-    """Splits texts at ASCII white space and hashes every word, a block of bytes at a time."""
-    data = b"\n".join(texts) + b"\n"
-    buf = np.frombuffer(data, np.uint8)
-    space = SPACE[buf]
-    edge = np.flatnonzero(np.diff(space, prepend=True))
+def words_of(texts: list[bytes], hashes: int = 1, block: int = 1 << 17) -> Words:
+    """Splits texts at ASCII white space and gives every word one or two 64-bit hashes, a block of words at a time."""
+    data = b"\n".join(texts) + b"\n" * 8
+    edge = np.flatnonzero(np.diff(SPACE[np.frombuffer(data, np.uint8)], prepend=True))
     start, end = edge[0::2], edge[1::2]
-    del space, edge
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
     first = np.searchsorted(start, begins)
-    h = np.empty(len(start), np.uint64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + block, side="right")))
-        lo, hi = int(start[i]), int(end[j - 1])
-        summed = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((buf[lo:hi].astype(np.uint64) + np.uint64(1)) * powers(_B, hi - lo), out=summed[1:])
-        s, e = start[i:j] - lo, end[i:j] - lo
-        h[i:j] = mixed((summed[e] - summed[s]) * powers(_B_INV, hi - lo)[s], 0x5851F42D4C957F2D)
-        i = j
-    return Words(data, start, end, first, h)
-
-
-def window_hashes(h: np.ndarray, length: int) -> np.ndarray:
-    """A hash of every run of `length` neighbours in `h`; texts that follow each other aren't told apart."""
+    out = [np.empty(len(start), np.uint64) for _ in range(hashes)]
+    for lo in range(0, len(start), block):
+        for h, salt in zip(out, _SALTS):
+            h[lo : lo + block] = _word_hashes(data, start[lo : lo + block], end[lo : lo + block], salt)
+    for i in np.flatnonzero(end - start > _LANES).tolist():
+        both = xxhash.xxh3_128_intdigest(data[start[i] : end[i]])
+        for k, h in enumerate(out):
+            h[i] = both >> 64 * k & 0xFFFFFFFFFFFFFFFF
+    return Words(data, start, end, first, out)
+
+
+def _word_hashes(data: bytes, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of every word of up to _LANES bytes: eight bytes a step go through a finaliser, which begins with length and salt."""
+    lanes = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    size = end - start
+    h = mixed(size.astype(np.uint64) * _STEP, salt)
+    at = np.flatnonzero(size <= _LANES)
+    done = 0
+    while len(at):
+        left = size[at] - done
+        h[at] = mixed(h[at] * _STEP + (lanes[start[at] + done] & mask[np.minimum(left, 8)]), salt)
+        at, done = at[left > 8], done + 8
+    return h
+
+
+def run_hashes(h: np.ndarray, length: int) -> np.ndarray:
+    """A hash of every run of `length` neighbours in `h`; texts that follow each other aren't told apart.
+
+    Runs of powers of two are joined from halves, and `length` from the powers that it is the sum of. A join isn't linear, so
+    sequences whose sums cancel don't meet as they do under a polynomial.
+    """
     n = len(h) - length + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    summed = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * powers(_W, len(h)), out=summed[1:])
-    return mixed((summed[length:] - summed[:n]) * powers(_W_INV, n), length)
+    out, at, size, level = None, 0, 1, h
+    while True:
+        if length & size:
+            part = level[at : at + n]
+            out = part if out is None else _joined(out, part)
+            at += size
+        if 2 * size > length:
+            return mixed(out, length)
+        level = _joined(level[:-size], level[size:])
+        size *= 2
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * _LEFT + b * _RIGHT
+    x ^= x >> np.uint64(32)
+    x *= _STEP
+    return x

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, lean, mixed, size_in_bytes, whole_row, window_hashes, words_of
+from .common import Words, lean, run_hashes, size_in_bytes, whole_row, words_of
 
 #: Words in a window.
 WINDOW = 50
@@ -43,38 +42,48 @@ def _anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(w.h)) - np.repeat(w.first[:-1], np.diff(w.first))
     long_enough = np.repeat(np.diff(w.first) >= window, np.diff(w.first))
     at = np.flatnonzero(at_cover[place % PERIOD] & long_enough & _placed(w, length))
-    return at, window_hashes(w.h, length)[at]
+    return at, run_hashes(w.h, length)[at]
 
 
 def _windows(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Both hashes (64 and 32 bits) of the window at every word."""
-    return window_hashes(w.h, window), window_hashes(mixed(w.h, 0xA0761D6478BD642F), window) >> np.uint64(32)
+    """Both hashes (64 and 32 bits) of the window at every word, from words' two hashes that have nothing in common."""
+    return run_hashes(w.hashes[0], window), run_hashes(w.hashes[1], window) >> np.uint64(32)
+
+
+def _keyed(t: pa.Table) -> pa.Table:
+    """The rows that have a key: the others neither give nor lose words."""
+    return t.filter(pc.is_valid(t.column("doc")))
+
+
+def _number(key: tuple) -> int:
+    """The chunk of a group; a side of a cogroup that is empty may leave it without one."""
+    return key[0].as_py() if key[0].is_valid else 0
 
 
 def _anchor_rows(window: int):
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        """Anchors of a chunk, each once, with the number of its documents that have it."""
+        """Anchors of a chunk, each once, with the least and greatest of its documents that have it."""
+        t = _keyed(t)
         w = words_of(_texts(t.column("text")))
         at, h = _anchors(w, window)
-        whose = w.text_of()[at]
-        order = np.lexsort((whose, h))
-        h, whose = h[order], whose[order]
-        new = np.diff(h, prepend=~h[:1]) != 0
-        other = new | (np.diff(whose, prepend=-1) != 0)
-        heads = np.flatnonzero(new)
-        n = np.add.reduceat(other.astype(np.int64), heads) if len(heads) else np.empty(0, np.int64)
-        return pa.table({"h": h[heads].view(np.int64), "chunk": np.full(len(heads), key[0].as_py(), np.int64), "n": n.astype(np.int32)})
+        doc = t.column("doc").to_numpy()[w.text_of()[at]]
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        heads = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
+        ends = np.append(heads[1:], len(h)) - 1 if len(heads) else heads
+        return pa.table({"h": h[heads].view(np.int64), "chunk": np.full(len(heads), _number(key), np.int64), "low": doc[heads], "high": doc[ends]})
 
     return run
 
 
 def _candidate_rows(window: int):
     def run(key: tuple, t: pa.Table, shared: pa.Table) -> pa.Table:
-        """Windows of a chunk that hold a shared anchor, each once, with the least and greatest document that has it."""
+        """Shared anchors of a chunk, extended on both sides to all windows that hold one; each window once, with the least and greatest document that has it."""
+        t = _keyed(t)
         empty = np.empty(0, np.int64)
         h1, h2, low, high = empty, empty.astype(np.int32), empty, empty
         if shared.num_rows and t.num_rows:
-            w = words_of(_texts(t.column("text")))
+            w = words_of(_texts(t.column("text")), 2)
             at, h = _anchors(w, window)
             at = at[np.isin(h.view(np.int64), shared.column("h").to_numpy())]
             near = np.zeros(len(w.h) + 1, np.int64)  # windows from period - 1 words before an anchor to the anchor itself
@@ -88,16 +97,17 @@ def _candidate_rows(window: int):
             heads = np.flatnonzero((np.diff(a, prepend=~a[:1]) != 0) | (np.diff(b, prepend=~b[:1]) != 0))
             h1, h2, low = a[heads].view(np.int64), b[heads].astype(np.uint32).view(np.int32), doc[heads]
             high = doc[np.append(heads[1:], len(doc)) - 1] if len(heads) else empty
-        return pa.table({"h1": h1, "h2": h2, "chunk": np.full(len(h1), key[0].as_py() if key[0].is_valid else 0, np.int64), "low": low, "high": high})
+        return pa.table({"h1": h1, "h2": h2, "chunk": np.full(len(h1), _number(key), np.int64), "low": low, "high": high})
 
     return run
 
 
 def _removal_rows(window: int):
-    def run(t: pa.Table, hit: pa.Table) -> pa.Table:
+    def run(key: tuple, t: pa.Table, hit: pa.Table) -> pa.Table:
         """Every text of a chunk without the words that windows of smaller documents cover."""
         texts = _texts(t.column("text"))
-        w = words_of(texts)
+        w = words_of(texts, 2 if hit.num_rows else 1)
+        doc = t.column("doc")
         gone = np.zeros(len(w.h) + 1, np.int64)
         if hit.num_rows and len(w.h) >= window:
             at = np.flatnonzero(_placed(w, window))
@@ -115,7 +125,8 @@ def _removal_rows(window: int):
                 same = live & (known.f1[np.minimum(i, len(known) - 1)] == mine.f1)
                 least[same] = first[i[same]]
                 i = i + (live & ~same)
-            at = at[least < t.column("doc").to_numpy()[w.text_of()[at]]]
+            whose = w.text_of()[at]
+            at = at[pc.is_valid(doc).to_numpy()[whose] & (least < pc.fill_null(doc, 0).to_numpy()[whose])]
             np.add.at(gone, at, 1)
             np.add.at(gone, at + window, -1)
         keep = np.cumsum(gone[:-1]) == 0
@@ -138,29 +149,38 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     With `carry` all columns but the text come along as row, and texts that lose no word stay as they were.
 
     A word goes if a window of `window` words covers it whose words also start in a row with a
-    smaller key. Documents are dealt to chunks once; that exchange serves all three passes:
-    anchors of each chunk, candidate windows around anchors that several texts share, and
-    removal. Between passes anchors and windows meet in a shuffle by hash, where each chunk brings
-    a hash once at most, however many of its documents have it. Chunks grow in number with the
-    text, not in size. Null keys and texts: a row with a null key loses no word and takes none from others.
-    Rows of equal keys take none from each other. `window` is at least the period plus 4 words; keys are integers.
+    smaller key. Rows are dealt to chunks by their number once, so that copies of one row spread too; that exchange serves
+    all three passes: anchors of each chunk, windows around anchors that several texts share, and
+    removal. A chunk combines its own rows first: of an anchor or a window it sends one row with the least and the
+    greatest key, however many of its documents have it, and both are then aggregated by hash and joined back without a group being gathered.
+    A passage that every document has costs a row for each CHUNK bytes of text. Windows are compared by 96 bits of two
+    independent hashes. Chunks grow in number with the text, not in size.
+
+    Rows with a null key lose no word and take none from others; null texts are empty. Rows of equal keys take
+    none from each other. `window` is at least the period plus 4 words; keys are integers. `docs` gives its rows in
+    the same order when a task is run again, as stored tables do.
     """
     if window < PERIOD + 4:
         raise ValueError(f"window is at least {PERIOD + 4}")
     chunks = max(1, size_in_bytes(docs, text) // chunk)
-    spread = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(chunks)).alias("chunk")
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).alias("chunk")
     held = [whole_row(docs.drop(text)).alias("row")] if carry else []
-    # a null key becomes the least one possible, under which nothing is removed; anchors leave it out
-    dealt = lean(docs).select(spread, F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(text).alias("text"), *held).groupBy("chunk")
-    anchors = dealt.applyInArrow(_with_keys(_anchor_rows(window)), "h long, chunk long, n int")
-    shared = anchors.withColumn("all", F.sum("n").over(Window.partitionBy("h"))).where(F.col("all") > 1).select("chunk", "h")
-    found = dealt.cogroup(shared.groupBy("chunk")).applyInArrow(_with_keys(_candidate_rows(window)), "h1 long, h2 int, chunk long, low long, high long")
-    first = found.withColumn("first", F.min("low").over(Window.partitionBy("h1", "h2"))).where("first < high").select("chunk", "h1", "h2", "first")
+    dealt = lean(docs).select(spread, F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), *held).groupBy("chunk")
+    anchors = dealt.applyInArrow(_anchor_rows(window), "h long, chunk long, low long, high long")
+    shared = _with_first(anchors, ["h"], F.max("high").alias("last")).where("first < last").select("chunk", "h")
+    found = dealt.cogroup(shared.groupBy("chunk")).applyInArrow(_candidate_rows(window), "h1 long, h2 int, chunk long, low long, high long")
+    first = _with_first(found, ["h1", "h2"]).where("first < high").select("chunk", "h1", "h2", "first")
     named = docs.select(*held).schema["row"] if carry else T.StructField("doc", T.LongType())
     schema = T.StructType([named, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType())])
     return dealt.cogroup(first.groupBy("chunk")).applyInArrow(_removal_rows(window), schema)
 
 
+def _with_first(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """`rows` with the least `low` of their hash as `first`: one exchange serves the aggregation and the join back, and both stream."""
+    dealt = rows.repartition(*by)
+    return dealt.join(dealt.groupBy(*by).agg(F.min("low").alias("first"), *more), by)
+
+
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """`docs` with their columns in order and the text without removed words; other texts stay as they were, null ones as empty."""
     out = removals(docs, key, text, window, carry=True)
@@ -168,25 +188,11 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return out.select(*[new.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
-def _with_keys(run):
-    """`run` without the rows that have no key."""
-
-    def keyed(key: tuple, t: pa.Table, *more: pa.Table) -> pa.Table:
-        return run(key, t.filter(pa.compute.greater(t.column("doc"), -(1 << 63))), *more)
-
-    def grouped(key: tuple, t: pa.Table) -> pa.Table:
-        return keyed(key, t)
-
-    def cogrouped(key: tuple, t: pa.Table, more: pa.Table) -> pa.Table:
-        return keyed(key, t, more)
-
-    return grouped if run.__code__.co_argcount == 2 else cogrouped
-
-
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of whole documents, and how many of them lie in 50-word passages of a smaller document; see `removals`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = removals(docs)
-    return out.select(F.when(F.col("doc") > -(1 << 63), F.col("doc")).alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 OP5_SQL = """

@@ -72,3 +72,37 @@ def test_a_very_long_text(make):
     text = " ".join(f"w{k % 9973}" for k in range(120_000))
     rows = [(1, text), (2, "start " + text[: len(text) // 2])]
     assert run(make(rows)) == plain(rows)
+
+
+def thue_morse(n):
+    return "".join("ab"[k.bit_count() & 1] for k in range(n))
+
+
+def test_words_that_polynomials_confuse(make):
+    """The Thue-Morse word and its complement meet under every polynomial hash modulo a power of two."""
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{k}" for k in range(49))
+    rows = [(1, f"{one} {tail}"), (2, f"{other} {tail}"), (3, f"{one[:200]} {tail}"), (4, f"{other[:200]} {tail}")]
+    rows += [(k, " ".join(thue_morse(300))) for k in (5, 6)] + [(7, " ".join(thue_morse(300).translate(str.maketrans("ab", "ba"))))]
+    assert run(make(rows)) == plain(rows)
+    assert run(make(rows[:4])) == [(k, 50, 0, h) for k, _, _, h in plain(rows[:4])]
+
+
+def test_words_of_every_length_have_own_hashes():
+    words = sorted({b"x" * n for n in range(1, 600)} | {b"x" * n + b"y" for n in range(600)} | {b"y" + b"x" * n for n in range(600)} | {bytes([a, b]) for a in range(65, 91) for b in range(65, 91)})
+    for some in (words, words[::-1]):
+        w = S.words_of([b" ".join(some[:700]), b"", b" ".join(some[700:])], 2)
+        for h in w.hashes:
+            assert len(set(h.tolist())) == len(words)
+    again = S.words_of([b"\t".join(words)], 2)
+    assert {tuple(x) for x in zip(*(h.tolist() for h in w.hashes))} == {tuple(x) for x in zip(*(h.tolist() for h in again.hashes))}
+
+
+def test_many_equal_rows_and_the_least_key(spark, make):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.range(100_000).selectExpr("7L AS doc_id", f"'{text}' AS text").union(make([(-(1 << 63), text), (8, text), (None, text)]).select("doc_id", "text"))
+    out = S.removals(docs).groupBy("doc", "n_words", "n_removed").count()
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted([(7, 60, 60, 100_000), (-(1 << 63), 60, 0, 1), (8, 60, 60, 1), (None, 60, 0, 1)], key=str)
+    parts = docs.where("doc_id = 7").select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(9)).alias("chunk")).groupBy("chunk").count().collect()
+    assert len(parts) == 9 and max(r["count"] for r in parts) < 13_000
