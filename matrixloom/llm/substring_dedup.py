@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,8 +152,9 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     smaller key. Rows are dealt to chunks by their number once, so that copies of one row spread too; that exchange serves
     all three passes: anchors of each chunk, windows around anchors that several texts share, and
     removal. A chunk combines its own rows first: of an anchor or a window it sends one row with the least and the
-    greatest key, however many of its documents have it, and both are then aggregated by hash and joined back without a group being gathered.
-    A passage that every document has costs a row for each CHUNK bytes of text. Windows are compared by 96 bits of two
+    greatest key, however many of its documents have it, and both meet by hash in one exchange each. So a passage that every
+    document has costs 28 bytes for each CHUNK bytes of text, in a window that spills; an aggregation joined back
+    would need a second exchange of all of them, which is over the disk that there is. Windows are compared by 96 bits of two
     independent hashes. Chunks grow in number with the text, not in size.
 
     Rows with a null key lose no word and take none from others; null texts are empty. Rows of equal keys take
@@ -167,20 +168,15 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     held = [whole_row(docs.drop(text)).alias("row")] if carry else []
     dealt = lean(docs).select(spread, F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), *held).groupBy("chunk")
     anchors = dealt.applyInArrow(_anchor_rows(window), "h long, chunk long, low long, high long")
-    shared = _with_first(anchors, ["h"], F.max("high").alias("last")).where("first < last").select("chunk", "h")
+    same = Window.partitionBy("h")
+    shared = anchors.select("chunk", "h", F.min("low").over(same).alias("first"), F.max("high").over(same).alias("last")).where("first < last").select("chunk", "h")
     found = dealt.cogroup(shared.groupBy("chunk")).applyInArrow(_candidate_rows(window), "h1 long, h2 int, chunk long, low long, high long")
-    first = _with_first(found, ["h1", "h2"]).where("first < high").select("chunk", "h1", "h2", "first")
+    first = found.withColumn("first", F.min("low").over(Window.partitionBy("h1", "h2"))).where("first < high").select("chunk", "h1", "h2", "first")
     named = docs.select(*held).schema["row"] if carry else T.StructField("doc", T.LongType())
     schema = T.StructType([named, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType())])
     return dealt.cogroup(first.groupBy("chunk")).applyInArrow(_removal_rows(window), schema)
 
 
-def _with_first(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
-    """`rows` with the least `low` of their hash as `first`: one exchange serves the aggregation and the join back, and both stream."""
-    dealt = rows.repartition(*by)
-    return dealt.join(dealt.groupBy(*by).agg(F.min("low").alias("first"), *more), by)
-
-
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """`docs` with their columns in order and the text without removed words; other texts stay as they were, null ones as empty."""
     out = removals(docs, key, text, window, carry=True)
