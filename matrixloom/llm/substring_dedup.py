@@ -62,7 +62,7 @@ def _number(key: tuple) -> int:
 
 def _anchor_rows(window: int):
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        """Anchors of a chunk, each once, with the least and greatest of its documents that have it."""
+        """Anchors of a chunk, each once, with 1 if one of its keys has it and 2 if more have."""
         t = _keyed(t)
         w = words_of(_texts(t.column("text")))
         at, h = _anchors(w, window)
@@ -70,18 +70,18 @@ def _anchor_rows(window: int):
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
         heads = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
-        ends = np.append(heads[1:], len(h)) - 1 if len(heads) else heads
-        return pa.table({"h": h[heads].view(np.int64), "chunk": np.full(len(heads), _number(key), np.int64), "low": doc[heads], "high": doc[ends]})
+        n = 1 + (doc[heads] != doc[np.append(heads[1:], len(h))[: len(heads)] - 1])
+        return pa.table({"h": h[heads].view(np.int64), "chunk": np.full(len(heads), _number(key), np.int64), "n": n.astype(np.int8)})
 
     return run
 
 
 def _candidate_rows(window: int):
     def run(key: tuple, t: pa.Table, shared: pa.Table) -> pa.Table:
-        """Shared anchors of a chunk, extended on both sides to all windows that hold one; each window once, with the least and greatest document that has it."""
+        """Shared anchors of a chunk, extended on both sides to all windows that hold one; each window once, with the least document that has it and how far above it the greatest is."""
         t = _keyed(t)
         empty = np.empty(0, np.int64)
-        h1, h2, low, high = empty, empty.astype(np.int32), empty, empty
+        h1, h2, low, span = empty, empty.astype(np.int32), empty, empty
         if shared.num_rows and t.num_rows:
             w = words_of(_texts(t.column("text")), 2)
             at, h = _anchors(w, window)
@@ -96,8 +96,8 @@ def _candidate_rows(window: int):
             a, b, doc = a[order], b[order], doc[order]
             heads = np.flatnonzero((np.diff(a, prepend=~a[:1]) != 0) | (np.diff(b, prepend=~b[:1]) != 0))
             h1, h2, low = a[heads].view(np.int64), b[heads].astype(np.uint32).view(np.int32), doc[heads]
-            high = doc[np.append(heads[1:], len(doc)) - 1] if len(heads) else empty
-        return pa.table({"h1": h1, "h2": h2, "chunk": np.full(len(h1), _number(key), np.int64), "low": low, "high": high})
+            span = doc[np.append(heads[1:], len(doc))[: len(heads)] - 1] - low  # mostly 0, which the exchange compresses away
+        return pa.table({"h1": h1, "h2": h2, "chunk": np.full(len(h1), _number(key), np.int64), "low": low, "span": span})
 
     return run
 
@@ -151,8 +151,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     A word goes if a window of `window` words covers it whose words also start in a row with a
     smaller key. Rows are dealt to chunks by their number once, so that copies of one row spread too; that exchange serves
     all three passes: anchors of each chunk, windows around anchors that several texts share, and
-    removal. A chunk combines its own rows first: of an anchor or a window it sends one row with the least and the
-    greatest key, however many of its documents have it, and both meet by hash in one exchange each. So a passage that every
+    removal. A chunk combines its own rows first: of an anchor or a window it sends one row, however many of its documents have it, and both meet by hash in one exchange each. So a passage that every
     document has costs 28 bytes for each CHUNK bytes of text, in a window that spills; an aggregation joined back
     would need a second exchange of all of them, which is over the disk that there is. Windows are compared by 96 bits of two
     independent hashes. Chunks grow in number with the text, not in size.
@@ -167,11 +166,10 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).alias("chunk")
     held = [whole_row(docs.drop(text)).alias("row")] if carry else []
     dealt = lean(docs).select(spread, F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), *held).groupBy("chunk")
-    anchors = dealt.applyInArrow(_anchor_rows(window), "h long, chunk long, low long, high long")
-    same = Window.partitionBy("h")
-    shared = anchors.select("chunk", "h", F.min("low").over(same).alias("first"), F.max("high").over(same).alias("last")).where("first < last").select("chunk", "h")
-    found = dealt.cogroup(shared.groupBy("chunk")).applyInArrow(_candidate_rows(window), "h1 long, h2 int, chunk long, low long, high long")
-    first = found.withColumn("first", F.min("low").over(Window.partitionBy("h1", "h2"))).where("first < high").select("chunk", "h1", "h2", "first")
+    anchors = dealt.applyInArrow(_anchor_rows(window), "h long, chunk long, n byte")
+    shared = anchors.withColumn("keys", F.sum("n").over(Window.partitionBy("h"))).where("keys > 1").select("chunk", "h")
+    found = dealt.cogroup(shared.groupBy("chunk")).applyInArrow(_candidate_rows(window), "h1 long, h2 int, chunk long, low long, span long")
+    first = found.withColumn("first", F.min("low").over(Window.partitionBy("h1", "h2"))).where("first < low OR span <> 0").select("chunk", "h1", "h2", "first")
     named = docs.select(*held).schema["row"] if carry else T.StructField("doc", T.LongType())
     schema = T.StructType([named, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType())])
     return dealt.cogroup(first.groupBy("chunk")).applyInArrow(_removal_rows(window), schema)
