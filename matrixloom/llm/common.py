@@ -43,16 +43,28 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read again: a lineage cut that outlives executors.
 
-    Spark's Hadoop file system removes the folder when the session's JVM ends.
+    `discard` removes the folder; else Spark's Hadoop file system does when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/matrixloom-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(schema).parquet(path)
+    fs, where = _hadoop(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a table that `written` made, once all that read it has been written itself."""
+    fs, where = _hadoop(df.sparkSession, df._stored_at)
+    fs.delete(where, True)
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def whole_row(df: DataFrame) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     seen = _mark(now)
     while True:
-        now = written(_small_star(_large_star(now)), "edges")
+        old, now = now, written(_small_star(_large_star(now)), "edges")
+        discard(old)
         mark = _mark(now)
         if mark == seen:
             break

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Lines in a window.
 LINES = 3
 
@@ -27,11 +29,12 @@ def _windows(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = LINES) -> DataFrame:
     """(doc, body, pos) of every window that occurs earlier, by document key and then position.
 
-    First occurrences come from an aggregation that combines on the map side; the join back is a
-    shuffle join whose hot windows adaptive execution can split.
+    First occurrences come from an aggregation that combines on the map side. Those of repeated windows are written, so that
+    both sides of the join back have an exchange of their own and adaptive execution can split hot windows.
     """
     w = _windows(docs, key, text, width)
     first = w.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("at")).where("n > 1")
+    first = written(first, "line-windows")
     later = w.alias("w").join(first.alias("f"), (F.col("w.h1") == F.col("f.h1")) & (F.col("w.h2") == F.col("f.h2")))
     return later.where((F.col("w.doc") != F.col("f.at.doc")) | (F.col("w.pos") != F.col("f.at.pos"))).select("w.doc", "w.body", "w.pos")
 

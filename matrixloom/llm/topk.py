@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 #: Neighbours of a query, and bits of a code.
 K, BITS = 10, 64
@@ -43,7 +43,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) ->
     code stands. Fewer than k rows in all give fewer neighbours.
 
     Equal codes are one entry with their k + 1 least ids. Round s looks up, for each segment, all
-    values at s bits from the query's. A pair is met in the round of its nearest segment only, so none is met twice. After
+    values at s bits from the query's, in a merge join that adaptive execution can split where a value is crowded; nothing is
+    broadcast. A pair is met in the round of its nearest segment only, so none is met twice. After
     round s every code within m * (s + 1) - 1 bits is known for m segments; a query leaves when its
     (k + 1)th verified distance is within that. The driver gets counts only.
     """
@@ -57,13 +58,15 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) ->
     best = None
     for s in range(max(w for _, w in seg) + 1):
         found = _round(active, index, seg, s)
-        best = found if best is None else best.unionByName(found)
-        best = written(_least(best, "q", ["distance", "id"], k + 1), "topk-best")
+        old, best = best, written(_least(found if best is None else best.unionByName(found), "q", ["distance", "id"], k + 1), "topk-best")
+        if old is not None:
+            discard(old)
         covered = len(seg) * (s + 1) - 1
         reach = best.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("worst"))
         bound = F.when(F.col("n") > k, F.col("worst")).otherwise(F.lit(bits))
         left = active.select("q").join(reach, "q", "left").select("q", F.coalesce(bound, F.lit(bits)).alias("bound")).where(F.col("bound") > covered)
-        active = written(left, "topk-active")
+        old, active = active, written(left, "topk-active")
+        discard(old)
         if active.isEmpty():
             break
     hits = asked.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(best, "q").where("query_id <> id")
@@ -74,13 +77,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) ->
 def _round(active: DataFrame, index: DataFrame, seg: list[tuple[int, int]], s: int) -> DataFrame:
     """(q, distance, id) of codes whose nearest segment is s bits from the query's, within the query's bound."""
     q = F.col("q")
-
-    def probes(i: int, low: int, width: int) -> Column:
-        masks = F.filter(F.sequence(F.lit(0), F.lit((1 << width) - 1)), lambda x: F.bit_count(x) == s)
-        return F.transform(masks, lambda x: F.struct(F.lit(i).alias("seg"), _part(q, low, width).bitwiseXOR(x.cast("long")).alias("value")))
-
-    asked = active.select("q", "bound", F.explode(F.flatten(F.array(*[probes(i, *at) for i, at in enumerate(seg) if s <= at[1]]))).alias("p")).select("q", "bound", "p.seg", "p.value")
-    met = asked.join(index, ["seg", "value"])
+    met = _probes(active, seg, s).hint("merge").join(index, ["seg", "value"])
     differ = q.bitwiseXOR(F.col("code"))
     near = [F.bit_count(_part(differ, *at)) for at in seg]
     first = F.lit(True)
@@ -89,6 +86,17 @@ def _round(active: DataFrame, index: DataFrame, seg: list[tuple[int, int]], s: i
     return met.where(first).select("q", "ids", F.bit_count(differ).alias("distance"), "bound").where("distance <= bound").select("q", "distance", F.explode("ids").alias("id"))
 
 
+def _probes(active: DataFrame, seg: list[tuple[int, int]], s: int) -> DataFrame:
+    """(q, bound, seg, value): every value at s bits from each segment of the queries' codes; a step sets one more bit above the last."""
+    places = F.array(*[F.struct(F.lit(i).alias("seg"), F.lit(width).alias("width"), _part(F.col("q"), low, width).alias("value")) for i, (low, width) in enumerate(seg) if s <= width])
+    spread = active.repartition(2 * active.sparkSession.sparkContext.defaultParallelism, "q")  # a few queries make many probes
+    out = spread.select("q", "bound", F.explode(places).alias("p")).select("q", "bound", "p.seg", "p.width", "p.value", F.lit(-1).alias("last"))
+    for step in range(1, s + 1):
+        out = out.withColumn("last", F.explode(F.sequence(F.col("last") + 1, F.col("width") - (s - step + 1))))
+        out = out.withColumn("value", F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("last"))))
+    return out.select("q", "bound", "seg", "value")
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries: every row whose vec_id is divisible by 100, against all rows."""
     codes = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), sign_code(F.col("embedding")).alias("code"))
