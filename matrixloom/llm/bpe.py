@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -21,13 +21,16 @@ _NONE = np.iinfo(np.int64).max
 KEPT_WORDS = 400_000
 #: Texts that are encoded together, and cells of one matrix.
 BLOCK, CELLS = 1000, 1 << 20
-#: Bytes of a word beyond which it is merged by itself, so that its rounds don't grow with its length.
+#: Bytes of a word beyond which its rounds merge all pairs of the least rank at once, where that is proven to give the same ids.
 LONG = 1024
 
 
 @dataclass(frozen=True)
 class Merges:
-    """Token bytes by id, ids of single bytes, and an open-addressed table from id pairs to the merged id."""
+    """Token bytes by id, ids of single bytes, and an open-addressed table from id pairs to the merged id.
+
+    `ordered` says that merging the bytes of any token that a pair can make ends in that token, by ranks that never fall.
+    """
 
     data: np.ndarray
     begin: np.ndarray
@@ -36,6 +39,7 @@ class Merges:
     ids: np.ndarray
     shift: np.uint64
     probes: int
+    ordered: bool = False
 
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merged id of each pair, or the greatest integer where the pair doesn't merge. Ids are ranks."""
@@ -82,9 +86,17 @@ def merges_of(ranks: dict[bytes, int]) -> Merges:
             at, steps = (at + 1) & ((1 << bits) - 1), steps + 1
         table[at], value[at] = k, i
         longest = max(longest, steps)
-    return Merges(
+    made = Merges(
         np.frombuffer(b"".join(by_id), np.uint8), np.cumsum([0, *map(len, by_id)]), np.array([ranks[bytes([b])] for b in range(256)], np.int64), table, value, shift, longest
     )
+    return replace(made, ordered=all(_settles(made, rows) for _, rows in _matrices(made, [by_id[i] for i in dict.fromkeys(ids.tolist())])))
+
+
+def _settles(table: Merges, ids: np.ndarray) -> bool:
+    """Whether every row ends as one id, by ranks that never fall."""
+    fell = np.zeros(len(ids), bool)
+    _, size = _merged(table, ids, fell)
+    return bool((size == 1).all() and not fell.any())
 
 
 @lru_cache(2)
@@ -94,11 +106,11 @@ def _loaded(path: str) -> tuple[Merges, dict[bytes, int]]:
     return merges_of(ranks), ranks
 
 
-def _merged(table: Merges, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _merged(table: Merges, ids: np.ndarray, fell: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Merges a matrix of ids, padded with -1 on the right, to the end: final ids and how many each row has.
 
     A round finds every row's leftmost pair of least rank, sets the merged id in its place and
-    closes the gap; rows without a pair that merges leave the matrix.
+    closes the gap; rows without a pair that merges leave the matrix. `fell`, if given, is set for rows whose rank was ever lower than the one before.
     """
     rows, width = ids.shape
     size = (ids >= 0).sum(1)
@@ -109,6 +121,7 @@ def _merged(table: Merges, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         both = ids[:, 1:] >= 0
         rank[both] = table.find(ids[:, :-1][both], ids[:, 1:][both])
     cols = np.arange(width)
+    last = np.zeros(rows, np.int64)
     while len(live):
         at = rank.argmin(1)
         best = rank[np.arange(len(live)), at]
@@ -119,6 +132,9 @@ def _merged(table: Merges, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             live, ids, rank, at, best = live[going], ids[going], rank[going], at[going], best[going]
             if not len(live):
                 break
+        if fell is not None:
+            fell[live] |= best < last[live]
+            last[live] = best
         k = np.arange(len(live))
         moved = np.minimum(cols[None, : ids.shape[1]] + (cols[None, : ids.shape[1]] > at[:, None]), ids.shape[1])
         padded = np.concatenate([ids, np.full((len(live), 1), -1)], 1)
@@ -143,10 +159,14 @@ def _merged(table: Merges, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merged_long(table: Merges, ids: np.ndarray) -> np.ndarray:
-    """One long word by itself: a round merges all pairs of the least rank from left to right.
-
-    A pair that holds a merged id ranks after it, so these are the merges that rounds of one pair
-    each would make one after another.
+    """One long word by itself: a round merges all pairs of the least rank from left to right, for an `ordered` table.
+
+    These are the merges that rounds of one pair each would make one after another. Ranks can't fall in those
+    either: say that making a gives a pair (a, b) that merges to t of lower rank than a. No merge has crossed the ends of t's
+    bytes so far, so within them the rounds were those of merging t by itself. These end in t by ranks that never fall, so none
+    is above t's, but a's is. As they don't fall, all merges of one rank follow each other, and none of them makes another pair
+    of that rank, since what it would merge to is longer. So they are the pairs that are there as the rank's turn
+    comes, taken from the left, less those that overlap one taken.
     """
     while len(ids) > 1:
         rank = table.find(ids[:-1], ids[1:])
@@ -162,26 +182,33 @@ def _merged_long(table: Merges, ids: np.ndarray) -> np.ndarray:
     return ids
 
 
-def encode_words(table: Merges, words: list[bytes]) -> list[np.ndarray]:
-    """Ids of each word, words of like length together: widths double from bucket to bucket."""
-    lengths = np.array([len(w) for w in words])
-    out: list[np.ndarray] = [np.empty(0, "<u4")] * len(words)
-    for i in np.flatnonzero(lengths > LONG).tolist():
-        out[i] = _merged_long(table, table.single[np.frombuffer(words[i], np.uint8)]).astype("<u4")
+def _matrices(table: Merges, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of words of like length, and their single-byte ids as a padded matrix: widths double from bucket to bucket in two steps."""
+    lengths = np.array([len(w) for w in words], np.int64)
     bucket = np.ceil(np.log2(np.maximum(lengths, 1)) * 2).astype(int)
     for b in np.unique(bucket):
-        members = np.flatnonzero((bucket == b) & (lengths > 0) & (lengths <= LONG))
+        members = np.flatnonzero((bucket == b) & (lengths > 0))
         step = max(1, CELLS // max(1, int(lengths[members].max(initial=1))))
         for lo in range(0, len(members), step):
             some = members[lo : lo + step]
             width = int(lengths[some].max())
             raw = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in some.tolist()), np.uint8).reshape(len(some), width)
-            ids = np.where(np.arange(width) < lengths[some][:, None], table.single[raw], -1)
-            final, size = _merged(table, ids)
-            flat = final[final >= 0].astype("<u4")
-            ends = np.cumsum(size)
-            for i, e, n in zip(some.tolist(), ends.tolist(), size.tolist()):
-                out[i] = flat[e - n : e]
+            yield some, np.where(np.arange(width) < lengths[some][:, None], table.single[raw], -1)
+
+
+def encode_words(table: Merges, words: list[bytes]) -> list[np.ndarray]:
+    """Ids of each word, words of like length together. Words over LONG bytes take a matrix of one row if the table isn't `ordered`."""
+    out: list[np.ndarray] = [np.empty(0, "<u4")] * len(words)
+    whole = [i for i, w in enumerate(words) if len(w) > LONG and table.ordered]
+    for i in whole:
+        out[i] = _merged_long(table, table.single[np.frombuffer(words[i], np.uint8)]).astype("<u4")
+    apart = set(whole)
+    for some, ids in _matrices(table, [b"" if i in apart else w for i, w in enumerate(words)]):
+        final, size = _merged(table, ids)
+        flat = final[final >= 0].astype("<u4")
+        ends = np.cumsum(size)
+        for i, e, n in zip(some.tolist(), ends.tolist(), size.tolist()):
+            out[i] = flat[e - n : e]
     return out
 
 
@@ -263,4 +290,5 @@ def _task(docs, key, text, path, pattern, made, fields):
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every whole text, and of what they decode to; see `digests`."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

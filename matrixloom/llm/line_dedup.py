@@ -63,6 +63,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its lines counted and repeated windows removed; see `line_dedup`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return line_dedup(docs).select("doc_id", "n_lines", "n_removed", "kept_text")
 

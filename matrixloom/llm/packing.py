@@ -219,8 +219,12 @@ def packed(docs: DataFrame, text: str = "text", path: str | None = None, length:
     piece's number among those of its length is its number in its batch plus what earlier batches hold.
     """
     cut = written(pieces(docs, text, path, length, end), "pieces")
-    held = cut.groupBy("length", "batch").agg(F.count(F.lit(1)).alias("n"))
-    before = held.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("batch")) - F.col("n")).drop("n")
+    held = cut.groupBy("length", "batch").agg(F.count(F.lit(1)).alias("n")).withColumn("task", F.shiftright("batch", 32))
+    # counts of earlier tasks, then of earlier batches of the own task: no window holds all batches of a length
+    tasks = held.groupBy("length", "task").agg(F.sum("n").alias("m"))
+    tasks = tasks.select("length", "task", (F.sum("m").over(Window.partitionBy("length").orderBy("task")) - F.col("m")).alias("earlier"))
+    inside = F.sum("n").over(Window.partitionBy("length", "task").orderBy("batch")) - F.col("n")
+    before = held.withColumn("inside", inside).join(tasks, ["length", "task"]).select("length", "batch", (F.col("earlier") + F.col("inside")).alias("before"))
     counts = np.zeros(length + 1, np.int64)
     for size, n in cut.groupBy("length").count().collect():
         counts[size] = n
@@ -245,5 +249,6 @@ def packed(docs: DataFrame, text: str = "text", path: str | None = None, length:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 1024 tokens; see `packed`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return packed(docs.select("doc_id", "text")).select("row.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from operator import eq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, slices, whole_row, written
+from .common import Words, lean, run_hashes, slices, whole_row, words_of, written
 
 #: Fixed values of the base rules: symbols, words in a repeat window, fewest words, most repeated words in a hundred.
 SYMBOLS, REPEAT, MIN_WORDS, MAX_REPEAT = "#*$%&|<>", 8, 20, 30
@@ -20,39 +17,74 @@ _SPACE = " \t\n\v\f\r"
 MEASURES = {"symbol_permille": (10, False), "dup_line_permille": (75, False), "repeat_permille": (50, False), "echo_permille": (25, False), "word_length_centi": (25, True)}
 #: A fence lies this many spreads (median less lower quartile) from the median.
 REACH = 6
-#: Documents that a group needs to have thresholds of its own; smaller ones take their language's, then all documents'.
-MIN_GROUP = 50
+#: Documents that a language's sketch counts for in the sketch of each of its groups, and that the sketch of all counts for in every group.
+PRIOR = 50
+#: Parts in which sketches are blended: the weight of one document.
+PARTS = 1000
 #: Leading bits that a sketch keeps of a value: bucket edges are within 1/32 below the values.
 PRECISION = 6
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_echo_words"]
 
 
+def _within(w: Words, width: int) -> np.ndarray:
+    """Whether a run of `width` words that starts at each word ends in the same text."""
+    return np.arange(len(w.h)) + width <= np.repeat(w.first[1:], np.diff(w.first))
+
+
+def _per_text(w: Words, marked: np.ndarray) -> np.ndarray:
+    """How many of each text's words are marked."""
+    return np.diff(np.concatenate(([0], np.cumsum(marked)))[w.first])
+
+
+def _repeats(w: Words, width: int = REPEAT) -> np.ndarray:
+    """For each text, words covered by windows of `width` words that occur twice or more in it, the first occurrence included.
+
+    Windows are sorted by text and 128 bits of hash, so a text costs some numbers a word.
+    """
+    at = np.flatnonzero(_within(w, width))
+    a, b = (run_hashes(h, width)[at] for h in w.hashes)
+    whose = w.text_of()[at]
+    order = np.lexsort((b, a, whose))
+    same = np.ones(max(len(at) - 1, 0), bool)
+    for x in (a[order], b[order], whose[order]):
+        same &= x[1:] == x[:-1]
+    twice = np.zeros(len(at), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    covered = np.zeros(len(w.h) + 1, np.int64)
+    np.add.at(covered, at[twice], 1)
+    np.add.at(covered, at[twice] + width, -1)
+    return _per_text(w, np.cumsum(covered[:-1]) > 0)
+
+
 def repeated_words(words: list[bytes], width: int = REPEAT) -> int:
-    """Words covered by windows of `width` words that occur twice or more, the first occurrence included."""
-    grams = list(zip(*(words[k:] for k in range(width))))
-    if len(set(grams)) == len(grams):
-        return 0
-    times, total, end = Counter(grams), 0, 0
-    for i, g in enumerate(grams):
-        if times[g] > 1:
-            total += i + width - max(i, end)
-            end = i + width
-    return total
+    """Words of one text in windows of `width` words that occur twice or more in it."""
+    return int(_repeats(words_of([b" ".join(words)], 2), width)[0])
+
+
+def counts_of(texts: list[str | None]) -> np.ndarray:
+    """The COUNTS of each text, a row each; all 0 for a null one. Lines count if they hold a word; an echo equals the word before it."""
+    w = words_of([t.encode("utf-8", "surrogatepass") if t else b"" for t in texts], 2)
+    echo = np.zeros(len(w.h), bool)
+    echo[1:] = True
+    for h in (*w.hashes, w.text_of()):
+        echo[1:] &= h[1:] == h[:-1]
+    out = np.zeros((len(texts), len(COUNTS)), np.int64)
+    out[:, 0], out[:, 5], out[:, 6] = np.diff(w.first), _repeats(w), _per_text(w, echo)
+    for i, t in enumerate(texts):
+        if t:
+            lines = [x for x in t.split("\n") if x.strip(_SPACE)]
+            out[i, 1:5] = len(t) - sum(t.count(c) for c in _SPACE), sum(t.count(c) for c in SYMBOLS), len(lines), len(lines) - len(set(lines))
+    return out
 
 
 def text_counts(text: str | None) -> tuple[int, ...]:
-    """The COUNTS of a text; all 0 for a null one. Lines count if they hold a word; an echo equals the word before it."""
-    if not text:
-        return (0,) * len(COUNTS)
-    words = text.encode("utf-8", "surrogatepass").split()
-    lines = [x for x in text.split("\n") if x.strip(_SPACE)]
-    chars = len(text) - sum(text.count(c) for c in _SPACE)
-    return len(words), chars, sum(text.count(c) for c in SYMBOLS), len(lines), len(lines) - len(set(lines)), repeated_words(words), sum(map(eq, words, words[1:]))
+    """The COUNTS of one text."""
+    return tuple(counts_of([text])[0].tolist())
 
 
 @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
 def _counts(text: pa.Array) -> pa.Array:
-    rows = np.array([text_counts(t) for some in slices(text) for t in some], np.int64).reshape(-1, len(COUNTS))
+    rows = np.concatenate([np.empty((0, len(COUNTS)), np.int64), *map(counts_of, slices(text))])
     return pa.StructArray.from_arrays([pa.array(x) for x in rows.T], COUNTS)
 
 
@@ -89,33 +121,40 @@ def sketches(rows: DataFrame) -> DataFrame:
     return each.groupBy("lang", "source", "p.measure", "p.edge").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _fences(sketch: DataFrame, group: list[str]) -> DataFrame:
-    """size, low and high of each group and measure, from the sketches merged to that group."""
+def _prior(sketch: DataFrame, group: list[str]) -> DataFrame:
+    """(group, measure, edge, w): sketches merged to groups, each scaled to PRIOR documents."""
     merged = sketch.groupBy(*group, "measure", "edge").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy(*group, "measure")
-    ranked = merged.select("*", F.sum("n").over(w).alias("size"), F.sum("n").over(w.orderBy("edge")).alias("upto"))
-    at = lambda share: F.min(F.when(F.col("upto") * 100 >= F.col("size") * share, F.col("edge")))
-    q = ranked.groupBy(*group, "measure").agg(F.max("size").alias("size"), at(25).alias("q25"), at(50).alias("q50"))
-    least = F.create_map(*[F.lit(v) for k, (s, _) in MEASURES.items() for v in (k, s)])[F.col("measure")]
-    reach = F.greatest(F.col("q50") - F.col("q25"), least) * REACH
-    below = F.col("measure").isin([k for k, (_, two) in MEASURES.items() if two])
-    return q.select(*group, "measure", "size", F.when(below, F.col("q50") - reach).otherwise(F.lit(0)).cast("long").alias("low"), (F.col("q50") + reach).cast("long").alias("high"))
+    size = F.sum("n").over(Window.partitionBy(*group, "measure"))
+    return merged.withColumn("size", size).select(*group, "measure", "edge", F.expr(f"n * {PRIOR * PARTS} div size").alias("w"))
 
 
-def thresholds(sketch: DataFrame) -> DataFrame:
-    """One row for each language and source in the sketches: low and high of each measure as columns.
+def blended(sketch: DataFrame) -> DataFrame:
+    """(lang, source, measure, edge, w): every group's own sketch plus those of its language and of all, as PRIOR documents each.
 
-    A group of under MIN_GROUP rows takes the merged sketch of its language, and a language of
-    under MIN_GROUP rows that of all.
+    So a small group has about its language's quantiles and a large one its own, with no size at which that changes.
+    Sketches hold some hundred edges a measure whatever the number of documents.
     """
-    by_source = _fences(sketch, ["lang", "source"]).alias("s")
-    by_lang = _fences(sketch, ["lang"]).alias("l")
-    overall = _fences(sketch, []).alias("o")
-    joined = by_source.join(by_lang, F.col("s.lang").eqNullSafe(F.col("l.lang")) & (F.col("s.measure") == F.col("l.measure"))).join(overall, F.col("s.measure") == F.col("o.measure"))
-    pick = lambda x: F.when(F.col("s.size") >= MIN_GROUP, F.col(f"s.{x}")).when(F.col("l.size") >= MIN_GROUP, F.col(f"l.{x}")).otherwise(F.col(f"o.{x}"))
-    chosen = joined.select("s.lang", "s.source", "s.measure", pick("low").alias("low"), pick("high").alias("high"))
+    groups = sketch.select("lang", "source", "measure").distinct().alias("g")
+    lang, overall = _prior(sketch, ["lang"]).alias("p"), _prior(sketch, []).alias("p")
+    measure = F.col("g.measure") == F.col("p.measure")
+    parts = [groups.join(p, on).select("g.lang", "g.source", "g.measure", "p.edge", "p.w") for p, on in ((lang, measure & F.col("g.lang").eqNullSafe(F.col("p.lang"))), (overall, measure))]
+    own = sketch.select("lang", "source", "measure", "edge", (F.col("n") * PARTS).alias("w"))
+    return own.union(parts[0]).union(parts[1]).groupBy("lang", "source", "measure", "edge").agg(F.sum("w").alias("w"))
+
+
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """One row for each language and source in the sketches: low and high of each measure as columns, from the blended sketch."""
+    group = ["lang", "source", "measure"]
+    w = Window.partitionBy(*group)
+    ranked = blended(sketch).select("*", F.sum("w").over(w).alias("size"), F.sum("w").over(w.orderBy("edge")).alias("upto"))
+    at = lambda share: F.min(F.when(F.col("upto") * 100 >= F.col("size") * share, F.col("edge")))
+    q = ranked.groupBy(*group).agg(at(25).alias("q25"), at(50).alias("q50"))
+    least = F.create_map(*[F.lit(v) for k, (s, _) in MEASURES.items() for v in (k, s)])[F.col("measure")]
+    reach = F.greatest(F.col("q50") - F.col("q25"), least) * REACH
+    below = F.col("measure").isin([k for k, (_, two) in MEASURES.items() if two])
+    fences = q.select(*group, F.when(below, F.col("q50") - reach).otherwise(F.lit(0)).cast("long").alias("low"), (F.col("q50") + reach).cast("long").alias("high"))
     columns = [F.max(F.when(F.col("measure") == x, F.col(end))).alias(f"{x}_{end}") for x in MEASURES for end in ("low", "high")]
-    return chosen.groupBy("lang", "source").agg(*columns)
+    return fences.groupBy("lang", "source").agg(*columns)
 
 
 def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
@@ -136,10 +175,12 @@ def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", sour
     Null texts count as empty and fail. Null languages and sources are groups of their own. Equal rows are judged alike.
     """
     limits = written(thresholds(sketches(measured(docs, text, lang, source))), "quality-limits")
+    # texts are counted again, since rows that carry them would have to be written beside their counts
     return judged(measured(docs, text, lang, source), limits).where("kept").select("row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; texts are counted once, and their counts written for both uses."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     rows = written(measured(docs).select(F.col("row.doc_id").alias("doc_id"), "lang", "source", "c", "base_failed", "m"), "quality-rows")
     limits = written(thresholds(sketches(rows)), "quality-limits")
@@ -154,12 +195,9 @@ def _sql(documents: str) -> str:
         f"({x} >> greatest(length(bin({x})) - {PRECISION}, 0)) << greatest(length(bin({x})) - {PRECISION}, 0) AS edge FROM measured WHERE NOT base_failed"
         for x, (s, two) in MEASURES.items()
     )
-    level = lambda name, group: f"""{name} AS (
-  SELECT {group} measure, max(size) AS size,
-         CASE WHEN any_value(two) THEN min(edge) FILTER (WHERE upto * 100 >= size * 50) - {REACH} * greatest(min(edge) FILTER (WHERE upto * 100 >= size * 50) - min(edge) FILTER (WHERE upto * 100 >= size * 25), any_value(least)) ELSE 0 END AS low,
-         min(edge) FILTER (WHERE upto * 100 >= size * 50) + {REACH} * greatest(min(edge) FILTER (WHERE upto * 100 >= size * 50) - min(edge) FILTER (WHERE upto * 100 >= size * 25), any_value(least)) AS high
-  FROM (SELECT *, count(*) OVER (PARTITION BY {group} measure) AS size, count(*) OVER (PARTITION BY {group} measure ORDER BY edge) AS upto FROM edge)
-  GROUP BY {group} measure)"""
+    prior = lambda name, group: f"""{name} AS (
+  SELECT {group} measure, edge, n * {PRIOR * PARTS} // sum(n) OVER (PARTITION BY {group} measure) AS w
+  FROM (SELECT {group} measure, edge, count(*) AS n FROM edge GROUP BY {group} measure, edge))"""
     return f"""
 doc AS (SELECT *, row_number() OVER () AS k FROM {documents}),
 word AS (
@@ -188,12 +226,21 @@ measured AS (
          n_repeat_words * 1000 // greatest(n_words, 1) AS repeat_permille, n_echo_words * 1000 // greatest(n_words, 1) AS echo_permille, word_chars * 100 // greatest(n_words, 1) AS word_length_centi
   FROM counted),
 edge AS ({edges}),
-{level("by_source", "lang, source,")}, {level("by_lang", "lang,")}, {level("overall", "")},
+{prior("by_lang", "lang,")}, {prior("overall", "")},
+grp AS (SELECT lang, source, measure, any_value(least) AS least, any_value(two) AS two FROM edge GROUP BY lang, source, measure),
+blend AS (
+  SELECT lang, source, measure, edge, sum(w) AS w FROM (
+    SELECT lang, source, measure, edge, count(*) * {PARTS} AS w FROM edge GROUP BY lang, source, measure, edge
+    UNION ALL SELECT g.lang, g.source, g.measure, edge, w FROM grp g JOIN by_lang b ON g.lang IS NOT DISTINCT FROM b.lang AND g.measure = b.measure
+    UNION ALL SELECT g.lang, g.source, g.measure, edge, w FROM grp g JOIN overall o ON g.measure = o.measure)
+  GROUP BY lang, source, measure, edge),
+quart AS (
+  SELECT lang, source, measure, min(edge) FILTER (WHERE upto * 100 >= size * 25) AS q25, min(edge) FILTER (WHERE upto * 100 >= size * 50) AS q50
+  FROM (SELECT *, sum(w) OVER (PARTITION BY lang, source, measure) AS size, sum(w) OVER (PARTITION BY lang, source, measure ORDER BY edge) AS upto FROM blend)
+  GROUP BY lang, source, measure),
 fence AS (
-  SELECT s.lang, s.source, s.measure,
-         CASE WHEN s.size >= {MIN_GROUP} THEN s.low WHEN l.size >= {MIN_GROUP} THEN l.low ELSE o.low END AS low,
-         CASE WHEN s.size >= {MIN_GROUP} THEN s.high WHEN l.size >= {MIN_GROUP} THEN l.high ELSE o.high END AS high
-  FROM by_source s JOIN by_lang l ON s.lang IS NOT DISTINCT FROM l.lang AND s.measure = l.measure JOIN overall o ON s.measure = o.measure),
+  SELECT g.lang, g.source, g.measure, CASE WHEN two THEN q50 - {REACH} * greatest(q50 - q25, least) ELSE 0 END AS low, q50 + {REACH} * greatest(q50 - q25, least) AS high
+  FROM quart q JOIN grp g ON g.lang IS NOT DISTINCT FROM q.lang AND g.source IS NOT DISTINCT FROM q.source AND g.measure = q.measure),
 outside AS (
   SELECT DISTINCT m.k FROM measured m JOIN fence f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
   WHERE CASE f.measure {" ".join(f"WHEN '{x}' THEN m.{x}" for x in MEASURES)} END NOT BETWEEN f.low AND f.high),

@@ -107,4 +107,5 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole document; see `token_counts`."""
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -98,15 +98,17 @@ def _chosen(counts: DataFrame, toxic: int, clean: int) -> list:
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample: int = SAMPLE, rounds: int = 400, ridge: float = 1e-3) -> Model:
-    """Fits the classifier on labelled rows: `sample` of them at most, those of least hash of the key (rows that share the last key come together).
+    """Fits the classifier on labelled rows: `sample` of them at most, those of least hash of the key, then of the text. Equal rows count once, so copies of a key can't raise the bound.
 
     Rows with a null label are left out, null texts count as empty. With no labelled rows every score is 0.5.
     The driver gets the chosen features and the sampled rows' hits on them, both bounded by the parameters.
     """
-    used = lean(labelled).dropna(subset=[label]).select(F.col(text).alias("text"), F.col(label).cast("int").alias("toxic"), F.xxhash64(key).alias("h"))
+    used = lean(labelled).dropna(subset=[label]).select(F.col(text).alias("text"), F.col(label).cast("int").alias("toxic"), F.struct(F.xxhash64(key).alias("k"), F.xxhash64(text).alias("t")).alias("h"))
     # hashes alone find the bound, so that no task gathers texts
-    bound = used.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    kept = written(used.where(F.col("h") <= F.lit(bound)).select("text", "toxic"), "toxicity-sample")
+    bound = used.select("h", "toxic").distinct().orderBy("h", "toxic").limit(sample).agg(F.max(F.struct("h", "toxic")).alias("b")).first()["b"]
+    last = bound and F.struct(F.struct(F.lit(bound.h.k).cast("long").alias("k"), F.lit(bound.h.t).cast("long").alias("t")).alias("h"), F.lit(bound.toxic).alias("toxic"))
+    inside = F.lit(False) if bound is None else F.struct("h", "toxic") <= last
+    kept = written(used.where(inside).groupBy("h", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "toxicity-sample")
     size = {r["toxic"]: r["count"] for r in kept.groupBy("toxic").count().collect()}
     rows = _chosen(_counts(kept), size.get(1, 0), size.get(0, 0))
     feature = np.full(1 << HASH_BITS, -1, np.int32)
@@ -172,6 +174,7 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by the classifier that is fitted on labelled rows outside the held-out remainder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id")))
     known = labels.dropna(subset=["doc_id", "toxic"]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))

@@ -92,6 +92,7 @@ def production_rules(spark: SparkSession) -> DataFrame:
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, longest rule and verdict of every page's URL."""
     return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"), production_rules(spark))
 
 
