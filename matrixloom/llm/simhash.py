@@ -16,7 +16,7 @@ from .components import connected_components
 BITS = 64
 #: Words in a shingle, seed of its hash, and bits in which linked fingerprints differ at most.
 SHINGLE, SEED, DISTANCE = 3, 42, 2
-#: Fingerprints with a common key up to which they are compared in pairs. Beyond it they are linked through hubs, as exactly.
+#: Fingerprints with a common key up to which they are compared in pairs. Beyond it the key is extended, without losing a link.
 PAIRWISE = 128
 
 
@@ -62,8 +62,8 @@ def _bits(fp: Column, low: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
 
 
-def _keys(distance: int) -> Column:
-    """Equi-join keys: a segment that agrees, and a half of the next one.
+def _chains(distance: int) -> list[tuple[int, int, int, int]]:
+    """Equi-join keys: lowest bit and width of a segment that agrees, and width and lowest bit of a half of the next one.
 
     With d + 1 segments some segment starts a chain whose first l segments differ in at most
     l * d / (d + 1) bits for every l. So the first agrees, and the second differs in one bit at
@@ -73,9 +73,8 @@ def _keys(distance: int) -> Column:
     for i, (low, width) in enumerate(seg):
         nlow, nwidth = seg[(i + 1) % len(seg)]
         half = nwidth // 2
-        for j, (hlow, hwidth) in enumerate(((nlow, half), (nlow + half, nwidth - half))):
-            out.append(F.struct(F.lit(2 * i + j).alias("slot"), _bits(F.col("fp"), low, width).alias("same"), _bits(F.col("fp"), hlow, hwidth).alias("half")))
-    return F.array(*out)
+        out += [(low, width, half, nlow), (low, width, nwidth - half, nlow + half)]
+    return out
 
 
 def _chain_holds(x: Column, slot: Column, distance: int) -> Column:
@@ -92,40 +91,55 @@ def _chain_holds(x: Column, slot: Column, distance: int) -> Column:
     return held
 
 
-def _flips(fp: Column, distance: int) -> Column:
-    """Hubs such that two fingerprints share one just if they differ in at most `distance` bits (1 or 2)."""
-    if distance == 2:  # the fingerprint and all at one bit from it
-        return F.array(*[F.struct(F.lit(0).alias("bit"), fp.alias("hub"))] + [F.struct(F.lit(0).alias("bit"), fp.bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))).alias("hub")) for k in range(BITS)])
-    return F.array(*[F.struct(F.lit(k).alias("bit"), fp.bitwiseAND(F.lit(~(1 << k) if k < 63 else (1 << 63) - 1)).alias("hub")) for k in range(BITS)])
+def _signed(mask: int) -> Column:
+    return F.lit(mask - (1 << BITS) if mask >> BITS - 1 else mask).cast("long")
+
+
+def _parts(level: int, parts: int) -> list[int]:
+    """All bits dealt to parts, differently at each level: masks."""
+    order = np.random.default_rng(level).permutation(BITS).tolist()
+    return [sum(1 << k for k in order[i::parts]) for i in range(parts)]
 
 
 def links(distinct: DataFrame, distance: int = DISTANCE, pairwise: int = PAIRWISE) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) that connect all those within `distance` bits (0 to 2).
+    """(a, b): links between distinct fingerprints (column fp) that connect all those within `distance` bits.
 
     Keys that one fingerprint alone has are dropped first. Fingerprints that share a key with at most
-    `pairwise` others are compared in pairs: chain budgets, then the whole Hamming distance. Larger
-    buckets go through hubs, of which none holds over 65 fingerprints, so that no bucket makes
-    pairs in its square; within a hub each is linked to the least one.
+    `pairwise` others are compared in pairs: chain budgets, then the whole Hamming distance. More crowded keys
+    go on to further segments: all bits are dealt to distance + 1 parts, of which at least one agrees, and each part
+    is joined to the key in turn; a level deals the bits anew. What a key leaves open shrinks at each level, and a key that leaves
+    `distance` bits open has 2 ** distance fingerprints at most, so no bucket makes pairs in its square and no link is lost.
     """
-    if distance not in (0, 1, 2):
-        raise ValueError("distance is 0, 1 or 2")
+    if distance < 0:
+        raise ValueError("distance is 0 or more")
     if distance == 0:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("a <> b")
-    keyed = distinct.select("fp", F.explode(_keys(distance)).alias("k")).select("fp", "k.slot", "k.same", "k.half")
-    key = ["slot", "same", "half"]
-    shared = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(keyed.join(shared, key), "simhash-buckets")
-    few = members.where(F.col("n") <= pairwise)
+    most = max(pairwise, 1 << distance)
+    known = []
+    for low, width, half, at in _chains(distance):
+        known += [((1 << width) - 1) << low | ((1 << half) - 1) << at]
+    key = ["slot", "known", "bits"]
+    made = F.array(*[F.struct(F.lit(i).alias("slot"), _signed(m).alias("known")) for i, m in enumerate(known)])
+    keyed = distinct.select("fp", F.explode(made).alias("k")).select("fp", "k.slot", "k.known", F.col("fp").bitwiseAND(F.col("k.known")).alias("bits"))
     x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
-    pairs = (
-        few.alias("l").join(few.alias("r"), key).where("l.fp < r.fp")
-        .where(_chain_holds(x, F.col("slot"), distance)).where(F.bit_count(x) <= distance)
-        .select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
-    )
-    crowded = members.where(F.col("n") > pairwise).select("fp").distinct()
-    hubs = crowded.select("fp", F.explode(_flips(F.col("fp"), distance)).alias("h")).groupBy("h.bit", "h.hub").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    stars = hubs.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
-    return pairs.union(stars).distinct()
+    out = None
+    for level in range(1, 1 << 10):
+        shared = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        members = written(keyed.join(shared, key), "simhash-buckets")
+        few = members.where(F.col("n") <= most)
+        pairs = (
+            few.alias("l").join(few.alias("r"), key).where("l.fp < r.fp")
+            .where(_chain_holds(x, F.col("slot"), distance)).where(F.bit_count(x) <= distance)
+            .select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+        )
+        out = pairs if out is None else out.union(pairs)
+        crowded = members.where(F.col("n") > most)
+        if crowded.isEmpty():
+            break
+        more = F.explode(F.array(*[_signed(m) for m in _parts(level, distance + 1)]))
+        wider = crowded.select("fp", "slot", "known", more.alias("more")).select("fp", "slot", F.col("known").bitwiseOR(F.col("more")).alias("known"))
+        keyed = wider.distinct().select("*", F.col("fp").bitwiseAND(F.col("known")).alias("bits"))
+    return out.distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED, distance: int = DISTANCE, pairwise: int = PAIRWISE) -> DataFrame:
