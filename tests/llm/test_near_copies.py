@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from matrixloom.llm import components, simhash
 
@@ -82,3 +85,96 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["component"] for r in components.connected_components(df).collect()}
     want = {k: 0 for k in range(41)} | {k: 100 for k in range(100, 160)} | {300: 300, 301: 300}
     assert got == want
+
+
+@pytest.mark.parametrize("distance", [3, 5])
+def test_crowded_keys_lose_no_link_at_wider_distances(spark, distance):
+    rng = random.Random(distance)
+    centre = [rng.getrandbits(64) for _ in range(3)]
+    fps = []
+    for _ in range(150):
+        f = rng.choice(centre)
+        for k in rng.sample(range(64), rng.randint(0, 4)):
+            f ^= 1 << k
+        fps.append(f)
+    groups = {}
+    for k, r in enumerate(plain_components(fps, distance)):
+        groups.setdefault(r, []).append(k)
+    assert linked(spark, fps, distance, 16) == sorted(groups.values())
+
+
+def shingles(text, k=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def plain_alike(texts, distance=simhash.WIDE_DISTANCE):
+    """Least number of each text's component under the rule that is documented, by comparing all pairs."""
+    fps = [x.tobytes().hex() for x in simhash.wide_fingerprints(texts)]
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ring = [f + f for f in fps]
+    for i in range(len(fps)):
+        for j in range(i):
+            if (int(fps[i], 16) ^ int(fps[j], 16)).bit_count() <= distance and any(ring[i][o : o + 5] == ring[j][o : o + 5] for o in range(0, 128, 2)):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(fps))]
+
+
+def test_wide_fingerprints_vote_over_distinct_shingles():
+    one = "the quick brown fox jumps over the lazy dog again"
+    a, b, c, d, e = simhash.wide_fingerprints([one, one.upper() + " ", None, "", "one two"])
+    assert (a == b).all() and not c.any() and not d.any() and e.any()
+    again = simhash.wide_fingerprints([" ".join([one] * 3), "x " * 1000, "x x x x x"])
+    assert (simhash.wide_fingerprints([" ".join([one] * 9)])[0] == again[0]).all() and (again[1] == again[2]).all()
+
+
+def planted(rng, groups=60):
+    """Texts with edited copies: some words of each copy are replaced."""
+    word = lambda: "".join(rng.choice(("ba", "de", "li", "mo", "ru", "sa", "ti")) for _ in range(rng.randint(1, 4)))
+    out = []
+    for _ in range(groups):
+        base = [word() for _ in range(rng.randint(60, 400))]
+        out.append(" ".join(base))
+        for _ in range(3):
+            copy = [word() if rng.random() < 0.008 else w for w in base]
+            out.append(" ".join(copy))
+    return out
+
+
+def test_planted_near_copies_are_found_and_others_left_alone(make):
+    texts = planted(random.Random(8))
+    sets = [shingles(t) for t in texts]
+    part = {r["doc"]: r["component"] for r in simhash.alike(make([*enumerate(texts)])).collect()}
+    pairs = [(i, j, len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for i in range(len(texts)) for j in range(i)]
+    near = [(i, j) for i, j, x in pairs if x >= 0.8]
+    assert len(near) > 150
+    assert np.mean([part[i] == part[j] for i, j in near]) >= 0.9
+    assert all(i // 4 == part[i] // 4 for i in part)
+
+
+def test_alike_rows_equal_a_plain_loop(make, prose):
+    rows = [(k + 5, t) for k, t in enumerate(prose)] + [(None, prose[3]), (2, None), (2, None), (None, "alone one two")]
+    docs = make(rows).withColumn("component", F.lit("clash")).withColumn("fp", F.lit(1))
+    got = sorted((tuple(r) for r in simhash.alike(docs).collect()), key=str)
+    least = {}
+    roots = plain_alike([t for _, t in rows])
+    for (k, _), r in zip(rows, roots):
+        least[r] = min([x for x in (least.get(r), k) if x is not None], default=None)
+    assert got == sorted([(k, least[r]) for (k, _), r in zip(rows, roots)], key=str)
+    assert simhash.alike(make([])).isEmpty()
+
+
+def test_crowded_chains_go_on(spark, monkeypatch):
+    texts = planted(random.Random(9), 4)
+    fps = [x.tobytes().hex() for x in simhash.wide_fingerprints(texts)]
+    nodes = spark.createDataFrame([*enumerate(fps)], "id long, fp string")
+    found = {(r["a"], r["b"]) for r in simhash.chain_links(nodes, pairwise=2).collect()}
+    assert all(a // 4 == b // 4 for a, b in found)
+    assert {r["node"]: r["component"] for r in components.connected_components(simhash.chain_links(nodes, pairwise=2)).collect()} == {k: k // 4 * 4 for k in range(16)}
