@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, lean, mixed, run_hashes, slices, words_of, written
+from .common import lean, mixed, run_hashes, slices, words_of, written
 from .components import connected_components
 
 BITS = 64
@@ -161,8 +162,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 #: Fingerprints for copies that are merely alike: bits, words in a shingle, and bits in which they differ at most: a Jaccard index of 0.8 leaves 78 on average, with a spread of 8.
 WIDE, WIDE_SHINGLE, WIDE_DISTANCE = 512, 5, 88
-#: Hex digits (segments of four bits) of a chain that agrees, and segments from one chain's start to the next.
-CHAIN, STRIDE = 5, 2
+#: Bits of a segment, and bits by which a chain is wider than the logarithm of the number of fingerprints: strangers seldom share one.
+SEGMENT, SPARE = 4, 4
 #: A byte's bits, each in a byte of its own.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8")[:, 0]
 
@@ -197,37 +198,44 @@ def wide_fingerprints(texts: list[str | None], shingle: int = WIDE_SHINGLE) -> n
     return out
 
 
-def chain_links(nodes: DataFrame, distance: int = WIDE_DISTANCE, chain: int = CHAIN, stride: int = STRIDE, pairwise: int = PAIRWISE) -> DataFrame:
-    """(a, b): links between nodes (id; fp, a hex string) whose fingerprints differ in at most `distance` bits.
+def chains(fps: np.ndarray, width: int) -> np.ndarray:
+    """The `width` bits (62 at most) from each segment of the ring on, as integers: a row for each row of bytes, a column for each segment."""
+    bits = np.unpackbits(fps, axis=1)
+    ring = np.concatenate([bits, bits[:, :width]], 1)
+    out = np.zeros((len(fps), WIDE // SEGMENT), np.int64)
+    for k in range(width):
+        out = out << 1 | ring[:, k : k + WIDE : SEGMENT]
+    return out
+
+
+def chain_width(n: int) -> int:
+    """Bits of a chain among n fingerprints."""
+    return min(60, math.ceil(math.log2(max(n, 2))) + SPARE)
 
-    The segments are the hex digits. Of the chains that stay within their budgets those that agree throughout are
-    looked up, from every `stride`-th segment, so not all links are found: the more alike, the likelier. Up to `pairwise`
-    nodes of a chain are compared in pairs. In more crowded ones every node is compared with the least, and chains go on to twice their
-    length, up to the whole ring. Candidates are ids; fingerprints join them once each for the Hamming distance.
+
+def chain_links(nodes: DataFrame, width: int, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """(a, b): links between nodes (id; fp, eight longs) whose fingerprints differ in at most `distance` bits.
+
+    Of the chains of segments that stay within their budgets those that agree in `width` bits are looked up, from every segment of the ring on,
+    so not all links are found: the more alike, the likelier. Each node of a chain is compared with the least one of it, and two that
+    aren't the least meet through it or in another chain. So candidates are at most as many as segments for each node,
+    however large a group. Candidates are ids; fingerprints join them once each for the Hamming distance.
     """
-    digits = WIDE // 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column(1).flatten().to_numpy().reshape(len(b), WIDE // 64)
+            runs = chains(np.ascontiguousarray(words).view(np.uint8), width)
+            start = np.tile(np.arange(runs.shape[1], dtype=np.int32), len(b))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), runs.shape[1])), pa.array(start), pa.array(runs.ravel())], ["id", "start", "run"])
+
     key = ["start", "run"]
-    starts = F.explode(F.sequence(F.lit(1), F.lit(digits), F.lit(stride)))
-    open_ = nodes.select("id", "fp", starts.alias("start"))
-    found = None
-    while True:
-        keyed = open_.select("id", "start", F.substring(F.concat("fp", "fp"), F.col("start"), F.lit(chain)).alias("run"))
-        shared = written(keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1"), "simhash-chains")
-        members = written(keyed.join(shared, key), "simhash-buckets")
-        few, crowded = members.where(F.col("n") <= pairwise), members.where(F.col("n") > pairwise)
-        pairs = few.alias("l").join(few.alias("r"), key).where("l.id < r.id").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-        some = written(pairs.union(crowded.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))).distinct(), "simhash-candidates")
-        found = some if found is None else found.union(some)
-        discard(shared)
-        if chain >= digits or crowded.isEmpty():
-            break
-        chain = min(2 * chain, digits)
-        open_ = crowded.select("id", "start").join(nodes, "id")
+    keyed = nodes.select("id", "fp").mapInArrow(run, "id long, start int, run long")
+    shared = written(keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a")).where("n > 1").drop("n"), "simhash-chains")
+    found = keyed.join(shared, key).where("id <> a").select("a", F.col("id").alias("b")).distinct()
     each = lambda side: nodes.select(F.col("id").alias(side), F.col("fp").alias(f"fp_{side}"))
-    part = lambda side, k: F.conv(F.substring(f"fp_{side}", 1 + 8 * k, 8), 16, 10).cast("long")
-    differ = sum((F.bit_count(part("a", k).bitwiseXOR(part("b", k))) for k in range(digits // 8)), F.lit(0))
-    both = found.distinct().join(each("a"), "a").join(each("b"), "b")
-    return both.where(differ <= distance).select("a", "b")
+    differ = sum((F.bit_count(F.col("fp_a")[k].bitwiseXOR(F.col("fp_b")[k])) for k in range(WIDE // 64)), F.lit(0))
+    return found.join(each("a"), "a").join(each("b"), "b").where(differ <= distance).select("a", "b")
 
 
 def alike(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = WIDE_SHINGLE, distance: int = WIDE_DISTANCE) -> DataFrame:
@@ -240,20 +248,21 @@ def alike(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hexes = [x.tobytes().hex() for some in slices(b.column(1)) for x in wide_fingerprints(some, shingle)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hexes, pa.string())], ["doc", "fp"])
+            fps = np.concatenate([np.empty((0, WIDE // 8), np.uint8), *(wide_fingerprints(some, shingle) for some in slices(b.column(1)))])
+            longs = pa.array(fps.view(np.int64).ravel())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * (WIDE // 64)), longs)], ["doc", "fp"])
 
     texts = lean(docs).select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    rows = written(texts.mapInArrow(run, f"doc {texts.schema['doc'].dataType.simpleString()}, fp string"), "fingerprints")
+    rows = written(texts.mapInArrow(run, f"doc {texts.schema['doc'].dataType.simpleString()}, fp array<long>"), "fingerprints")
     hashed = F.xxhash64("fp").alias("id")
     nodes = written(rows.groupBy("fp").agg(F.min("doc").alias("least")).select(hashed, "fp", "least"), "simhash-nodes")
-    found = connected_components(chain_links(nodes.select("id", "fp"), distance))
+    found = connected_components(chain_links(nodes.select("id", "fp"), chain_width(nodes.count()), distance))
     linked = written(found.join(nodes, found["node"] == nodes["id"]).select("node", "component", "least"), "simhash-linked")
     best = linked.groupBy("component").agg(F.min("least").alias("reached"))
     own = linked.join(best, "component").select("node", "reached")
     # written, so that the join below has an exchange of its own on either side and a crowded fingerprint can be split
-    labelled = written(nodes.join(own, nodes["id"] == own["node"], "left").select(F.col("id").alias("of"), F.coalesce("reached", "least").alias("component")), "simhash-labels")
-    return rows.join(labelled, hashed == labelled["of"]).select("doc", "component")
+    labelled = written(nodes.join(own, nodes["id"] == own["node"], "left").select(F.col("id").alias("of"), F.col("fp").alias("own"), F.coalesce("reached", "least").alias("component")), "simhash-labels")
+    return rows.join(labelled, (hashed == labelled["of"]) & (rows["fp"] == labelled["own"])).select("doc", "component")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

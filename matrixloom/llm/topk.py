@@ -20,8 +20,8 @@ def sign_code(vector: Column) -> Column:
 
 
 def segments(n: int, bits: int = BITS) -> list[tuple[int, int]]:
-    """Lowest bit and width of each segment: about log2(n) bits wide, 3 to 8 of them."""
-    m = min(8, max(3, round(bits / max(1.0, math.log2(max(n, 2))))))
+    """Lowest bit and width of each segment: at most log2(n) bits wide for up to 2 ** 21 codes, 3 to 8 of them."""
+    m = min(8, max(3, math.ceil(bits / max(1.0, math.log2(max(n, 2))))))
     cut = [bits * i // m for i in range(m + 1)]
     return [(cut[i], cut[i + 1] - cut[i]) for i in range(m)]
 

@@ -110,7 +110,10 @@ def shingles(text, k=5):
 
 def plain_alike(texts, distance=simhash.WIDE_DISTANCE):
     """Least number of each text's component under the rule that is documented, by comparing all pairs."""
-    fps = [x.tobytes().hex() for x in simhash.wide_fingerprints(texts)]
+    rows = simhash.wide_fingerprints(texts)
+    fps = [x.tobytes() for x in rows]
+    runs = simhash.chains(rows, simhash.chain_width(len(set(fps))))
+    ids = rows_ids(rows)
     root = list(range(len(fps)))
 
     def find(x):
@@ -118,15 +121,43 @@ def plain_alike(texts, distance=simhash.WIDE_DISTANCE):
             x = root[x]
         return x
 
-    ring = [f + f for f in fps]
+    def join(i, j):
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+
     for i in range(len(fps)):
         for j in range(i):
-            if (int(fps[i], 16) ^ int(fps[j], 16)).bit_count() <= distance and any(ring[i][o : o + 5] == ring[j][o : o + 5] for o in range(0, 128, 2)):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
+            if fps[i] == fps[j]:
+                join(i, j)
+    for k in range(runs.shape[1]):
+        buckets = {}
+        for i, r in enumerate(runs[:, k].tolist()):
+            buckets.setdefault(r, []).append(i)
+        for some in buckets.values():
+            first = min(some, key=ids.__getitem__)
+            for i in some:
+                if (int.from_bytes(fps[first]) ^ int.from_bytes(fps[i])).bit_count() <= distance:
+                    join(first, i)
     return [find(i) for i in range(len(fps))]
 
 
+def rows_ids(rows):
+    """Spark's hash of eight longs."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(rows.view(np.int64).tolist())], "k long, fp array<long>")
+    return [r[0] for r in df.orderBy("k").select(F.xxhash64("fp")).collect()]
+
+
+def test_chains_are_runs_of_bits_around_the_ring():
+    rows = np.random.default_rng(3).integers(0, 256, (5, 64), np.uint8)
+    got = simhash.chains(rows, 19)
+    for row, runs in zip(rows, got):
+        bits = "".join(f"{b:08b}" for b in row) * 2
+        assert runs.tolist() == [int(bits[4 * k : 4 * k + 19], 2) for k in range(128)]
+
+
 def test_wide_fingerprints_vote_over_distinct_shingles():
     one = "the quick brown fox jumps over the lazy dog again"
     a, b, c, d, e = simhash.wide_fingerprints([one, one.upper() + " ", None, "", "one two"])
@@ -171,10 +202,11 @@ def test_alike_rows_equal_a_plain_loop(make, prose):
     assert simhash.alike(make([])).isEmpty()
 
 
-def test_crowded_chains_go_on(spark, monkeypatch):
+def test_a_large_group_makes_few_candidates(spark):
     texts = planted(random.Random(9), 4)
-    fps = [x.tobytes().hex() for x in simhash.wide_fingerprints(texts)]
-    nodes = spark.createDataFrame([*enumerate(fps)], "id long, fp string")
-    found = {(r["a"], r["b"]) for r in simhash.chain_links(nodes, pairwise=2).collect()}
-    assert all(a // 4 == b // 4 for a, b in found)
-    assert {r["node"]: r["component"] for r in components.connected_components(simhash.chain_links(nodes, pairwise=2)).collect()} == {k: k // 4 * 4 for k in range(16)}
+    fps = simhash.wide_fingerprints(texts).view(np.int64).tolist()
+    nodes = spark.createDataFrame([*enumerate(fps)], "id long, fp array<long>")
+    for width in (1, 12):  # one bit puts half of all in each chain
+        found = {(r["a"], r["b"]) for r in simhash.chain_links(nodes, width).collect()}
+        assert all(a // 4 == b // 4 for a, b in found)
+    assert {r["node"]: r["component"] for r in components.connected_components(simhash.chain_links(nodes, 12)).collect()} == {k: k // 4 * 4 for k in range(16)}
