@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -81,19 +82,31 @@ def largest_complete(cells: DataFrame, features: list, least: int) -> DataFrame:
     return size.select(F.bit_count("chosen").alias("features"), "entities", order.alias("members")).orderBy(F.desc("features"), F.desc("entities"), F.desc("members")).limit(1)
 
 
-def additive_fill(cells: DataFrame, rounds: int = 50) -> DataFrame:
+def additive_fill(cells: DataFrame, rounds: int = 500, within: float = 1e-10) -> DataFrame:
     """Missing cells as row plus column effect fitted by least squares on observed cells.
 
-    Row and column means are taken in turn; each round is two aggregations, cut by a checkpoint every ten.
+    Row and column means are taken in turn until no column effect moves by more than `within`; each round is two aggregations, cut by a
+    checkpoint every ten, where the last change is looked at. Raises if `rounds` aren't enough, or if an entity or a feature has no observed cell.
     """
+    blank = [cells.groupBy(c).agg(F.count("value").alias("n")).where("n = 0").isEmpty() for c in ("entity", "feature")]
+    if not all(blank):
+        raise ValueError("an entity or a feature has no observed cell")
     seen = cells.where(F.col("value").isNotNull())
     rows = seen.groupBy("entity").agg(F.avg("value").alias("r"))
-    cols = None
+    old, moved = None, math.inf
     for i in range(rounds):
         cols = seen.join(rows, "entity").groupBy("feature").agg(F.avg(F.col("value") - F.col("r")).alias("c"))
         rows = seen.join(cols, "feature").groupBy("entity").agg(F.avg(F.col("value") - F.col("c")).alias("r"))
+        if i % 10 == 8:
+            cols = old = cols.checkpoint()
+            rows = seen.join(cols, "feature").groupBy("entity").agg(F.avg(F.col("value") - F.col("c")).alias("r"))
         if i % 10 == 9:
             rows, cols = rows.checkpoint(), cols.checkpoint()
+            moved = cols.join(old.withColumnRenamed("c", "o"), "feature").agg(F.max(F.abs(F.col("c") - F.col("o")))).first()[0] or 0.0
+            if moved <= within:
+                break
+    if moved > within:
+        raise ValueError(f"no convergence in {rounds} rounds: effects still move by {moved}")
     return cells.join(rows, "entity", "left").join(cols, "feature", "left").select("entity", "feature", F.coalesce("value", F.col("r") + F.col("c")).alias("value"))
 
 

@@ -16,6 +16,34 @@ def average_rank(by: list, value: str) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(ties) - 1) / 2
 
 
+def value_ranks(df: DataFrame, value: str, by: list[str] | None = None, parts: int = 64) -> DataFrame:
+    """(by, value, rank): average rank of each distinct value, without a task that holds all values of a group.
+
+    Distinct values are counted and dealt to ranges between approximate quantiles; ranks are positions in a
+    range plus what lower ranges hold. Null values are left out.
+    """
+    by = by or []
+    seen = df.where(F.col(value).isNotNull())
+    n = seen.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    edges = sorted(set(seen.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / parts for i in range(1, parts)], 0.5 / parts)))
+    held = F.array(*[F.lit(e) for e in edges]) if edges else F.array().cast("array<double>")
+    n = n.withColumn("_b", F.size(F.filter(held, lambda e: e < F.col(value))))
+    own = n.groupBy(*by, "_b").agg(F.sum("_n").alias("_m"))
+    before = own.select(*by, "_b", (F.sum("_m").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_m")).alias("_before"))
+    inside = F.sum("_n").over(Window.partitionBy(*by, "_b").orderBy(value))
+    placed = n.withColumn("_upto", inside).join(F.broadcast(before) if not by else before, [*by, "_b"])
+    return placed.select(*by, value, (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2).alias("rank"))
+
+
+def numbered(df: DataFrame, by: list[str], order: str, name: str = "k", digits: int = 2) -> DataFrame:
+    """`name`: each row's number from 0 in a group by `order`, a hexadecimal hash whose leading digits deal a group to buckets."""
+    rows = df.withColumn("_b", F.substring(order, 1, digits))
+    n = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = n.select(*by, "_b", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(order)) - 1
+    return rows.withColumn("_k", inside).join(before, [*by, "_b"]).withColumn(name, F.col("_k") + F.col("_before")).drop("_b", "_k", "_before")
+
+
 def percentile_ranks(by: list, value: str) -> dict[str, Column]:
     """The three forms in use: r / n, (r - 0.5) / n, and (r - 1) / (n - 1)."""
     r, n = average_rank(by, value), F.count(F.lit(1)).over(Window.partitionBy(*by))
@@ -31,7 +59,7 @@ def normal_quantile(p: pd.Series) -> pd.Series:
 def upper_tail(df: DataFrame, value: str, position: str, share: float, later_wins: bool = True) -> DataFrame:
     """`label`: 1 for the ceil(share * n) greatest values, at least one. Among ties the later (or earlier) position wins.
 
-    Only rows above the cut's value are settled in parallel; ties at the cut, a few rows, are ranked.
+    One window ranks all rows: for pair tables and other small ones; `upper_cuts` finds the cut of a large one.
     """
     k = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(Window.partitionBy()) * F.lit(share)))
     order = Window.orderBy(F.desc(value), F.desc(position) if later_wins else F.asc(position))

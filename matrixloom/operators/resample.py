@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .geometry import _MOMENTS, correlation, pair_moments, rows_of
+from .ranks import numbered
 
 #: Rows of independently dealt columns that are shuffled together, and rows that trade together.
 BLOCK = 1024
@@ -32,9 +33,9 @@ def replicates(spark: SparkSession, count: int, draw: Callable[[int], dict[str,
 
 
 def uniform(*key: Column | str | int) -> Column:
-    """A number in (0, 1) that a key determines: the top 52 bits of a hash."""
-    parts = [k if isinstance(k, Column) else F.lit(k) for k in key]
-    return (F.shiftrightunsigned(F.xxhash64(*parts), 12).cast("double") + 0.5) / float(1 << 52)
+    """A number in (0, 1) that a key determines: the first 52 bits of SHA-256 of its parts, joined by bars."""
+    parts = [(k if isinstance(k, Column) else F.lit(k)).cast("string") for k in key]
+    return (F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def ranked(x: np.ndarray) -> np.ndarray:
@@ -456,8 +457,8 @@ def lightest_blocks(sizes: DataFrame, group: str, size: str, blocks: int) -> Dat
 
 def disjoint_supports(df: DataFrame, key: str, seed: int, size: int, supports: int) -> DataFrame:
     """(key, support): the first size * supports rows in hash order, dealt round the supports."""
-    first = df.select(key).distinct().withColumn("_h", hash_order(F.col(key), seed)).orderBy("_h", key).limit(size * supports)
-    return first.withColumn("_k", F.row_number().over(Window.orderBy("_h", key)) - 1).select(key, (F.col("_k") % supports).cast("int").alias("support"))
+    k = numbered(df.select(key).distinct().withColumn("_h", hash_order(F.col(key), seed)), [], "_h", "_at")
+    return k.where(F.col("_at") < size * supports).select(key, (F.col("_at") % supports).cast("int").alias("support"))
 
 
 def orders_of(sizes: list[int]) -> int:

@@ -71,5 +71,10 @@ GROUPS_SQL = "grp AS (SELECT s_suppkey AS entity, s_nationkey AS grp FROM suppli
 RANK_SQL = "(rank() OVER (PARTITION BY {by} ORDER BY {v}) + (count(*) OVER (PARTITION BY {by}, {v}) - 1) / 2.0)"
 
 
+def uniform_sql(*key: str) -> str:
+    """The number in (0, 1) that `uniform` gives for the same key."""
+    return f"(('0x' || substr(sha256({" || '|' || ".join(key)}), 1, 13))::BIGINT + 0.5) / 4503599627370496"
+
+
 def rank_sql(by: str, v: str) -> str:
     return RANK_SQL.format(by=by, v=v)

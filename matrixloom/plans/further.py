@@ -14,7 +14,7 @@ from ..operators import resample as B
 from ..operators import retrieval as T
 from ..operators import surfaces as M
 from ..sources.tables import table
-from .base import BRANDS, DENSE, PRICED_SQL, SPARSE_SQL, dense, dense_rows, priced, query, rank_sql, sparse
+from .base import BRANDS, DENSE, DENSE_SQL, PRICED_SQL, SPARSE_SQL, dense, dense_rows, priced, query, rank_sql, sparse, uniform_sql
 from .inference import _two
 from .matrices import _pairs, _rounded
 
@@ -51,20 +51,20 @@ def g33(spark, d):
     return G.participation(e, 25, ["surface"]).select("surface", F.round("pr", 6).alias("pr"))
 
 
-@query("w22_jaccard", "WITH s AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS p FROM lineitem), n AS (SELECT k, count(*) AS n FROM s GROUP BY 1), x AS (SELECT a.k AS one, b.k AS other, count(*) AS s FROM s a JOIN s b ON a.p = b.p AND a.k < b.k WHERE a.k < 20 AND b.k < 20 GROUP BY 1, 2) SELECT one, other, round(s / (u.n + v.n - s), 8) AS jaccard FROM x JOIN n u ON u.k = one JOIN n v ON v.k = other")
+@query("w22_jaccard", "WITH s AS (SELECT DISTINCT p_brand AS k, l_suppkey AS p FROM lineitem JOIN part ON p_partkey = l_partkey), n AS (SELECT k, count(*) AS n FROM s GROUP BY 1), x AS (SELECT a.k AS one, b.k AS other, count(*) AS s FROM s a JOIN s b ON a.p = b.p AND a.k < b.k GROUP BY 1, 2) SELECT one, other, round(s / (u.n + v.n - s), 8) AS jaccard FROM x JOIN n u ON u.k = one JOIN n v ON v.k = other")
 def w22(spark, d):
-    s = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("p")).distinct()
-    n = s.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    few = s.where("k < 20")  # the stated twenty suppliers
-    x = few.alias("a").join(few.alias("b"), "p").where("a.k < b.k").groupBy(F.col("a.k").alias("one"), F.col("b.k").alias("other")).agg(F.count(F.lit(1)).alias("s"))
-    u, v = n.select(F.col("k").alias("one"), F.col("n").alias("u")), n.select(F.col("k").alias("other"), F.col("n").alias("v"))
-    return x.join(u, "one").join(v, "other").select("one", "other", F.round(F.col("s") / (F.col("u") + F.col("v") - F.col("s")), 8).alias("jaccard"))
+    """The index of all pairs of brands by the suppliers that sell them."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("k"))
+    return _jaccard(table(spark, d, "lineitem").select("l_partkey", F.col("l_suppkey").alias("p")).join(parts, "l_partkey").select("k", "p").distinct())
 
 
 @query("w22_jaccard_all", "WITH s AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS p FROM lineitem), n AS (SELECT k, count(*) AS n FROM s GROUP BY 1), x AS (SELECT a.k AS one, b.k AS other, count(*) AS s FROM s a JOIN s b ON a.p = b.p AND a.k < b.k GROUP BY 1, 2) SELECT one, other, round(s / (u.n + v.n - s), 8) AS jaccard FROM x JOIN n u ON u.k = one JOIN n v ON v.k = other")
 def w22_all(spark, d):
     """The index of all pairs of suppliers that share a part, whatever their ids."""
-    s = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("p")).distinct()
+    return _jaccard(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("p")).distinct())
+
+
+def _jaccard(s):
     n = s.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     x = W.shared_counts(s, "k", "p").withColumnRenamed("n", "s")
     u, v = n.select(F.col("k").alias("one"), F.col("n").alias("u")), n.select(F.col("k").alias("other"), F.col("n").alias("v"))
@@ -136,23 +136,25 @@ def n14(spark, d):
     return out.withColumn("kept", (F.col("observed") > F.col("envelope")).cast("int"))
 
 
-@query("n17_disjoint_halves")
+@query("n17_disjoint_halves", f"""WITH {DENSE_SQL}, h AS (SELECT vec_id AS entity, ((row_number() OVER (ORDER BY sha256('27|' || vec_id)) - 1) % 2)::INTEGER AS support FROM embeddings), c AS (SELECT support, d.* FROM dense d JOIN h USING (entity)), e AS ({_ONE.format(g='support', t='c')}) SELECT support, round(4096.0 / (64 + 2 * sum(r * r)), 6) AS pr FROM e GROUP BY 1""")
 def n17(spark, d):
-    c = dense(spark, d)
-    s = B.disjoint_supports(c, "entity", 27, max(2, c.select("entity").distinct().count() // 2), 2)
-    e = G.correlations(c.join(s, "entity"), DENSE, ["support"])
-    return G.participation(e, 64, ["support"])
+    """Participation ratio of two halves of all entities, dealt in hash order."""
+    halves = W.numbered(dense_rows(spark, d).withColumn("h", B.hash_order(F.col("entity"), 27)), [], "h").withColumn("support", (F.col("k") % 2).cast("int"))
+    e = G.pair_moments(halves, 64, ["support"]).select("support", "i", "j", G.correlation().alias("r"))
+    return G.participation(e, 64, ["support"]).select("support", F.round("pr", 6).alias("pr"))
 
 
-@query("n20_shuffled_factor")
+@query("n20_shuffled_factor", f"""WITH {PRICED_SQL}, x AS (SELECT entity, avg(value) AS m, any_value(s_acctbal) AS a FROM priced JOIN supplier ON s_suppkey = entity GROUP BY 1), r AS (SELECT unnest(range(1, 21)) AS replicate),
+o AS (SELECT replicate, m, a, row_number() OVER (PARTITION BY replicate ORDER BY sha256('28|' || entity)) AS k, row_number() OVER (PARTITION BY replicate ORDER BY sha256('28|' || replicate || '|' || entity)) AS h FROM x CROSS JOIN r)
+SELECT u.replicate, round(corr(u.m, v.a), 8) + 0.0 AS r FROM o u JOIN o v ON u.replicate = v.replicate AND u.k = v.h GROUP BY 1""")
 def n20(spark, d):
     """Correlation of each entity's mean with a size column that is dealt anew in hash order, many times."""
     x = priced(spark, d).groupBy("entity").agg(F.avg("value").alias("m")).join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_acctbal").alias("a")), "entity")
-    each = x.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(20))))
-    k = F.row_number().over(Window.partitionBy("replicate").orderBy("entity"))
-    h = F.row_number().over(Window.partitionBy("replicate").orderBy(B.uniform(28, F.col("replicate"), F.col("entity"))))
-    left, right = each.select("replicate", "m", k.alias("k")), each.select("replicate", "a", h.alias("k"))
-    return left.join(right, ["replicate", "k"]).groupBy("replicate").agg(F.corr("m", "a").alias("r"))
+    each = x.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn("own", B.hash_order(F.col("entity"), 28))
+    each = each.withColumn("new", F.sha2(F.concat_ws("|", F.lit("28"), F.col("replicate").cast("string"), F.col("entity").cast("string")), 256))
+    left = W.numbered(each.select("replicate", "m", "own"), ["replicate"], "own").select("replicate", "m", "k")
+    right = W.numbered(each.select("replicate", "a", "new"), ["replicate"], "new").select("replicate", "a", "k")
+    return left.join(right, ["replicate", "k"]).groupBy("replicate").agg((F.round(F.corr("m", "a"), 8) + 0.0).alias("r"))
 
 
 @query("b01_row_bootstrap")
@@ -161,7 +163,10 @@ def b01(spark, d):
     return B.interval(B.row_bootstrap(dense_rows(spark, d), 64, 50, 29), "pr")
 
 
-@query("b04_moment_bootstrap")
+@query("b04_moment_bootstrap", f"""WITH {DENSE_SQL}, m AS (SELECT a.entity % 20 AS g, a.feature AS i, b.feature AS j, count(*)::DOUBLE AS n, sum(a.value) AS sx, sum(b.value) AS sy, sum(a.value * a.value) AS sxx, sum(b.value * b.value) AS syy, sum(a.value * b.value) AS sxy FROM dense a JOIN dense b ON a.entity = b.entity AND a.feature < b.feature GROUP BY 1, 2, 3),
+w AS (SELECT replicate, g, -ln({uniform_sql("'30'", 'replicate', 'g')}) AS w FROM (SELECT unnest(range(10)) AS replicate) CROSS JOIN (SELECT unnest(range(20)) AS g)),
+s AS (SELECT replicate, i, j, sum(w * n) AS n, sum(w * sx) AS sx, sum(w * sy) AS sy, sum(w * sxx) AS sxx, sum(w * syy) AS syy, sum(w * sxy) AS sxy FROM m JOIN w USING (g) GROUP BY 1, 2, 3),
+r AS (SELECT replicate, (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) AS r FROM s) SELECT replicate::INTEGER AS replicate, round(4096.0 / (64 + 2 * sum(r * r)), 6) AS pr FROM r GROUP BY 1""")
 def b04(spark, d):
     """Participation ratio under exponential weights of groups, from their moment tables: entities are read once."""
     c = dense(spark, d).withColumn("g", (F.col("entity") % 20).cast("int"))
@@ -169,7 +174,7 @@ def b04(spark, d):
     each = m.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(9))))
     w = -F.log(B.uniform(30, F.col("replicate"), F.col("g")))
     summed = each.withColumn("w", w).groupBy("replicate", "i", "j").agg(*[F.sum(F.col("w") * F.col(k)).alias(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    return G.participation(summed.select("replicate", "i", "j", G.correlation().alias("r")), 64, ["replicate"])
+    return G.participation(summed.select("replicate", "i", "j", G.correlation().alias("r")), 64, ["replicate"]).select("replicate", F.round("pr", 6).alias("pr"))
 
 
 @query("b12_subsample", "SELECT doc_id FROM (SELECT doc_id, sha256('31|' || doc_id) AS h FROM documents) ORDER BY h, doc_id LIMIT 50")

@@ -21,7 +21,7 @@ from ..operators import retrieval as T
 from ..operators import surfaces as M
 from ..sources import files
 from ..sources.tables import table
-from .base import BRANDS, DENSE, DENSE_SQL, PRICED_SQL, SPARSE_SQL, dense, dense_rows, priced, query, rank_sql, sparse
+from .base import BRANDS, DENSE, DENSE_SQL, PRICED_SQL, SPARSE_SQL, dense, dense_rows, priced, query, rank_sql, sparse, uniform_sql
 from .matrices import _labelled, _pairs, _rounded
 from .preparation import edges
 
@@ -30,13 +30,16 @@ _EDGES = f"{PRICED_SQL}, e AS (SELECT i, j, round(r, 6) AS r FROM ({_pairs('pric
 
 @query("s15_file_digests")
 def s15(spark, d):
-    return files.digests(spark, f"{d}/nation.parquet").select("length", "sha256")
+    """Length and digest of every file of every table."""
+    return files.digests(spark, f"{d}/*.parquet").select("length", "sha256")
 
 
-@query("s16_simulated")
+@query("s16_simulated", f"SELECT s_suppkey AS entity, f::INTEGER AS feature, round(s_acctbal / 1000 + f / 10 + {uniform_sql("'44'", 's_suppkey', 'f')}, 8) AS value FROM supplier CROSS JOIN range(20) t(f)")
 def s16(spark, d):
-    n = table(spark, d, "supplier").count()
-    return files.simulated(spark, n, 20, 44)
+    """Cells with each supplier's balance and a feature's place as effects, and noise from hashes of the seed."""
+    x = table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity"), "s_acctbal", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("feature"))
+    noise = B.uniform(44, F.col("entity"), F.col("feature"))
+    return x.select("entity", "feature", F.round(F.col("s_acctbal") / 1000 + F.col("feature") / 10 + noise, 8).alias("value"))
 
 
 @query("k06_pair_ledger", f"WITH {_EDGES} SELECT i, j, r, abs(r) AS strength, (r > 0)::INTEGER AS positive FROM e")
@@ -95,16 +98,19 @@ def p28(spark, d):
     return q.select("event_type", F.round((F.col("b") - F.col("a")) / 2, 6).alias("half"), F.round(2 * F.col("m") - F.col("b"), 6).alias("low"), F.round(2 * F.col("m") - F.col("a"), 6).alias("high"))
 
 
-@query("p30_nuisance_features")
+@query("p30_nuisance_features", f"SELECT doc_id, round(({uniform_sql("'11'", 'doc_id')} - 0.5) * sqrt(12.0), 9) AS nuisance FROM documents")
 def p30(spark, d):
     u = (B.uniform(11, F.col("doc_id")) - 0.5) * math.sqrt(12)
-    return table(spark, d, "documents").select("doc_id", u.alias("nuisance"))
+    return table(spark, d, "documents").select("doc_id", F.round(u, 9).alias("nuisance"))
 
 
-@query("p31_index_digest", "SELECT source, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
+@query("p31_index_digest", "SELECT source, sha256(string_agg(digest, ',' ORDER BY part)) AS digest FROM (SELECT source, doc_id // 4096 AS part, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1, 2) GROUP BY 1")
 def p31(spark, d):
+    """A digest of a source's ids: of the digests of its ranges of 4096 ids in order, so that no row holds all ids."""
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
-    return table(spark, d, "documents").groupBy("source").agg(F.sha2(ids, 256).alias("digest"))
+    part = table(spark, d, "documents").groupBy("source", F.expr("doc_id div 4096").alias("part")).agg(F.sha2(ids, 256).alias("digest"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda x: x["digest"]), ",")
+    return part.groupBy("source").agg(F.sha2(whole, 256).alias("digest"))
 
 
 @query("p32_not_finite", "SELECT count(*) FILTER (WHERE x IS NULL OR isnan(x) OR isinf(x)) AS bad FROM (SELECT unnest(embedding) AS x FROM embeddings)")
@@ -222,12 +228,16 @@ def m12(spark, d):
 
 @query("m15_additive_rank")
 def m15(spark, d):
-    """Singular values above 1e-9 of an additive surface whose rows are scaled: centring leaves one."""
-    sizes = [r[0] for r in table(spark, d, "supplier").orderBy("s_suppkey").limit(200).select("s_acctbal").collect()]
-    x = np.add.outer(np.arange(len(sizes)), np.arange(10.0)) * (1 + np.abs(np.array(sizes)))[:, None]
-    x = x - x.mean(1, keepdims=True) - x.mean(0) + x.mean()
-    s = np.linalg.svd(x, compute_uv=False)
-    return spark.createDataFrame([(int((s > 1e-9 * s[0]).sum()),)], "modes int")
+    """Modes of an additive surface of all suppliers whose rows are scaled by their balances: centring leaves one."""
+    size = 1 + F.abs("s_acctbal")
+    x = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: (j - 4.5) * size)  # key + place, less the row's mean
+    m = G.pair_moments(table(spark, d, "supplier").select(x.alias("x")), 10).collect()
+    c = np.zeros((10, 10))
+    for r in m:
+        c[r.i, r.j] = c[r.j, r.i] = r.sxy - r.sx * r.sy / r.n
+        c[r.i, r.i], c[r.j, r.j] = r.sxx - r.sx**2 / r.n, r.syy - r.sy**2 / r.n
+    w = np.linalg.eigvalsh(c)
+    return spark.createDataFrame([(int((w > 1e-9 * w[-1]).sum()),)], "modes int")
 
 
 @query("g07_leading_axis")
@@ -535,7 +545,9 @@ _DOCR = f"(SELECT {rank_sql('1', 'n_chars')} AS c, {rank_sql('1', 'quality')} AS
 @query("d11_partial_spearman", f"WITH r AS (SELECT corr(q, t) AS qt, corr(q, c) AS qc, corr(t, c) AS tc FROM {_DOCR}) SELECT round((qt - qc * tc) / sqrt((1 - qc * qc) * (1 - tc * tc)), 8) AS rho FROM r")
 def d11(spark, d):
     x = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id")
-    r = x.select(*[W.average_rank([], c).alias(n) for n, c in (("c", "n_chars"), ("q", "quality"), ("t", "toxic"))]).agg(F.corr("q", "t").alias("qt"), F.corr("q", "c").alias("qc"), F.corr("t", "c").alias("tc"))
+    for n, c in (("c", "n_chars"), ("q", "quality"), ("t", "toxic")):
+        x = x.join(W.value_ranks(x, c).withColumnRenamed("rank", n), c)
+    r = x.agg(F.corr("q", "t").alias("qt"), F.corr("q", "c").alias("qc"), F.corr("t", "c").alias("tc"))
     return r.select(F.round(D.partial(F.col("qt"), F.col("qc"), F.col("tc")), 8).alias("rho"))
 
 

@@ -342,11 +342,13 @@ def t06(spark, d):
     return _rounded(T.best_partners(edges(spark, d).join(s, ["i", "j"]), "r", "s"), 8, "reciprocal")
 
 
-@query("t10_threshold_grid", f"WITH {_LAB}, g AS (SELECT f, n_chars_cut, y, score FROM l CROSS JOIN (VALUES (0.1), (0.5)) a(f) CROSS JOIN (VALUES (500), (2000)) b(n_chars_cut)) SELECT f::DOUBLE AS share, n_chars_cut::INTEGER AS least, count(*) AS n, round(avg(y), 8) AS positives FROM g WHERE score >= n_chars_cut AND score % 10 < f * 10 GROUP BY 1, 2")
+@query("t10_threshold_grid", f"WITH {_LAB}, g AS (SELECT f, n_chars_cut, y, score FROM l CROSS JOIN (VALUES (0.1), (0.5)) a(f) CROSS JOIN (VALUES (500), (2000)) b(n_chars_cut)) SELECT f::DOUBLE AS share, n_chars_cut::INTEGER AS least, count(*) AS n, round(avg(y), 8) AS positives, avg(y) >= f AS reached FROM g WHERE score >= n_chars_cut GROUP BY 1, 2, f")
 def t10(spark, d):
+    """Positives among all labelled rows of at least a score, and whether they reach a share."""
     steps = F.explode(F.array(*[F.struct(F.lit(f).alias("share"), F.lit(c).alias("least")) for f in (0.1, 0.5) for c in (500, 2000)]))
-    x = _labelled(spark, d).select("y", "score", steps.alias("g")).where((F.col("score") >= F.col("g.least")) & (F.col("score") % 10 < F.col("g.share") * 10))
-    return x.groupBy("g.share", "g.least").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 8).alias("positives"))
+    x = _labelled(spark, d).select("y", "score", steps.alias("g")).where(F.col("score") >= F.col("g.least"))
+    n = x.groupBy("g.share", "g.least").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("p"))
+    return n.select("share", "least", "n", F.round("p", 8).alias("positives"), (F.col("p") >= F.col("share")).alias("reached"))
 
 
 @query("t10_upper_fractions", f"""WITH {_LAB}, c AS (SELECT score, count(*) AS c FROM l WHERE score IS NOT NULL GROUP BY 1), a AS (SELECT score, sum(c) OVER (ORDER BY score DESC) AS reached, sum(c) OVER () AS n FROM c),
