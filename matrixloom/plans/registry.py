@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import further, inference, matrices, preparation  # noqa: F401  they register their queries
+from . import further, inference, matrices, preparation, wider  # noqa: F401  they register their queries
 from .base import ORACLES, QUERIES
 
 FLAGSHIP = "g03_participation"
