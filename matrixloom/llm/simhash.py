@@ -191,9 +191,14 @@ def wide_fingerprints(texts: list[str | None], shingle: int = WIDE_SHINGLE) -> n
         size = np.diff(np.append(heads, len(h)))
         blocks = np.concatenate([np.arange(a, a + k, 255) for a, k in zip(heads.tolist(), size.tolist())])  # a byte counts to 255
         of = np.searchsorted(blocks, heads)
+        ends = np.append(blocks[1:], len(h))
         for lane in range(WIDE // 64):
-            spread = _SPREAD[mixed(h, lane + 1).view(np.uint8)].reshape(-1, 8)
-            counts = np.add.reduceat(np.add.reduceat(spread, blocks, axis=0).view(np.uint8).reshape(len(blocks), 64), of, axis=0, dtype=np.int64)
+            summed = np.empty((len(blocks), 8), np.uint64)
+            for p in range(0, len(blocks), 512):  # some megabytes at once, also for a very long text
+                some = slice(p, min(p + 512, len(blocks)))
+                lo, hi = blocks[p], ends[some.stop - 1]
+                summed[some] = np.add.reduceat(_SPREAD[mixed(h[lo:hi], lane + 1).view(np.uint8)].reshape(-1, 8), blocks[some] - lo, axis=0)
+            counts = np.add.reduceat(summed.view(np.uint8).reshape(len(blocks), 64), of, axis=0, dtype=np.int64)
             out[whose[heads], 8 * lane : 8 * lane + 8] = np.packbits(2 * counts > size[:, None], axis=1)
     return out
 
@@ -223,7 +228,7 @@ def chain_links(nodes: DataFrame, width: int, distance: int = WIDE_DISTANCE) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(lo, 1000) for x in batches for lo in range(0, len(x), 1000)):
             words = b.column(1).flatten().to_numpy().reshape(len(b), WIDE // 64)
             runs = chains(np.ascontiguousarray(words).view(np.uint8), width)
             start = np.tile(np.arange(runs.shape[1], dtype=np.int32), len(b))
