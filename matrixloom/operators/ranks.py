@@ -26,8 +26,7 @@ def value_ranks(df: DataFrame, value: str, by: list[str] | None = None, parts: i
     seen = df.where(F.col(value).isNotNull())
     n = seen.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     edges = sorted(set(seen.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / parts for i in range(1, parts)], 0.5 / parts)))
-    held = F.array(*[F.lit(e) for e in edges]) if edges else F.array().cast("array<double>")
-    n = n.withColumn("_b", F.size(F.filter(held, lambda e: e < F.col(value))))
+    n = n.withColumn("_b", sum(((F.col(value) > e).cast("int") for e in edges), F.lit(0)))
     own = n.groupBy(*by, "_b").agg(F.sum("_n").alias("_m"))
     before = own.select(*by, "_b", (F.sum("_m").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_m")).alias("_before"))
     inside = F.sum("_n").over(Window.partitionBy(*by, "_b").orderBy(value))

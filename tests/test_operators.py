@@ -201,3 +201,23 @@ def test_driver_algebra():
     assert G.assigned(np.eye(4)[[2, 0, 3, 1]]) == [2, 0, 3, 1]
     v, cosine = G.leading_axis(np.full((3, 3), 0.5) + 0.5 * np.eye(3))
     assert cosine == pytest.approx(1) and np.allclose(v, v[0])
+
+
+def test_ranks_and_numbers_without_a_task_for_all(spark):
+    import hashlib
+
+    rng = np.random.default_rng(6)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 900), np.round(rng.normal(size=900), 2))] + [(0, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    for by in ([], ["g"]):
+        got = {tuple(r[c] for c in by) + (r["v"],): r["rank"] for r in W.value_ranks(df, "v", by).collect()}
+        for g in range(3) if by else [None]:
+            some = [v for k, v in rows if v is not None and g in (None, k)]
+            for v in set(some):
+                at = (g, v) if by else (v,)
+                assert got[at] == sum(x < v for x in some) + (some.count(v) + 1) / 2
+    keys = spark.range(500).selectExpr("id", "id % 2 AS g", "sha2(cast(id AS string), 256) AS h")
+    for r in W.numbered(keys, ["g"], "h").groupBy("g").agg({"k": "max"}).collect():
+        assert r[1] == 249
+    order = sorted(range(0, 500, 2), key=lambda k: hashlib.sha256(str(k).encode()).hexdigest())
+    assert [r["id"] for r in W.numbered(keys, ["g"], "h").where("g = 0").orderBy("k").collect()] == order
