@@ -60,3 +60,13 @@ def test_bpe_rows_and_a_dropped_memory(spark, make, known, prose, monkeypatch):
     small = bpe.Coder(public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN, kept=5)
     assert [small.encode([t])[0].tolist() for t in prose[:20]] == [library.encode_ordinary(t) for t in prose[:20]]
     assert bpe.digests(docs.limit(0)).isEmpty()
+
+
+def test_long_words_take_the_short_way_only_where_it_is_proven(known):
+    coder, _ = known
+    assert coder.table.ordered
+    single = {bytes([b]): b for b in range(256)}
+    falling = bpe.merges_of(single | {b"abc": 256, b"ab": 257})  # ab is made before abc, whose rank is lower
+    assert not falling.ordered and bpe.merges_of(single | {b"ab": 256, b"abc": 257}).ordered
+    word = b"ab" * 700 + b"abcab"
+    assert bpe.encode_words(falling, [word])[0].tolist() == [257] * 700 + [256, 257]

@@ -50,3 +50,32 @@ def test_labels_of_held_out_rows_change_nothing(spark, tmp_path):
     spark.read.parquet(f"{d}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
     a, b = ({r["doc_id"]: round(r["score"], 9) for r in X.op4_toxicity(spark, p).collect()} for p in (d, str(tmp_path)))
     assert a == b
+
+
+def test_counts_and_fit_equal_a_plain_version(spark, make):
+    rows = [(k, f"you {'stupid fool' if k % 3 == 0 else 'kind friend'} number {k % 7}") for k in range(60)]
+    labelled = make(rows).withColumn("toxic", (F.col("doc_id") % 3 == 0).cast("int"))
+    grams = [{t[i : i + n] for n in X.GRAMS for i in range(len(t) - n + 1)} for _, t in rows]
+    hashed = lambda g: int(X.gram_hits([g])[1][np.argsort(X.gram_hits([g])[0], kind="stable")][-1]) if len(g) == min(X.GRAMS) else None
+    n = {}
+    for (k, _), some in zip(rows, grams):
+        for h in {hashed(g) for g in some if len(g) == 3}:
+            n.setdefault(h, [0, 0])[k % 3 == 0] += 1
+    got = {r["feature"]: (r["clean"], r["toxic"]) for r in X._counts(labelled.select("text", "toxic")).collect()}
+    assert all(got[h][0] >= c[0] and got[h][1] >= c[1] for h, c in n.items())  # longer grams may share a hash
+    assert sum(got[h] == tuple(c) for h, c in n.items()) > 0.9 * len(n)
+    rng = np.random.default_rng(0)
+    x = (rng.random((200, 6)) < 0.4) * rng.normal(size=6)
+    y = (x.sum(1) + rng.normal(size=200) > 0).astype(float)
+    row, column = np.nonzero(x)
+    w, b = X._logistic(row, column, x[row, column], y, 6, 4000, 1e-2)
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    assert np.abs(x.T @ (p - y) / 200 + 1e-2 * w).max() < 1e-4 and abs((p - y).mean()) < 1e-4  # where the plain gradient is 0
+
+
+def test_copies_of_a_key_count_once(spark, make):
+    rows = [(1, "you fool")] * 50 + [(k, f"a kind word {k}") for k in range(2, 12)]
+    labelled = make(rows).withColumn("toxic", (F.col("doc_id") == 1).cast("int"))
+    once = make(list(dict.fromkeys(rows))).withColumn("toxic", (F.col("doc_id") == 1).cast("int"))
+    a, b = X.fit(labelled, sample=11), X.fit(once, sample=11)
+    assert np.allclose(a.scores(["you fool", "kind"]), b.scores(["you fool", "kind"]))
