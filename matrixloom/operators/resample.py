@@ -464,3 +464,32 @@ def disjoint_supports(df: DataFrame, key: str, seed: int, size: int, supports: i
 def orders_of(sizes: list[int]) -> int:
     """Distinct relabellings within blocks of these sizes."""
     return math.prod(math.factorial(s) for s in sizes)
+
+
+def _t_beside(y: np.ndarray, x: np.ndarray, z: np.ndarray) -> float:
+    """t of x in the least-squares fit of y on a constant, x and z."""
+    a = np.column_stack([np.ones(len(y)), x, z])
+    inverse = np.linalg.pinv(a.T @ a)
+    b = inverse @ a.T @ y
+    rest = y - a @ b
+    return float(b[1] / np.sqrt(rest @ rest / (len(y) - 3) * inverse[1, 1]))
+
+
+def semi_partialled(spark: SparkSession, y: np.ndarray, x: np.ndarray, z: np.ndarray, count: int, seed: int) -> DataFrame:
+    """(replicate, response, predictor): t of pair matrix x for y beside z after relabelling; replicate 0 isn't relabelled.
+
+    `response` relabels y; `predictor` relabels what is left of x after z (double semi-partialling). In replicate 0 both are equal.
+    """
+    p = len(y)
+    up = np.triu_indices(p, 1)
+    fixed = np.column_stack([np.ones(len(up[0])), z[up]])
+    left = np.zeros((p, p))
+    left[up] = x[up] - fixed @ np.linalg.lstsq(fixed, x[up], rcond=None)[0]
+    left += left.T
+
+    def draw(r: int) -> dict[str, float]:
+        order = np.random.default_rng([seed, r]).permutation(p) if r else np.arange(p)
+        moved = np.ix_(order, order)
+        return {"response": _t_beside(y[moved][up], x[up], z[up]), "predictor": _t_beside(y[up], left[moved][up], z[up])}
+
+    return replicates(spark, count + 1, draw, ["response", "predictor"])

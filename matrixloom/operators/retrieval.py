@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,3 +68,17 @@ def best_partners(pairs: DataFrame, truth: str, score: str) -> DataFrame:
     w = lambda c: Window.partitionBy("q").orderBy(F.desc(c), "partner")
     ranked = both.select("q", "partner", F.row_number().over(w(truth)).alias("true_rank"), F.row_number().over(w(score)).alias("rank"))
     return ranked.where("true_rank = 1").select("q", "partner", "rank", (F.col("rank") == 1).cast("int").alias("top1"), (F.col("rank") <= 3).cast("int").alias("top3"), (1 / F.col("rank")).alias("reciprocal"))
+
+
+def strongest(values: np.ndarray, share: float) -> np.ndarray:
+    """1 for the ceil(share * n) greatest of a pair vector, at least one, earlier pairs first among ties; else 0."""
+    out = np.zeros(len(values), int)
+    out[np.argsort(-values, kind="stable")[: max(1, int(np.ceil(share * len(values))))]] = 1
+    return out
+
+
+def pair_auc(score: np.ndarray, label: np.ndarray) -> float:
+    """The chance that a positive pair has the greater score, ties half."""
+    ranks = pd.Series(score).rank().to_numpy()
+    p = int(label.sum())
+    return float((ranks[label == 1].sum() - p * (p + 1) / 2) / (p * (len(label) - p)))
