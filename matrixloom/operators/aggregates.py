@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean, median, sd (0 for one row), exact 2.5 to 97.5 and 5 to 95 percentiles, least and greatest."""
@@ -17,8 +19,9 @@ def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def mad_scale(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """1.4826 times the median absolute deviation; 1 where that is below 1e-12."""
-    middle = df.groupBy(*by).agg(F.median(value).alias("median"))
-    spread = df.join(middle, by).groupBy(*by).agg((F.median(F.abs(F.col(value) - F.col("median"))) * 1.4826).alias("s"))
+    middle = quantiles(df, value, {"median": 0.5}, by)
+    away = df.join(middle, by).select(*by, F.abs(F.col(value) - F.col("median")).alias("away"))
+    spread = quantiles(away, "away", {"away": 0.5}, by).select(*by, (F.col("away") * 1.4826).alias("s"))
     return middle.join(spread, by).select(*by, "median", F.when(F.col("s") < 1e-12, F.lit(1.0)).otherwise(F.col("s")).alias("scale"))
 
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 KEYS = ["entity", "feature"]
 
 
@@ -48,8 +50,8 @@ def complete_cases(cells: DataFrame, features: int) -> DataFrame:
 
 def fill(cells: DataFrame, how: str) -> DataFrame:
     """Missing cells get their feature's `mean` or exact `median`, joined from one row a feature."""
-    with_value = cells.groupBy("feature").agg({"mean": F.avg, "median": F.median}[how]("value").alias("filler"))
-    return cells.join(with_value, "feature").select("entity", "feature", F.coalesce("value", "filler").alias("value"))
+    fillers = {"mean": lambda: cells.groupBy("feature").agg(F.avg("value").alias("filler")), "median": lambda: quantiles(cells, "value", {"filler": 0.5}, ["feature"])}
+    return cells.join(fillers[how](), "feature", "left").select("entity", "feature", F.coalesce("value", "filler").alias("value"))
 
 
 def grid(cells: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import average_rank
+from .ranks import average_rank, dealt, range_edges, value_ranks
 
 _MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
@@ -103,18 +103,57 @@ def rank_correlations(cells: DataFrame, least: int = 3) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
-    """Spearman correlation of two columns, in groups."""
+    """Spearman correlation of two columns, in groups that a task can sort: pair tables and the like."""
     by = by or []
     ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, average_rank(by, x).alias("_x"), average_rank(by, y).alias("_y"))
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("rho"))
 
 
+def row_spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """The same for groups of any size: ranks come from counts of distinct values, so no task holds a whole group."""
+    by = by or []
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_u"), F.col(y).alias("_v"))
+    ranks = lambda c, name: value_ranks(both, c, by).withColumnRenamed("rank", name)
+    ranked = both.join(ranks("_u", "_x"), [*by, "_u"]).join(ranks("_v", "_y"), [*by, "_v"])
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("rho"))
+
+
+def _concordance(g: pd.DataFrame) -> pd.DataFrame:
+    """The sum of c * c' * sign(y' - y) over a group's pairs with x < x'.
+
+    Such a pair differs first in one bit of the ranks of x; at that bit each row with a one meets, by a sorted
+    search, the rows of its block with a zero.
+    """
+    c, y = g["c"].to_numpy(float), np.unique(g["y"], return_inverse=True)[1]
+    x, s = np.unique(g["x"], return_inverse=True)[1], 0.0
+    for bit in range(int(x.max()).bit_length()):
+        block = x >> (bit + 1)
+        key = block * (int(y.max()) + 1) + y
+        left = np.flatnonzero((x >> bit) & 1 == 0)
+        left = left[np.argsort(key[left], kind="stable")]
+        right = np.flatnonzero((x >> bit) & 1)
+        upto = np.concatenate([[0.0], np.cumsum(c[left])])
+        at = lambda k, side: upto[np.searchsorted(key[left], k, side)]  # noqa: E731, B023
+        first, last = at(block[right] * (int(y.max()) + 1), "left"), at((block[right] + 1) * (int(y.max()) + 1), "left")
+        s += float((c[right] * (at(key[right], "left") - first - last + at(key[right], "right"))).sum())
+    return pd.DataFrame({"s": [s]})
+
+
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Kendall's tau-b of two columns over distinct value pairs with counts, so equal rows aren't paired with each other."""
+    """Kendall's tau-b of two columns, in n log n: distinct value pairs with counts, dealt to ranges of either column.
+
+    Pairs in different ranges of both columns are counted from the table of ranges; those in one range of y by x's
+    ranges, and those in one range of x, within that range. A value with very many rows is a range of its own
+    (`ranks.dealt`), which holds no pair to count. Rows with a null are left out.
+    """
     v = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("c"))
-    a, b = v.alias("a"), v.alias("b")
-    pairs = a.join(b, (F.col("a.x") < F.col("b.x")) & (F.col("a.y") != F.col("b.y")))
-    score = pairs.agg(F.sum(F.col("a.c") * F.col("b.c") * F.sign(F.col("b.y") - F.col("a.y"))).alias("s"))
+    v = v.withColumns({"bx": dealt("x", range_edges(v, "x")), "by": dealt("y", range_edges(v, "y"))})
+    number = lambda c: F.col(c).cast("double").alias(c)
+    counts = lambda *keys: v.groupBy(*keys).agg(F.sum("c").alias("c"))
+    grid = counts("bx", "by").select(F.lit(0).alias("part"), F.lit(0).alias("at"), F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y"), "c")
+    same_y = counts("by", "bx", "y").where("by % 2 = 0").select(F.lit(1), F.col("by"), F.col("bx").cast("double"), number("y"), "c")
+    same_x = v.where("bx % 2 = 0").select(F.lit(2), F.col("bx"), number("x"), number("y"), "c")
+    score = grid.union(same_y).union(same_x).groupBy("part", "at").applyInPandas(_concordance, "s double").agg(F.sum("s").alias("s"))
     tied = lambda c: v.groupBy(c).agg(F.sum("c").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t{c}"))
     n = v.agg((F.sum("c") * (F.sum("c") - 1) / 2).alias("n0"))
     return score.join(tied("x")).join(tied("y")).join(n).select((F.col("s") / F.sqrt((F.col("n0") - F.col("tx")) * (F.col("n0") - F.col("ty")))).alias("tau"))

@@ -16,22 +16,55 @@ def average_rank(by: list, value: str) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(ties) - 1) / 2
 
 
-def value_ranks(df: DataFrame, value: str, by: list[str] | None = None, parts: int = 64) -> DataFrame:
-    """(by, value, rank): average rank of each distinct value, without a task that holds all values of a group.
+def dealt(value: str, edges: list[float]) -> Column:
+    """The number of a value's range: odd for values equal to an edge, so that a value of very many rows has a range of its own."""
+    at = F.col(value)
+    return sum(((at > e).cast("int") + (at >= e).cast("int") for e in edges), F.lit(0))
+
+
+def range_edges(df: DataFrame, value: str, parts: int = 64) -> list[float]:
+    """Distinct approximate quantiles that cut a column into about `parts` ranges."""
+    return sorted(set(df.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / parts for i in range(1, parts)], 0.5 / parts)))
+
 
-    Distinct values are counted and dealt to ranges between approximate quantiles; ranks are positions in a
-    range plus what lower ranges hold. Null values are left out.
+def cumulated(df: DataFrame, value: str, by: list[str] | None = None, parts: int = 64) -> DataFrame:
+    """(by, value, n, upto): each distinct value's rows, and the rows of its group up to and with it.
+
+    Distinct values are counted and dealt to ranges between approximate quantiles; a sum within a range and the
+    sums of lower ranges make `upto`, so no task holds all values of a group. Null values are left out.
     """
     by = by or []
     seen = df.where(F.col(value).isNotNull())
-    n = seen.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    edges = sorted(set(seen.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / parts for i in range(1, parts)], 0.5 / parts)))
-    n = n.withColumn("_b", sum(((F.col(value) > e).cast("int") for e in edges), F.lit(0)))
-    own = n.groupBy(*by, "_b").agg(F.sum("_n").alias("_m"))
+    n = seen.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")).withColumn("_b", dealt(value, range_edges(seen, value, parts)))
+    own = n.groupBy(*by, "_b").agg(F.sum("n").alias("_m"))
     before = own.select(*by, "_b", (F.sum("_m").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_m")).alias("_before"))
-    inside = F.sum("_n").over(Window.partitionBy(*by, "_b").orderBy(value))
+    inside = F.sum("n").over(Window.partitionBy(*by, "_b").orderBy(value))
     placed = n.withColumn("_upto", inside).join(F.broadcast(before) if not by else before, [*by, "_b"])
-    return placed.select(*by, value, (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2).alias("rank"))
+    return placed.select(*by, value, "n", (F.col("_before") + F.col("_upto")).alias("upto"))
+
+
+def value_ranks(df: DataFrame, value: str, by: list[str] | None = None, parts: int = 64) -> DataFrame:
+    """(by, value, rank): average rank of each distinct value, without a task that holds all values of a group."""
+    return cumulated(df, value, by, parts).select(*(by or []), value, (F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
+
+
+def with_rank(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
+    """The rows that have a value, with its average rank in their group."""
+    return df.join(value_ranks(df, value, by).withColumnRenamed("rank", name), [*by, value])
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """(by, a column a share): exact linear quantiles, from cumulated counts of distinct values; groups without a value are left out."""
+    by = by or []
+    c = cumulated(df, value, by)
+    total = c.groupBy(*by).agg(F.max("upto").alias("_all"))
+    rows = c.join(total, by) if by else c.join(F.broadcast(total))
+    place = {name: F.lit(share) * (F.col("_all") - 1) for name, share in shares.items()}
+    reach = lambda at: F.min(F.when(F.col("upto") > at, F.col(value).cast("double")))
+    ends = [e for name, at in place.items() for e in (reach(F.floor(at)).alias(f"_{name}_low"), reach(F.ceil(at)).alias(f"_{name}_high"))]
+    found = rows.groupBy(*by, "_all").agg(*ends)
+    between = lambda name, at: F.col(f"_{name}_low") + (F.col(f"_{name}_high") - F.col(f"_{name}_low")) * (at - F.floor(at))
+    return found.select(*by, *[between(name, at).alias(name) for name, at in place.items()])
 
 
 def numbered(df: DataFrame, by: list[str], order: str, name: str = "k", digits: int = 2) -> DataFrame:
@@ -43,10 +76,12 @@ def numbered(df: DataFrame, by: list[str], order: str, name: str = "k", digits:
     return rows.withColumn("_k", inside).join(before, [*by, "_b"]).withColumn(name, F.col("_k") + F.col("_before")).drop("_b", "_k", "_before")
 
 
-def percentile_ranks(by: list, value: str) -> dict[str, Column]:
-    """The three forms in use: r / n, (r - 0.5) / n, and (r - 1) / (n - 1)."""
-    r, n = average_rank(by, value), F.count(F.lit(1)).over(Window.partitionBy(*by))
-    return {"of_n": r / n, "mid": (r - 0.5) / n, "closed": (r - 1) / (n - 1)}
+def percentile_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """The rows with their rank as r / n (`of_n`), (r - 0.5) / n (`mid`) and (r - 1) / (n - 1) (`closed`). Rows without a value go."""
+    c = cumulated(df, value, by)
+    rows = df.join(c, [*by, value]).join(c.groupBy(*by).agg(F.max("upto").alias("_all")), by)
+    r = F.col("upto") - (F.col("n") - 1) / 2
+    return rows.select(*df.columns, (r / F.col("_all")).alias("of_n"), ((r - 0.5) / F.col("_all")).alias("mid"), ((r - 1) / (F.col("_all") - 1)).alias("closed"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -75,7 +110,7 @@ def holm(df: DataFrame, p: str, order: str) -> DataFrame:
 
 def quantile_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
     """`bin` from 0, closed on the right, at exact linear quantiles; equal edges raise."""
-    edges = df.agg(F.percentile(value, [i / bins for i in range(1, bins)]).alias("e")).first()["e"]
+    edges = list(quantiles(df, value, {f"e{i}": i / bins for i in range(1, bins)}).first())
     if len(set(edges)) < len(edges):
         raise ValueError("tied bin edges")
     number = F.lit(bins - 1)
@@ -86,7 +121,7 @@ def quantile_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 def extremes(df: DataFrame, value: str, share: float) -> DataFrame:
     """`side`: -1 at or below the lower quantile, 1 at or above the upper, else 0; the sides may not meet."""
-    low, high = df.agg(F.percentile(value, [share, 1 - share]).alias("e")).first()["e"]
+    low, high = quantiles(df, value, {"low": share, "high": 1 - share}).first()
     if low >= high:
         raise ValueError("the extremes overlap")
     return df.withColumn("side", F.when(F.col(value) <= low, -1).when(F.col(value) >= high, 1).otherwise(0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -247,7 +249,7 @@ def w18(spark, d):
 
 @query("d10_partial_ranks")
 def d10(spark, d):
-    c = priced(spark, d).select("entity", "feature", *[W.average_rank(["feature"], n).alias(n) for n in ("measured", "score")])
-    s = c.join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity"), "s_acctbal"), "entity").withColumn("a", W.average_rank(["feature"], "s_acctbal"))
-    r = s.groupBy("feature").agg(F.corr("measured", "score").alias("ms"), F.corr("measured", "a").alias("ma"), F.corr("score", "a").alias("sa"))
+    s = priced(spark, d).join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_acctbal").alias("a")), "entity").select("feature", "measured", "score", "a")
+    s = reduce(lambda rows, c: W.with_rank(rows, c, ["feature"], f"r_{c}").drop(c), ("measured", "score", "a"), s)
+    r = s.groupBy("feature").agg(*[F.corr(f"r_{x}", f"r_{y}").alias(x[0] + y[0]) for x, y in (("measured", "score"), ("measured", "a"), ("score", "a"))])
     return r.select("feature", D.partial(F.col("ms"), F.col("ma"), F.col("sa")).alias("rho"))

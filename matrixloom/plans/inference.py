@@ -94,7 +94,8 @@ def p24(spark, d):
 
 @query("p28_reflected", "SELECT event_type, round((b - a) / 2, 6) AS half, round(2 * m - b, 6) AS low, round(2 * m - a, 6) AS high FROM (SELECT event_type, avg(value) AS m, quantile_cont(value, 0.025) AS a, quantile_cont(value, 0.975) AS b FROM events GROUP BY 1)")
 def p28(spark, d):
-    q = table(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("m"), F.percentile("value", 0.025).alias("a"), F.percentile("value", 0.975).alias("b"))
+    x = table(spark, d, "events")
+    q = W.quantiles(x, "value", {"a": 0.025, "b": 0.975}, ["event_type"]).join(x.groupBy("event_type").agg(F.avg("value").alias("m")), "event_type")
     return q.select("event_type", F.round((F.col("b") - F.col("a")) / 2, 6).alias("half"), F.round(2 * F.col("m") - F.col("b"), 6).alias("low"), F.round(2 * F.col("m") - F.col("a"), 6).alias("high"))
 
 
@@ -168,7 +169,8 @@ def a05(spark, d):
 
 @query("a13_percentiles", "SELECT l_returnflag AS flag, round(quantile_cont(l_extendedprice, 0.1), 6) AS q10, round(quantile_cont(l_extendedprice, 0.9), 6) AS q90 FROM lineitem GROUP BY 1")
 def a13(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.round(F.percentile("l_extendedprice", 0.1), 6).alias("q10"), F.round(F.percentile("l_extendedprice", 0.9), 6).alias("q90"))
+    x = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    return _rounded(W.quantiles(x, "l_extendedprice", {"q10": 0.1, "q90": 0.9}, ["flag"]), 6, "q10", "q90")
 
 
 @query("a17_pearson", "SELECT l_returnflag AS flag, round(corr(l_quantity, l_extendedprice), 8) AS r, round(covar_samp(l_quantity, l_extendedprice), 4) AS cov FROM lineitem GROUP BY 1")
@@ -179,7 +181,7 @@ def a17(spark, d):
 @query("a30_descriptor_table", f"""WITH {PRICED_SQL}, x AS (SELECT entity, feature, value, s_acctbal AS a FROM priced JOIN supplier ON s_suppkey = entity), r AS (SELECT feature, {rank_sql('feature', 'value')} AS u, {rank_sql('feature', 'a')} AS v FROM x) SELECT feature, count(*) AS n, round(corr(u, v), 6) + 0.0 AS rho FROM r GROUP BY 1""")
 def a30(spark, d):
     x = priced(spark, d).join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_acctbal").alias("a")), "entity")
-    return _rounded(G.spearman(x, "value", "a", ["feature"]), 6, "rho")
+    return _rounded(G.row_spearman(x, "value", "a", ["feature"]), 6, "rho")
 
 
 @query("w04_normal_scores")
@@ -447,7 +449,7 @@ def b02(spark, d):
 
 @query("b07_union_interval", "SELECT min(a) AS low, max(b) AS high FROM (SELECT event_type, round(quantile_cont(value, 0.025), 6) AS a, round(quantile_cont(value, 0.975), 6) AS b FROM events GROUP BY 1)")
 def b07(spark, d):
-    q = table(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.025), 6).alias("a"), F.round(F.percentile("value", 0.975), 6).alias("b"))
+    q = _rounded(W.quantiles(table(spark, d, "events"), "value", {"a": 0.025, "b": 0.975}, ["event_type"]), 6, "a", "b")
     return q.agg(F.min("a").alias("low"), F.max("b").alias("high"))
 
 

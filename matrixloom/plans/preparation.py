@@ -304,16 +304,7 @@ def a16(spark, d):
 
 @query("a18_spearman", f"SELECT count(*) AS n, round(corr(rx, ry), 8) AS rho FROM (SELECT {rank_sql('1', 'l_quantity')} AS rx, {rank_sql('1', 'l_extendedprice')} AS ry FROM lineitem)")
 def a18(spark, d):
-    """Both columns are ranked over all rows by counts of distinct values, so no window holds all rows."""
-    x = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice")
-
-    def ranks(c):
-        n = x.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        below = F.sum("n").over(Window.orderBy(c)) - F.col("n")
-        return n.select(c, (below + (F.col("n") + 1) / 2).alias(f"r_{c}"))
-
-    r = x.join(ranks("l_quantity"), "l_quantity").join(ranks("l_extendedprice"), "l_extendedprice")
-    return r.agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("r_l_quantity", "r_l_extendedprice"), 8).alias("rho"))
+    return G.row_spearman(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice").withColumn("rho", F.round("rho", 8))
 
 
 _PAIR_SP = "b AS (SELECT x.feature AS i, y.feature AS j, x.value AS v, y.value AS w FROM sparse x JOIN sparse y ON x.entity = y.entity AND x.feature < y.feature)"
@@ -377,7 +368,7 @@ def a29(spark, d):
 
 @query("w02_percentile_ranks", f"WITH {PRICED_SQL}, r AS (SELECT entity, feature, {rank_sql('feature', 'score')} AS r, count(*) OVER (PARTITION BY feature) AS n FROM priced) SELECT entity, feature, round(r / n, 9) AS of_n, round((r - 0.5) / n, 9) AS mid, round((r - 1) / (n - 1), 9) AS closed FROM r")
 def w02(spark, d):
-    return priced(spark, d).select("entity", "feature", *[F.round(c, 9).alias(n) for n, c in W.percentile_ranks(["feature"], "score").items()])
+    return W.percentile_ranks(priced(spark, d), "score", ["feature"]).select("entity", "feature", *[F.round(c, 9).alias(c) for c in ("of_n", "mid", "closed")])
 
 
 @query("w03_row_ranks", f"WITH {PRICED_SQL} SELECT entity, feature, {rank_sql('entity', 'score')}::DOUBLE AS rank FROM priced")
