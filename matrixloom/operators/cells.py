@@ -115,3 +115,18 @@ def additive_fill(cells: DataFrame, rounds: int = 500, within: float = 1e-10) ->
 def successive(frames: list[DataFrame], key: str) -> DataFrame:
     """Inner joins of several frames on one key, in order."""
     return reduce(lambda a, b: a.join(b, key), frames)
+
+
+def blocks(cells: DataFrame, size: int, values: list[str]) -> DataFrame:
+    """(block, x): for each entity every set of `size` of its features, sorted, with their values as an array of structs.
+
+    An entity's own features are chained to sets in its row, so nothing is joined; its number of features bounds what a row gives.
+    """
+    held = cells.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("feature", *values))).alias("all"))
+    x = held.select("all", F.array().cast("array<int>").alias("at"), F.lit(1).alias("_from"))
+    for left in reversed(range(size)):
+        places = F.sequence(F.col("_from"), F.size("all") - left)
+        x = x.where(F.col("_from") <= F.size("all") - left).select("all", "at", F.explode(places).alias("_next"))
+        x = x.select("all", F.array_append("at", F.col("_next")).alias("at"), (F.col("_next") + 1).alias("_from"))
+    chosen = x.select(F.transform("at", lambda k: F.element_at("all", k)).alias("x"))
+    return chosen.select(F.array_join("x.feature", " ").alias("block"), "x")

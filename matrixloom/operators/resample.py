@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .geometry import _MOMENTS, correlation, pair_moments, rows_of
 from .ranks import numbered
+from .retrieval import pair_auc, strongest
 
 #: Rows of independently dealt columns that are shuffled together, and rows that trade together.
 BLOCK = 1024
@@ -493,3 +494,47 @@ def semi_partialled(spark: SparkSession, y: np.ndarray, x: np.ndarray, z: np.nda
         return {"response": _t_beside(y[moved][up], x[up], z[up]), "predictor": _t_beside(y[up], left[moved][up], z[up])}
 
     return replicates(spark, count + 1, draw, ["response", "predictor"])
+
+
+def matched_subspaces(spark: SparkSession, c: np.ndarray, modes: int, label: np.ndarray, count: int, seed: int) -> DataFrame:
+    """(replicate, auc): how the kernel of leading modes finds labelled pairs; from replicate 1 its axes are random, its eigenvalues kept."""
+    w, v = np.linalg.eigh(c)
+    w, v, up = w[-modes:], v[:, -modes:], np.triu_indices(len(c), 1)
+
+    def draw(r: int) -> dict[str, float]:
+        axes = v
+        if r:
+            q, t = np.linalg.qr(np.random.default_rng([seed, r]).normal(size=v.shape))
+            axes = q * np.sign(np.diag(t))
+        k = (axes * w) @ axes.T
+        d = np.sqrt(np.clip(np.diag(k), 1e-12, None))
+        return {"auc": pair_auc((k / np.outer(d, d))[up], label)}
+
+    return replicates(spark, count + 1, draw, ["auc"])
+
+
+def refitted(y: np.ndarray, candidate: np.ndarray, prior: np.ndarray, shares: list[float], gates: list[float]) -> float:
+    """How much a candidate adds to a prior in a linear model of pairs: the gain of mean AUC over several shares of strongest pairs.
+
+    The candidate counts where it is at or above a quantile; of those `gates` the best is taken.
+    """
+    labels = [strongest(y, s) for s in shares]
+
+    def score(*x: np.ndarray) -> float:
+        z = np.column_stack([np.ones(len(y)), *x])
+        fit = z @ np.linalg.lstsq(z, y, rcond=None)[0]
+        return float(np.mean([pair_auc(fit, t) for t in labels]))
+
+    gated = [np.where(candidate >= np.quantile(candidate, g), candidate, 0.0) for g in gates]
+    return max(score(prior, x) for x in gated) - score(prior)
+
+
+def refit_relabelled(spark: SparkSession, y: np.ndarray, x: np.ndarray, prior: np.ndarray, count: int, seed: int, shares: list[float], gates: list[float]) -> DataFrame:
+    """(replicate, gain): the candidate alone is relabelled; model and gate are fitted anew in each replicate; replicate 0 isn't relabelled."""
+    p, target, before = len(x), _upper(y), _upper(prior)
+
+    def draw(r: int) -> dict[str, float]:
+        order = np.random.default_rng([seed, r]).permutation(p) if r else np.arange(p)
+        return {"gain": refitted(target, _upper(x[np.ix_(order, order)]), before, shares, gates)}
+
+    return replicates(spark, count + 1, draw, ["gain"])
