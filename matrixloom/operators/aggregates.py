@@ -9,12 +9,12 @@ from .ranks import quantiles
 
 
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """n, mean, median, sd (0 for one row), exact 2.5 to 97.5 and 5 to 95 percentiles, least and greatest."""
-    q = lambda p: F.percentile(value, p)
-    return df.groupBy(*by).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"),
-        q(0.025).alias("q025"), q(0.05).alias("q05"), q(0.95).alias("q95"), q(0.975).alias("q975"), F.min(value).alias("least"), F.max(value).alias("greatest"),
-    )
+    """n, mean, median, sd (0 for one row), exact 2.5 to 97.5 and 5 to 95 percentiles, least and greatest; null percentiles where a group has no value."""
+    q = quantiles(df, value, {"median": 0.5, "q025": 0.025, "q05": 0.05, "q95": 0.95, "q975": 0.975}, by)
+    m = df.groupBy(*by).agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.min(value).alias("least"), F.max(value).alias("greatest")
+    )
+    return m.join(q, by, "left").select(*by, "n", "mean", "median", "sd", "q025", "q05", "q95", "q975", "least", "greatest")
 
 
 def mad_scale(df: DataFrame, by: list[str], value: str) -> DataFrame:
