@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, packing, quality, simhash, substring_dedup, token_counts, topk, toxicity, url_filters
+from . import bpe, line_dedup, packing, quality, simhash, spelling, substring_dedup, token_counts, topk, toxicity, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_topk": topk.op8_exact_topk,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op8_exact_topk": topk.OP8_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op11_spelling_variants": spelling.OP11_SQL,
 }
