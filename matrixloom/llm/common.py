@@ -182,3 +182,20 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(32)
     x *= _STEP
     return x
+
+
+def distinct_shingles(texts: list[str | None], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which text, hash) of every distinct run of `shingle` words, by text and hash. A-Z is lower-cased; a text of fewer words is one run, one without words has none."""
+    w = words_of([t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts])
+    n = np.diff(w.first)
+    runs = run_hashes(w.h, shingle)
+    whose = w.text_of()[: len(runs)]
+    inside = np.arange(len(runs)) + shingle <= w.first[1:][whose]
+    short = np.flatnonzero((n > 0) & (n < shingle))
+    h = np.concatenate([runs[inside], *[run_hashes(w.h[w.first[k] : w.first[k + 1]], int(n[k])) for k in short.tolist()]])
+    whose = np.concatenate([whose[inside], short])
+    order = np.lexsort((h, whose))
+    h, whose = h[order], whose[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (whose[1:] != whose[:-1])
+    return whose[new], h[new]

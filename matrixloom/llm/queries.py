@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, packing, quality, simhash, spelling, substring_dedup, token_counts, topk, toxicity, url_filters
+from . import bpe, divergence, jaccard_join, line_dedup, packing, quality, simhash, spelling, substring_dedup, token_counts, topk, toxicity, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
     "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_jaccard_join": jaccard_join.op13_jaccard_join,
 }
 
 ORACLES = {
@@ -25,4 +27,6 @@ ORACLES = {
     "op8_exact_topk": topk.OP8_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
     "op11_spelling_variants": spelling.OP11_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
+    "op13_jaccard_join": jaccard_join.OP13_SQL,
 }
