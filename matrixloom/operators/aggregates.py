@@ -58,13 +58,12 @@ def effective_number(df: DataFrame, by: list[str], category: str) -> DataFrame:
 
 
 def weighted_correlation(df: DataFrame, x: str, y: str, w: str) -> DataFrame:
-    """Weighted covariance (over 1 less the sum of squared shares) and correlation."""
-    W, a, b = F.sum(w), F.col(x), F.col(y)
-    s = df.agg(W.alias("w"), F.sum(F.col(w) * F.col(w)).alias("w2"), (F.sum(F.col(w) * a) / W).alias("mx"), (F.sum(F.col(w) * b) / W).alias("my"),
-               (F.sum(F.col(w) * a * b) / W).alias("mxy"), (F.sum(F.col(w) * a * a) / W).alias("mxx"), (F.sum(F.col(w) * b * b) / W).alias("myy"))
-    cov = F.col("mxy") - F.col("mx") * F.col("my")
-    spread = F.sqrt((F.col("mxx") - F.col("mx") ** 2) * (F.col("myy") - F.col("my") ** 2))
-    return s.select((cov / (1 - F.col("w2") / F.col("w") ** 2)).alias("cov"), (cov / spread).alias("r"))
+    """Weighted covariance (over 1 less the sum of squared shares) and correlation, about the weighted means of a first pass."""
+    mean = df.agg(*[(F.sum(F.col(w) * F.col(v)) / F.sum(w)).alias(m) for m, v in (("mx", x), ("my", y))])
+    from_mean = df.select(F.col(w).cast("double").alias("w"), F.col(x).alias("x"), F.col(y).alias("y")).join(F.broadcast(mean)).select("w", (F.col("x") - F.col("mx")).alias("a"), (F.col("y") - F.col("my")).alias("b"))
+    c = lambda u, v: F.sum(F.col("w") * F.col(u) * F.col(v)) / F.sum("w")
+    s = from_mean.agg(c("a", "b").alias("ab"), c("a", "a").alias("aa"), c("b", "b").alias("bb"), F.try_divide(F.sum(F.col("w") * F.col("w")), F.pow(F.sum("w"), F.lit(2))).alias("share"))
+    return s.select((F.col("ab") / (1 - F.col("share"))).alias("cov"), F.try_divide(F.col("ab"), F.sqrt("aa") * F.sqrt("bb")).alias("r"))
 
 
 def degree_bins(df: DataFrame, by: str, cap: int) -> DataFrame:

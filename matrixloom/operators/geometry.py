@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from .moments import STATE, batch_state, correlation, covariance, joined, merged
 from .ranks import average_rank, dealt, range_edges, value_ranks
 
-_MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
-
 
 def rows_of(cells: DataFrame, features: list, keep: list[str] | None = None) -> DataFrame:
     """One row for each entity with its values in feature order (null where absent), beside `keep` columns of the entity."""
@@ -23,49 +25,40 @@ def rows_of(cells: DataFrame, features: list, keep: list[str] | None = None) ->
     return held.select("entity", *(keep or []), spread.alias("x"))
 
 
+def values_of(column: pa.Array, features: int) -> np.ndarray:
+    """An Arrow array of equally long lists as a matrix; nulls are NaN."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), features)
+
+
 def pair_moments(rows: DataFrame, features: int, group: list[str] | None = None, weight: str | None = None) -> DataFrame:
-    """(group, i, j, n, sx, sy, sxx, syy, sxy) for i < j over entities that have both features.
+    """(group, i, j, state) for i < j over entities that have both features: mergeable centred moments (`moments.STATE`).
 
-    A batch of rows becomes a few matrix products, so what is shuffled is one small table for each
-    task and group, and neither entities nor pairs of cells. Weighted sums if `weight` names a column.
+    A batch of rows becomes a few matrix products, batches and tasks are merged about their own means, so what is shuffled is one small table for each
+    task and group, and neither entities nor pairs of cells. Rows count by `weight` if it names a column.
     """
     group = group or []
     upper = np.triu_indices(features, 1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
-        for b in batches:
-            parts = b.groupby(group, dropna=False, sort=False) if group else [((), b)]
-            for key, part in parts:
-                x = np.array([np.asarray(r, float) for r in part["x"]]).reshape(len(part), features)
-                seen = ~np.isnan(x)
-                x = np.where(seen, x, 0.0)
-                w = part[weight].to_numpy(float)[:, None] if weight else 1.0
-                m, wx = seen.astype(float), w * x
-                one = np.stack([(w * m).T @ m, wx.T @ m, (w * m).T @ x, (wx * x).T @ m, (w * m).T @ (x * x), wx.T @ x])
-                held[key] = held.get(key, 0) + one
+        for b in (x for x in batches if len(x)):
+            x = values_of(b.column("x"), features)
+            w = b.column(weight).to_numpy(zero_copy_only=False) if weight else None
+            parts = {(): np.arange(len(b))}
+            if group:
+                parts = b.select(group).to_pandas().groupby(group, dropna=False, sort=False).indices
+            for key, at in parts.items():
+                key = key if isinstance(key, tuple) else (key,)
+                held[key] = joined(held.get(key), batch_state(x[at], None if w is None else w[at]))
         for key, one in held.items():
-            out = pd.DataFrame({"i": upper[0], "j": upper[1]} | {c: one[k][upper] for k, c in enumerate(_MOMENTS)})
-            for k, g in enumerate(group):
-                out[g] = key[k]
-            yield out[[*group, "i", "j", *_MOMENTS]]
-
-    kinds = "".join(f"`{g}` {rows.schema[g].dataType.simpleString()}, " for g in group)
-    schema = kinds + "i int, j int, " + ", ".join(f"{c} double" for c in _MOMENTS)
-    parts = rows.select("x", *group, *([weight] if weight else [])).mapInPandas(run, schema)
-    return parts.groupBy(*group, "i", "j").agg(*[F.sum(c).alias(c) for c in _MOMENTS])
-
-
-def correlation() -> Column:
-    """Pearson correlation from moments, within [-1, 1]; null without spread."""
-    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in _MOMENTS)
-    spread = (sxx - sx * sx / n) * (syy - sy * sy / n)
-    return F.when(spread > 1e-24, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (sxy - sx * sy / n) / F.sqrt(spread))))
-
-
-def covariance() -> Column:
-    """Sample covariance from moments."""
-    return (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1)
+            out = pd.DataFrame({g: [key[k]] * len(upper[0]) for k, g in enumerate(group)} | {"i": upper[0], "j": upper[1]} | {c: one[k][upper] for k, c in enumerate(STATE)})
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+
+    fields = [rows.schema[g] for g in group] + [T.StructField(c, T.IntegerType()) for c in ("i", "j")] + [T.StructField(c, T.DoubleType()) for c in STATE]
+    schema = T.StructType(fields)
+    arrow = to_arrow_schema(schema)
+    parts = rows.select("x", *group, *([weight] if weight else [])).mapInArrow(run, schema)
+    return merged(parts, [*group, "i", "j"])
 
 
 def correlations(cells: DataFrame, features: list, group: list[str] | None = None, least: int = 2) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Linear models from moments: sums over entities in Spark, small systems solved on the driver."""
+"""Linear models from centred moments, which Spark merges over entities; small systems are solved on the driver."""
 
 from __future__ import annotations
 
@@ -10,44 +10,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def normal_sums(rows: DataFrame, x: list[str], y: list[str], by: str | None = None, weight: str | None = None) -> dict:
-    """For each value of `by` the summed products of (1, x, y): one small matrix a task, added up on the driver.
+#: Rows, means of all columns, and their centred products.
+Moments = tuple[float, np.ndarray, np.ndarray]
+
+
+def _state(z: np.ndarray, w: np.ndarray | None) -> Moments:
+    w = np.ones(len(z)) if w is None else w
+    n = float(w.sum())
+    origin = z.mean(0)
+    mean = origin + w @ (z - origin) / n if n else origin
+    d = z - mean
+    return n, mean, (w[:, None] * d).T @ d
+
+
+def together(a: Moments | None, b: Moments) -> Moments:
+    """The moments of two disjoint sets of rows; None has no rows."""
+    if a is None or not a[0]:
+        return b
+    n, d = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
+
+def without(a: Moments, b: Moments) -> Moments:
+    """The moments of the rows of `a` that aren't in its part `b`."""
+    n, d = a[0] - b[0], b[1] - a[1]
+    return n, a[1] - d * (b[0] / n), a[2] - b[2] - np.outer(d, d) * (b[0] * a[0] / n)
+
+
+def normal_moments(rows: DataFrame, x: list[str], y: list[str], by: str | None = None, weight: str | None = None) -> dict[int, Moments]:
+    """For each value of `by` the moments of the columns (x, y), rows with a null left out: one small state a task, merged in Spark by `by`.
 
     `by` holds a bounded number of values (folds).
     """
     names = [*x, *y]
-    k = len(names) + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
         for b in batches:
             for key, part in b.groupby(by) if by else [(0, b)]:
-                z = np.column_stack([np.ones(len(part)), part[names].to_numpy(float)])
-                w = part[weight].to_numpy(float)[:, None] if weight else 1.0
-                held[key] = held.get(key, 0) + (w * z).T @ z
-        for key, m in held.items():
-            yield pd.DataFrame({"by": [int(key)], "m": [m.ravel()]})
+                if len(part):
+                    held[key] = together(held.get(key), _state(part[names].to_numpy(float), part[weight].to_numpy(float) if weight else None))
+        for key, (n, m, c) in held.items():
+            yield pd.DataFrame({"by": [int(key)], "n": [n], "m": [m], "c": [c.ravel()]})
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        held = None
+        for n, m, c in zip(part["n"], part["m"], part["c"], strict=True):
+            held = together(held, (n, np.asarray(m), np.asarray(c).reshape(len(names), -1)))
+        return pd.DataFrame({"by": part["by"].iloc[:1], "n": [held[0]], "m": [held[1]], "c": [held[2].ravel()]})
 
-    parts = rows.select(*names, *([by] if by else []), *([weight] if weight else [])).dropna().mapInPandas(run, "by long, m array<double>")
-    summed = parts.select("by", F.posexplode("m").alias("k", "v")).groupBy("by", "k").agg(F.sum("v").alias("v"))
-    out: dict = {}
-    for b, at, v in summed.collect():
-        out.setdefault(b, np.zeros(k * k))[at] = v
-    return {b: m.reshape(k, k) for b, m in out.items()}
+    schema = "by long, n double, m array<double>, c array<double>"
+    used = rows.select(*names, *([by] if by else []), *([weight] if weight else [])).dropna()
+    found = used.mapInPandas(run, schema).groupBy("by").applyInPandas(merge, schema).collect()
+    return {r["by"]: (r["n"], np.array(r["m"]), np.array(r["c"]).reshape(len(names), -1)) for r in found}
 
 
-def solve(m: np.ndarray, x: int, ridge: float = 0.0) -> np.ndarray:
-    """Coefficients (1 + x rows, one column for each response) from summed products."""
-    a, b = m[: x + 1, : x + 1], m[: x + 1, x + 1 :]
-    penalty = np.diag([0.0] + [ridge] * x)
-    return np.linalg.lstsq(a + penalty, b, rcond=None)[0]
+def solve(m: Moments, x: int, ridge: float = 0.0) -> np.ndarray:
+    """Coefficients (1 + x rows, one column for each response) from the moments of x predictors and the responses; the constant isn't penalised."""
+    _, mean, c = m
+    a = c[:x, :x] + ridge * np.eye(x)
+    scale = 1 / np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+    b = scale[:, None] * np.linalg.lstsq(a * np.outer(scale, scale), scale[:, None] * c[:x, x:], rcond=None)[0]
+    return np.vstack([mean[x:] - mean[:x] @ b, b])
 
 
 def held_out(rows: DataFrame, x: list[str], y: list[str], fold: str, ridge: float = 0.0) -> DataFrame:
-    """`rows` with p_<response>: each row predicted by the model of all other folds, from per-fold sums in one pass."""
-    sums = normal_sums(rows, x, y, fold)
-    whole = sum(sums.values())
-    fits = {f: solve(whole - m, len(x), ridge) for f, m in sums.items()}
+    """`rows` with p_<response>: each row predicted by the model of all other folds, from per-fold moments in one pass."""
+    parts = normal_moments(rows, x, y, fold)
+    whole = None
+    for m in parts.values():
+        whole = together(whole, m)
+    fits = {f: solve(without(whole, m), len(x), ridge) for f, m in parts.items()}
 
     def predicted(k: int) -> Column:
         out = F.lit(None).cast("double")
@@ -62,21 +95,24 @@ def held_out(rows: DataFrame, x: list[str], y: list[str], fold: str, ridge: floa
 
 
 def bases_r2(rows: DataFrame, bases: dict[str, list[str]], y: str, fold: str) -> dict[str, float]:
-    """Out-of-fold R2 of a response by each basis on the same folds: rows are read once, for the products of all columns.
+    """Out-of-fold R2 of a response by each basis on the same folds: rows are read once, for the moments of all columns.
 
-    A basis takes its part of the products; a fold's squared error is a quadratic form of its own products.
+    A basis takes its part of the moments; a fold's squared error is a quadratic form of its own centred products, plus what its means miss.
     """
     names = sorted({c for x in bases.values() for c in x})
-    sums = normal_sums(rows, names, [y], fold)
-    whole = sum(sums.values())
-    total = whole[-1, -1] - whole[0, -1] ** 2 / whole[0, 0]
+    parts = normal_moments(rows, names, [y], fold)
     out = {}
     for basis, x in bases.items():
-        at = [0, *[names.index(c) + 1 for c in x], len(names) + 1]
-        part = {f: m[np.ix_(at, at)] for f, m in sums.items()}
-        every = sum(part.values())
-        fits = {f: np.append(solve(every - m, len(x))[:, 0], -1.0) for f, m in part.items()}
-        out[basis] = float(1 - sum(fits[f] @ m @ fits[f] for f, m in part.items()) / total)
+        at = [*[names.index(c) for c in x], len(names)]
+        part = {f: (n, m[at], c[np.ix_(at, at)]) for f, (n, m, c) in parts.items()}
+        every, error = None, 0.0
+        for m in part.values():
+            every = together(every, m)
+        for m in part.values():
+            b = solve(without(every, m), len(x))[:, 0]
+            e = np.append(-b[1:], 1.0)
+            error += float(e @ m[2] @ e + m[0] * (e @ m[1] - b[0]) ** 2)
+        out[basis] = 1 - error / float(every[2][-1, -1])
     return out
 
 

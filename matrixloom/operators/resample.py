@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .geometry import _MOMENTS, correlation, pair_moments, rows_of
+from .geometry import pair_moments, rows_of
+from .moments import STATE, batch_state, correlation, joined, merged
 from .ranks import numbered
 from .retrieval import pair_auc, strongest
 
@@ -161,19 +162,6 @@ def poisson_weights(key: np.ndarray, replicate: int) -> np.ndarray:
     return np.searchsorted(steps, hashed(key, replicate, 1)[:, 0]).astype(float)
 
 
-def _products(x: np.ndarray, w: np.ndarray | None) -> np.ndarray:
-    """The six moments of all pairs of columns; without missing values one matrix product gives them."""
-    w = np.ones(len(x)) if w is None else w
-    seen = ~np.isnan(x)
-    if seen.all():
-        one, n = np.ones(x.shape[1]), w.sum()
-        s, q = w @ x, w @ (x * x)
-        return np.stack([n * np.outer(one, one), np.outer(s, one), np.outer(one, s), np.outer(q, one), np.outer(one, q), (w[:, None] * x).T @ x])
-    x, m = np.where(seen, x, 0.0), seen.astype(float)
-    wm, wx = w[:, None] * m, w[:, None] * x
-    return np.stack([wm.T @ m, wx.T @ m, wm.T @ x, (wx * x).T @ m, wm.T @ (x * x), wx.T @ x])
-
-
 def _whole(batches: Iterator[pd.DataFrame], block: str | None) -> Iterator[pd.DataFrame]:
     """Batches as they come, or one frame for each block of rows that follow each other."""
     held = None
@@ -206,13 +194,13 @@ def drawn_moments(rows: DataFrame, features: int, replicates: list[int], draw: C
                 x = np.array([np.asarray(r, float) for r in b["x"]]).reshape(len(b), features)
                 k = b[key].to_numpy()
                 for r in replicates:
-                    held[r] = held.get(r, 0) + _products(*draw(r, k, x))
+                    held[r] = joined(held.get(r), batch_state(*draw(r, k, x)))
         for r, one in held.items():
-            yield pd.DataFrame({"replicate": r, "i": upper[0], "j": upper[1]} | {c: one[k][upper] for k, c in enumerate(_MOMENTS)})
+            yield pd.DataFrame({"replicate": r, "i": upper[0], "j": upper[1]} | {c: one[k][upper] for k, c in enumerate(STATE)})
 
-    schema = "replicate long, i int, j int, " + ", ".join(f"{c} double" for c in _MOMENTS)
+    schema = "replicate long, i int, j int, " + ", ".join(f"{c} double" for c in STATE)
     few = rows.select(key, "x").coalesce(2 * max(1, rows.sparkSession.sparkContext.defaultParallelism))
-    return few.mapInPandas(run, schema).groupBy("replicate", "i", "j").agg(*[F.sum(c).alias(c) for c in _MOMENTS])
+    return merged(few.mapInPandas(run, schema), ["replicate", "i", "j"])
 
 
 def _row_centred(x: np.ndarray) -> np.ndarray:
@@ -250,10 +238,10 @@ def null_moments(rows: DataFrame, features: int, count: int, seed: int, kind: st
 
         return seen.union(drawn_moments(dealt_columns(rows, features, seed, block), features, later, shuffle, "block"))
     own = {}
-    for r in seen.where("i = 0").select("i", "j", "n", "sx", "sy", "sxx", "syy").collect():
-        own |= {r["i"]: (r["n"], r["sx"], r["sxx"]), r["j"]: (r["n"], r["sy"], r["syy"])}
-    n, s, q = (np.array([own[f][c] if f in own else np.nan for f in range(features)]) for c in range(3))
-    mean, sd = s / n, np.sqrt(np.clip(q - s * s / n, 0, None) / (n - 1))
+    for r in seen.where("i = 0").select("i", "j", *STATE).collect():
+        own |= {r["i"]: (r["n"], r["mx"], r["cxx"]), r["j"]: (r["n"], r["my"], r["cyy"])}
+    n, mean, square = (np.array([own[f][c] if f in own else np.nan for f in range(features)]) for c in range(3))
+    sd = np.sqrt(square / (n - 1))
 
     def noise(r: int, key: np.ndarray, x: np.ndarray) -> tuple:
         d = _normal(key, r, features)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import average_rank, normal_quantile
@@ -93,13 +93,19 @@ def represented(cells: DataFrame, fit: DataFrame) -> DataFrame:
 
 
 def fold_local(cells: DataFrame, fold: str, folds: int) -> DataFrame:
-    """Cells as z scores by means and sds of all other folds, from per-fold sums: no pass for each fold."""
-    v = F.col("value")
-    part = cells.groupBy("feature", fold).agg(F.count("value").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
-    whole = part.groupBy("feature").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"), F.sum("q").alias("all_q"))
-    n, s, q = F.col("all_n") - F.col("n"), F.col("all_s") - F.col("s"), F.col("all_q") - F.col("q")
-    fit = part.join(whole, "feature").select("feature", fold, (s / n).alias("m"), F.sqrt((q - s * s / n) / (n - 1)).alias("sd"))
-    return cells.join(fit, ["feature", fold]).select("entity", "feature", fold, ((v - F.col("m")) / F.col("sd")).alias("value"))
+    """Cells as z scores by means and sds of all other folds, from per-fold counts, means and centred squares: no pass for each fold. Null where the others have no spread."""
+    v, n = F.col("value"), F.col("n")
+    part = cells.groupBy("feature", fold).agg(F.count("value").alias("n"), F.coalesce(F.avg(v), F.lit(0.0)).alias("m"), F.coalesce(F.var_pop(v) * F.count("value"), F.lit(0.0)).alias("q"))
+    w = Window.partitionBy("feature")
+    whole = part.withColumn("all", F.sum("n").over(w)).withColumn("mean", F.try_divide(F.sum(n * F.col("m")).over(w), F.col("all")))
+    away = F.col("m") - F.col("mean")
+    whole = whole.withColumn("away", away).withColumn("square", F.sum(F.col("q") + n * F.pow(away, 2)).over(w))
+    # the other folds' state: the feature's with this fold's taken out
+    rest = F.col("all") - n
+    m = F.col("mean") - F.try_divide(F.col("away") * n, rest)
+    q = F.col("square") - F.col("q") - F.try_divide(F.pow("away", F.lit(2)) * n * F.col("all"), rest)
+    fit = whole.select("feature", fold, m.alias("m"), F.sqrt(F.try_divide(F.greatest(q, F.lit(0.0)), rest - 1)).alias("sd"))
+    return cells.join(fit, ["feature", fold]).select("entity", "feature", fold, F.try_divide(v - F.col("m"), F.col("sd")).alias("value"))
 
 
 def row_factor(cells: DataFrame, size: DataFrame) -> DataFrame:

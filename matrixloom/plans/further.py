@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import geometry as G
+from ..operators import moments as S
 from ..operators import ranking as R
 from ..operators import ranks as W
 from ..operators import regress as D
@@ -175,7 +176,7 @@ def b04(spark, d):
     m = G.pair_moments(G.rows_of(c, DENSE, ["g"]), 64, ["g"])
     each = m.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(9))))
     w = -F.log(B.uniform(30, F.col("replicate"), F.col("g")))
-    summed = each.withColumn("w", w).groupBy("replicate", "i", "j").agg(*[F.sum(F.col("w") * F.col(k)).alias(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    summed = S.merged(S.weighted(each.withColumn("w", w), F.col("w")), ["replicate", "i", "j"])
     return G.participation(summed.select("replicate", "i", "j", G.correlation().alias("r")), 64, ["replicate"]).select("replicate", F.round("pr", 6).alias("pr"))
 
 
@@ -202,7 +203,7 @@ def b17(spark, d):
 
 @query("d01_least_squares", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem")
 def d01(spark, d):
-    m = D.normal_sums(table(spark, d, "lineitem"), ["l_quantity"], ["l_extendedprice"])[0]
+    m = D.normal_moments(table(spark, d, "lineitem"), ["l_quantity"], ["l_extendedprice"])[0]
     b = D.solve(m, 1)
     return spark.createDataFrame([(round(float(b[1, 0]), 4), round(float(b[0, 0]), 2))], "slope double, intercept double")
 

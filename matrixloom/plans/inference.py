@@ -12,6 +12,7 @@ from ..functions.text import nfkc_name, position_identity
 from ..operators import aggregates as A
 from ..operators import cells as C
 from ..operators import geometry as G
+from ..operators import moments as S
 from ..operators import neighbours as K
 from ..operators import ranking as R
 from ..operators import ranks as W
@@ -236,8 +237,8 @@ def m15(spark, d):
     m = G.pair_moments(table(spark, d, "supplier").select(x.alias("x")), 10).collect()
     c = np.zeros((10, 10))
     for r in m:
-        c[r.i, r.j] = c[r.j, r.i] = r.sxy - r.sx * r.sy / r.n
-        c[r.i, r.i], c[r.j, r.j] = r.sxx - r.sx**2 / r.n, r.syy - r.sy**2 / r.n
+        c[r.i, r.j] = c[r.j, r.i] = r.cxy
+        c[r.i, r.i], c[r.j, r.j] = r.cxx, r.cyy
     w = np.linalg.eigvalsh(c)
     return spark.createDataFrame([(int((w > 1e-9 * w[-1]).sum()),)], "modes int")
 
@@ -274,7 +275,7 @@ s AS (SELECT sum(c) FILTER (WHERE i = j) AS t, sum(c * c) AS q FROM c) SELECT ro
 def g13(spark, d):
     c = dense(spark, d)
     m = G.pair_moments(G.rows_of(c, DENSE), 64)
-    off = m.agg(F.sum(F.pow((F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.col("n"), 2)).alias("o"), F.max("n").alias("n"))
+    off = m.agg(F.sum(F.pow(F.col("cxy") / F.col("n"), 2)).alias("o"), F.max("n").alias("n"))
     own = c.groupBy("feature").agg(F.var_pop("value").alias("v")).agg(F.sum("v").alias("t"), F.sum(F.col("v") ** 2).alias("s"))
     return off.join(own).select(*G.shrinkage(F.col("s") + 2 * F.col("o"), F.col("t"), F.col("n"), 64))
 
@@ -421,7 +422,7 @@ def n15(spark, d):
     x = G.rows_of(sparse(spark, d), BRANDS)
     seen = G.pair_moments(x, len(BRANDS)).agg(F.stddev_pop("n")).first()[0]
     m = G.pair_moments(B.traded(x, len(BRANDS), 20, 1000), len(BRANDS), ["replicate"])
-    return B.tail(m.groupBy("replicate").agg(F.stddev_pop("sxy").alias("spread")), "spread", seen)
+    return B.tail(m.groupBy("replicate").agg(F.stddev_pop(S.product_sum()).alias("spread")), "spread", seen)
 
 
 @query("n21_tail_p", f"WITH {_EDGES} SELECT (1 + count(*) FILTER (WHERE r >= 0.1)) / (count(*) + 1) AS p_upper, (1 + count(*) FILTER (WHERE r <= 0.1)) / (count(*) + 1) AS p_lower FROM e")

@@ -11,6 +11,7 @@ from ..operators import aggregates as A
 from ..operators import cells as C
 from ..operators import contracts
 from ..operators import geometry as G
+from ..operators import moments as S
 from ..operators import ranks as W
 from ..operators.resample import hash_fold
 from ..sources import sinks
@@ -333,7 +334,7 @@ def a23(spark, d):
     rows = G.rows_of(priced(spark, d).join(groups(spark, d), "entity"), BRANDS, ["grp"])
     names = F.array(*[F.lit(b) for b in BRANDS])
     m = G.pair_moments(rows, len(BRANDS), ["grp"]).where("n > 0")
-    return m.select("grp", F.get(names, F.col("i")).alias("i"), F.get(names, F.col("j")).alias("j"), "n", F.round("sx", 6).alias("sx"), F.round("sy", 6).alias("sy"), F.round("sxy", 6).alias("sxy"))
+    return m.select("grp", F.get(names, F.col("i")).alias("i"), F.get(names, F.col("j")).alias("j"), "n", F.round(S.total("x"), 6).alias("sx"), F.round(S.total("y"), 6).alias("sy"), F.round(S.product_sum(), 6).alias("sxy"))
 
 
 @query("a25_effective_number", "WITH c AS (SELECT source, lang, count(*) AS c FROM documents GROUP BY 1, 2), t AS (SELECT *, sum(c) OVER (PARTITION BY source) AS t FROM c) SELECT source, round(exp(-sum(c / t * ln(c / t))), 6) AS effective FROM t GROUP BY 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import geometry as G
+from ..operators import moments as S
 from ..operators import ranks as W
 from ..operators import resample as B
 from ..sources import files, sinks
@@ -164,11 +165,13 @@ _SUMS = "SELECT l_suppkey AS k, count(*) AS n, sum(l_quantity) AS x, sum(l_exten
 
 @query("b22_refit_slopes", f"WITH f AS ({_SUMS}), w AS (SELECT f.*, replicate, {uniform_sql("'54'", 'replicate', 'k')} AS u FROM f CROSS JOIN (SELECT unnest(range(20)) AS replicate)), t AS (SELECT replicate, sum({_TIMES} * n) AS n, sum({_TIMES} * x) AS x, sum({_TIMES} * y) AS y, sum({_TIMES} * xx) AS xx, sum({_TIMES} * xy) AS xy FROM w GROUP BY 1) SELECT replicate::INTEGER AS replicate, round((xy - x * y / n) / (xx - x * x / n), 4) AS slope FROM t")
 def b22(spark, d):
-    """Slope of price on quantity refitted to each draw of suppliers, from their sums."""
+    """Slope of price on quantity refitted to each draw of suppliers, from their moments."""
     q, p = F.col("l_quantity"), F.col("l_extendedprice")
-    f = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(q).alias("x"), F.sum(p).alias("y"), F.sum(q * q).alias("xx"), F.sum(q * p).alias("xy"))
-    t = _draws(f, 20, 54).withColumn("w", _times()).groupBy("replicate").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("n", "x", "y", "xx", "xy")])
-    return t.select("replicate", F.round((F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.col("xx") - F.col("x") * F.col("x") / F.col("n")), 4).alias("slope"))
+    lines = table(spark, d, "lineitem")
+    f = lines.groupBy(F.col("l_suppkey").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.avg(q).alias("mx"), F.avg(p).alias("my"), F.regr_sxx(p, q).alias("cxx"), F.regr_syy(p, q).alias("cyy"), F.regr_sxy(p, q).alias("cxy"), F.lit(0.0).alias("lx"), F.lit(0.0).alias("ly"))
+    near = F.broadcast(lines.agg(F.avg(q).alias("ox"), F.avg(p).alias("oy")))
+    t = S.merged(S.weighted(_draws(f, 20, 54).withColumn("w", _times()).join(near), F.col("w")), ["replicate"], ("ox", "oy"))
+    return t.select("replicate", F.round(F.col("cxy") / F.col("cxx"), 4).alias("slope"))
 
 
 @query("b18_repeated_samples", f"WITH x AS (SELECT replicate, toxic, n_chars FROM documents JOIN labels USING (doc_id) CROSS JOIN (SELECT unnest(range(10)) AS replicate) WHERE {uniform_sql("'55'", 'replicate', 'doc_id')} < 0.5) SELECT replicate::INTEGER AS replicate, count(*) AS n, round(avg(toxic), 9) AS toxic, round(avg(n_chars), 6) AS n_chars FROM x GROUP BY 1")
@@ -230,13 +233,14 @@ def d03(spark, d):
 
 @query("d09_balanced_ridge", "WITH x AS (SELECT quality AS y, n_chars / 1000 AS x FROM documents JOIN labels USING (doc_id)), c AS (SELECT y, (SELECT count(*) FROM x) / (2.0 * count(*)) AS w FROM x GROUP BY 1), s AS (SELECT sum(w) AS w, sum(w * x) AS x, sum(w * y) AS y, sum(w * x * x) AS xx, sum(w * x * y) AS xy FROM x JOIN c USING (y)), b AS (SELECT *, (xy - x * y / w) / (xx - x * x / w + 1) AS b FROM s) SELECT round(b, 9) AS slope, round(y / w - b * x / w, 9) AS intercept FROM b")
 def d09(spark, d):
-    """Ridge regression of a label on length with classes weighted to equal sums, from their sums."""
+    """Ridge regression of a label on length with classes weighted to equal sums, from their moments."""
     x = table(spark, d, "documents").select("doc_id", (F.col("n_chars") / 1000).alias("x")).join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
-    c = x.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("xx"))
-    w = c.join(F.broadcast(c.agg(F.sum("n").alias("all")))).withColumn("w", F.col("all") / (2 * F.col("n")))
-    s = w.agg(F.sum(F.col("w") * F.col("n")).alias("w"), F.sum(F.col("w") * F.col("x")).alias("x"), F.sum(F.col("w") * F.col("n") * F.col("y")).alias("y"), F.sum(F.col("w") * F.col("xx")).alias("xx"), F.sum(F.col("w") * F.col("x") * F.col("y")).alias("xy"))
-    b = (F.col("xy") - F.col("x") * F.col("y") / F.col("w")) / (F.col("xx") - F.col("x") * F.col("x") / F.col("w") + 1)
-    return s.select(F.round(b, 9).alias("slope"), F.round(F.col("y") / F.col("w") - b * F.col("x") / F.col("w"), 9).alias("intercept"))
+    none = F.lit(0.0)
+    c = x.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), (F.var_pop("x") * F.count(F.lit(1))).alias("cxx"), none.alias("cyy"), none.alias("cxy"), none.alias("lx"), none.alias("ly"))
+    w = c.join(F.broadcast(c.agg(F.sum("n").alias("all"))))
+    s = S.merged(S.weighted(w, F.col("all") / (2 * F.col("n"))), [])
+    b = F.col("cxy") / (F.col("cxx") + 1)
+    return s.select(F.round(b, 9).alias("slope"), F.round(F.col("my") - b * F.col("mx"), 9).alias("intercept"))
 
 
 @query("d22_basis", "WITH r AS (SELECT corr(l_quantity, l_extendedprice) AS a, corr(l_quantity, l_tax) AS b, corr(l_extendedprice, l_tax) AS c FROM lineitem) SELECT round(1 - a * a - b * b - c * c + 2 * a * b * c, 9) AS determinant, round(greatest(abs(a), abs(b), abs(c)), 9) AS closest, round((1 - c * c) / (1 - a * a - b * b - c * c + 2 * a * b * c), 6) AS inflation FROM r")
