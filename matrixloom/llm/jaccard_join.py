@@ -19,7 +19,11 @@ PARTS = 3
 #: Bits of a set's parity sketch. Sketches never differ in more bits than sets in elements.
 SKETCH = 1024
 #: Comparisons of one signature up to which its sets are compared; beyond it, it is extended by signatures of another partition, LEVELS times at most.
-CROWD, LEVELS = 1 << 14, 3
+CROWD, LEVELS = 1 << 18, 3
+#: Bytes of keys up to which they are broadcast to pick texts; more keys are joined by a shuffle of the texts.
+BROADCAST = 64 << 20
+#: Comparisons that a task holds at once.
+BLOCK = 1 << 18
 _CUT = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -128,7 +132,9 @@ def _of_some(docs: DataFrame, ids: DataFrame, key: str, text: str, shingle: int,
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(some)), made(whose, h, len(some))], ["id", name])
                 lo += len(some)
 
-    rows = lean(docs).select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids.select("id").distinct(), "id", "left_semi")
+    few = written(ids.select("id").distinct(), "jaccard-ids")
+    size = few.agg(F.sum(F.octet_length(F.col("id").cast("string")) + 24)).first()[0] or 0
+    rows = lean(docs).select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(few) if size <= BROADCAST else few, "id", "left_semi")
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {name} array<long>")
 
 
@@ -151,29 +157,94 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, shingle:
     return joined.where(F.col("common") * 100 >= (F.col("both") - F.col("common")) * percent).select("a", "b").distinct()
 
 
-def _open_pairs(shared: DataFrame, labels: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, percent: int, crowd: int, levels: int) -> DataFrame | None:
-    """(a, b): pairs that share a signature, lie in different components and haven't been compared; None if there are none.
+def _close_pairs(t: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x, y) of a table's rows, which lie by signature: pairs of one signature, not both in its major component nor in one component, whose sizes and
+    sketches allow a link. Members that are done have been compared with all others. Blocks bound what is held at once."""
+    flag = lambda c: t.column(c).to_numpy(zero_copy_only=False).astype(bool)
+    sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(t), -1)
+    comp = t.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+    sig, n, major, done = t.column("sig").to_numpy(), t.column("n").to_numpy(), flag("major"), flag("done")
+    first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    size = np.diff(np.append(first, len(t)))
+    begin, width = np.repeat(first, size), np.repeat(size, size)
+    open_ = np.flatnonzero(~major & ~done)
+    upto = np.cumsum(width[open_])
+    lo = 0
+    while lo < len(open_):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + BLOCK, "right")))
+        x = open_[lo:hi]
+        w = width[x]
+        y = np.repeat(begin[x] - np.cumsum(w) + w, w) + np.arange(w.sum())
+        x = np.repeat(x, w)
+        keep = (comp[x] != comp[y]) & ~done[y] & (major[y] | (x < y)) & (n[x] * 100 >= n[y] * percent) & (n[y] * 100 >= n[x] * percent)
+        x, y = x[keep], y[keep]
+        for k in range(0, len(x), BLOCK // 16):
+            i, j = x[k : k + BLOCK // 16], y[k : k + BLOCK // 16]
+            near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64) <= difference(n[i] + n[j], percent)
+            yield i[near], j[near]
+        lo = hi
+
+
+def _compared(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs that `_close_pairs` gives of members (sig, id, comp, major, done). Rows of a signature lie together, as many as the caller bounds them to,
+    and pairs that can't link never become rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for last, b in _ending(batches):
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            sig = t.column("sig").to_numpy()
+            end = len(t) if last else int(np.flatnonzero(sig == sig[-1])[0])
+            held, t = t.slice(end), t.slice(0, end)
+            if len(t):
+                ids = t.column("id").combine_chunks()
+                for x, y in _close_pairs(t, percent):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y))], ["x", "y"])
+
+    of = classes.select(F.col("id").alias("of"), "n", "sketch")
+    rows = members.join(of, F.col("id") == F.col("of")).select("sig", "id", "comp", "n", "sketch", (F.col("comp") == F.col("major")).alias("major"), "done")
+    kind = rows.schema["id"].dataType.simpleString()
+    found = lean(rows).repartition("sig").sortWithinPartitions("sig").mapInArrow(run, f"x {kind}, y {kind}")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _ending(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Batches with rows, and whether each is the last."""
+    before = None
+    for b in batches:
+        if len(b):
+            if before is not None:
+                yield False, before
+            before = b
+    if before is not None:
+        yield True, before
+
+
+def _open_pairs(shared: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, percent: int, crowd: int, levels: int) -> DataFrame | None:
+    """(a, b): pairs that share a signature, lie in different components and haven't been compared, as `_compared` lets them through; None if there are none.
 
     Members outside the component of a signature's least set meet all its members. Where that is more than `crowd` comparisons, the
     signature is extended: its sets get signatures of another partition of the domain, and linked sets share one of these too. So nothing is lost, and
-    unlike sets part. What is still crowded after `levels` partitions is compared.
+    unlike sets part. What is still crowded after `levels` partitions is joined, which holds no signature in one task.
     """
     comp = F.coalesce("component", "id")
-    members = shared.join(labels.withColumnRenamed("node", "of"), F.col("id") == F.col("of"), "left").select("sig", "id", "lo", "hi", comp.alias("comp"))
+    members = shared.join(labels.withColumnRenamed("node", "of"), F.col("id") == F.col("of"), "left").select("sig", "id", "lo", comp.alias("comp"), ((F.col("id") == F.col("lo")) | (F.col("id") == F.col("hi"))).alias("done"))
     out = None
     for level in range(1, levels + 1):
         major = members.where("id = lo").select(F.col("sig").alias("key"), F.col("comp").alias("major")).distinct()
         members = members.join(major, F.col("sig") == F.col("key")).drop("key")
         work = members.groupBy("sig").agg((F.count_if(F.col("comp") != F.col("major")) * F.count(F.lit(1))).alias("work")).where("work > 0")
         rest = written(members.join(work, "sig"), "jaccard-open")
-        few = rest if level == levels else rest.where(F.col("work") <= crowd)
-        x, y = few.where("comp <> major").alias("x"), few.alias("y")
-        new = (F.col("y.id") != F.col("y.lo")) & (F.col("y.id") != F.col("y.hi")) & (F.col("x.id") != F.col("x.hi"))
-        once = (F.col("y.comp") == F.col("y.major")) | (F.col("x.id") < F.col("y.id"))
-        pairs = x.join(y, F.col("x.sig") == F.col("y.sig")).where(F.col("x.comp") != F.col("y.comp")).where(new & once).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        pairs = _compared(rest.where(F.col("work") <= crowd), classes, percent)
         out = pairs if out is None else out.union(pairs)
         many = rest.where(F.col("work") > crowd)
-        if level == levels or many.isEmpty():
+        if many.isEmpty():
+            break
+        if level == levels:
+            x, y = many.where("comp <> major").alias("x"), many.alias("y")
+            once = (F.col("y.comp") == F.col("y.major")) | (F.col("x.id") < F.col("y.id"))
+            joined = x.join(y, F.col("x.sig") == F.col("y.sig")).where(F.col("x.comp") != F.col("y.comp")).where(once)
+            out = out.union(_possible(joined.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), classes, percent))
             break
 
         def made(whose, h, rows, level=level):
@@ -182,9 +253,9 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, docs: DataFrame, key: str,
 
         more = _of_some(docs, many, key, text, shingle, made, "more").select("id", F.explode("more").alias("more"))
         both = many.join(more, "id").select(F.xxhash64("sig", "more").alias("sig"), "id", "comp").distinct()
-        ends = both.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig", "lo", "hi")
-        members = both.join(ends, "sig")
-    out = out.distinct()
+        ends = both.groupBy("sig").agg(F.min("id").alias("lo"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig", "lo")
+        members = both.join(ends, "sig").withColumn("done", F.lit(False))
+    out = written(out.distinct(), "jaccard-candidates")
     return None if out.isEmpty() else out
 
 
@@ -205,9 +276,9 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
     stars = shared.select(F.col("lo").alias("a"), F.col("id").alias("b")).union(shared.select("id", "hi")).where("a <> b").distinct()
     links = written(_confirmed(_possible(stars, classes, percent), docs, key, text, shingle, percent), "jaccard-links")
     labels = written(connected_components(links), "jaccard-labels")
-    pairs = _open_pairs(shared, labels, docs, key, text, shingle, percent, crowd, levels)
+    pairs = _open_pairs(shared, labels, classes, docs, key, text, shingle, percent, crowd, levels)
     if pairs is not None:
-        more = _confirmed(_possible(pairs, classes, percent), docs, key, text, shingle, percent)
+        more = _confirmed(pairs, docs, key, text, shingle, percent)
         labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     of = labels.select(F.col("node").alias("of"), "component")
     # written, so that the join below has an exchange of its own on either side and a crowded class can be split
