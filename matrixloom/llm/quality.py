@@ -13,10 +13,15 @@ from .common import Words, lean, run_hashes, slices, whole_row, words_of, writte
 #: Fixed values of the base rules: symbols, words in a repeat window, fewest words, most repeated words in a hundred.
 SYMBOLS, REPEAT, MIN_WORDS, MAX_REPEAT = "#*$%&|<>", 8, 20, 30
 _SPACE = " \t\n\v\f\r"
-#: Each measure, the least spread that its fence assumes, and whether it is fenced below too.
-MEASURES = {"symbol_permille": (10, False), "dup_line_permille": (75, False), "repeat_permille": (50, False), "echo_permille": (25, False), "word_length_centi": (25, True)}
-#: A fence lies this many spreads (median less lower quartile) from the median.
-REACH = 6
+#: Each measure: the count that it is a share of, what one event adds to its dividend, and whether it is fenced below too.
+MEASURES = {
+    "symbol_permille": ("word_chars", 1000, False), "dup_line_permille": ("n_lines", 1000, False), "repeat_permille": ("n_words", 2 * REPEAT * 1000, False),
+    "echo_permille": ("n_words", 1000, False), "word_length_centi": ("n_words", 100, True),
+}
+#: Counts with sketches of their own: they say what one event is worth in a group's documents.
+SIZES = ("word_chars", "n_lines", "n_words")
+#: A fence lies this many spreads from the median. The spread is what lies between the quartiles, or what one event adds in a document of upper-quartile size if that is more.
+REACH = 8
 #: Documents that a language's sketch counts for in the sketch of each of its groups, and that the sketch of all counts for in every group.
 PRIOR = 50
 #: Parts in which sketches are blended: the weight of one document.
@@ -115,8 +120,9 @@ def bucket(value: Column) -> Column:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """(lang, source, measure, edge, n): quantile sketches of rows that pass the base rules. They merge by adding n."""
-    pairs = F.array(*[F.struct(F.lit(x).alias("measure"), bucket(F.col(f"m.{x}")).alias("edge")) for x in MEASURES])
+    """(lang, source, measure, edge, n): quantile sketches of the measures and sizes of rows that pass the base rules. They merge by adding n."""
+    values = {x: F.col(f"m.{x}") for x in MEASURES} | {x: F.col(f"c.{x}") for x in SIZES}
+    pairs = F.array(*[F.struct(F.lit(x).alias("measure"), bucket(v).alias("edge")) for x, v in values.items()])
     each = rows.where(~F.col("base_failed")).select("lang", "source", F.explode(pairs).alias("p"))
     return each.groupBy("lang", "source", "p.measure", "p.edge").agg(F.count(F.lit(1)).alias("n"))
 
@@ -142,19 +148,35 @@ def blended(sketch: DataFrame) -> DataFrame:
     return own.union(parts[0]).union(parts[1]).groupBy("lang", "source", "measure", "edge").agg(F.sum("w").alias("w"))
 
 
-def thresholds(sketch: DataFrame) -> DataFrame:
-    """One row for each language and source in the sketches: low and high of each measure as columns, from the blended sketch."""
+def quartiles(sketch: DataFrame) -> DataFrame:
+    """(lang, source, measure, q25, q50, q75) of blended sketches; a quantile lies within its bucket as far as its rank does among the bucket's weight."""
     group = ["lang", "source", "measure"]
     w = Window.partitionBy(*group)
     ranked = blended(sketch).select("*", F.sum("w").over(w).alias("size"), F.sum("w").over(w.orderBy("edge")).alias("upto"))
-    at = lambda share: F.min(F.when(F.col("upto") * 100 >= F.col("size") * share, F.col("edge")))
-    q = ranked.groupBy(*group).agg(at(25).alias("q25"), at(50).alias("q50"))
-    least = F.create_map(*[F.lit(v) for k, (s, _) in MEASURES.items() for v in (k, s)])[F.col("measure")]
-    reach = F.greatest(F.col("q50") - F.col("q25"), least) * REACH
-    below = F.col("measure").isin([k for k, (_, two) in MEASURES.items() if two])
-    fences = q.select(*group, F.when(below, F.col("q50") - reach).otherwise(F.lit(0)).cast("long").alias("low"), (F.col("q50") + reach).cast("long").alias("high"))
-    columns = [F.max(F.when(F.col("measure") == x, F.col(end))).alias(f"{x}_{end}") for x in MEASURES for end in ("low", "high")]
-    return fences.groupBy("lang", "source").agg(*columns)
+    bits = F.greatest(F.length(F.bin("edge")) - PRECISION, F.lit(0))
+    width = F.call_function("shiftleft", F.lit(1).cast("long"), bits)
+
+    def at(share: int) -> Column:
+        within = (F.col("size") * share / 100.0 - (F.col("upto") - F.col("w"))) / F.col("w")
+        return F.min_by(F.when(F.col("upto") * 100 >= F.col("size") * share, F.col("edge") + width * within), F.when(F.col("upto") * 100 >= F.col("size") * share, F.col("edge")))
+
+    return ranked.groupBy(*group).agg(*[at(k).alias(f"q{k}") for k in (25, 50, 75)])
+
+
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """One row for each language and source in the sketches: low and high of each measure as columns.
+
+    All of a fence comes from the group's blended sketches: the median, REACH times what lies between the quartiles, and where that is less, REACH times what one
+    event adds to the measure in a document of the group's upper-quartile size.
+    """
+    q = quartiles(sketch)
+    of = lambda x, c: F.max(F.when(F.col("measure") == x, F.col(c)))
+    wide = q.groupBy("lang", "source").agg(*[of(x, c).alias(f"{x}_{c}") for x in (*MEASURES, *SIZES) for c in ("q25", "q50", "q75")])
+    columns = []
+    for x, (size, event, below) in MEASURES.items():
+        reach = F.greatest(F.col(f"{x}_q75") - F.col(f"{x}_q25"), event / F.greatest(F.col(f"{size}_q75"), F.lit(1.0))) * REACH
+        columns += [(F.col(f"{x}_q50") - reach if below else F.lit(0.0)).alias(f"{x}_low"), (F.col(f"{x}_q50") + reach).alias(f"{x}_high")]
+    return wide.select("lang", "source", *columns)
 
 
 def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
@@ -190,11 +212,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql(documents: str) -> str:
     """Common table expressions up to `verdict` (row id k, counts, base_failed, kept) over a table."""
     word = "'[^\\x20\\x09-\\x0D]+'"
-    edges = " UNION ALL ".join(
-        f"SELECT lang, source, '{x}' AS measure, {s} AS least, {str(two).lower()} AS two, "
-        f"({x} >> greatest(length(bin({x})) - {PRECISION}, 0)) << greatest(length(bin({x})) - {PRECISION}, 0) AS edge FROM measured WHERE NOT base_failed"
-        for x, (s, two) in MEASURES.items()
-    )
+    shift = lambda x: f"greatest(length(bin({x})) - {PRECISION}, 0)"
+    edges = " UNION ALL ".join(f"SELECT lang, source, '{x}' AS measure, ({x} >> {shift(x)}) << {shift(x)} AS edge FROM measured WHERE NOT base_failed" for x in (*MEASURES, *SIZES))
+    reach = lambda x: f"{REACH} * greatest({x}_q75 - {x}_q25, {MEASURES[x][1]} / greatest({MEASURES[x][0]}_q75, 1))"
+    inside = " AND ".join(f"m.{x} BETWEEN " + (f"{x}_q50 - {reach(x)}" if MEASURES[x][2] else "0") + f" AND {x}_q50 + {reach(x)}" for x in MEASURES)
+    wide = ", ".join(f"max({c}) FILTER (WHERE measure = '{x}') AS {x}_{c}" for x in (*MEASURES, *SIZES) for c in ("q25", "q50", "q75"))
+    at = lambda k: f"arg_min(edge + (1 << {shift('edge')}) * ((size * {k} / 100.0 - (upto - w)) / w), edge) FILTER (WHERE upto * 100 >= size * {k}) AS q{k}"
     prior = lambda name, group: f"""{name} AS (
   SELECT {group} measure, edge, n * {PRIOR * PARTS} // sum(n) OVER (PARTITION BY {group} measure) AS w
   FROM (SELECT {group} measure, edge, count(*) AS n FROM edge GROUP BY {group} measure, edge))"""
@@ -227,7 +250,7 @@ measured AS (
   FROM counted),
 edge AS ({edges}),
 {prior("by_lang", "lang,")}, {prior("overall", "")},
-grp AS (SELECT lang, source, measure, any_value(least) AS least, any_value(two) AS two FROM edge GROUP BY lang, source, measure),
+grp AS (SELECT DISTINCT lang, source, measure FROM edge),
 blend AS (
   SELECT lang, source, measure, edge, sum(w) AS w FROM (
     SELECT lang, source, measure, edge, count(*) * {PARTS} AS w FROM edge GROUP BY lang, source, measure, edge
@@ -235,16 +258,13 @@ blend AS (
     UNION ALL SELECT g.lang, g.source, g.measure, edge, w FROM grp g JOIN overall o ON g.measure = o.measure)
   GROUP BY lang, source, measure, edge),
 quart AS (
-  SELECT lang, source, measure, min(edge) FILTER (WHERE upto * 100 >= size * 25) AS q25, min(edge) FILTER (WHERE upto * 100 >= size * 50) AS q50
-  FROM (SELECT *, sum(w) OVER (PARTITION BY lang, source, measure) AS size, sum(w) OVER (PARTITION BY lang, source, measure ORDER BY edge) AS upto FROM blend)
+  SELECT lang, source, measure, {at(25)}, {at(50)}, {at(75)}
+  FROM (SELECT lang, source, measure, edge, w::DOUBLE AS w, sum(w) OVER (PARTITION BY lang, source, measure)::DOUBLE AS size, sum(w) OVER (PARTITION BY lang, source, measure ORDER BY edge)::DOUBLE AS upto FROM blend)
   GROUP BY lang, source, measure),
-fence AS (
-  SELECT g.lang, g.source, g.measure, CASE WHEN two THEN q50 - {REACH} * greatest(q50 - q25, least) ELSE 0 END AS low, q50 + {REACH} * greatest(q50 - q25, least) AS high
-  FROM quart q JOIN grp g ON g.lang IS NOT DISTINCT FROM q.lang AND g.source IS NOT DISTINCT FROM q.source AND g.measure = q.measure),
-outside AS (
-  SELECT DISTINCT m.k FROM measured m JOIN fence f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
-  WHERE CASE f.measure {" ".join(f"WHEN '{x}' THEN m.{x}" for x in MEASURES)} END NOT BETWEEN f.low AND f.high),
-verdict AS (SELECT m.*, NOT base_failed AND o.k IS NULL AS kept FROM measured m LEFT JOIN outside o USING (k))
+fence AS (SELECT lang AS lang_, source AS source_, true AS known, {wide} FROM quart GROUP BY lang, source),
+verdict AS (
+  SELECT m.*, NOT base_failed AND (t.known IS NULL OR ({inside})) AS kept
+  FROM measured m LEFT JOIN fence t ON m.lang IS NOT DISTINCT FROM t.lang_ AND m.source IS NOT DISTINCT FROM t.source_)
 """
 
 

@@ -57,3 +57,42 @@ def test_clean_labelled_documents_stay_and_most_junk_goes(spark):
     x = quality.op1_quality_rules(spark, d).join(labels, "doc_id").where("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
     share = {r["quality"]: r["kept"] for r in x}
     assert share[1] == 1.0 and share[0] < 0.2
+
+
+def limits_of(docs):
+    return {(r["lang"], r["source"]): r.asDict() for r in quality.thresholds(quality.sketches(quality.measured(docs))).collect()}
+
+
+def test_groups_have_fences_of_their_own(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang", "source")
+    limits = limits_of(docs)
+    assert len(limits) == 80
+    for x in quality.MEASURES:
+        assert len({r[f"{x}_high"] for r in limits.values()}) > len(limits) / 3
+
+
+def test_only_the_fence_of_a_stretched_source_moves(spark):
+    """One small source's words grow longer and lines longer; the sketches of the others move by its share alone."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    hit = (F.col("source") == "src7") & (F.col("lang") == "en")
+    limits, moved = limits_of(d), limits_of(d.withColumn("text", F.when(hit, F.regexp_replace("text", "([a-z])([a-z])", "$1$1$2$2")).otherwise(F.col("text"))))
+    for key, r in limits.items():
+        for x in ("word_length_centi_low", "word_length_centi_high"):
+            change = abs(moved[key][x] - r[x])
+            assert change > 150 if key == ("en", "src7") else change < 0.25 * r[x]
+
+
+def test_quartiles_lie_within_a_bucket_of_the_exact_ones(spark):
+    """One group, so all three sketches that are blended are its own."""
+    values = [int(v * v) for v in range(200)]
+    rows = spark.createDataFrame([("en", "s", "x", v) for v in values], "lang string, source string, measure string, v long").withColumn("edge", quality.bucket(F.col("v")))
+    q = quality.quartiles(rows.groupBy("lang", "source", "measure", "edge").agg(F.count(F.lit(1)).alias("n"))).first()
+    for share in (25, 50, 75):
+        assert abs(q[f"q{share}"] - sorted(values)[2 * share]) <= values[2 * share] / 16
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{k % 997}x{k}" for k in range(300000))
+    assert quality.text_counts(long)[0] == 300000
+    docs = spark.createDataFrame([(1, long, "en", "s"), (2, "a " * 200000, "en", "s")], "doc_id long, text string, lang string, source string")
+    assert [r["doc_id"] for r in quality.quality_filter(docs).collect()] == [1]
