@@ -6,9 +6,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import lean, slices, written
 
@@ -29,10 +31,10 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
             groups = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
             for some in slices(b.column(2)):
                 for t in some:
-                    own = Counter(pattern.findall(t.encode("utf-8", "surrogatepass").lower()))
+                    own = pattern.findall(t.encode("utf-8", "surrogatepass").lower())
                     g = next(groups)
                     n.setdefault(g, Counter()).update(own)
-                    seen.setdefault(g, Counter()).update(own.keys())
+                    seen.setdefault(g, Counter()).update(set(own))
             for (x, y), held in n.items():
                 terms = list(held)
                 yield pa.RecordBatch.from_arrays(
@@ -79,6 +81,27 @@ def price(p: Column, q: Column) -> Column:
     return _div((p - q) * (p - q), p + q)
 
 
+def _shares(counts: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """`share` of a matrix of counts, rows of which belong to groups whose size and twice the number of terms sum to `whole`."""
+    rest, out, whole = counts + 2, 0, whole[:, None]
+    for _ in range(3):
+        out = out * 1000 + rest * 1000 // whole
+        rest = rest * 1000 % whole
+    return out + 1
+
+
+@F.arrow_udf(T.LongType())
+def _worth(a: pa.Array, b: pa.Array, ns: pa.Array, nt: pa.Array, v: pa.Array) -> pa.Array:
+    """The prices of a pair of leaf nodes (null: all counts 0) beyond those of pairs of zero counts."""
+    side = lambda x: np.where(x.is_valid().to_numpy(zero_copy_only=False)[:, None], x.fill_null([0] * FAN).flatten().to_numpy().reshape(-1, FAN), 0)
+    out = 0
+    wholes = [n.to_numpy() + 2 * v.to_numpy() for n in (ns, nt)]
+    for x, y, sign in ((side(a), side(b), 1), (np.zeros((len(a), 1), np.int64), np.zeros((len(a), 1), np.int64), -FAN)):
+        p, q = _shares(x, wholes[0]), _shares(y, wholes[1])
+        out = out + sign * ((p - q) * (p - q) // (p + q)).sum(axis=1)
+    return pa.array(out)
+
+
 def _node(children: Column) -> Column:
     """The name of a node: 128 bits of what is below it, wherever and in whichever group it stands."""
     return F.unhex(F.md5(F.array_join(children, ",", "-")))
@@ -130,11 +153,7 @@ def pair_sums(pairs: DataFrame, roots: DataFrame, nodes: list[DataFrame]) -> Dat
             some = F.filter(both, lambda x: x["a"].isNotNull() | x["b"].isNotNull())
             opened = front.select("lang", "s", "t", "m", F.explode(some).alias("c")).select("lang", "s", "t", "c.a", "c.b", "m")
             front = written(opened.groupBy("lang", "s", "t", "a", "b").agg(F.sum("m").alias("m")), "node-pairs")
-    zeros, none = F.array_repeat(F.lit(0).cast("long"), FAN), F.lit(0).cast("long")
-    shares = lambda c, size: F.transform(F.coalesce(c, zeros), lambda n: share(n, F.col(size), F.col("v")))
-    each = F.zip_with(shares("ca", "ns"), shares("cb", "nt"), price)
-    zero = price(share(none, F.col("ns"), F.col("v")), share(none, F.col("nt"), F.col("v")))
-    worth = F.aggregate(each, none, lambda a, x: a + x) - FAN * zero
+    worth = _worth("ca", "cb", "ns", "nt", "v")
     return front.join(pairs, ["lang", "s", "t"]).groupBy("lang", "s", "t").agg(F.sum(F.col("m") * worth).alias("more"))
 
 
