@@ -123,10 +123,10 @@ class Words:
         return b" ".join([d[s[i] : e[i]] for i in at])
 
 
-def words_of(texts: list[bytes], hashes: int = 1, block: int = 1 << 17) -> Words:
-    """Splits texts at ASCII white space and gives every word one or two 64-bit hashes, a block of words at a time."""
+def words_of(texts: list[bytes], hashes: int = 1, block: int = 1 << 17, apart: np.ndarray = SPACE) -> Words:
+    """Splits texts at ASCII white space, or at the bytes that `apart` marks (line feed among them), and gives every word one or two 64-bit hashes, a block of words at a time."""
     data = b"\n".join(texts) + b"\n" * 8
-    edge = np.flatnonzero(np.diff(SPACE[np.frombuffer(data, np.uint8)], prepend=True))
+    edge = np.flatnonzero(np.diff(apart[np.frombuffer(data, np.uint8)], prepend=True))
     start, end = edge[0::2], edge[1::2]
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
     first = np.searchsorted(start, begins)

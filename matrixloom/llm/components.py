@@ -7,20 +7,24 @@ from pyspark.sql import functions as F
 
 from .common import discard, written
 
+#: Edges that a file holds at most on average.
+FILE_ROWS = 200_000
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of an edge table reaches.
 
     Loops and repeated edges are allowed, null ends are ignored, an empty table gives an empty one.
     Each round is two joins and aggregations on the edges; only a count and a checksum come to the
-    driver. Rounds grow with the logarithm of the largest component.
+    driver. Rounds grow with the logarithm of the largest component. A round makes no more edges than it is given nodes for, so
+    few edges are written to few files.
     """
     now = written(
         edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges"
     )
     seen = _mark(now)
     while True:
-        old, now = now, written(_small_star(_large_star(now)), "edges")
+        old, now = now, written(_small_star(_large_star(now)).coalesce(max(1, -(-seen[0] // FILE_ROWS))), "edges")
         discard(old)
         mark = _mark(now)
         if mark == seen:

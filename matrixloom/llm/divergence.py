@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,35 +10,54 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, slices, written
+from .common import lean, mixed, words_of, written
 
-#: Characters of a term in UTF-8 after lower-casing (letters of ASCII and all beyond it), documents that a kept term is in, and ranks of the term part.
-TERM, LEAST, TOP = rb"[a-z\x80-\xff]+", 10, 10
+#: Documents that a kept term is in, and ranks of the term part.
+LEAST, TOP = 10, 10
+#: Bytes of UTF-8 that separate terms: all of ASCII but its letters.
+APART = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 #: Children of a node, and the buckets by hash in which terms of like counts are numbered.
-FAN, BUCKETS = 16, 256
+FAN, BUCKETS = 32, 256
+
+
+def counted(texts: list[str], groups: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """(group, term, n, docs) of texts that belong to numbered groups: occurrences and texts of every term of a group. A-Z is lower-cased.
+
+    Words are sorted by group and 64 bits of hash; a word's other hash tells terms apart whose first ones are equal.
+    """
+    w = words_of([t.encode("utf-8", "surrogatepass").lower() for t in texts], 2, apart=APART)
+    whose = w.text_of()
+    group = groups[whose]
+    key = mixed(group.astype(np.uint64), 11) ^ w.h
+    order = np.argsort(key, kind="stable")
+    parts = [x[order] for x in (key, w.hashes[1], group)]
+    new = np.ones(len(order), bool)
+    new[1:] = parts[0][1:] != parts[0][:-1]
+    if any((x[1:] != x[:-1])[~new[1:]].any() for x in parts[1:]):  # equal keys of unlike words
+        order = np.lexsort((w.hashes[1], w.h, group))
+        for x in (w.hashes[1], w.h, group):
+            new[1:] |= x[order][1:] != x[order][:-1]
+    first = np.flatnonzero(new)
+    text = whose[order]
+    other = new.copy()
+    other[1:] |= text[1:] != text[:-1]
+    at = order[first]
+    data, start, end = w.data, w.start[at].tolist(), w.end[at].tolist()
+    sums = lambda x: np.add.reduceat(x, first, dtype=np.int64) if len(first) else np.empty(0, np.int64)
+    return group[at], [data[a:b] for a, b in zip(start, end, strict=True)], sums(np.ones(len(order), np.int64)), sums(other)
 
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of every term, counted within Arrow batches before they are shuffled. Nulls are empty."""
-    pattern = re.compile(TERM)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n: dict[tuple[str, str], Counter] = {}
-            seen: dict[tuple[str, str], Counter] = {}
-            groups = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-            for some in slices(b.column(2)):
-                for t in some:
-                    own = pattern.findall(t.encode("utf-8", "surrogatepass").lower())
-                    g = next(groups)
-                    n.setdefault(g, Counter()).update(own)
-                    seen.setdefault(g, Counter()).update(set(own))
-            for (x, y), held in n.items():
-                terms = list(held)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x] * len(terms), pa.string()), pa.array([y] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64()), pa.array([seen[x, y][t] for t in terms], pa.int64())],
-                    ["lang", "source", "term", "n", "docs"],
-                )
+            pairs = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            names = list(dict.fromkeys(pairs))
+            number = {g: k for k, g in enumerate(names)}
+            group, terms, n, seen = counted(b.column(2).to_pylist(), np.array([number[g] for g in pairs], np.int64))
+            named = [pa.array([g[k] for g in names], pa.string()).take(pa.array(group)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*named, pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n), pa.array(seen)], ["lang", "source", "term", "n", "docs"])
 
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = lean(docs).select(blank(lang).alias("lang"), blank(source).alias("source"), blank(text).alias("text"))

@@ -132,7 +132,7 @@ def _of_some(docs: DataFrame, ids: DataFrame, key: str, text: str, shingle: int,
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(some)), made(whose, h, len(some))], ["id", name])
                 lo += len(some)
 
-    few = written(ids.select("id").distinct(), "jaccard-ids")
+    few = ids.select("id").distinct()
     size = few.agg(F.sum(F.octet_length(F.col("id").cast("string")) + 24)).first()[0] or 0
     rows = lean(docs).select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(few) if size <= BROADCAST else few, "id", "left_semi")
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {name} array<long>")
@@ -149,7 +149,6 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose sets, made anew from the texts of these documents alone, have the index."""
-    pairs = written(pairs, "jaccard-pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     sets = written(_of_some(docs, ids, key, text, shingle, lambda whose, h, rows: _lists(whose, h, rows), "elements"), "jaccard-sets")
     of = lambda side: sets.select(F.col("id").alias(side), F.col("elements").alias(f"e{side}"))
@@ -220,8 +219,8 @@ def _ending(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Record
         yield True, before
 
 
-def _open_pairs(shared: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, percent: int, crowd: int, levels: int) -> DataFrame | None:
-    """(a, b): pairs that share a signature, lie in different components and haven't been compared, as `_compared` lets them through; None if there are none.
+def _open_pairs(shared: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, percent: int, crowd: int, levels: int) -> DataFrame:
+    """(a, b): pairs that share a signature, lie in different components and haven't been compared, as `_compared` lets them through.
 
     Members outside the component of a signature's least set meet all its members. Where that is more than `crowd` comparisons, the
     signature is extended: its sets get signatures of another partition of the domain, and linked sets share one of these too. So nothing is lost, and
@@ -255,8 +254,7 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, classes: DataFrame, docs:
         both = many.join(more, "id").select(F.xxhash64("sig", "more").alias("sig"), "id", "comp").distinct()
         ends = both.groupBy("sig").agg(F.min("id").alias("lo"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig", "lo")
         members = both.join(ends, "sig").withColumn("done", F.lit(False))
-    out = written(out.distinct(), "jaccard-candidates")
-    return None if out.isEmpty() else out
+    return out.distinct()
 
 
 def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, crowd: int = CROWD, levels: int = LEVELS) -> DataFrame:
@@ -274,11 +272,11 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
     w = Window.partitionBy("sig")
     shared = written(each.select("sig", "id", F.min("id").over(w).alias("lo"), F.max("id").over(w).alias("hi")).where("lo <> hi"), "jaccard-shared")
     stars = shared.select(F.col("lo").alias("a"), F.col("id").alias("b")).union(shared.select("id", "hi")).where("a <> b").distinct()
-    links = written(_confirmed(_possible(stars, classes, percent), docs, key, text, shingle, percent), "jaccard-links")
-    labels = written(connected_components(links), "jaccard-labels")
-    pairs = _open_pairs(shared, labels, classes, docs, key, text, shingle, percent, crowd, levels)
-    if pairs is not None:
-        more = _confirmed(pairs, docs, key, text, shingle, percent)
+    likely = written(_possible(stars, classes, percent), "jaccard-pairs")
+    labels = connected_components(_confirmed(likely, docs, key, text, shingle, percent))
+    left = written(_open_pairs(shared, labels, classes, docs, key, text, shingle, percent, crowd, levels), "jaccard-pairs")
+    if not left.isEmpty():
+        more = _confirmed(left, docs, key, text, shingle, percent)
         labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     of = labels.select(F.col("node").alias("of"), "component")
     # written, so that the join below has an exchange of its own on either side and a crowded class can be split

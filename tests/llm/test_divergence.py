@@ -48,10 +48,10 @@ def test_audit_equals_plain_sums(spark, vocab, least):
 
 def test_equal_subtrees_are_one_node_and_are_priced_once(spark):
     """Groups of equal counts share all nodes; blocks that repeat within a group are one node pair with a multiplicity."""
-    cells = spark.createDataFrame([("x", s, i, 3) for s in ("a", "b") for i in range(256)], "lang string, source string, id long, n long")
-    roots, nodes = D.segment_trees(cells, 256)
+    cells = spark.createDataFrame([("x", s, i, 3) for s in ("a", "b") for i in range(1024)], "lang string, source string, id long, n long")
+    roots, nodes = D.segment_trees(cells, 1024)
     assert [n.count() for n in nodes] == [1, 1] and roots.select("root").distinct().count() == 1
-    pairs = spark.createDataFrame([("x", "a", "b", 768, 768, 256)], "lang string, s string, t string, ns long, nt long, v long")
+    pairs = spark.createDataFrame([("x", "a", "b", 3072, 3072, 1024)], "lang string, s string, t string, ns long, nt long, v long")
     assert D.pair_sums(pairs, roots, nodes).first()["more"] == 0
 
 
