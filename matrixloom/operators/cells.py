@@ -67,23 +67,6 @@ def drop_sparsest(cells: DataFrame) -> DataFrame:
     return cells.join(worst, "feature", "left_anti")
 
 
-def largest_complete(cells: DataFrame, features: list, least: int) -> DataFrame:
-    """The largest set of features (at most 16 given) that at least `least` entities have in full.
-
-    Entities are counted by their mask of observed features first, so sets are tried on mask counts,
-    not on entities. Of equal sizes more entities win, then the first set in feature order.
-    """
-    if len(features) > 16:
-        raise ValueError("at most 16 features")
-    place = F.create_map(*[F.lit(x) for i, f in enumerate(features) for x in (f, 1 << i)])
-    masks = cells.where(F.col("value").isNotNull() & F.col("feature").isin(features)).groupBy("entity").agg(F.bit_or(place[F.col("feature")]).alias("mask")).groupBy("mask").count()
-    sets = cells.sparkSession.range(1, 1 << len(features)).select(F.col("id").cast("int").alias("chosen"))
-    order = F.reverse(F.lpad(F.bin(F.col("chosen").cast("long")), len(features), "0"))
-    held = F.broadcast(masks).join(sets, F.col("mask").bitwiseAND(F.col("chosen")) == F.col("chosen"))
-    size = held.groupBy("chosen").agg(F.sum("count").alias("entities")).where(F.col("entities") >= least)
-    return size.select(F.bit_count("chosen").alias("features"), "entities", order.alias("members")).orderBy(F.desc("features"), F.desc("entities"), F.desc("members")).limit(1)
-
-
 def additive_fill(cells: DataFrame, rounds: int = 500, within: float = 1e-10) -> DataFrame:
     """Missing cells as row plus column effect fitted by least squares on observed cells.
 

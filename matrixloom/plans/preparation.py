@@ -13,6 +13,7 @@ from ..operators import contracts
 from ..operators import geometry as G
 from ..operators import moments as S
 from ..operators import ranks as W
+from ..operators.rectangles import largest_complete
 from ..operators.resample import hash_fold
 from ..sources import sinks
 from ..sources.tables import table
@@ -468,10 +469,12 @@ def w25(spark, d):
     return p.join(x, "f").join(y, "g").select("f", "g", F.round(F.col("s") / (F.col("nx") + F.col("ny") - F.col("s")), 9).alias("jaccard"))
 
 
-_MASK = " + ".join(f"max((feature = '{b}')::INTEGER) * {1 << i}" for i, b in enumerate(BRANDS[:10]))
+_MASK = " + ".join(f"max((feature = '{b}')::INTEGER) * {1 << i}" for i, b in enumerate(BRANDS))
 
 
-@query("w26_largest_rectangle", f"""WITH {SPARSE_SQL}, m AS (SELECT mask, count(*) AS c FROM (SELECT entity, ({_MASK})::BIGINT AS mask FROM sparse GROUP BY 1) GROUP BY 1), s AS (SELECT r.i AS chosen, sum(c)::BIGINT AS entities FROM range(1, 1024) r(i) JOIN m ON (mask & r.i) = r.i GROUP BY 1)
-SELECT bit_count(chosen)::INTEGER AS features, entities, reverse(lpad(bin(chosen), 10, '0')) AS members FROM s WHERE entities >= 20 ORDER BY 1 DESC, 2 DESC, 3 DESC LIMIT 1""")
+@query("w26_largest_rectangle", f"""WITH RECURSIVE {SPARSE_SQL}, m AS (SELECT mask, count(*) AS c FROM (SELECT entity, ({_MASK})::BIGINT AS mask FROM sparse GROUP BY 1) GROUP BY 1), f AS (SELECT unnest(range({len(BRANDS)})) AS k),
+s AS (SELECT 0::BIGINT AS chosen, -1::BIGINT AS last, sum(c)::BIGINT AS entities FROM m UNION ALL SELECT chosen | (1::BIGINT << k) AS chosen, k AS last, sum(c)::BIGINT AS entities FROM s JOIN f ON k > last JOIN m ON (mask & (chosen | (1::BIGINT << k))) = (chosen | (1::BIGINT << k)) GROUP BY ALL HAVING sum(c) >= 20)
+SELECT bit_count(chosen)::INTEGER AS features, entities, reverse(lpad(bin(chosen), {len(BRANDS)}, '0')) AS members FROM s ORDER BY 1 DESC, 2 DESC, 3 DESC LIMIT 1""")
 def w26(spark, d):
-    return C.largest_complete(sparse(spark, d), BRANDS[:10], 20)
+    """Of all brands the most that at least twenty suppliers sell together in large lines."""
+    return largest_complete(sparse(spark, d), BRANDS, 20)

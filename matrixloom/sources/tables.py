@@ -25,3 +25,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to a scratch path and read again: lineage ends there, and what is lost with an executor is read anew."""
+    path = scratch(df.sparkSession, name)
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
