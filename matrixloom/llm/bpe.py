@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
@@ -167,19 +168,52 @@ def _merged_long(table: Merges, ids: np.ndarray) -> np.ndarray:
     is above t's, but a's is. As they don't fall, all merges of one rank follow each other, and none of them makes another pair
     of that rank, since what it would merge to is longer. So they are the pairs that are there as the rank's turn
     comes, taken from the left, less those that overlap one taken.
+
+    Places are kept in a linked list and wait in buckets by the rank of the pair that starts there, so a round costs what it merges: only pairs beside a merge get new ranks.
     """
-    while len(ids) > 1:
-        rank = table.find(ids[:-1], ids[1:])
-        best = rank.min()
-        if best == _NONE:
-            break
-        at = np.flatnonzero(rank == best)
-        run = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # of overlapping pairs every other one merges
+    n = len(ids)
+    if n < 2:
+        return ids
+    ids = np.append(ids, -1)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    rank = np.append(table.find(ids[: n - 1], ids[1:n]), [_NONE, _NONE])
+    alive = np.ones(n + 1, bool)
+    waiting: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []
+
+    def wait(places: np.ndarray) -> None:
+        places = places[rank[places] != _NONE]
+        places = places[np.argsort(rank[places], kind="stable")]
+        own = rank[places]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        for r, some in zip(own[first].tolist(), np.split(places, first[1:]), strict=True) if len(first) else ():
+            if r not in waiting:
+                waiting[r] = []
+                heapq.heappush(ranks, r)
+            waiting[r].append(some)
+
+    wait(np.arange(n))
+    while ranks:
+        best = heapq.heappop(ranks)
+        at = np.unique(np.concatenate(waiting.pop(best)))
+        at = at[alive[at] & (rank[at] == best)]
+        if not len(at):
+            continue
+        overlap = np.append(False, after[at[:-1]] == at[1:])
+        run = np.flatnonzero(~overlap)  # of overlapping pairs every other one merges
         at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
-        ids = ids.copy()
-        ids[at] = best
-        ids = np.delete(ids, at + 1)
-    return ids
+        gone = after[at]
+        ids[at], alive[gone], rank[gone] = best, False, _NONE
+        after[at] = after[gone]
+        before[after[at]] = at
+        beside = np.concatenate([at, before[at]])
+        beside = np.unique(beside[beside >= 0])
+        follows = after[beside]
+        inside = follows < n
+        rank[beside] = _NONE
+        rank[beside[inside]] = table.find(ids[beside[inside]], ids[follows[inside]])
+        wait(beside)
+    return ids[:n][alive[:n]]
 
 
 def _matrices(table: Merges, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -140,6 +140,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE, pairwise: int = PAIRWIS
         more = F.explode(F.array(*[_signed(m) for m in _parts(level, distance + 1)]))
         wider = crowded.select("fp", "slot", "known", more.alias("more")).select("fp", "slot", F.col("known").bitwiseOR(F.col("more")).alias("known"))
         keyed = wider.distinct().select("*", F.col("fp").bitwiseAND(F.col("known")).alias("bits"))
+    else:
+        raise ValueError("keys are still crowded")
     return out.distinct()
 
 
@@ -160,10 +162,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return rows.join(labelled, rows["fp"] == labelled["of"]).select("doc", "fp", "component")
 
 
-#: Fingerprints for copies that are merely alike: bits, words in a shingle, and bits in which they differ at most: a Jaccard index of 0.8 leaves 78 on average, with a spread of 8.
-WIDE, WIDE_SHINGLE, WIDE_DISTANCE = 512, 5, 88
-#: Bits of a segment, and bits by which a chain is wider than the logarithm of the number of fingerprints: strangers seldom share one.
-SEGMENT, SPARE = 4, 4
+#: Fingerprints for copies that are merely alike: bits, words in a shingle, and bits in which they differ at most: a Jaccard index of 0.8 leaves 312 on average, with a spread of 16.
+WIDE, WIDE_SHINGLE, WIDE_DISTANCE = 2048, 5, 332
+#: Bits of a segment (chains from one segment and the next share few bits, so that each is a try of its own), and bits by which a chain is wider than the logarithm of the number of fingerprints: strangers seldom share one.
+SEGMENT, SPARE = 16, 4
 #: A byte's bits, each in a byte of its own.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8")[:, 0]
 
@@ -219,7 +221,7 @@ def chain_width(n: int) -> int:
 
 
 def chain_links(nodes: DataFrame, width: int, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """(a, b): links between nodes (id; fp, eight longs) whose fingerprints differ in at most `distance` bits.
+    """(a, b): links between nodes (id; fp, WIDE / 64 longs) whose fingerprints differ in at most `distance` bits.
 
     Of the chains of segments that stay within their budgets those that agree in `width` bits are looked up, from every segment of the ring on,
     so not all links are found: the more alike, the likelier. Each node of a chain is compared with the least one of it, and two that

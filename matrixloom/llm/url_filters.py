@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Hex digits of a digest that the equi-join compares.
 SHORT = 8
-#: Rules up to which they are broadcast; more are joined by a shuffle.
-BROADCAST_RULES = 50_000
+#: Bytes of rules up to which they are broadcast, with what a row costs besides; more are joined by a shuffle.
+BROADCAST_RULES, RULE_BYTES = 16 << 20, 200
 #: verdict, host and path of the production rules.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -46,9 +46,9 @@ def url_verdicts(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFra
     """
     known = hashed_rules(rules)
     shape = rules.dropna(subset=["verdict", "host", "path"]).agg(
-        F.count(F.lit(1)), F.collect_set(F.size(F.split("host", "\\."))), F.collect_set(F.length("path"))
+        F.sum(F.octet_length("host") + F.octet_length("path") + RULE_BYTES), F.collect_set(F.size(F.split("host", "\\."))), F.collect_set(F.length("path"))
     ).first()
-    if shape[0] <= BROADCAST_RULES:
+    if (shape[0] or 0) <= BROADCAST_RULES:
         known = F.broadcast(known)
     host, path = url_parts(F.col("url"))
     labels = F.split("host", "\\.")

@@ -151,11 +151,29 @@ def rows_ids(rows):
 
 
 def test_chains_are_runs_of_bits_around_the_ring():
-    rows = np.random.default_rng(3).integers(0, 256, (5, 64), np.uint8)
-    got = simhash.chains(rows, 19)
-    for row, runs in zip(rows, got):
+    fps = np.random.default_rng(1).integers(0, 256, (5, simhash.WIDE // 8), np.uint8)
+    for row, runs in zip(fps, simhash.chains(fps, 19)):
         bits = "".join(f"{b:08b}" for b in row) * 2
-        assert runs.tolist() == [int(bits[4 * k : 4 * k + 19], 2) for k in range(128)]
+        assert runs.tolist() == [int(bits[simhash.SEGMENT * k : simhash.SEGMENT * k + 19], 2) for k in range(simhash.WIDE // simhash.SEGMENT)]
+
+
+def test_isolated_pairs_are_found_at_the_widths_of_large_tables():
+    """Pairs with a Jaccard index of 0.8 or more, each by itself: nothing but their own chains can link them. Widths are those of 60 thousand, 16 million and 10 ** 9 fingerprints."""
+    rng = random.Random(6)
+    pairs = []
+    while len(pairs) < 600:
+        a = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((60, 150, 400)))]
+        b = list(a)
+        for _ in range(rng.randint(1, max(1, len(a) // 22))):
+            k = rng.randrange(len(b))
+            b[k : k + 1] = rng.choice(([], [f"x{rng.randrange(10**6)}"], [b[k], f"x{rng.randrange(10**6)}"]))
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        if len(x & y) >= 0.8 * len(x | y):
+            pairs.append((" ".join(a), " ".join(b)))
+    one, other = (simhash.wide_fingerprints([p[k] for p in pairs]) for k in (0, 1))
+    near = np.unpackbits(one ^ other, axis=1).sum(1) <= simhash.WIDE_DISTANCE
+    for width, least in ((20, 0.97), (28, 0.9), (34, 0.7)):
+        assert (near & (simhash.chains(one, width) == simhash.chains(other, width)).any(1)).mean() >= least
 
 
 def test_wide_fingerprints_vote_over_distinct_shingles():
@@ -210,3 +228,11 @@ def test_a_large_group_makes_few_candidates(spark):
         found = {(r["a"], r["b"]) for r in simhash.chain_links(nodes, width).collect()}
         assert all(a // 4 == b // 4 for a, b in found)
     assert {r["node"]: r["component"] for r in components.connected_components(simhash.chain_links(nodes, 12)).collect()} == {k: k // 4 * 4 for k in range(16)}
+
+
+def test_very_long_texts_and_columns_that_clash(make):
+    long = " ".join(f"w{k % 7001} q{k}" for k in range(40000))
+    docs = make([(1, long), (2, long + " end"), (3, "other words here")])
+    docs = docs.withColumns({c: docs["lang"] for c in ("fp", "doc", "component", "least", "node", "id")})
+    assert sorted((r["doc"], r["component"]) for r in simhash.near_duplicates(docs).collect()) == [(1, 1), (2, 1), (3, 3)]
+    assert sorted((r["doc"], r["component"]) for r in simhash.alike(docs).collect()) == [(1, 1), (2, 1), (3, 3)]

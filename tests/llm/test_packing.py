@@ -61,3 +61,10 @@ def test_pieces_lie_gapless_and_hold_the_ids(spark, make, tokenizer, prose):
 
 def test_empty_table(make):
     assert packing.packed(make([])).isEmpty()
+
+
+def test_columns_that_clash_stay_in_the_row(make):
+    docs = make([(1, "a b"), (2, None)])
+    docs = docs.withColumns({c: docs["lang"] for c in ("piece", "length", "number", "batch", "nth", "sequence_id", "row")})
+    rows = packing.packed(docs, length=64).collect()
+    assert sorted((r["row"]["doc_id"], r["row"]["length"], r["piece"], r["length"]) for r in rows) == [(1, "en", 0, 3), (2, "en", 0, 1)]

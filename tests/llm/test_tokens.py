@@ -1,3 +1,6 @@
+import random
+import time
+
 import public_tokenizers
 import pytest
 import tiktoken
@@ -70,3 +73,22 @@ def test_long_words_take_the_short_way_only_where_it_is_proven(known):
     assert not falling.ordered and bpe.merges_of(single | {b"ab": 256, b"abc": 257}).ordered
     word = b"ab" * 700 + b"abcab"
     assert bpe.encode_words(falling, [word])[0].tolist() == [257] * 700 + [256, 257]
+
+
+def test_a_megabyte_of_letters_is_quick(known):
+    """One word of a million random letters; ids equal the library's, in seconds."""
+    coder, _ = known
+    rng = random.Random(8)
+    whole = tiktoken.Encoding("one", pat_str=r"[\s\S]+", mergeable_ranks=coder.ranks, special_tokens={})
+    for alphabet, n in (("abcdefghijklmnopqrstuvwxyz", 1_000_000), ("ab", 100_001), ("thein ", 100_000), ("éàß", 60_000), ("a", 99_999)):
+        text = "".join(rng.choice(alphabet) for _ in range(n))
+        began = time.process_time()
+        ids = bpe.encode_words(coder.table, [text.encode()])[0]
+        assert time.process_time() - began < 10
+        assert ids.tolist() == whole.encode_ordinary(text)
+
+
+def test_columns_that_clash(make):
+    docs = make([(1, "a b"), (2, None)]).withColumns({"n_tokens": F.lit("x"), "ids": F.lit(3), "ids_sha256": F.lit("y"), "decoded": F.lit("z"), "decoded_sha256": F.lit(1)})
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in bpe.digests(docs).collect()) == [(1, 2), (2, 0)]
+    assert sorted((r["doc_id"], r["decoded"]) for r in bpe.coded(docs).collect()) == [(1, b"a b"), (2, b"")]

@@ -25,7 +25,7 @@ def test_urls_equal_a_plain_loop(spark):
 
 
 def test_many_rules_take_the_shuffle_join(spark, monkeypatch):
-    monkeypatch.setattr(U, "BROADCAST_RULES", 2)
+    monkeypatch.setattr(U, "BROADCAST_RULES", 900)
     pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
     rules = U.production_rules(spark).union(spark.createDataFrame([("block", None, "/"), ("block", "org", "/"), ("allow", "", "/x")], "verdict string, host string, path string"))
     got = {r["page_id"]: tuple(r)[1:] for r in U.url_filter(pages, rules).collect()}
