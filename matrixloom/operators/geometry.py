@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.tables import stored
 from .moments import STATE, batch_state, correlation, covariance, joined, merged
 from .ranks import average_rank, dealt, range_edges, value_ranks
 
@@ -87,12 +88,73 @@ def projected(covariances: DataFrame) -> DataFrame:
     return covariances.join(a, "i").join(b, "j").join(grand).select("i", "j", (F.col("c") - F.col("mi") - F.col("mj") + F.col("g")).alias("c"))
 
 
-def rank_correlations(cells: DataFrame, least: int = 3) -> DataFrame:
-    """(i, j, n, rho): Spearman over entities that have both features, ranked within each pair's own entities."""
-    pairs = cells.where(F.col("value").isNotNull()).alias("a").join(cells.where(F.col("value").isNotNull()).alias("b"), "entity").where("a.feature < b.feature")
-    both = pairs.select(F.col("a.feature").alias("i"), F.col("b.feature").alias("j"), F.col("a.value").alias("x"), F.col("b.value").alias("y"))
-    ranked = both.select("i", "j", average_rank(["i", "j"], "x").alias("rx"), average_rank(["i", "j"], "y").alias("ry"))
-    return ranked.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho")).where(F.col("n") >= least)
+def _paired_state(u: np.ndarray) -> np.ndarray:
+    """The state of u[:, i, j] beside u[:, j, i] for all i and j, over rows where both are numbers (`moments.STATE`)."""
+    v = u.transpose(0, 2, 1)
+    seen = ~np.isnan(u) & ~np.isnan(v)
+    n = seen.sum(0).astype(float)
+    share = np.divide(1.0, n, out=np.zeros_like(n), where=n > 0)
+    mean = np.where(seen, u, 0.0).sum(0) * share
+    x = np.where(seen, u - mean, 0.0)
+    y = x.transpose(0, 2, 1)
+    square, none = (x * x).sum(0), np.zeros_like(n)
+    return np.stack([n, mean, mean.T, none, none, square, square.T, (x * y).sum(0)])
+
+
+def pair_ranks(cells: DataFrame, features: list) -> DataFrame:
+    """(entity, i, r): for each cell its average ranks within feature i, one for each other feature j among the entities that have j too (null where the entity lacks j).
+
+    Presence counts of all features are summed for each distinct value of a feature and cumulated along its values: in a window over a range of
+    values, plus what lower ranges hold. So ranks within every pair's own entities cost p numbers a cell, and no cell meets another entity's.
+    """
+    p = range(len(features))
+    place = F.create_map(*[F.lit(x) for k, f in enumerate(features) for x in (f, k)])
+    known = cells.where(F.col("feature").isin(features) & F.col("value").isNotNull()).select("entity", place[F.col("feature")].alias("i"), "value")
+    held = known.groupBy("entity").agg(F.collect_list(F.struct("i", "value")).alias("all"))
+    present = [F.array_contains("all.i", j).cast("long").alias(f"h{j}") for j in p]
+    each = held.select("entity", F.explode("all").alias("c"), *present).select("entity", "c.i", "c.value", *[f"h{j}" for j in p])
+    counts = each.groupBy("i", "value").agg(*[F.sum(f"h{j}").alias(f"n{j}") for j in p])
+    # stored, so that the ranges don't change when they are read again
+    ranged = stored(counts.repartitionByRange("i", "value").withColumn("part", F.spark_partition_id()), "presence")
+    before = Window.partitionBy("i").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("i", "part").agg(*[F.sum(f"n{j}").alias(f"s{j}") for j in p])
+    lower = parts.select(F.col("i").alias("_i"), F.col("part").alias("_part"), *[F.coalesce(F.sum(f"s{j}").over(before), F.lit(0)).alias(f"b{j}") for j in p])
+    upto = Window.partitionBy("part", "i").orderBy("value")
+    ranks = ranged.select("i", "value", "part", *[(F.sum(f"n{j}").over(upto) - (F.col(f"n{j}") - 1) / 2.0).alias(f"u{j}") for j in p]).join(lower, (F.col("i") == F.col("_i")) & (F.col("part") == F.col("_part")))
+    r = ranks.select("i", "value", F.array(*[F.col(f"u{j}") + F.col(f"b{j}") for j in p]).alias("r"))
+    has = F.array(*[F.col(f"h{j}") for j in p])
+    return each.select("entity", "i", "value", has.alias("has")).join(r, ["i", "value"]).select("entity", "i", F.zip_with("r", "has", lambda x, h: F.when(h > 0, x)).alias("r"))
+
+
+def rank_correlations(cells: DataFrame, least: int = 3, features: list | None = None) -> DataFrame:
+    """(i, j, n, rho): Spearman over entities that have both features, ranked within each pair's own entities (`pair_ranks`).
+
+    An entity's rows of ranks meet in its own row, where each pair gives two numbers; tasks sum them to one table of features squared. A cell occurs once.
+    Without `features` those of the table are taken, in order.
+    """
+    features = features or sorted(r[0] for r in cells.where(F.col("value").isNotNull()).select("feature").distinct().collect())
+    if not features:
+        kind = cells.schema["feature"].dataType.simpleString()
+        return cells.sparkSession.createDataFrame([], f"i {kind}, j {kind}, n long, rho double")
+    p = len(features)
+    rows = pair_ranks(cells, features).groupBy("entity").agg(F.collect_list(F.struct("i", "r")).alias("all")).select(F.col("all.i").alias("at"), F.flatten("all.r").alias("r"))
+    upper = np.triu_indices(p, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in (x.slice(lo, 256) for x in batches for lo in range(0, len(x), 256)):
+            at, r = b.column(0), b.column(1)
+            u = np.full((len(b) * p, p), np.nan)
+            row = np.repeat(np.arange(len(b)), np.diff(at.offsets.to_numpy()))
+            u[row * p + at.flatten().to_numpy()] = r.flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+            held = joined(held, _paired_state(u.reshape(len(b), p, p)))
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in upper] + [pa.array(held[k][upper]) for k in range(len(STATE))], ["i", "j", *STATE])
+
+    parts = rows.mapInArrow(run, "i int, j int, " + ", ".join(f"{c} double" for c in STATE))
+    names = F.array(*map(F.lit, features))
+    m = merged(parts, ["i", "j"]).where(F.col("n") >= least)
+    return m.select(F.get(names, F.col("i")).alias("i"), F.get(names, F.col("j")).alias("j"), F.col("n").cast("long").alias("n"), correlation().alias("rho"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:

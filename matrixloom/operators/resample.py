@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -83,13 +82,57 @@ def relabelled(spark: SparkSession, a: np.ndarray, b: np.ndarray, count: int, se
     return replicates(spark, count + 1, draw, ["rho"])
 
 
-def relabelled_exactly(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of all relabellings (of at most 8 features) that correlate at least as much as the true one."""
-    if len(a) > 8:
-        raise ValueError("at most 8 features")
+def unranked(number: np.ndarray, blocks: list[int]) -> np.ndarray:
+    """The relabellings with these numbers, a row each: a number's digits, one for each place of a block, pick the block's labels in turn.
+
+    Number 0 moves nothing; numbers below `orders_within(blocks)` give every relabelling within blocks once.
+    """
+    out = np.tile(np.arange(len(blocks)), (len(number), 1))
+    rest = np.asarray(number, np.int64).copy()
+    for block in dict.fromkeys(blocks):
+        at = np.flatnonzero(np.asarray(blocks) == block)
+        left = np.tile(at, (len(rest), 1))
+        for k in range(len(at)):
+            digit, rest = rest % (len(at) - k), rest // (len(at) - k)
+            out[:, at[k]] = left[np.arange(len(rest)), digit]
+            keep = np.arange(left.shape[1])[None] != digit[:, None]
+            left = left[keep].reshape(len(rest), -1)
+    return out
+
+
+def orders_within(blocks: list[int]) -> int:
+    """Distinct relabellings within blocks."""
+    return orders_of([blocks.count(b) for b in dict.fromkeys(blocks)])
+
+
+def enumerated(spark: SparkSession, a: np.ndarray, b: np.ndarray, blocks: list[int] | None = None, most: int = 100_000) -> DataFrame:
+    """(order, rho): rank correlation of two pair matrices under every relabelling of `b` within blocks (all features are one without them); order 0 is the true one.
+
+    Orders are numbers that Spark deals to tasks in ranges; a task makes the relabellings of its own numbers. Raises if there are more than `most`.
+    """
+    blocks = [0] * len(a) if blocks is None else list(blocks)
+    total = orders_within(blocks)
+    if total > most:
+        raise ValueError(f"{total} orders, at most {most} are enumerated")
+    upper = np.triu_indices(len(a), 1)
     fixed = _unit(ranked(_upper(a)))
-    values = np.array([fixed @ _unit(ranked(_upper(b[np.ix_(o, o)]))) for o in map(list, permutations(range(len(a))))])
-    return float(np.mean(values >= values[0] - 1e-12))
+    other = np.zeros(b.shape)
+    other[upper] = _unit(ranked(_upper(b)))  # relabelling moves ranks but doesn't change them
+    other += other.T
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in (x.iloc[lo : lo + 2000] for x in batches for lo in range(0, len(x), 2000)):
+            o = unranked(some["id"].to_numpy(), blocks)
+            yield pd.DataFrame({"order": some["id"], "rho": other[o[:, upper[0]], o[:, upper[1]]] @ fixed})
+
+    return spark.range(0, total, 1, 4 * spark.sparkContext.defaultParallelism).mapInPandas(run, "order long, rho double")
+
+
+def exact_tail(orders: DataFrame) -> DataFrame:
+    """(observed, p, orders): the share of all relabellings that correlate at least as much as the true one, which counts among them."""
+    seen = orders.where(F.col("order") == 0).select(F.col("rho").alias("observed"))
+    n = F.count(F.lit(1))
+    return orders.join(F.broadcast(seen)).agg(F.first("observed").alias("observed"), (F.count_if(F.col("rho") >= F.col("observed") - 1e-12) / n).alias("p"), n.alias("orders"))
 
 
 def tail(draws: DataFrame, value: str, observed: float | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import cells as C
+from ..operators import dense_blocks
 from ..operators import geometry as G
 from ..operators import regress as D
 from ..operators import resample as B
@@ -34,11 +35,12 @@ def t12(spark, d):
     """Every set of five brands that enough suppliers sell together: how another score finds the pair of greatest correlation."""
     lines = table(spark, d, "lineitem").where("l_quantity > 48").select("l_suppkey", F.col("l_partkey").alias("p_partkey"), "l_extendedprice", "l_discount")
     c = lines.join(table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey").groupBy(F.col("l_suppkey").alias("entity"), F.col("p_brand").alias("feature"))
-    x = C.blocks(c.agg(F.round(F.log(F.avg("l_extendedprice")), 9).alias("value"), F.round(F.avg("l_discount"), 8).alias("score")), BLOCK, ["value", "score"])
-    at = lambda k, v: F.col("x")[k][v]
-    one = lambda i, j, v: F.try_divide(F.covar_samp(at(i, v), at(j, v)), F.stddev_samp(at(i, v)) * F.stddev_samp(at(j, v)))
-    r = lambda v: F.array(*[F.round(one(i, j, v), 9) for i, j in _AT])
-    b = x.groupBy("block").agg(F.count(F.lit(1)).alias("n"), r("value").alias("r"), r("score").alias("s")).where(F.col("n") >= LEAST)
+    cells = c.agg(F.round(F.log(F.avg("l_extendedprice")), 9).alias("value"), F.round(F.avg("l_discount"), 8).alias("score"))
+    x = G.rows_of(cells, BRANDS).withColumnRenamed("x", "value").join(G.rows_of(cells.select("entity", "feature", F.col("score").alias("value")), BRANDS).withColumnRenamed("x", "score"), "entity")
+    m = dense_blocks.block_moments(x, ["value", "score"], len(BRANDS), BLOCK).where(F.col("n") >= LEAST)
+    r = lambda k: F.array(*[F.round(dense_blocks.block_correlation(k, 2, BLOCK, i, j), 9) for i, j in _AT])
+    names = F.array_join(F.transform("block", lambda k: F.get(F.array(*map(F.lit, BRANDS)), k)), " ")
+    b = m.select(names.alias("block"), "n", r(0).alias("r"), r(1).alias("s"))
     own = F.element_at("s", F.array_position("r", F.array_max("r")).cast("int"))
     below = F.aggregate("s", F.lit(0.0), lambda a, s: a + F.when(s < F.col("own"), 1.0).when(s == F.col("own"), 0.5).otherwise(0.0))
     return b.withColumn("own", own).select("block", "n", F.round((below - 0.5) / (len(_AT) - 1), 8).alias("auc"))

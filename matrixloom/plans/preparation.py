@@ -314,7 +314,7 @@ _PAIR_SP = "b AS (SELECT x.feature AS i, y.feature AS j, x.value AS v, y.value A
 
 @query("a19_pairwise_spearman", f"WITH {SPARSE_SQL}, {_PAIR_SP}, r AS (SELECT i, j, {rank_sql('i, j', 'v')} AS rv, {rank_sql('i, j', 'w')} AS rw FROM b) SELECT i, j, count(*) AS n, round(corr(rv, rw), 6) + 0.0 AS rho FROM r GROUP BY 1, 2 HAVING count(*) >= 10")
 def a19(spark, d):
-    return G.rank_correlations(sparse(spark, d), 10).select("i", "j", "n", (F.round("rho", 6) + 0.0).alias("rho"))
+    return G.rank_correlations(sparse(spark, d), 10, BRANDS).select("i", "j", "n", (F.round("rho", 6) + 0.0).alias("rho"))
 
 
 @query("a20_pair_support", f"WITH {SPARSE_SQL}, {_PAIR_SP} SELECT i, j, count(*) AS n FROM b GROUP BY 1, 2")
