@@ -17,7 +17,7 @@ def nfkc_name(name: pd.Series) -> pd.Series:
     return name.map(lambda s: None if s is None else re.sub(r"[\W_]+", " ", unicodedata.normalize("NFKC", s).casefold()).strip())
 
 
-def position_identity(a: Column, b: Column, length: int) -> Column:
+def position_identity(a: Column, b: Column, length: int | Column) -> Column:
     """The share of places at which two texts agree."""
     same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x == y).cast("int"))
     return F.aggregate(same, F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0))) / length

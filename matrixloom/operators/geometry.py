@@ -313,21 +313,3 @@ def farthest_order(distance: np.ndarray, count: int) -> list[int]:
         near[out] = -1
         out.append(int(near.argmax()))
     return out
-
-
-def assigned(score: np.ndarray) -> list[int]:
-    """The one-to-one assignment of greatest total, by dynamic programming over sets of at most 16 columns."""
-    n = len(score)
-    if n > 16:
-        raise ValueError("at most 16 items")
-    best = {0: (0.0, ())}
-    for row in range(n):
-        nxt: dict[int, tuple[float, tuple[int, ...]]] = {}
-        for used, (total, path) in best.items():
-            for k in range(n):
-                if not used >> k & 1:
-                    value = (total + float(score[row, k]), (*path, k))
-                    if used | 1 << k not in nxt or value[0] > nxt[used | 1 << k][0]:
-                        nxt[used | 1 << k] = value
-        best = nxt
-    return list(best[(1 << n) - 1][1])

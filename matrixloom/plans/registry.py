@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import blocks, further, inference, matrices, preparation, sensitivity, wider  # noqa: F401  they register their queries
+from . import blocks, completion, further, inference, matrices, preparation, sensitivity, wider  # noqa: F401  they register their queries
 from .base import ORACLES, QUERIES
 
 FLAGSHIP = "g03_participation"

@@ -322,12 +322,12 @@ def s07(spark, d):
     return spark.read.schema("c_custkey long, c_name string, c_acctbal double").json(path)
 
 
-@query("k01_formatted", "SELECT c_custkey, printf('%.2f', c_acctbal) AS c_acctbal FROM customer")
+@query("k01_formatted", "SELECT c_custkey, round(c_acctbal / 7, 6)::DOUBLE AS part FROM customer")
 def k01(spark, d):
-    """Balances as the CSV sink writes them, with two digits."""
+    """A seventh of balances as the CSV sink writes them, with twelve digits, read back."""
     path = scratch(spark, "k01")
-    _customer(spark, d).select("c_custkey", F.format_string("%.2f", "c_acctbal").alias("c_acctbal")).write.csv(path, header=True)
-    return files.delimited(spark, path, "c_custkey long, c_acctbal string")
+    sinks.to_csv(_customer(spark, d).select("c_custkey", (F.col("c_acctbal") / 7).cast("double").alias("part")), path, 12)
+    return files.delimited(spark, path, "c_custkey long, part double").select("c_custkey", F.round("part", 6).alias("part"))
 
 
 @query("v01_manifest", "SELECT 0::BIGINT AS faults, (SELECT count(*) FROM customer) AS n")

@@ -75,6 +75,13 @@ def delimited_records(spark: SparkSession, path: str, end: str = "$$$$") -> Data
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, number long, record string")
 
 
+def text_records(spark: SparkSession, path: str, end: str = "$$$$") -> DataFrame:
+    """(record,): records of plain text files that end with a line of their own. Spark's reader cuts files at the mark, so that tasks share a large file; one that ends inside a record raises."""
+    read = spark.read.text(path, lineSep=end + "\n").where(F.length(F.trim("value")) > 0)
+    torn = F.raise_error(F.concat(F.lit("a file ends inside a record: "), F.substring("value", 1, 80)))
+    return read.select(F.when(F.col("value").endswith("\n"), F.col("value")).otherwise(torn).alias("record"))
+
+
 def fixed_width(lines: DataFrame, fields: dict[str, tuple[int, int]], text: str = "value") -> DataFrame:
     """Columns cut from text lines at (first, last) places from 0, trimmed."""
     return lines.select("*", *[F.trim(F.substring(text, a + 1, b - a)).alias(n) for n, (a, b) in fields.items()])
