@@ -88,6 +88,24 @@ def projected(covariances: DataFrame) -> DataFrame:
     return covariances.join(a, "i").join(b, "j").join(grand).select("i", "j", (F.col("c") - F.col("mi") - F.col("mj") + F.col("g")).alias("c"))
 
 
+def covariance_table(rows: DataFrame, features: int) -> DataFrame:
+    """(i, j, c): sample covariances of complete rows as a full symmetric table with its diagonal, from one pass of moments."""
+    m = pair_moments(rows, features).select("i", "j", "n", "cxx", "cyy", "cxy")
+    own = m.groupBy("i").agg(F.max(F.try_divide("cxx", F.col("n") - 1)).alias("c")).select("i", F.col("i").alias("j"), "c")
+    last = m.groupBy("j").agg(F.max(F.try_divide("cyy", F.col("n") - 1)).alias("c")).where(F.col("j") == features - 1).select(F.col("j").alias("i"), "j", "c")
+    off = m.select("i", "j", F.try_divide("cxy", F.col("n") - 1).alias("c"))
+    return off.union(off.select(F.col("j"), F.col("i"), F.col("c"))).union(own).union(last)
+
+
+def from_covariances(c: DataFrame) -> DataFrame:
+    """(i, j, r) for i < j: correlations from a full covariance table with its diagonal; null without spread."""
+    own = c.where("i = j")
+    a, b = own.select(F.col("i"), F.col("c").alias("ci")), own.select(F.col("i").alias("j"), F.col("c").alias("cj"))
+    r = F.col("c") / F.sqrt("ci") / F.sqrt("cj")
+    spread = (F.col("ci") > 0) & (F.col("cj") > 0)
+    return c.where("i < j").join(F.broadcast(a), "i").join(F.broadcast(b), "j").select("i", "j", F.when(spread, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
+
+
 def _paired_state(u: np.ndarray) -> np.ndarray:
     """The state of u[:, i, j] beside u[:, j, i] for all i and j, over rows where both are numbers (`moments.STATE`)."""
     v = u.transpose(0, 2, 1)

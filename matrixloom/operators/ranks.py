@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from statistics import NormalDist
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import stored
+
 
 def average_rank(by: list, value: str) -> Column:
     """Rank from 1 within groups; ties share their mean rank."""
@@ -106,12 +109,32 @@ def upper_tail(df: DataFrame, value: str, position: str, share: float, later_win
     return df.withColumn("_k", k).withColumn("label", (F.row_number().over(order) <= F.col("_k")).cast("int")).drop("_k")
 
 
+def ranged(df: DataFrame, by: list[str], order: list[Column], parts: int | None = None) -> DataFrame:
+    """`df` with `_part`, its rows dealt to ranges of group and order: `parts`, or as many as their size asks for. Stored, so that they stay as they are."""
+    return stored(df.repartitionByRange(*([parts] if parts else []), *[F.col(c).asc() for c in by], *order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def carried(parts: DataFrame, by: list[str], order: list[Column], name: str, value: Column, how: Callable[[Column], Column] = F.sum) -> DataFrame:
+    """`parts` (of `ranged`) with `name`: the sum (or greatest) of a value over the rows of the group up to and with each, in order.
+
+    A window over the rows of a range, and what earlier ranges of the group hold, from one row for each range: no task holds a group.
+    """
+    rows = parts.withColumn("_v", value)
+    inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*by, "_part").agg(how("_v").alias("_w")).select(*by, "_part", how("_w").over(earlier).alias("_before"))
+    both = rows.withColumn("_inside", how("_v").over(inside)).join(before, [*by, "_part"])
+    total = F.greatest("_inside", "_before") if how is F.max else F.col("_inside") + F.coalesce("_before", F.lit(0))
+    return both.withColumn(name, total).drop("_v", "_inside", "_before")
+
+
 def holm(df: DataFrame, p: str, order: str) -> DataFrame:
-    """`adjusted`: Holm's step-down p, at most 1, never falling along the sorted p."""
-    everything = Window.partitionBy()
-    step = Window.orderBy(p, order)
-    raw = F.least(F.lit(1.0), F.col(p) * (F.count(F.lit(1)).over(everything) - F.row_number().over(step) + 1))
-    return df.withColumn("_raw", raw).withColumn("adjusted", F.max("_raw").over(step.rowsBetween(Window.unboundedPreceding, 0))).drop("_raw")
+    """`adjusted`: Holm's step-down p, at most 1, never falling along the sorted p; of equal p the first by `order` comes first."""
+    step = [F.col(p).asc(), F.col(order).asc()]
+    rows = carried(ranged(df, [], step), [], step, "_k", F.lit(1))
+    count = rows.agg(F.count(F.lit(1)).alias("_n"))
+    raw = F.least(F.lit(1.0), F.col(p) * (F.col("_n") - F.col("_k") + 1))
+    return carried(rows.join(F.broadcast(count)), [], step, "adjusted", raw, F.max).select(*df.columns, "adjusted")
 
 
 def quantile_bins(df: DataFrame, value: str, bins: int) -> DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import carried, ranged
+
 
 def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve, ties half; a higher score means positive. Null with one label only.
@@ -22,10 +24,13 @@ def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None)
 def score_steps(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """(by, score, tp, all): positives and rows at or above each distinct score.
 
-    Rows with one score are counted before the cumulative sum, so the window runs over distinct scores only.
+    Rows with one score are counted before the cumulative sum. Without groups distinct scores are dealt to ranges, so no task holds them all.
     """
     by = by or []
     n = df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(label).alias("p"), F.count(F.lit(1)).alias("c"))
+    if not by:
+        order = [F.col("score").desc()]
+        return carried(carried(ranged(n, by, order), by, order, "tp", F.col("p")), by, order, "all", F.col("c")).select("score", "p", "c", "tp", "all")
     w = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     return n.select(*by, "score", "p", "c", F.sum("p").over(w).alias("tp"), F.sum("c").over(w).alias("all"))
 
@@ -39,18 +44,23 @@ def average_precision(df: DataFrame, label: str, score: str, by: list[str] | Non
 def sequential_precision(df: DataFrame, label: str, score: str, position: str, by: list[str] | None = None) -> DataFrame:
     """Average precision row by row; of equal scores the later position comes first."""
     by = by or []
-    w = Window.partitionBy(*by).orderBy(F.desc(score), F.desc(position))
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    seq = df.select(*by, F.col(label).alias("y"), F.row_number().over(w).alias("k"), F.sum(label).over(run).alias("tp"))
+    seq = _in_order(df, label, score, position, by)
     return seq.groupBy(*by).agg((F.sum(F.col("y") * F.col("tp") / F.col("k")) / F.sum("y")).alias("ap"))
 
 
+def _in_order(df: DataFrame, label: str, score: str, position: str, by: list[str]) -> DataFrame:
+    """(by, y, k, tp): each row's place by falling score and position, and positives up to it, from ranges of rows."""
+    order = [F.col("_s").desc(), F.col("_at").desc()]
+    rows = ranged(df.select(*by, F.col(label).alias("y"), F.col(score).alias("_s"), F.col(position).alias("_at")), by, order)
+    return carried(carried(rows, by, order, "k", F.lit(1)), by, order, "tp", F.col("y")).select(*by, "y", "k", "tp")
+
+
 def precision_at_positives(df: DataFrame, label: str, score: str, position: str, by: list[str] | None = None) -> DataFrame:
     """Share of positives among as many first rows as there are positives."""
     by = by or []
-    k = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), F.desc(position)))
-    n = F.sum(label).over(Window.partitionBy(*by))
-    return df.select(*by, F.col(label).alias("y"), k.alias("k"), n.alias("n")).where("k <= n").groupBy(*by).agg((F.sum("y") / F.first("n")).alias("precision"))
+    rows = _in_order(df, label, score, position, by)
+    n = rows.groupBy(*by).agg(F.sum("y").alias("n"))
+    return (rows.join(n, by) if by else rows.join(F.broadcast(n))).where("k <= n").groupBy(*by).agg((F.sum("y") / F.first("n")).alias("precision"))
 
 
 def tied_ranks(df: DataFrame, query: str, score: str, target: str, top: int) -> DataFrame:

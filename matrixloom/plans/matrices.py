@@ -9,8 +9,8 @@ from ..operators import ranking as R
 from ..operators import ranks as W
 from ..operators import retrieval as T
 from ..operators import surfaces as M
-from ..sources.tables import table
-from .base import BRANDS, DENSE, DENSE_SQL, GROUPS_SQL, PRICED_SQL, SPARSE_SQL, dense, groups, priced, query, rank_sql, sparse
+from ..sources.tables import stored, table
+from .base import BRANDS, DENSE, DENSE_SQL, GROUPS_SQL, PRICED_SQL, SPARSE_SQL, dense, dense_rows, groups, priced, query, rank_sql, sparse
 from .preparation import edges
 
 
@@ -147,7 +147,10 @@ _SURF = f"""{DENSE_SQL}, rc AS (SELECT entity, feature, value - avg(value) OVER
 SELECT surface, round(4096.0 / (64 + 2 * sum(r * r)), 6) AS pr, round(avg(r * r), 8) AS mean_r2, round(avg(r), 8) + 0.0 AS mean_r FROM p GROUP BY 1""")
 def g03(spark, d):
     """The flagship: effective dimension of each surface; row- and two-way-centred ones must agree."""
-    x = G.correlations(M.named(dense(spark, d), ["raw", "row_centred", "two_way"]), DENSE, ["surface"])
+    raw = stored(G.covariance_table(dense_rows(spark, d), 64), "covariances")  # features squared; centring rows is algebra on it, centring columns changes nothing
+    centred = stored(G.from_covariances(G.projected(raw)), "correlations")
+    named = lambda name, r: r.select(F.lit(name).alias("surface"), "i", "j", "r")
+    x = named("raw", G.from_covariances(raw)).union(named("row_centred", centred)).union(named("two_way", centred))
     return G.participation(x, 64, ["surface"]).select("surface", F.round("pr", 6).alias("pr"), F.round("mean_r2", 8).alias("mean_r2"), (F.round("mean_r", 8) + 0.0).alias("mean_r"))
 
 
@@ -173,8 +176,8 @@ k AS (SELECT *, {rank_sql('1', 'x')} AS rx, {rank_sql('1', 'y')} AS ry, (row_num
 SELECT round(corr(rx, ry), 6) AS rho, round(1 - corr(rx, ry), 6) AS distance, round(avg((sign(x) <> sign(y))::INTEGER), 9) AS flipped, round(sum(tx * ty) / sum(greatest(tx, ty)), 9) AS top_jaccard, round(4096.0 / (64 + 2 * sum(x * x)), 6) AS pr_a, round(4096.0 / (64 + 2 * sum(y * y)), 6) AS pr_b,
 round(avg(x), 8) + 0.0 AS mean_a, round(avg(y), 8) + 0.0 AS mean_b, round(avg(abs(x)), 8) AS mean_abs_a, round(avg(abs(y)), 8) AS mean_abs_b FROM k""")
 def g12(spark, d):
-    c = dense(spark, d)
-    x = G.compared(G.correlations(c, DENSE), G.correlations(M.centred(c), DENSE), 64)
+    raw = stored(G.covariance_table(dense_rows(spark, d), 64), "covariances")
+    x = G.compared(G.from_covariances(raw), G.from_covariances(G.projected(raw)), 64)
     digits = {"rho": 6, "distance": 6, "flipped": 9, "top_jaccard": 9, "pr_a": 6, "pr_b": 6}
     return x.select(*[(F.round(n, digits.get(n, 8)) + 0.0).alias(n) for n in x.columns])
 
@@ -208,7 +211,7 @@ def g21(spark, d):
 @query("g24_edge_stability", f"""WITH {DENSE_SQL}, c AS (SELECT (entity % 5)::INTEGER AS s, * FROM dense), p AS (SELECT a.s, a.feature AS i, b.feature AS j, corr(a.value, b.value) AS r FROM c a JOIN c b ON a.entity = b.entity AND a.feature < b.feature GROUP BY 1, 2, 3)
 SELECT i, j, round(avg(r), 6) + 0.0 AS mean, round(stddev_pop(r), 6) AS sd, round(abs(avg(sign(r))), 6) AS sign_agreement FROM p GROUP BY 1, 2""")
 def g24(spark, d):
-    p = G.correlations(dense(spark, d).withColumn("s", (F.col("entity") % 5).cast("int")), DENSE, ["s"])
+    p = G.pair_moments(dense_rows(spark, d).withColumn("s", (F.col("entity") % 5).cast("int")), 64, ["s"]).select("s", "i", "j", G.correlation().alias("r"))
     return p.groupBy("i", "j").agg((F.round(F.avg("r"), 6) + 0.0).alias("mean"), F.round(F.stddev_pop("r"), 6).alias("sd"), F.round(F.abs(F.avg(F.sign("r"))), 6).alias("sign_agreement"))
 
 

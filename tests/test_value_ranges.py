@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from matrixloom.operators import aggregates as A
 from matrixloom.operators import geometry as G
@@ -69,3 +70,21 @@ def test_empty_and_constant_tables(spark):
     one = spark.createDataFrame([("a", 2.0, 1.0)] * 4 + [("b", None, 1.0)], "g string, v double, w double")
     assert [tuple(r) for r in W.quantiles(one, "v", {"mid": 0.5}, ["g"]).collect()] == [("a", 2.0)]
     assert {r["rank"] for r in W.value_ranks(one, "v").collect()} == {2.5}
+
+
+def test_running_sums_and_holm_over_ranges(spark):
+    """Ties, groups of unlike size and a value that a third of the rows have, dealt to many ranges."""
+    rng = np.random.default_rng(8)
+    n = 600
+    p = pd.DataFrame({"g": rng.choice(["a", "b"], n, p=[0.9, 0.1]), "v": np.where(rng.random(n) < 1 / 3, 0.5, np.round(rng.random(n), 2)), "k": np.arange(n)})
+    df = spark.createDataFrame(p).repartition(7)
+    order = [F.col("v").desc(), F.col("k").asc()]
+    rows = W.ranged(df, ["g"], order, 9)
+    assert rows.select("_part").distinct().count() > 1
+    got = W.carried(W.carried(rows, ["g"], order, "place", F.lit(1)), ["g"], order, "top", F.col("k"), F.max).toPandas().sort_values("k")
+    s = p.sort_values(["g", "v", "k"], ascending=[True, False, True])
+    s["place"], s["top"] = s.groupby("g").cumcount() + 1, s.groupby("g")["k"].cummax()
+    assert got[["place", "top"]].to_numpy().tolist() == s.sort_values("k")[["place", "top"]].to_numpy().tolist()
+    held = W.holm(df, "v", "k").toPandas().sort_values(["v", "k"])
+    assert held["adjusted"].tolist() == np.maximum.accumulate(np.minimum(1.0, held["v"] * (n - np.arange(n)))).tolist()
+    assert W.holm(df.limit(0), "v", "k").isEmpty()
