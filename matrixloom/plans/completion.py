@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import assignment, clusters, imputation
+from ..operators import alignment, assignment, clusters, imputation
 from ..operators import cells as C
 from ..operators import resample as B
 from ..sources import files, sinks
@@ -123,3 +124,14 @@ def v01(spark, d):
     table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k")).coalesce(1).write.mode("append").parquet(path)
     faults = sinks.manifest_faults(sinks.manifest(spark, f"{path}/*.parquet"), declared).groupBy("fault").agg(F.count(F.lit(1)).alias("files"))
     return faults.join(spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("c06_alignment")
+def c06(spark, d):
+    """Identity of every part's name and type with those of the next part of its brand, by global alignment with affine gaps."""
+    t = table(spark, d, "part").select("p_partkey", "p_brand", F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    # a brand's parts are cut at thousands of keys, so no window holds a brand
+    block = F.floor(F.col("p_partkey") / 1000)
+    following = Window.partitionBy("p_brand", block).orderBy("p_partkey")
+    pairs = t.select("p_partkey", "name", F.lead("name").over(following).alias("next")).where("next IS NOT NULL")
+    return alignment.identities(pairs, "name", "next", 5, -4, -20, -1).select("p_partkey", "score", "matches", "columns", "identity")

@@ -16,7 +16,7 @@ from ..operators import regress as D
 from ..operators import resample as B
 from ..operators import retrieval as T
 from ..operators import surfaces as M
-from ..sources.tables import table
+from ..sources.tables import stored, table
 from .base import BRANDS, DENSE, DENSE_SQL, PRICED_SQL, SPARSE_SQL, dense, dense_rows, priced, query, rank_sql, sparse, uniform_sql
 from .inference import _two
 from .matrices import _pairs, _rounded
@@ -88,14 +88,15 @@ def r14(spark, d):
     return x.join(m, "feature").agg(F.round(1 - F.sum(e * e) / F.sum(s * s), 8).alias("r2"), F.round(F.sqrt(F.avg(e * e)), 8).alias("rmse"))
 
 
-@query("t07_relabelled_retrieval")
+@query("t07_relabelled_retrieval", f"""WITH x AS (SELECT doc_id, n_chars AS score, toxic FROM documents JOIN labels USING (doc_id)), d AS (SELECT replicate, score, ({uniform_sql("'31'", 'replicate', 'doc_id')} < (SELECT avg(toxic) FROM x))::INTEGER AS y FROM x CROSS JOIN (SELECT unnest(range(1, 21)) AS replicate)),
+k AS (SELECT replicate, y, rank() OVER (PARTITION BY replicate ORDER BY score) + (count(*) OVER (PARTITION BY replicate, score) - 1) / 2.0 AS k FROM d) SELECT replicate::INTEGER AS replicate, round((sum(k * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 8) AS auc FROM k GROUP BY 1""")
 def t07(spark, d):
     """AUC of many label vectors drawn at the observed rate over one score; rows meet as counts of distinct scores only."""
     x = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("score")).join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id")
     rate = x.agg(F.avg("toxic").alias("rate"))
     each = x.join(rate).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(20))))
     drawn = each.withColumn("y", (B.uniform(31, F.col("replicate"), F.col("doc_id")) < F.col("rate")).cast("int"))
-    return T.roc_auc(drawn, "y", "score", ["replicate"])
+    return _rounded(T.roc_auc(drawn, "y", "score", ["replicate"]), 8, "auc")
 
 
 @query("n02_paired_difference")
@@ -251,6 +252,7 @@ def w18(spark, d):
 @query("d10_partial_ranks")
 def d10(spark, d):
     s = priced(spark, d).join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_acctbal").alias("a")), "entity").select("feature", "measured", "score", "a")
-    s = reduce(lambda rows, c: W.with_rank(rows, c, ["feature"], f"r_{c}").drop(c), ("measured", "score", "a"), s)
+    s = stored(s, "rank-rows")
+    s = reduce(lambda rows, c: rows.join(stored(W.value_ranks(s, c, ["feature"]).withColumnRenamed("rank", f"r_{c}"), "ranks"), ["feature", c]), ("measured", "score", "a"), s)
     r = s.groupBy("feature").agg(*[F.corr(f"r_{x}", f"r_{y}").alias(x[0] + y[0]) for x, y in (("measured", "score"), ("measured", "a"), ("score", "a"))])
     return r.select("feature", D.partial(F.col("ms"), F.col("ma"), F.col("sa")).alias("rho"))

@@ -21,7 +21,7 @@ from ..operators import resample as B
 from ..operators import retrieval as T
 from ..operators import surfaces as M
 from ..sources import files
-from ..sources.tables import table
+from ..sources.tables import stored, table
 from .base import BRANDS, DENSE, DENSE_SQL, PRICED_SQL, SPARSE_SQL, dense, dense_rows, priced, query, rank_sql, sparse, uniform_sql
 from .matrices import _labelled, _pairs, _rounded
 from .preparation import edges
@@ -443,9 +443,12 @@ def n25(spark, d):
     return table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("block")).agg(F.count(F.lit(1)).alias("size"))
 
 
-@query("b02_cluster_bootstrap")
+@query("b02_cluster_bootstrap", f"""WITH p AS (SELECT user_id, sum(value) AS s, count(value) AS n FROM events GROUP BY 1), w AS (SELECT replicate, s, n, -ln({uniform_sql("'5'", 'replicate', 'user_id')}) AS w FROM p CROSS JOIN (SELECT unnest(range(200)) AS replicate)),
+m AS (SELECT replicate, sum(w * s) / sum(w * n) AS mean FROM w GROUP BY 1) SELECT round(avg(mean), 8) AS mean, round(stddev_samp(mean), 8) AS sd, round(quantile_cont(mean, 0.025), 8) AS low, round(quantile_cont(mean, 0.975), 8) AS high FROM m""")
 def b02(spark, d):
-    return B.interval(B.bootstrap_means(table(spark, d, "events"), "user_id", "value", 200, 5), "mean")
+    """Interval of the mean event value under exponential weights of users."""
+    i = B.interval(B.bootstrap_means(table(spark, d, "events"), "user_id", "value", 200, 5), "mean")
+    return i.select(*[F.round(c, 8).alias(c) for c in i.columns])
 
 
 @query("b07_union_interval", "SELECT min(a) AS low, max(b) AS high FROM (SELECT event_type, round(quantile_cont(value, 0.025), 6) AS a, round(quantile_cont(value, 0.975), 6) AS b FROM events GROUP BY 1)")
@@ -548,8 +551,9 @@ _DOCR = f"(SELECT {rank_sql('1', 'n_chars')} AS c, {rank_sql('1', 'quality')} AS
 @query("d11_partial_spearman", f"WITH r AS (SELECT corr(q, t) AS qt, corr(q, c) AS qc, corr(t, c) AS tc FROM {_DOCR}) SELECT round((qt - qc * tc) / sqrt((1 - qc * qc) * (1 - tc * tc)), 8) AS rho FROM r")
 def d11(spark, d):
     x = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id")
+    rows = x = stored(x, "rank-rows")  # so that each rank reads what is written, not the plan of the ranks before
     for n, c in (("c", "n_chars"), ("q", "quality"), ("t", "toxic")):
-        x = x.join(W.value_ranks(x, c).withColumnRenamed("rank", n), c)
+        x = x.join(stored(W.value_ranks(rows, c).withColumnRenamed("rank", n), "ranks"), c)
     r = x.agg(F.corr("q", "t").alias("qt"), F.corr("q", "c").alias("qc"), F.corr("t", "c").alias("tc"))
     return r.select(F.round(D.partial(F.col("qt"), F.col("qc"), F.col("tc")), 8).alias("rho"))
 
