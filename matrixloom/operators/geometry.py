@@ -18,12 +18,13 @@ from .ranks import average_rank, dealt, range_edges, value_ranks
 
 
 def rows_of(cells: DataFrame, features: list, keep: list[str] | None = None) -> DataFrame:
-    """One row for each entity with its values in feature order (null where absent), beside `keep` columns of the entity."""
-    place = F.create_map(*[F.lit(x) for i, f in enumerate(features) for x in (f, i)])
+    """One row for each entity with its values in feature order (null where absent), beside `keep` columns of the entity. Of repeated cells the greatest value stands.
+
+    Tasks put a cell in its place before rows are shuffled, so an entity is one row from each task that had it.
+    """
     known = cells.where(F.col("feature").isin(features) & F.col("value").isNotNull())
-    held = known.groupBy("entity", *(keep or [])).agg(F.map_from_entries(F.collect_list(F.struct(place[F.col("feature")].alias("at"), "value"))).alias("m"))
-    spread = F.transform(F.sequence(F.lit(0), F.lit(len(features) - 1)), lambda i: F.try_element_at("m", i))
-    return held.select("entity", *(keep or []), spread.alias("x"))
+    placed = [F.max(F.when(F.col("feature") == F.lit(f), F.col("value"))) for f in features]
+    return known.groupBy("entity", *(keep or [])).agg(F.array(*placed).alias("x"))
 
 
 def values_of(column: pa.Array, features: int) -> np.ndarray:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .geometry import pair_moments, rows_of
 from .moments import STATE, batch_state, correlation, joined, merged
-from .ranks import numbered
+from .ranks import carried, numbered, ranged
 from .retrieval import pair_auc, strongest
 
 #: Rows of independently dealt columns that are shuffled together, and rows that trade together.
@@ -482,8 +482,9 @@ def lightest_blocks(sizes: DataFrame, group: str, size: str, blocks: int) -> Dat
         for k, b in enumerate(order):
             load[b] += s * (c // blocks + (k < c % blocks))
     deal = sizes.sparkSession.createDataFrame([(int(s), o) for s, o in starts.items()], "_size long, _order array<int>")
-    at = F.row_number().over(Window.partitionBy(size).orderBy(group)) - 1
-    dealt = sizes.withColumn("_at", at).join(F.broadcast(deal), F.col(size) == F.col("_size"))
+    order = [F.col(group).asc()]
+    placed = carried(ranged(sizes.select(group, size), [size], order), [size], order, "_nth", F.lit(1)).withColumn("_at", F.col("_nth") - 1)
+    dealt = placed.join(F.broadcast(deal), F.col(size) == F.col("_size"))
     return dealt.select(group, size, F.get("_order", (F.col("_at") % blocks).cast("int")).alias("block"))
 
 
