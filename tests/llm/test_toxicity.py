@@ -79,3 +79,51 @@ def test_copies_of_a_key_count_once(spark, make):
     once = make(list(dict.fromkeys(rows))).withColumn("toxic", (F.col("doc_id") == 1).cast("int"))
     a, b = X.fit(labelled, sample=11), X.fit(once, sample=11)
     assert np.allclose(a.scores(["you fool", "kind"]), b.scores(["you fool", "kind"]))
+
+
+def plain_gram(gram):
+    """The hash of one n-gram in whole numbers."""
+    mask, h = (1 << 64) - 1, 0
+    for c in gram:
+        h = (h * 0x100000001B3 + ord(c)) & mask
+    h ^= len(gram)
+    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & mask
+    h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & mask
+    return (h ^ (h >> 31)) >> (64 - X.HASH_BITS)
+
+
+def test_ratios_features_and_scores_equal_a_plain_version(spark, make):
+    """From texts to scores: counts of every gram, log-count ratios, the features of greatest z, a ridge fit at its optimum, scores of all texts."""
+    rng = np.random.default_rng(5)
+    words = ["kind", "Friend", "stupid", "FOOL", "table", "été", "paper", "x"]
+    rows = []
+    for k in range(120):
+        bad = k % 4 == 0
+        some = rng.choice(words, rng.integers(0, 9), p=[0.1, 0.1, 0.25, 0.25, 0.1, 0.1, 0.05, 0.05] if bad else [0.2, 0.2, 0.05, 0.05, 0.2, 0.1, 0.1, 0.1])
+        rows.append((k, " ".join(some)))
+    rows[7] = (7, None)
+    labelled = make(rows).withColumn("toxic", (F.col("doc_id") % 4 == 0).cast("int"))
+    grams = lambda t: {plain_gram(t[i : i + n]) for t in [t.lower()] for n in X.GRAMS for i in range(len(t) - n + 1)}
+    sets, y = [grams(t or "") for _, t in rows], np.array([k % 4 == 0 for k, _ in rows], float)
+    counts = {}
+    for s, v in zip(sets, y):
+        for h in s:
+            counts.setdefault(h, [0, 0])[int(v)] += 1
+    toxic, clean = y.sum(), (1 - y).sum()
+    ratio = {h: np.log((c[1] + 1) / (toxic + 2)) - np.log((c[0] + 1) / (clean + 2)) for h, c in counts.items()}
+    z = {h: abs(ratio[h]) / np.sqrt(1 / (counts[h][1] + 1) + 1 / (counts[h][0] + 1)) for h in counts}
+    got = {r["feature"]: (r["clean"], r["toxic"]) for r in X._counts(labelled.select("text", "toxic")).collect()}
+    assert got == {h: tuple(c) for h, c in counts.items()}
+    model = X.fit(labelled, rounds=6000)
+    chosen = np.flatnonzero(model.feature >= 0)
+    assert set(chosen) == set(sorted(counts, key=lambda h: (-round(z[h], 12), h))[: X.FEATURES])
+    columns = chosen[np.argsort(model.feature[chosen])]
+    x = np.array([[ratio[h] if h in s else 0.0 for h in columns] for s in sets])
+    full = np.column_stack([x, np.ones(len(x))])
+    keep = np.append(np.full(len(columns), 1e-3), 0.0)
+    w = np.zeros(full.shape[1])
+    for _ in range(60):  # Newton's steps
+        p = 1 / (1 + np.exp(-full @ w))
+        w -= np.linalg.solve((full.T * (p * (1 - p))) @ full / len(y) + np.diag(keep + 1e-12), full.T @ (p - y) / len(y) + keep * w)
+    want = 1 / (1 + np.exp(-(np.array([[ratio[h] if h in grams(t or "") else 0.0 for h in columns] for _, t in rows]) @ w[:-1] + w[-1])))
+    assert np.abs(model.scores([t for _, t in rows]) - want).max() < 5e-3
