@@ -17,6 +17,10 @@ from .moments import STATE, batch_state, correlation, covariance, joined, merged
 from .ranks import average_rank, dealt, range_edges, value_ranks
 
 
+#: Distinct value pairs of a range that a task counts concordance in.
+RANGE = 250_000
+
+
 def rows_of(cells: DataFrame, features: list, keep: list[str] | None = None) -> DataFrame:
     """One row for each entity with its values in feature order (null where absent), beside `keep` columns of the entity. Of repeated cells the greatest value stands.
 
@@ -220,8 +224,9 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     ranges, and those in one range of x, within that range. A value with very many rows is a range of its own
     (`ranks.dealt`), which holds no pair to count. Rows with a null are left out.
     """
-    v = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("c"))
-    v = v.withColumns({"bx": dealt("x", range_edges(v, "x")), "by": dealt("y", range_edges(v, "y"))})
+    v = stored(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("c")), "value-pairs")
+    parts = max(64, -(-v.count() // RANGE))
+    v = v.withColumns({"bx": dealt("x", range_edges(v, "x", parts)), "by": dealt("y", range_edges(v, "y", parts))})
     number = lambda c: F.col(c).cast("double").alias(c)
     counts = lambda *keys: v.groupBy(*keys).agg(F.sum("c").alias("c"))
     grid = counts("bx", "by").select(F.lit(0).alias("part"), F.lit(0).alias("at"), F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y"), "c")

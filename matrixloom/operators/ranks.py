@@ -36,23 +36,38 @@ def range_edges(df: DataFrame, value: str, parts: int = 64) -> list[float]:
     return sorted(set(df.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / parts for i in range(1, parts)], 0.5 / parts)))
 
 
-def cumulated(df: DataFrame, value: str, by: list[str] | None = None, parts: int = 64) -> DataFrame:
+def ranged(df: DataFrame, by: list[str], order: list[Column], parts: int | None = None) -> DataFrame:
+    """`df` with `_part`, its rows dealt to ranges of group and order: `parts`, or as many as their size asks for. Stored, so that they stay as they are."""
+    return stored(df.repartitionByRange(*([parts] if parts else []), *[F.col(c).asc() for c in by], *order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def carried(parts: DataFrame, by: list[str], order: list[Column], name: str, value: Column, how: Callable[[Column], Column] = F.sum) -> DataFrame:
+    """`parts` (of `ranged`) with `name`: the sum (or greatest) of a value over the rows of the group up to and with each, in order.
+
+    A window over the rows of a range, and what earlier ranges of the group hold, from one row for each range: no task holds a group.
+    """
+    rows = parts.withColumn("_carried", value)
+    inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*by, "_part").agg(how("_carried").alias("_held")).select(*by, "_part", how("_held").over(earlier).alias("_earlier"))
+    both = rows.withColumn("_within", how("_carried").over(inside)).join(before, [*by, "_part"])
+    total = F.greatest("_within", "_earlier") if how is F.max else F.col("_within") + F.coalesce("_earlier", F.lit(0))
+    return both.withColumn(name, total).drop("_carried", "_within", "_earlier")
+
+
+def cumulated(df: DataFrame, value: str, by: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """(by, value, n, upto): each distinct value's rows, and the rows of its group up to and with it.
 
-    Distinct values are counted and dealt to ranges between approximate quantiles; a sum within a range and the
+    Distinct values are counted first and then dealt to ranges (`ranged`), as many as they need; a sum within a range and the
     sums of lower ranges make `upto`, so no task holds all values of a group. Null values are left out.
     """
     by = by or []
-    seen = df.where(F.col(value).isNotNull())
-    n = seen.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")).withColumn("_b", dealt(value, range_edges(seen, value, parts)))
-    own = n.groupBy(*by, "_b").agg(F.sum("n").alias("_m"))
-    before = own.select(*by, "_b", (F.sum("_m").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_m")).alias("_before"))
-    inside = F.sum("n").over(Window.partitionBy(*by, "_b").orderBy(value))
-    placed = n.withColumn("_upto", inside).join(F.broadcast(before) if not by else before, [*by, "_b"])
-    return placed.select(*by, value, "n", (F.col("_before") + F.col("_upto")).alias("upto"))
+    n = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    order = [F.col(value).asc()]
+    return carried(ranged(n, by, order, parts), by, order, "upto", F.col("n")).select(*by, value, "n", "upto")
 
 
-def value_ranks(df: DataFrame, value: str, by: list[str] | None = None, parts: int = 64) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, by: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """(by, value, rank): average rank of each distinct value, without a task that holds all values of a group."""
     return cumulated(df, value, by, parts).select(*(by or []), value, (F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
 
@@ -76,13 +91,11 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str]
     return found.select(*by, *[between(name, at).alias(name) for name, at in place.items()])
 
 
-def numbered(df: DataFrame, by: list[str], order: str, name: str = "k", digits: int = 2) -> DataFrame:
-    """`name`: each row's number from 0 in a group by `order`, a hexadecimal hash whose leading digits deal a group to buckets."""
-    rows = df.withColumn("_b", F.substring(order, 1, digits))
-    n = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = n.select(*by, "_b", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(order)) - 1
-    return rows.withColumn("_k", inside).join(before, [*by, "_b"]).withColumn(name, F.col("_k") + F.col("_before")).drop("_b", "_k", "_before")
+def numbered(df: DataFrame, by: list[str], order: str, name: str = "k", parts: int | None = None) -> DataFrame:
+    """`name`: each row's number from 0 in a group by `order`, whose values deal the rows of all groups to ranges."""
+    step = [F.col(order).asc()]
+    rows = carried(ranged(df, by, step, parts), by, step, "_k", F.lit(1))
+    return rows.withColumn(name, F.col("_k") - 1).select(*df.columns, name)
 
 
 def percentile_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -109,25 +122,6 @@ def upper_tail(df: DataFrame, value: str, position: str, share: float, later_win
     return df.withColumn("_k", k).withColumn("label", (F.row_number().over(order) <= F.col("_k")).cast("int")).drop("_k")
 
 
-def ranged(df: DataFrame, by: list[str], order: list[Column], parts: int | None = None) -> DataFrame:
-    """`df` with `_part`, its rows dealt to ranges of group and order: `parts`, or as many as their size asks for. Stored, so that they stay as they are."""
-    return stored(df.repartitionByRange(*([parts] if parts else []), *[F.col(c).asc() for c in by], *order).withColumn("_part", F.spark_partition_id()), "ranges")
-
-
-def carried(parts: DataFrame, by: list[str], order: list[Column], name: str, value: Column, how: Callable[[Column], Column] = F.sum) -> DataFrame:
-    """`parts` (of `ranged`) with `name`: the sum (or greatest) of a value over the rows of the group up to and with each, in order.
-
-    A window over the rows of a range, and what earlier ranges of the group hold, from one row for each range: no task holds a group.
-    """
-    rows = parts.withColumn("_v", value)
-    inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.groupBy(*by, "_part").agg(how("_v").alias("_w")).select(*by, "_part", how("_w").over(earlier).alias("_before"))
-    both = rows.withColumn("_inside", how("_v").over(inside)).join(before, [*by, "_part"])
-    total = F.greatest("_inside", "_before") if how is F.max else F.col("_inside") + F.coalesce("_before", F.lit(0))
-    return both.withColumn(name, total).drop("_v", "_inside", "_before")
-
-
 def holm(df: DataFrame, p: str, order: str) -> DataFrame:
     """`adjusted`: Holm's step-down p, at most 1, never falling along the sorted p; of equal p the first by `order` comes first."""
     step = [F.col(p).asc(), F.col(order).asc()]
