@@ -61,7 +61,7 @@ _CUSTOMERS = "SELECT c_custkey, c_name, c_acctbal FROM customer"
 @query("k02_gzip_csv", _CUSTOMERS)
 def k02(spark, d):
     """Customers as one gzipped file whose bytes follow from the rows alone, read back under their schema."""
-    path = scratch(spark, "k02") + ".csv.gz"
+    path = scratch(spark, "k02") + "/customers.csv.gz"  # inside the folder that is removed at the end
     sinks.to_csv_gz(table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), path, ["c_custkey"], 5000)
     return files.delimited(spark, path, "c_custkey long, c_name string, c_acctbal double")
 
