@@ -105,3 +105,22 @@ def test_a_hot_set_is_one_class(spark):
     assert sets.where("owners = 100").count() == 1
     got = K.threshold_clusters(df, "who", "what", 60)
     assert got.where("who % 3 = 0").select("leader").distinct().count() == 1 and got.where(F.col("size") >= 100).count() >= 100
+
+
+def test_blocks_of_sets_find_neighbours_and_clusters_without_pairs(spark, monkeypatch):
+    """Half of all pairs of these sets share their rarest items; none becomes a row."""
+    rng = random.Random(3)
+    sets = {k: set(rng.sample(range(12), rng.randint(1, 9))) for k in range(150)}
+    monkeypatch.setattr(K, "similar_sets", lambda *_: pytest.fail("sets are joined by items"))
+    monkeypatch.setattr(K, "BLOCK", 16)
+    monkeypatch.setattr(K, "ROUND", 8)
+    df = spark.createDataFrame([(k, i) for k, s in sets.items() for i in s], "who int, what int")
+    assert {r["who"]: r["leader"] for r in K.threshold_clusters(df, "who", "what", 65).collect()} == plain_clusters(sets, 65)
+
+
+def test_many_items_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(K, "DENSE_ITEMS", 11)
+    rng = random.Random(4)
+    sets = {k: set(rng.sample(range(12), rng.randint(1, 9))) for k in range(40)}
+    df = spark.createDataFrame([(k, i) for k, s in sets.items() for i in s], "who int, what int")
+    assert {r["who"]: r["leader"] for r in K.threshold_clusters(df, "who", "what", 65).collect()} == plain_clusters(sets, 65)
