@@ -1,19 +1,23 @@
-"""Moments of every block of features over the entities that have all of it, from moments of sets of entities with the same features."""
+"""Moments of every block of features over the entities that have all of it, from matrix products or from moments of sets of entities with the same features."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
 from .geometry import values_of
 
 #: Blocks that a task holds at once before it sums equal ones and passes them on.
 HELD = 1 << 17
+#: Cells of a task's table of products up to which blocks are summed as products of matrices; sets of features are enumerated beyond it. Rows of one product.
+PRODUCTS, ROWS = 1 << 24, 2048
 
 
 def _by_features(rows: DataFrame, names: list[str], origin: np.ndarray) -> DataFrame:
@@ -42,14 +46,74 @@ def _by_features(rows: DataFrame, names: list[str], origin: np.ndarray) -> DataF
     return rows.select(*names).mapInArrow(run, schema).where(F.size("has") > 0).groupBy("has").applyInArrow(add, schema)
 
 
+def _products(z: np.ndarray, seen: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Rows that have all of a set in `others`, times what each pair of features adds for such rows: the number, and by name the product, both squares and both sums."""
+    i, j = np.triu_indices(seen.shape[1], 1)
+    both = seen[:, i] * seen[:, j]
+    columns = [both]
+    for x in z:
+        u, v = x[:, i] * both, x[:, j] * both
+        columns += [u * v, u * u, v * v, u, v]
+    return seen[:, others].prod(2).T @ np.concatenate(columns, 1)
+
+
+def _of_blocks(table: np.ndarray, blocks: np.ndarray, others: np.ndarray, features: int, names: int) -> np.ndarray:
+    """A row of number, sums and products for each block, read from a summed table of `_products`: of a square or sum by the block's first feature, or its second."""
+    size = blocks.shape[1]
+    powers = features ** np.arange(size - 2, dtype=np.int64)
+    codes = others @ powers
+    order = np.argsort(codes)
+    pair = np.zeros((features, features), np.int64)
+    i, j = np.triu_indices(features, 1)
+    pair[i, j] = np.arange(len(i))
+
+    def read(kind: int, x: int, y: int) -> np.ndarray:
+        rest = np.delete(blocks, (x, y), axis=1)
+        return table[order[np.searchsorted(codes, rest @ powers, sorter=order)], kind * len(i) + pair[blocks[:, x], blocks[:, y]]]
+
+    single = lambda k, kind, x: read(5 * k + kind + (x > 0), 0, max(x, 1))
+    out = [read(0, 0, 1)]
+    for k in range(names):
+        out += [single(k, 4, x) for x in range(size)]
+    for k in range(names):
+        for x in range(size):
+            out += [single(k, 2, x), *(read(5 * k + 1, x, y) for y in range(x + 1, size))]
+    return np.stack(out, 1)
+
+
+def _multiplied(rows: DataFrame, names: list[str], origin: np.ndarray, size: int, tasks: int, schema: str) -> DataFrame:
+    """(code, v0, ...) of blocks, one row a task and block: batches of rows are products of matrices, whatever sets of features they have."""
+    features = origin.shape[1]
+    others = _combinations(features, size - 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None
+        for b in (x.slice(lo, ROWS) for x in batches for lo in range(0, len(x), ROWS)):
+            x = np.stack([values_of(b.column(c), features) for c in names]) - origin[:, None]
+            seen = ~np.isnan(x).any(0)
+            part = _products(np.where(seen, x, 0.0), seen.astype(float), others)
+            table = part if table is None else table + part
+        if table is not None:
+            blocks = _combinations(features, size)
+            out = _of_blocks(table, blocks, others, features, len(names))
+            out, blocks = out[out[:, 0] > 0], blocks[out[:, 0] > 0]
+            code = blocks @ (features ** np.arange(size, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(code), *(pa.array(v) for v in np.ascontiguousarray(out.T))], ["code", *(f"v{k}" for k in range(out.shape[1]))])
+
+    return rows.select(*names).repartition(tasks).mapInArrow(run, schema)
+
+
 def block_moments(rows: DataFrame, names: list[str], features: int, size: int) -> DataFrame:
     """(block, n, s, q) for every set of `size` features that entities have in full: `block` is the sorted places of its features, n its entities.
 
     `rows` has an array column for each of `names`, values in feature order. s holds, by name, the sums of the block's values, q those of the products of each two of its
-    features (i <= j in row order), all from each feature's mean over the table, so that no digit is lost. Entities are summed by their set of features once; what follows grows with the
-    number of such sets, and each of them is dealt to the blocks that it holds.
+    features (i <= j in row order), all from each feature's mean over the table, so that no digit is lost.
+
+    A block is a pair of features and the others: rows that have all of the others, times what they add for a pair, are one product of matrices a batch, and a task passes on
+    one row a block. Where that table would be too large, entities are summed by their set of features once, and each such set is dealt to the blocks that it holds.
     """
-    means = rows.agg(*[F.avg(F.get(c, F.lit(k))).alias(f"{c}_{k}") for c in names for k in range(features)]).first()
+    rows = stored(rows.select(*names), "block-rows")
+    means = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.avg(F.get(c, F.lit(k))).alias(f"{c}_{k}") for c in names for k in range(features)]).first()
     origin = np.array([[means[f"{c}_{k}"] or 0.0 for k in range(features)] for c in names])
     if features**size >= 1 << 62:
         raise ValueError("too many features for blocks of this size")
@@ -77,7 +141,12 @@ def block_moments(rows: DataFrame, names: list[str], features: int, size: int) -
             yield _summed(codes, numbers)
 
     columns = [f"v{k}" for k in range(width + 1)]
-    parts = _by_features(rows, names, origin).mapInArrow(run, "code long, " + ", ".join(f"{c} double" for c in columns))
+    schema = "code long, " + ", ".join(f"{c} double" for c in columns)
+    if 2 <= size <= features and comb(features, size - 2) * comb(features, 2) * (1 + 5 * len(names)) <= PRODUCTS:
+        tasks = max(1, min(means["rows"] // ROWS, 4 * rows.sparkSession.sparkContext.defaultParallelism))
+        parts = _multiplied(rows, names, origin, size, tasks, schema)
+    else:
+        parts = _by_features(rows, names, origin).mapInArrow(run, schema)
     whole = parts.groupBy("code").agg(*[F.sum(c).alias(c) for c in columns])
     place = F.array(*[F.expr(f"cast(code div {features**k} % {features} as int)") for k in range(size)])
     cut = len(names) * size
@@ -85,7 +154,7 @@ def block_moments(rows: DataFrame, names: list[str], features: int, size: int) -
 
 
 def _combinations(n: int, size: int) -> np.ndarray:
-    return np.fromiter((k for c in combinations(range(n), size) for k in c), np.int64).reshape(-1, size)
+    return np.fromiter((k for c in combinations(range(n), size) for k in c), np.int64).reshape(comb(n, size), size)
 
 
 def _summed(codes: list[np.ndarray], numbers: list[np.ndarray]) -> pa.RecordBatch:

@@ -14,7 +14,7 @@ from ..operators import geometry as G
 from ..operators import regress as D
 from ..operators import resample as B
 from ..operators import retrieval as T
-from ..sources.tables import table
+from ..sources.tables import stored, table
 from .base import BRANDS, PRICED_SQL, priced, query, uniform_sql
 from .inference import _two
 from .matrices import _pairs, _rounded
@@ -35,7 +35,7 @@ def t12(spark, d):
     """Every set of five brands that enough suppliers sell together: how another score finds the pair of greatest correlation."""
     lines = table(spark, d, "lineitem").where("l_quantity > 48").select("l_suppkey", F.col("l_partkey").alias("p_partkey"), "l_extendedprice", "l_discount")
     c = lines.join(table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey").groupBy(F.col("l_suppkey").alias("entity"), F.col("p_brand").alias("feature"))
-    cells = c.agg(F.round(F.log(F.avg("l_extendedprice")), 9).alias("value"), F.round(F.avg("l_discount"), 8).alias("score"))
+    cells = stored(c.agg(F.round(F.log(F.avg("l_extendedprice")), 9).alias("value"), F.round(F.avg("l_discount"), 8).alias("score")), "block-cells")
     x = G.rows_of(cells, BRANDS).withColumnRenamed("x", "value").join(G.rows_of(cells.select("entity", "feature", F.col("score").alias("value")), BRANDS).withColumnRenamed("x", "score"), "entity")
     m = dense_blocks.block_moments(x, ["value", "score"], len(BRANDS), BLOCK).where(F.col("n") >= LEAST)
     r = lambda k: F.array(*[F.round(dense_blocks.block_correlation(k, 2, BLOCK, i, j), 9) for i, j in _AT])

@@ -62,6 +62,24 @@ def test_blocks_equal_a_loop_over_sets(spark, mean):
                 assert got[s][f"r{k}{a}{b}"] == pytest.approx(c[a, b], abs=1e-7)
 
 
+def test_blocks_as_products_equal_enumerated_sets(spark, monkeypatch):
+    """Products never deal a set of features to its blocks; tables that are too large for them still do."""
+    x = RNG.normal(size=(90, 7))
+    x[RNG.random(x.shape) < 0.3] = np.nan
+    df = spark.createDataFrame([([None if np.isnan(v) else float(v) for v in u],) * 2 for u in x], "u array<double>, w array<double>").repartition(3)
+    got = lambda size: {tuple(r["block"]): (r["n"], *r["s"], *r["q"]) for r in X.block_moments(df, ["u", "w"], 7, size).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(X, "PRODUCTS", 0)
+        want = {size: got(size) for size in (1, 2, 3, 5)}
+    assert got(1) == want[1]
+    monkeypatch.setattr(X, "_by_features", lambda *_: pytest.fail("sets are enumerated"))
+    for size in (2, 3, 5):
+        here = got(size)
+        assert here.keys() == want[size].keys()
+        assert all(here[b] == pytest.approx(want[size][b], abs=1e-9) for b in here)
+    assert X.block_moments(df.limit(0), ["u", "w"], 7, 3).isEmpty()
+
+
 def test_ranks_within_pairs_equal_a_loop(spark):
     """A value that a third of the entities have, missing cells, an entity with one cell, and a feature without cells."""
     x = np.round(RNG.normal(size=(150, 5)), 1)
