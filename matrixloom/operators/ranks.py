@@ -160,15 +160,38 @@ def set_counts(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def shared_counts(members: DataFrame, owner: str, item: str, crowd: int = 256) -> DataFrame:
-    """(one, other, n): in how many items each pair of owners meets, from distinct rows; pairs that never meet are left out.
+    """(one, other, n): in how many items each pair of owners meets, from distinct rows; pairs that never meet are left out."""
+    return met_pairs(members, owner, item, crowd).select("one", "other", "n")
 
-    An item of over `crowd` owners is split: each of its owners meets every slice, a slice holds about `crowd` owners.
+
+def met_pairs(members: DataFrame, owner: str, item: str, crowd: int = 256, few: int = 1024, held: int = 2_000_000) -> DataFrame:
+    """(one, other, one_items, other_items, n): each pair of owners that meets in an item, the number of items of each, and in how many they meet, from distinct rows.
+
+    An item of over `crowd` owners is split: each of its owners meets every slice, a slice holds about `crowd` owners. Pairs of up to `few` owners are counted where they
+    are made, before they are shuffled. Those of more owners seldom meet twice in a task, so what is shuffled is an owner with the list of those
+    that it meets in a slice, dealt by owner (and parts of the others, for an owner of very many items); its pairs become rows where they are counted, about `held` in a task.
     """
-    size = members.groupBy(item).agg(F.ceil(F.count(F.lit(1)) / crowd).cast("int").alias("_slices"))
-    m = members.join(size, item)
-    a = m.select(item, F.col(owner).alias("one"), F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"))
-    b = m.select(item, F.col(owner).alias("other"), F.pmod(F.xxhash64(owner), F.col("_slices")).cast("int").alias("_slice"))
-    return a.join(b, [item, "_slice"]).where("one < other").groupBy("one", "other").agg(F.count(F.lit(1)).alias("n"))
+    members = stored(members.select(owner, item), "members")
+    own = stored(members.groupBy(F.col(owner).alias("_o")).agg(F.count(F.lit(1)).alias("_n")), "owner-items")
+    size = stored(members.groupBy(F.col(item).alias("_item")).agg(F.count(F.lit(1)).alias("_owners")), "item-owners")
+    m = members.select(F.col(item).alias("_item"), F.col(owner).alias("_o")).join(own, "_o").join(size.withColumn("_slices", F.ceil(F.col("_owners") / crowd).cast("int")), "_item")
+    a = m.select("_item", F.col("_o").alias("one"), F.col("_n").alias("one_items"), F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"))
+    b = m.select("_item", F.struct(F.col("_o").alias("other"), F.col("_n").alias("other_items")).alias("_b"), F.pmod(F.xxhash64("_o"), F.col("_slices")).cast("int").alias("_slice"))
+    key = ["one", "other", "one_items", "other_items"]
+    if own.count() <= few:
+        met = a.join(b, ["_item", "_slice"]).where(F.col("one") < F.col("_b.other")).select("one", "one_items", "_b.*")
+        return met.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    pairs = size.agg(F.sum(F.col("_owners").cast("double") * (F.col("_owners") - 1) / 2)).first()[0]
+    tasks = max(members.sparkSession.sparkContext.defaultParallelism, int(pairs / held) + 1)
+    lists = b.groupBy("_item", "_slice").agg(F.collect_list("_b").alias("_b"))
+    after = a.join(lists, ["_item", "_slice"]).select("one", "one_items", F.filter("_b", lambda x: x["other"] > F.col("one")).alias("_b")).where(F.size("_b") > 0)
+    parts = F.ceil(F.col("one_items") / 100_000).cast("int")
+    dealt = after.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    some = F.filter("_b", lambda x: (F.col("one_items") <= 100_000) | (F.pmod(F.xxhash64(x["other"]), parts) == F.col("_part")))
+    thin = dealt.select("one", "one_items", "_part", some.alias("_b")).select("one", "one_items", "_part", F.col("_b.other").alias("other"), F.col("_b.other_items").cast("array<int>").alias("other_items"))
+    rows = thin.repartition(tasks, "one", "_part").select("one", "one_items", "_part", F.explode(F.arrays_zip("other", "other_items")).alias("_b"))
+    counted = rows.select("one", "one_items", "_part", "_b.other", "_b.other_items").groupBy("_part", *key).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("one", "other", "one_items", F.col("other_items").cast("long").alias("other_items"), "n")
 
 
 def upper_cuts(df: DataFrame, value: str, tenths: list[int], width: int = 256) -> DataFrame:

@@ -68,10 +68,8 @@ def w22_all(spark, d):
 
 
 def _jaccard(s):
-    n = s.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    x = W.shared_counts(s, "k", "p").withColumnRenamed("n", "s")
-    u, v = n.select(F.col("k").alias("one"), F.col("n").alias("u")), n.select(F.col("k").alias("other"), F.col("n").alias("v"))
-    return x.join(u, "one").join(v, "other").select("one", "other", F.round(F.col("s") / (F.col("u") + F.col("v") - F.col("s")), 8).alias("jaccard"))
+    either = F.col("one_items") + F.col("other_items") - F.col("n")
+    return W.met_pairs(s, "k", "p").select("one", "other", F.round(F.col("n") / either, 8).alias("jaccard"))
 
 
 @query("r12_same_family_pairs", f"WITH {PRICED_SQL}, p AS (SELECT a.entity, a.measured - b.measured AS dm, a.score - b.score AS ds FROM priced a JOIN priced b ON a.entity = b.entity AND a.feature < b.feature AND right(a.feature, 1) = right(b.feature, 1)), e AS (SELECT entity, avg(CASE WHEN ds = 0 THEN 0.5 WHEN sign(dm) <> sign(ds) THEN 1.0 ELSE 0.0 END) AS m FROM p WHERE dm <> 0 GROUP BY 1) SELECT round(avg(m), 8) AS by_entity, count(*) AS entities FROM e")

@@ -109,6 +109,22 @@ def test_split_items_give_the_same_counts(spark):
     assert counts(3) == counts(1000) and len(counts(3)) == 40 * 39 // 2
 
 
+def test_pairs_of_many_owners_are_counted_where_lists_meet(spark):
+    """What is shuffled is a row for each owner and item at most, never one for each pair."""
+    rng = np.random.default_rng(5)
+    held = sorted({(int(k), int(p)) for k, p in zip(rng.integers(0, 60, 900), rng.integers(0, 50, 900))})
+    df = spark.createDataFrame(held, "k long, p long")
+    items = {}
+    for k, p in held:
+        items.setdefault(k, set()).add(p)
+    want = sorted((a, b, len(items[a]), len(items[b]), len(items[a] & items[b])) for a in items for b in items if a < b and items[a] & items[b])
+    for few, crowd in ((10, 256), (10, 4), (1000, 4)):
+        met = W.met_pairs(df, "k", "p", crowd, few)
+        assert sorted(map(tuple, met.collect())) == want
+    plan = W.met_pairs(df, "k", "p", 256, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate")].replace("AdaptiveSparkPlan", "")
+
+
 def test_t10_marks_the_upper_fraction_of_all_rows(spark, tmp_path):
     n = 300
     score = RNG.integers(0, 4000, n)
