@@ -86,10 +86,16 @@ def chained_fill(cells: DataFrame, features: list, ridge: float = 1.0, rounds: i
 
 
 def boosted(train: DataFrame, test: DataFrame, x: list[str], y: str, trees: int = 20, depth: int = 4, step: float = 0.2, seed: int = 1) -> DataFrame:
-    """`test` with `p`, predicted by gradient-boosted trees of the training rows. Spark's own learner sums gradients by node, feature and bin, a level of a tree at a time."""
+    """`test` with `p`, predicted by gradient-boosted trees of the training rows. Spark's own learner sums gradients by node, feature and bin, a level of a tree at a time.
+
+    Rows of equal predictors always share a leaf, and a split's gain depends on weights and sums only, so they are one row with their mean and their number as
+    its weight: rounds over all levels of all trees read distinct predictors, not rows. Rows without a y are left out.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     together = VectorAssembler(inputCols=x, outputCol="_x", handleInvalid="skip")
-    model = GBTRegressor(featuresCol="_x", labelCol=y, predictionCol="p", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed).fit(together.transform(train))
+    known = train.where(F.col(y).isNotNull()).groupBy(*x).agg(F.avg(y).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
+    distinct = stored(known, "boosted-rows")
+    model = GBTRegressor(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="p", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed).fit(together.transform(distinct))
     return model.transform(together.transform(test)).drop("_x")

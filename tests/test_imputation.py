@@ -69,6 +69,27 @@ def test_boosted_trees_follow_a_curve(spark):
     assert 1 - ((out.p - out.y) ** 2).sum() / ((out.y - out.y.mean()) ** 2).sum() > 0.9
 
 
+def test_boosted_trees_learn_equal_predictors_once(spark, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor
+
+    rng = np.random.default_rng(9)  # no two splits gain the same
+    at = rng.integers(0, 7, 840) // rng.integers(1, 3, 840), rng.integers(0, 3, 840)
+    rows = [(float(a), float(b), float(a**1.7 + 3 * np.sin(2 * b + a) + e)) for a, b, e in zip(*at, rng.normal(size=840))] + [(3.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    seen, fit = [], GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, data, *a: seen.append(data.count()) or fit(self, data, *a))
+    out = I.boosted(df, df, ["a", "b"], "y", trees=6, depth=2).toPandas()
+    assert seen == [21] and len(out) == 841
+    known = out.dropna()
+    # the learner by itself over all rows gives the same
+    from pyspark.ml.feature import VectorAssembler
+
+    whole = VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(df.dropna())
+    model = GBTRegressor(featuresCol="x", labelCol="y", predictionCol="p", maxIter=6, maxDepth=2, stepSize=0.2, seed=1)
+    want = fit(model, whole).transform(whole).select("a", "b", "p").distinct().toPandas().set_index(["a", "b"])["p"]
+    assert np.allclose(known.groupby(["a", "b"])["p"].first(), want.loc[known.groupby(["a", "b"])["p"].first().index])
+
+
 def plain_clusters(sets, percent):
     like = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
     near = {k: [o for o in sets if o != k and like(sets[k], sets[o])] for k in sets}
