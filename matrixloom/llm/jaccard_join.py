@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ CROWD, LEVELS = 1 << 18, 3
 BROADCAST = 64 << 20
 #: Comparisons that a task holds at once.
 BLOCK = 1 << 18
+#: Longs, and sets, that are gathered in one block to be compared; small components of pairs share places of so many longs.
+GATHERED, MEMBERS, SHARED = 1 << 18, 512, 1 << 14
 _CUT = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -90,52 +93,83 @@ def _sketches(whose: np.ndarray, h: np.ndarray, sets: int) -> np.ndarray:
     return np.packbits(odd.reshape(sets, SKETCH), axis=1).view(np.int64)
 
 
+def _wide_sketches(whose: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """Parity sketches of twice as many bits as the set has elements, or up to four times, so that they tell large sets apart as well: a power of two, SKETCH at least."""
+    bits = np.maximum(SKETCH, 1 << np.ceil(np.log2(2 * np.maximum(sizes, 1))).astype(np.int64))
+    first = np.concatenate(([0], np.cumsum(bits)))
+    at = first[whose] + (mixed(h, 98) & (bits[whose] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at, minlength=first[-1]).astype(np.uint8) & 1
+    return pa.ListArray.from_arrays(pa.array((first // 64).astype(np.int32)), pa.array(np.packbits(odd).view(np.int64)))
+
+
 def _lists(owner: np.ndarray, values: np.ndarray, rows: int) -> pa.ListArray:
     order = np.argsort(owner, kind="stable")
     ends = np.cumsum(np.bincount(owner, minlength=rows))
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(values[order].view(np.int64)))
 
 
-def _described(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """(doc, n, h1, h2, sketch, sigs) for each row: set size, 128 bits of the set, parity sketch and signatures."""
+def _described(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """(doc, n, h1, h2, sketch, wide) for each row: set size, 128 bits of the set and parity sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lo = 0
-            for some in slices(b.column(1)):
+            for some in slices(b.column(1), 64):
                 whose, h = distinct_shingles(some, shingle)
                 sizes = np.bincount(whose, minlength=len(some))
                 sums = np.zeros((2, len(some)), np.uint64)
                 for k in range(2):
                     np.add.at(sums[k], whose, mixed(h, 200 + k))
                 sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(_sketches(whose, h, len(some)).ravel()))
-                owner, sig = signatures(whose, h, sizes, 1, percent)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, len(some)), pa.array(sizes.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), sketch, _lists(owner, sig, len(some))],
-                    ["doc", "n", "h1", "h2", "sketch", "sigs"],
+                    [b.column(0).slice(lo, len(some)), pa.array(sizes.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), sketch, _wide_sketches(whose, h, sizes)],
+                    ["doc", "n", "h1", "h2", "sketch", "wide"],
                 )
                 lo += len(some)
 
     rows = lean(docs).select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc {kind}, n long, h1 long, h2 long, sketch array<long>, sigs array<long>")
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, n long, h1 long, h2 long, sketch array<long>, wide array<long>")
+
+
+def _signed(docs: DataFrame, rows: DataFrame, classes: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """(sig, id): the signatures of every class, made from the texts of all keyed rows but those whose key stands for no class. They go from the
+    tasks that make them straight to where they meet and are held nowhere besides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lo = 0
+            for some in slices(b.column(1), 64):
+                whose, h = distinct_shingles(some, shingle)
+                owner, sig = signatures(whose, h, np.bincount(whose, minlength=len(some)), 1, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), b.column(0).take(pa.array(owner + lo))], ["sig", "id"])
+                lo += len(some)
+
+    copies = rows.select(F.col("doc").alias("id")).distinct().join(classes.select("id").distinct(), "id", "left_anti")
+    keyed = lean(docs).select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null")
+    kept = keyed.join(F.broadcast(copies) if _bytes(copies) <= BROADCAST else copies, "id", "left_anti")
+    return kept.mapInArrow(run, f"sig long, id {keyed.schema['id'].dataType.simpleString()}")
+
+
+def _bytes(ids: DataFrame) -> int:
+    """Bytes of a table of ids, and of places if it has them, as they are broadcast."""
+    more = F.size("places") * 8 if "places" in ids.columns else F.lit(0)
+    return ids.agg(F.sum(F.octet_length(F.col("id").cast("string")) + 24 + more)).first()[0] or 0
 
 
 def _of_some(docs: DataFrame, ids: DataFrame, key: str, text: str, shingle: int, made, name: str) -> DataFrame:
-    """(id, `name`) of the documents with some ids, whose sets are made anew from their texts: `made` gives a list for each set."""
+    """(id, places, `name`) of the documents with some ids (id, places), whose sets are made anew from their texts: `made` gives a list for each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lo = 0
-            for some in slices(b.column(1)):
+            for some in slices(b.column(2)):
                 whose, h = distinct_shingles(some, shingle)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(some)), made(whose, h, len(some))], ["id", name])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(lo, len(some)) for k in range(2)), made(whose, h, len(some))], ["id", "places", name])
                 lo += len(some)
 
-    few = ids.select("id").distinct()
-    size = few.agg(F.sum(F.octet_length(F.col("id").cast("string")) + 24)).first()[0] or 0
-    rows = lean(docs).select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(few) if size <= BROADCAST else few, "id", "left_semi")
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {name} array<long>")
+    texts = lean(docs).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    rows = texts.join(F.broadcast(ids) if _bytes(ids) <= BROADCAST else ids, "id").select("id", "places", "text")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, places array<long>, {name} array<long>")
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -147,13 +181,76 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.where(like & (differ <= difference(F.col("na") + F.col("nb"), percent))).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets, made anew from the texts of these documents alone, have the index."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    sets = written(_of_some(docs, ids, key, text, shingle, lambda whose, h, rows: _lists(whose, h, rows), "elements"), "jaccard-sets")
-    of = lambda side: sets.select(F.col("id").alias(side), F.col("elements").alias(f"e{side}"))
-    joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", (F.size("ea") + F.size("eb")).alias("both"), F.size(F.array_intersect("ea", "eb")).alias("common"))
-    return joined.where(F.col("common") * 100 >= (F.col("both") - F.col("common")) * percent).select("a", "b").distinct()
+def _placed(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b, place) for each pair: where what stands for its two ids is compared; `sizes` (id, longs) says how long that is.
+
+    Pairs of one component of the graph of pairs meet in one place, so that a set goes there once, however many pairs it is in. The members of a component with too many longs
+    or sets for one place are dealt to blocks by hash, and each two blocks that have a pair are a place. Small components share places.
+    """
+    found = connected_components(pairs)
+    whole = found.join(sizes, F.col("node") == F.col("id")).groupBy("component").agg(F.sum("longs").alias("longs"), F.count(F.lit(1)).alias("sets"))
+    whole = whole.select("component", "longs", F.greatest(F.ceil(F.col("longs") / GATHERED), F.ceil(F.col("sets") / MEMBERS)).alias("blocks"))
+    bins = 1 + (whole.where("blocks = 1").agg(F.sum("longs")).first()[0] or 0) // SHARED
+    of = written(found.join(whole, "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block")), "jaccard-blocks")
+    x, y = (of.select(F.col("node").alias(s), F.col("block").alias(f"block_{s}"), *more) for s, more in (("a", ["component", "blocks"]), ("b", [])))
+    two = F.xxhash64("component", F.least("block_a", "block_b"), F.greatest("block_a", "block_b"))
+    place = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(two)
+    return written(pairs.join(x, "a").join(y, "b").select("a", "b", place.alias("place")), "jaccard-placed")
+
+
+def _places(placed: DataFrame) -> DataFrame:
+    """(id, places): all places that a pair of the id is compared at."""
+    return placed.select(F.col("a").alias("id"), "place").union(placed.select("b", "place")).groupBy("id").agg(F.collect_set("place").alias("places"))
+
+
+def _matched(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+    """(a, b, at_a, at_b): each pair with the rows of `sets` that its ids have, by `at_a`."""
+    at = pd.DataFrame({"id": sets["id"], "at": np.arange(len(sets))})
+    return pairs[["a", "b"]].merge(at, left_on="a", right_on="id").merge(at, left_on="b", right_on="id", suffixes=("_a", "_b")).sort_values("at_a", kind="stable")
+
+
+def sketched(pairs: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The pairs (a, b) that some sketches of sets (id, n, wide) allow to link. The longer of two sketches is folded to the length of the other."""
+    both = _matched(pairs, sets)
+    n, wide = sets["n"].to_numpy(), sets["wide"].to_numpy()
+    near = np.zeros(len(both), bool)
+    for k, (x, y) in enumerate(zip(both["at_a"].to_numpy(), both["at_b"].to_numpy())):
+        u, v = wide[x], wide[y]
+        while len(u) != len(v):
+            u, v = (v, u) if len(v) > len(u) else (u, v)
+            u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+        near[k] = int(np.bitwise_count((u ^ v).view(np.uint64)).sum()) <= difference(int(n[x] + n[y]), percent)
+    return both.loc[near, ["a", "b"]]
+
+
+def linked(pairs: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The pairs (a, b) of which some sets (id, elements) have the index."""
+    both = _matched(pairs, sets)
+    sizes = sets["elements"].map(len).to_numpy(np.int64)
+    x, y = both["at_a"].to_numpy(), both["at_b"].to_numpy()
+    code = np.unique(np.concatenate([np.empty(0, np.int64), *sets["elements"]]), return_inverse=True)[1]
+    of = np.split(code, np.cumsum(sizes)[:-1])
+    mark = np.zeros(len(code), bool)
+    common = np.zeros(len(both), np.int64)
+    edge = np.flatnonzero(np.diff(x, prepend=-1, append=-1)) if len(x) else []
+    for lo, hi in zip(edge[:-1], edge[1:]):
+        mark[of[x[lo]]] = True
+        common[lo:hi] = np.add.reduceat(mark[np.concatenate([of[k] for k in y[lo:hi]])], np.cumsum(sizes[y[lo:hi]]) - sizes[y[lo:hi]], dtype=np.int64)
+        mark[of[x[lo]]] = False
+    return both.loc[common * 100 >= (sizes[x] + sizes[y] - common) * percent, ["a", "b"]]
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sets have the index. Wide sketches rule pairs out first; sets are made anew from the texts of the documents that are left.
+    Sketches and sets go to the places of their pairs, not to each pair."""
+    kind = f"a {pairs.schema['a'].dataType.simpleString()}, b {pairs.schema['b'].dataType.simpleString()}"
+    placed = _placed(pairs, classes.select("id", F.size("wide").alias("longs")))
+    wide = classes.select("id", "n", "wide").join(_places(placed), "id").select("id", F.explode("places").alias("place"), "n", "wide")
+    left = placed.groupBy("place").cogroup(wide.groupBy("place")).applyInPandas(lambda p, s: sketched(p, s, percent), kind)
+    placed = _placed(written(left.distinct(), "jaccard-pairs"), classes.select("id", F.col("n").alias("longs")))
+    sets = _of_some(docs, _places(placed), key, text, shingle, lambda whose, h, rows: _lists(whose, h, rows), "elements").where(F.size("elements") > 0)
+    sets = sets.select("id", F.explode("places").alias("place"), "elements")
+    return placed.groupBy("place").cogroup(sets.groupBy("place")).applyInPandas(lambda p, s: linked(p, s, percent), kind).distinct()
 
 
 def _close_pairs(t: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -250,7 +347,8 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, classes: DataFrame, docs:
             owner, sig = signatures(whose, h, np.bincount(whose, minlength=rows), level + 1, percent)
             return _lists(owner, sig, rows)
 
-        more = _of_some(docs, many, key, text, shingle, made, "more").select("id", F.explode("more").alias("more"))
+        some = many.select("id").distinct().withColumn("places", F.array().cast("array<long>"))
+        more = _of_some(docs, some, key, text, shingle, made, "more").select("id", F.explode("more").alias("more"))
         both = many.join(more, "id").select(F.xxhash64("sig", "more").alias("sig"), "id", "comp").distinct()
         ends = both.groupBy("sig").agg(F.min("id").alias("lo"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig", "lo")
         members = both.join(ends, "sig").withColumn("done", F.lit(False))
@@ -265,18 +363,18 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
     Texts without words, null ones too, link with nothing. Rows of one key are one document, which links where any of its texts does. Rows with a null
     key get the component of the keyed rows with an equal set, else null. Repeated rows stay repeated; other columns are ignored.
     """
-    rows = written(_described(docs, key, text, shingle, percent), "jaccard-rows")
+    rows = written(_described(docs, key, text, shingle), "jaccard-rows")
     keyed = rows.where((F.col("n") > 0) & F.col("doc").isNotNull())
-    classes = written(keyed.groupBy("h1", "h2").agg(F.min("doc").alias("id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "jaccard-classes")
-    each = keyed.groupBy("h1", "h2").agg(F.min("doc").alias("id"), F.any_value("sigs").alias("sigs")).select("id", F.explode("sigs").alias("sig"))
+    classes = written(keyed.groupBy("h1", "h2").agg(F.min("doc").alias("id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("wide").alias("wide")), "jaccard-classes")
+    each = _signed(docs, keyed, classes, key, text, shingle, percent)
     w = Window.partitionBy("sig")
-    shared = written(each.select("sig", "id", F.min("id").over(w).alias("lo"), F.max("id").over(w).alias("hi")).where("lo <> hi"), "jaccard-shared")
+    shared = written(each.select("sig", "id", F.min("id").over(w).alias("lo"), F.max("id").over(w).alias("hi")).where("lo <> hi").distinct(), "jaccard-shared")
     stars = shared.select(F.col("lo").alias("a"), F.col("id").alias("b")).union(shared.select("id", "hi")).where("a <> b").distinct()
     likely = written(_possible(stars, classes, percent), "jaccard-pairs")
-    labels = connected_components(_confirmed(likely, docs, key, text, shingle, percent))
+    labels = connected_components(_confirmed(likely, classes, docs, key, text, shingle, percent))
     left = written(_open_pairs(shared, labels, classes, docs, key, text, shingle, percent, crowd, levels), "jaccard-pairs")
     if not left.isEmpty():
-        more = _confirmed(left, docs, key, text, shingle, percent)
+        more = _confirmed(left, classes, docs, key, text, shingle, percent)
         labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     of = labels.select(F.col("node").alias("of"), "component")
     # written, so that the join below has an exchange of its own on either side and a crowded class can be split

@@ -111,3 +111,35 @@ def test_shingles_are_those_of_a_plain_split():
     whose, h = distinct_shingles(["a b a b a", None, "x", "É é", "a b a"], 3)
     assert np.bincount(whose, minlength=5).tolist() == [2, 0, 1, 1, 1]
     assert set(h[whose == 4].tolist()) < set(h[whose == 0].tolist())
+
+
+@pytest.mark.parametrize(("gathered", "members", "shared"), [(64, 3, 50), (1 << 18, 512, 1 << 14)])
+def test_components_are_the_same_however_pairs_are_placed(make, monkeypatch, gathered, members, shared):
+    for name, value in (("GATHERED", gathered), ("MEMBERS", members), ("SHARED", shared)):
+        monkeypatch.setattr(J, name, value)
+    rows = list(enumerate(texts(random.Random(gathered), groups=6, size=12)))
+    assert sorted(tuple(r) for r in J.similar_texts(make(rows), percent=80, crowd=5).collect()) == plain(rows, 80)
+
+
+def test_a_set_goes_to_few_places_however_many_pairs_it_is_in(spark):
+    """Before, each pair carried both of its sets."""
+    pairs = spark.createDataFrame([(a, b) for b in range(60) for a in range(b)], "a long, b long")
+    placed = J._placed(pairs, spark.range(60).select("id", F.lit(4000).cast("long").alias("longs")))
+    assert placed.count() == 60 * 59 // 2
+    assert J._places(placed).agg(F.sum(F.size("places"))).first()[0] == 60
+
+
+def test_wide_sketches_tell_large_sets_apart_and_lose_no_link():
+    rng = np.random.default_rng(11)
+    for n in (5, 600, 4000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets = [base, *(np.concatenate([base[k:], rng.integers(0, 1 << 63, k, dtype=np.uint64)]) for k in (0, n // 50, n // 10, n // 9, n // 4, n // 2)), base[: n * 4 // 5]]
+        sets = [np.sort(s) for s in sets]
+        sizes = np.array([len(s) for s in sets])
+        whose, h = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+        table = J.pd.DataFrame({"id": range(len(sets)), "n": sizes, "elements": [s.view(np.int64) for s in sets], "wide": [np.array(w, np.int64) for w in J._wide_sketches(whose, h, sizes).to_pylist()]})
+        pairs = J.pd.DataFrame([(a, b) for b in range(len(sets)) for a in range(b)], columns=["a", "b"])
+        near = {(a, b) for a, b in pairs.itertuples(index=False) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+        got, left = ({tuple(p) for p in f(pairs, table, 80).itertuples(index=False)} for f in (J.linked, J.sketched))
+        assert got == near and near <= left and (0, 7) in near
+        assert n < 4000 or (0, 5) not in left and (0, 6) not in left
