@@ -1,4 +1,4 @@
-"""Operator 13, n-gram Jaccard join: PartEnum signatures find near-equal sets of shingles, exact counts confirm them, components label them."""
+"""Operator 13, n-gram Jaccard join: prefixes of rare shingles find near-equal sets, PartEnum signatures part crowds, exact counts confirm links, components label them."""
 
 from __future__ import annotations
 
@@ -21,6 +21,8 @@ PARTS = 3
 SKETCH = 1024
 #: Comparisons of one signature up to which its sets are compared; beyond it, it is extended by signatures of another partition, LEVELS times at most.
 CROWD, LEVELS = 1 << 18, 3
+#: Sets, at most, whose elements are counted to put frequent ones last; elements that so few of them have count as rare, and so many of the most frequent ones are told to all tasks.
+SAMPLE, RARE, FREQUENT = 1 << 14, 1, 1 << 17
 #: Bytes of keys up to which they are broadcast to pick texts; more keys are joined by a shuffle of the texts.
 BROADCAST = 64 << 20
 #: Comparisons that a task holds at once.
@@ -86,6 +88,22 @@ def signatures(whose: np.ndarray, h: np.ndarray, sizes: np.ndarray, level: int =
     return np.concatenate(owners), np.concatenate(out)
 
 
+def prefixes(whose: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(which set, element): the elements of each set that come first in one order of all elements, so many that linked sets have one in common.
+
+    A set has at least `percent` in a hundred of its n elements in common with a linked set, so before the first common one lie at most n * (100 - percent) / 100.
+    `frequent` (elements, ascending, and their counts) puts frequent elements last, by count; the others lie by a hash. That holds in any order, but rare elements bring few sets together.
+    """
+    count = np.zeros(len(h), np.int64)
+    if len(frequent[0]):
+        at = np.minimum(np.searchsorted(frequent[0], h), len(frequent[0]) - 1)
+        count = np.where(frequent[0][at] == h, frequent[1][at], 0)
+    order = np.lexsort((mixed(h, 77), count, whose))
+    whose = whose[order]
+    kept = np.arange(len(h)) - (np.cumsum(sizes) - sizes)[whose] <= (sizes * (100 - percent) // 100)[whose]
+    return whose[kept], h[order][kept]
+
+
 def _sketches(whose: np.ndarray, h: np.ndarray, sets: int) -> np.ndarray:
     """A row of SKETCH / 64 longs for each set: every element flips one bit."""
     at = whose * SKETCH + (mixed(h, 99) & np.uint64(SKETCH - 1)).astype(np.int64)
@@ -131,23 +149,50 @@ def _described(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, n long, h1 long, h2 long, sketch array<long>, wide array<long>")
 
 
+def _stand_ins(docs: DataFrame, rows: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text) of all keyed rows but those whose key stands for no class."""
+    copies = rows.select(F.col("doc").alias("id")).distinct().join(classes.select("id").distinct(), "id", "left_anti")
+    keyed = lean(docs).select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null")
+    return keyed.join(F.broadcast(copies) if _bytes(copies) <= BROADCAST else copies, "id", "left_anti")
+
+
+def _frequent(texts: DataFrame, sets: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The FREQUENT elements, at most, that most of some SAMPLE sets have, ascending, and how many have them. They only order elements; no link depends on the sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for some in slices(b.column(0), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(distinct_shingles(some, shingle)[1].view(np.int64))], ["h"])
+
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-sets // SAMPLE)))) == 0).select("text")
+    counts = written(some.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > RARE), "jaccard-frequent")
+    least, held = RARE + 1, 0
+    for n, elements in sorted(counts.groupBy("n").count().collect(), reverse=True):
+        held += elements
+        if held > FREQUENT:
+            least = n + 1
+            break
+    found = counts.where(F.col("n") >= least).toPandas()
+    h = found["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], found["n"].to_numpy(np.int64)[order]
+
+
 def _signed(docs: DataFrame, rows: DataFrame, classes: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """(sig, id): the signatures of every class, made from the texts of all keyed rows but those whose key stands for no class. They go from the
-    tasks that make them straight to where they meet and are held nowhere besides."""
+    """(sig, id): the `prefixes` of every class, made from the texts. They go from the tasks that make them straight to where they meet and are held nowhere besides."""
+    texts = _stand_ins(docs, rows, classes, key, text)
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(texts, classes.count(), shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lo = 0
             for some in slices(b.column(1), 64):
                 whose, h = distinct_shingles(some, shingle)
-                owner, sig = signatures(whose, h, np.bincount(whose, minlength=len(some)), 1, percent)
+                owner, sig = prefixes(whose, h, np.bincount(whose, minlength=len(some)), percent, frequent.value)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), b.column(0).take(pa.array(owner + lo))], ["sig", "id"])
                 lo += len(some)
 
-    copies = rows.select(F.col("doc").alias("id")).distinct().join(classes.select("id").distinct(), "id", "left_anti")
-    keyed = lean(docs).select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null")
-    kept = keyed.join(F.broadcast(copies) if _bytes(copies) <= BROADCAST else copies, "id", "left_anti")
-    return kept.mapInArrow(run, f"sig long, id {keyed.schema['id'].dataType.simpleString()}")
+    return texts.mapInArrow(run, f"sig long, id {texts.schema['id'].dataType.simpleString()}")
 
 
 def _bytes(ids: DataFrame) -> int:
@@ -358,7 +403,7 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, classes: DataFrame, docs:
 def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, crowd: int = CROWD, levels: int = LEVELS) -> DataFrame:
     """(doc, n, component) of each row: its number of distinct shingles, and the smallest key that it reaches through links.
 
-    Equal sets are one class, stood for by its least key. Classes that share a signature are first compared with the least and the greatest of it,
+    Equal sets are one class, stood for by its least key. Classes that share an element of their `prefixes`, here called a signature, are first compared with the least and the greatest of it,
     which links most copies; then all that share one and are still in different components. Sketches rule pairs out, the sets themselves decide.
     Texts without words, null ones too, link with nothing. Rows of one key are one document, which links where any of its texts does. Rows with a null
     key get the component of the keyed rows with an equal set, else null. Repeated rows stay repeated; other columns are ignored.

@@ -143,3 +143,39 @@ def test_wide_sketches_tell_large_sets_apart_and_lose_no_link():
         got, left = ({tuple(p) for p in f(pairs, table, 80).itertuples(index=False)} for f in (J.linked, J.sketched))
         assert got == near and near <= left and (0, 7) in near
         assert n < 4000 or (0, 5) not in left and (0, 6) not in left
+
+
+def test_linked_sets_share_an_element_of_their_prefixes():
+    """In any order of elements, also one in which frequent ones come last."""
+    rng = np.random.default_rng(8)
+    for percent in (70, 80, 90, 100):
+        for n in [*range(1, 40), 95, 333, 2000]:
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            gone = n * (100 - percent) // 100
+            for b in (a[gone:], np.concatenate([a, rng.integers(0, 1 << 63, n * 100 // percent - n, dtype=np.uint64)])):
+                assert 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))
+                known = np.sort(rng.choice(a, len(a) // 2, replace=False))
+                for frequent in ((known[:0], np.empty(0, np.int64)), (known, rng.integers(2, 9, len(known)))):
+                    whose, h = np.repeat([0, 1], [len(a), len(b)]), np.concatenate([np.sort(a), np.sort(b)])
+                    owner, sig = J.prefixes(whose, h, np.array([len(a), len(b)]), percent, frequent)
+                    assert np.bincount(owner).tolist() == [1 + len(s) * (100 - percent) // 100 for s in (a, b)]
+                    assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist()), (n, percent)
+
+
+def test_unlike_texts_seldom_meet(spark, make):
+    """Texts of about the same length met in signatures of no element (2,772 rows here before); those with one passage in common would in its elements."""
+    rng = random.Random(4)
+    passage = [f"p{k}" for k in range(40)]
+    docs = make([(k, " ".join([f"w{rng.randrange(10**9)}" for _ in range(rng.randint(120, 190))] + passage)) for k in range(600)])
+    rows = J._described(docs, "doc_id", "text", 5).cache()
+    classes = rows.where("n > 0").select(F.col("doc").alias("id"), "h1", "h2", "n", "sketch", "wide")
+    shared = J._signed(docs, rows, classes, "doc_id", "text", 5, 80).groupBy("sig").count().where("count > 1")
+    assert shared.isEmpty()
+
+
+@pytest.mark.parametrize(("sample", "most"), [(1, 1 << 17), (20, 30), (1 << 14, 0)])
+def test_components_are_the_same_whatever_elements_are_known_as_frequent(make, monkeypatch, sample, most):
+    monkeypatch.setattr(J, "SAMPLE", sample)
+    monkeypatch.setattr(J, "FREQUENT", most)
+    rows = list(enumerate(texts(random.Random(sample), groups=6, size=12)))
+    assert sorted(tuple(r) for r in J.similar_texts(make(rows), percent=80, crowd=30).collect()) == plain(rows, 80)
