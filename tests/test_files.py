@@ -79,3 +79,32 @@ def test_one_gzip_file_with_equal_bytes(spark, tmp_path):
     assert [None if pd.isna(t) else t for t in back["t"]] == [r[1] for r in rows]
     sinks.to_csv_gz(df.limit(0), f"{tmp_path}/none.csv.gz", ["k"])
     assert gzip.decompress((tmp_path / "none.csv.gz").read_bytes()) == b"k,t,v\n"
+
+
+def test_digests_of_long_files_are_made_in_rounds(spark, tmp_path, monkeypatch):
+    """Before, one task held each whole file."""
+    import hashlib
+    import random
+
+    rng = random.Random(2)
+    noise = rng.randbytes(70_000)
+    mark = b"\xef\xbb\xbf"
+    texts = [b"a", noise, noise + b"\n", mark + noise, mark + noise + b"\n", b"\n" * 9000, b"\r\n" * 5000 + b"\r", bytes(30_000), mark * 3000, mark + b"\n" * 8000, noise[:8192]]
+    for k, t in enumerate(texts):
+        (tmp_path / f"{k} %.bin").write_bytes(t)
+    with gzip.open(tmp_path / "p.gz", "wb") as f:
+        f.write(noise)
+    held = []
+    monkeypatch.setattr(files, "WHOLE", 1000)
+    monkeypatch.setattr(files, "ROUND", 20_000)
+    monkeypatch.setattr(files, "PIECE", 3000)
+    monkeypatch.setattr(files, "_added", lambda s, p, f=files._added: held.append(p.groupBy("name").agg({"bytes": "count"}).count()) or f(s, p))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        got = sorted((r["path"].rsplit("/", 1)[1], r["length"], r["sha256"]) for r in files.digests(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = sorted((f.name, f.stat().st_size, hashlib.sha256(f.read_bytes()).hexdigest()) for f in tmp_path.iterdir())
+    assert got == want
+    assert len(held) == 4 and held[-1] >= 4
