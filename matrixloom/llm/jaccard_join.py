@@ -20,7 +20,7 @@ PARTS = 3
 #: Bits of a set's parity sketch. Sketches never differ in more bits than sets in elements.
 SKETCH = 1024
 #: Comparisons of one signature up to which its sets are compared; beyond it, it is extended by signatures of another partition, LEVELS times at most.
-CROWD, LEVELS = 1 << 18, 3
+CROWD, LEVELS = 1 << 22, 3
 #: Sets, at most, whose elements are counted to put frequent ones last; elements that so few of them have count as rare, and so many of the most frequent ones are told to all tasks.
 SAMPLE, RARE, FREQUENT = 1 << 14, 1, 1 << 17
 #: Bytes of keys up to which they are broadcast to pick texts; more keys are joined by a shuffle of the texts.
