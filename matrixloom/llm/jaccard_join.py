@@ -23,6 +23,8 @@ SKETCH = 1024
 CROWD, LEVELS = 1 << 22, 3
 #: Sets, at most, whose elements are counted to put frequent ones last; elements that so few of them have count as rare, and so many of the most frequent ones are told to all tasks.
 SAMPLE, RARE, FREQUENT = 1 << 14, 1, 1 << 17
+#: So many times the share of a set's elements that its prefix takes are counted over all sets, to put rare ones first.
+COUNTED = 2
 #: Bytes of keys up to which they are broadcast to pick texts; more keys are joined by a shuffle of the texts.
 BROADCAST = 64 << 20
 #: Comparisons that a task holds at once.
@@ -88,19 +90,22 @@ def signatures(whose: np.ndarray, h: np.ndarray, sizes: np.ndarray, level: int =
     return np.concatenate(owners), np.concatenate(out)
 
 
-def prefixes(whose: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def prefixes(whose: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray], below: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(which set, element): the elements of each set that come first in one order of all elements, so many that linked sets have one in common.
 
     A set has at least `percent` in a hundred of its n elements in common with a linked set, so before the first common one lie at most n * (100 - percent) / 100.
     `frequent` (elements, ascending, and their counts) puts frequent elements last, by count; the others lie by a hash. That holds in any order, but rare elements bring few sets together.
+    The others whose hash is less than `below` come first in that order; of these a set gives all, also beyond its prefix.
     """
     count = np.zeros(len(h), np.int64)
     if len(frequent[0]):
         at = np.minimum(np.searchsorted(frequent[0], h), len(frequent[0]) - 1)
         count = np.where(frequent[0][at] == h, frequent[1][at], 0)
-    order = np.lexsort((mixed(h, 77), count, whose))
+    place = mixed(h, 77)
+    order = np.lexsort((place, count, whose))
     whose = whose[order]
     kept = np.arange(len(h)) - (np.cumsum(sizes) - sizes)[whose] <= (sizes * (100 - percent) // 100)[whose]
+    kept |= ((count == 0) & (place < np.uint64(below)))[order]
     return whose[kept], h[order][kept]
 
 
@@ -179,20 +184,33 @@ def _frequent(texts: DataFrame, sets: int, shingle: int) -> tuple[np.ndarray, np
 
 
 def _signed(docs: DataFrame, rows: DataFrame, classes: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """(sig, id): the `prefixes` of every class, made from the texts. They go from the tasks that make them straight to where they meet and are held nowhere besides."""
+    """(sig, id): elements of every class, made from the texts, of which linked classes share one; those that only one id has are left out.
+
+    The elements below a bound of the hash that orders `prefixes` are counted over all classes, so that in the order that counts here they come first, rare ones before
+    frequent ones. A class sends all of these, and if they are fewer than its prefix, the rest of it. What it sends beyond the length of its prefix is `spare`: so many of
+    the most frequent are taken away again. A class with more elements of its own than a linked one can have is left with none.
+    Texts of one id are ranked together, by which each keeps what it would by itself, or more.
+    """
     texts = _stand_ins(docs, rows, classes, key, text)
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(texts, classes.count(), shingle))
+    below = min((1 << 64) - 1, COUNTED * (100 - percent) * (1 << 64) // 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lo = 0
             for some in slices(b.column(1), 64):
                 whose, h = distinct_shingles(some, shingle)
-                owner, sig = prefixes(whose, h, np.bincount(whose, minlength=len(some)), percent, frequent.value)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), b.column(0).take(pa.array(owner + lo))], ["sig", "id"])
+                sizes = np.bincount(whose, minlength=len(some))
+                owner, sig = prefixes(whose, h, sizes, percent, frequent.value, below)
+                spare = np.bincount(owner, minlength=len(some)) - 1 - sizes * (100 - percent) // 100
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), b.column(0).take(pa.array(owner + lo)), pa.array(spare[owner].astype(np.int32))], ["sig", "id", "spare"])
                 lo += len(some)
 
-    return texts.mapInArrow(run, f"sig long, id {texts.schema['id'].dataType.simpleString()}")
+    sent = texts.mapInArrow(run, f"sig long, id {texts.schema['id'].dataType.simpleString()}, spare int")
+    w = Window.partitionBy("sig")
+    shared = sent.select("sig", "id", "spare", F.count(F.lit(1)).over(w).alias("sets"), F.min("id").over(w).alias("lo"), F.max("id").over(w).alias("hi")).where("lo <> hi")
+    last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sets"), F.desc("sig")))
+    return shared.select("sig", "id", "spare", last.alias("last")).where("last > spare").select("sig", "id")
 
 
 def _bytes(ids: DataFrame) -> int:
@@ -403,7 +421,7 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, classes: DataFrame, docs:
 def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, crowd: int = CROWD, levels: int = LEVELS) -> DataFrame:
     """(doc, n, component) of each row: its number of distinct shingles, and the smallest key that it reaches through links.
 
-    Equal sets are one class, stood for by its least key. Classes that share an element of their `prefixes`, here called a signature, are first compared with the least and the greatest of it,
+    Equal sets are one class, stood for by its least key. Classes that share one of some rare elements (`_signed`), here called a signature, are first compared with the least and the greatest of it,
     which links most copies; then all that share one and are still in different components. Sketches rule pairs out, the sets themselves decide.
     Texts without words, null ones too, link with nothing. Rows of one key are one document, which links where any of its texts does. Rows with a null
     key get the component of the keyed rows with an equal set, else null. Repeated rows stay repeated; other columns are ignored.

@@ -179,3 +179,44 @@ def test_components_are_the_same_whatever_elements_are_known_as_frequent(make, m
     monkeypatch.setattr(J, "FREQUENT", most)
     rows = list(enumerate(texts(random.Random(sample), groups=6, size=12)))
     assert sorted(tuple(r) for r in J.similar_texts(make(rows), percent=80, crowd=30).collect()) == plain(rows, 80)
+
+
+def passages(rng, documents):
+    """Texts with 100 words of their own and six passages of 12 words, each of which one other text has."""
+    ends = [k for k in range(documents) for _ in range(6)]
+    rng.shuffle(ends)
+    out = [[f"w{rng.randrange(10**9)}" for _ in range(100)] for _ in range(documents)]
+    for at in range(0, len(ends), 2):
+        words = [f"p{at}q{k}" for k in range(12)]
+        for k in ends[at : at + 2]:
+            out[k] += words
+    return [(k, " ".join(t)) for k, t in enumerate(out)]
+
+
+def test_texts_seldom_meet_in_passages_that_a_sample_misses(make, monkeypatch):
+    """Rows of shared signatures, which grew with the square of the documents: 13,232 before of 2,400 texts, each with passages in common with six others."""
+    monkeypatch.setattr(J, "SAMPLE", 50)
+    docs = make(passages(random.Random(5), 2400))
+    rows = J._described(docs, "doc_id", "text", 3).cache()
+    classes = rows.where("n > 0").select(F.col("doc").alias("id"), "h1", "h2", "n", "sketch", "wide")
+    signed = J._signed(docs, rows, classes, "doc_id", "text", 3, 90)
+    assert (signed.groupBy("sig").count().where("count > 1").agg(F.sum("count")).first()[0] or 0) < 1200
+
+
+@pytest.mark.parametrize(("sample", "counted"), [(1, 1), (1, 2), (20, 4), (1 << 14, 100)])
+def test_components_are_the_same_however_many_elements_are_counted(make, monkeypatch, sample, counted):
+    """Also where keys have several texts, whose elements are ranked together."""
+    monkeypatch.setattr(J, "SAMPLE", sample)
+    monkeypatch.setattr(J, "COUNTED", counted)
+    rng = random.Random(sample + counted)
+    some = texts(rng, groups=8) + [t for _, t in passages(rng, 30)]
+    rows = list(enumerate(some))
+    assert sorted(tuple(r) for r in J.similar_texts(make(rows), percent=80, crowd=30).collect()) == plain(rows, 80)
+    keyed = [(rng.randrange(60), t) for t in {frozenset(sets_of(t)): t for t in some}.values()]
+    links = [(a, b) for k, (a, s) in enumerate(keyed) for b, t in keyed[:k] if (x := sets_of(s)) and (y := sets_of(t)) and 100 * len(x & y) >= 80 * len(x | y)]
+    root = {a: a for a, _ in keyed}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    want = sorted((a, len(sets_of(t)), root[a] if sets_of(t) else a) for a, t in keyed)
+    assert sorted(tuple(r) for r in J.similar_texts(make(keyed), percent=80, crowd=30).collect()) == want
